@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' word patterns define it.
@@ -79,3 +80,26 @@ def with_key(docs: DataFrame, *carried: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tie = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     return docs.select(*carried, ids.alias("_id"), tie.alias("_tie"), text.alias("text"))
+
+
+#: Rows that one window task of group_ranks ranks, about.
+ROWS_PER_BUCKET = 50_000
+
+
+def group_ranks(rows: DataFrame, key: str, order: list[str], n_rows: int) -> DataFrame:
+    """``rows`` with ``rank``: 0, 1, ... inside each ``key``, without bringing a key's rows together.
+
+    Rows of a key are dealt over sub-buckets by a hash of ``order`` and ranked there; the sub-buckets' counts, summed up
+    in order, say where each begins. Rows that agree in all of ``order`` are taken as exchangeable.
+    """
+    subs = max(8, math.ceil(n_rows / ROWS_PER_BUCKET))
+    rows = rows.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)).cast("int"))
+    starts = (
+        rows.groupBy(key, "_sub")
+        .count()
+        .withColumn("_first", F.sum("count").over(Window.partitionBy(key).orderBy("_sub")) - F.col("count"))
+        .select(F.col(key).alias("_key"), F.col("_sub").alias("_at"), "_first")
+    )
+    inside = F.row_number().over(Window.partitionBy(key, "_sub").orderBy(*order)) - 1
+    joined = rows.withColumn("_inside", inside).join(starts, (F.col(key) == F.col("_key")) & (F.col("_sub") == F.col("_at")))
+    return joined.withColumn("rank", F.col("_first") + F.col("_inside")).drop("_sub", "_key", "_at", "_first", "_inside")

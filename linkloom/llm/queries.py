@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, sharding
+from . import bpe, line_dedup, packing, quality_rules, sharding
 from .common import documents
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary())
+
+
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), 16)
 
@@ -17,12 +27,16 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), vocabulary())
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.clean(documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ring_sharding, op7_host_quality, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op2_exact_packing, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
 
 OP7_SQL = r"""
 WITH d AS (

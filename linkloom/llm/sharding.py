@@ -16,16 +16,14 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table_of
+from .common import group_ranks, stored, table_of
 
 CELLS = 4096
 VNODES = 64
-ROWS_PER_BUCKET = 50_000
 
 
 def ring(n_shards: int, vnodes: int = VNODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -71,25 +69,11 @@ def place(docs: DataFrame, n_shards: int = 16) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.pmod(F.shiftrightunsigned(F.xxhash64(text), 20), F.lit(CELLS)).cast("int").alias("cell"),
-            F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2**31)).alias("mix"),
         ),
         "ring",
     )
     counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most CELLS rows
-    subs = max(8, math.ceil(sum(counts.values()) / ROWS_PER_BUCKET))
-    rows = rows.withColumn("sub", (F.col("mix") % subs).cast("int"))
-    starts = (
-        rows.groupBy("cell", "sub")
-        .count()
-        .withColumn("first", F.sum("count").over(Window.partitionBy("cell").orderBy("sub")) - F.col("count"))
-        .select(F.col("cell").alias("_cell"), F.col("sub").alias("_sub"), "first")
-    )
-    inside = F.row_number().over(Window.partitionBy("cell", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
-    ranked = (
-        rows.withColumn("inside", inside)
-        .join(starts, (F.col("cell") == F.col("_cell")) & (F.col("sub") == F.col("_sub")))
-        .withColumn("rank", F.col("first") + F.col("inside"))
-    )
+    ranked = group_ranks(rows, "cell", ["doc_id", "text_crc32", "size"], sum(counts.values()))
     spans = table_of(spark, allocate(counts, n_shards), "a_cell int, a_from long, a_to long, shard int, a_slot long")
     # at most CELLS + n_shards rows
     return ranked.join(F.broadcast(spans), (F.col("cell") == F.col("a_cell")) & (F.col("rank") >= F.col("a_from")) & (F.col("rank") < F.col("a_to"))).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality_rules, sharding
+from . import bpe, fingerprints, line_dedup, packing, quality_rules, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op2_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -36,7 +40,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_packing, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
 
 OP7_SQL = r"""
 WITH d AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, packing, quality_rules, sharding
+from . import bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, sharding
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op2_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op3_block_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(documents(spark, sf_dir), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), 16)
 
@@ -40,7 +45,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
 
 OP7_SQL = r"""
 WITH d AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, sharding
+from . import bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, sharding, suffix_dedup
 from .common import documents
 
 
@@ -36,6 +36,11 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary())
 
@@ -45,7 +50,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op5_ring_sharding, op7_host_quality, op9_chunk_bpe, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op5_ring_sharding, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread)}
 
 OP7_SQL = r"""
 WITH d AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, ngram_join, packing, quality_rules, sharding, suffix_dedup, suffix_tree_lm
+from . import bpe, fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, suffix_tree_lm
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), 16)
 
 
+def op6_weak_label_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread)}
 
 OP7_SQL = r"""
 WITH d AS (

@@ -180,6 +180,7 @@ def likeness(pairs: np.ndarray, owner: np.ndarray, key: np.ndarray, size: np.nda
         # cells of a table too small: their squared counts add up to about HASHES a differing paragraph
         guess = 2 * spread[~done] // HASHES
         todo = todo[~done]
+        guess = np.minimum(guess, 2 * (many[pairs[todo, 0]] + many[pairs[todo, 1]]))  # no more than all can differ
         cells[todo] = np.maximum(2 * cells[todo], (guess // HASHES + 1) * HASHES)
     both = total[pairs[:, 0]] + total[pairs[:, 1]]
     shared = (both - differ) / 2
@@ -270,7 +271,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             waiting = rows[end] if end >= 0 and rows[end][0] == 0 else None
             closed = rows[end][0] == 1 if rows else False
             texts = [r[2] for r in rows[: end + 1]]
-            for part in slices(texts[:end]):
+            for part in slices(texts[:end], 1_000_000):
                 out = compare(texts[part], texts[part.start + 1 : part.stop + 1])
                 yield pd.DataFrame({"doc_id": pd.array([r[1] for r in rows[part]], dtype="Int64"), **out})
             if closed:

@@ -8,7 +8,8 @@ bound; what remains is decided on the full sets.
 
 Documents with equal sets are one class and are compared once. Within a block that many documents share, each is first
 compared with the smallest only; what that links is a component, and only pairs between different components are
-compared after that, so that a large group of near copies costs a multiple of its size, and no link between components is lost.
+compared after that (by the rare n-grams that they share), so that a large group of near copies costs a multiple of its
+size, and no link between components is lost.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a null id is a
 document like any other whose component is named by the ids in it (null if there are none); rows that repeat an id and
@@ -24,10 +25,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, with_key
+from .common import stored, whole_row, with_key
 from .graph import components
 from .shingles import mix, shingle_sets, sliced
 
@@ -126,8 +127,11 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int, cuts: int = 8) -> b
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    node = F.when(F.col("_tie") == 0, F.col("_id")).otherwise(F.xxhash64("_id", "_tie"))
-    return with_key(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", node.alias("node"), "text")
+    return with_key(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _node().alias("node"), "text")
+
+
+def _node() -> Column:
+    return F.when(F.col("_tie") == 0, F.col("_id")).otherwise(F.xxhash64("_id", "_tie"))
 
 
 def set_rows(keyed: DataFrame, k: int) -> DataFrame:
@@ -188,17 +192,45 @@ def near_classes(keyed: DataFrame, rows: DataFrame, k: int, num: int, den: int)
     star = stored(shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = stored(_verified(star, keyed, k, num, den), "links")
     first = components(links)
-    # blocks that still hold several components: every pair between two of them
-    held = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    mixed = stored(held.join(spread, "key", "left_semi"), "mixed")
-    a = mixed.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    b = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = a.join(b, "key").filter("a < b and la != lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(across, "across"), keyed, k, num, den), "links")
+    more = stored(_verified(_across(keyed, shared, star, first, k, num, den), keyed, k, num, den), "links")
     return components(links.unionByName(more))
 
 
+def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) between different components that may link: candidates of the documents whose blocks hold several.
+
+    Their n-grams are ordered by how many of these documents have them, rare ones first. A linked pair shares one of the
+    first ``n - num / den * n + 1`` of both, so early that the overlap that is left can reach the bound. Documents of a
+    large group that are alike but not enough differ in rare n-grams first, and do not meet.
+    """
+    held = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    some = stored(held.join(spread, "key", "left_semi").select("node", "label").distinct(), "mixed")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for s, e in sliced(texts):
+                sets = shingle_sets(texts[s:e], k)
+                rows = pdf.iloc[s:e][["node", "label"]]
+                yield rows.assign(n=[len(x) for x in sets], grams=[x.view(np.int64) for x in sets])
+
+    grams = keyed.select("node", "text").join(some, "node").select("node", "label", "text").mapInPandas(run, "node long, label long, n int, grams array<long>")
+    entries = grams.select("node", "label", "n", F.explode("grams").alias("gram"))
+    common = entries.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
+    own = Window.partitionBy("node", "label", "n")
+    # n-grams of one document only come first; they are counted, not kept
+    place = (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram"))).cast("int")
+    first = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    prefix = stored(common.withColumn("place", place).filter(F.col("place") <= first).select("gram", "node", "label", "n", "place"), "prefix")
+    a = prefix.toDF("gram", "a", "la", "na", "pa")
+    b = prefix.toDF("gram", "b", "lb", "nb", "pb")
+    left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    meet = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ((num + den) * left >= num * (F.col("na") + F.col("nb")))
+    pairs = a.join(b, (a["gram"] == b["gram"]) & meet).select("a", "b").distinct()
+    return stored(pairs.join(tried, ["a", "b"], "left_anti"), "across")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, node, n_shingles, component_id (smallest doc_id reachable by links) and label.
 
@@ -223,3 +255,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("node")).alias("label"),
     )
+
+
+def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each component its smallest document, with all columns; of rows that repeat an id and a text, one stays."""
+    first = near_duplicates(docs, k, num, den).filter("node = label").select("node").distinct()
+    rows = with_key(docs, whole_row(docs).alias("_row")).select("_row", _node().alias("node"))
+    if not rows.groupBy("node").count().filter("count > 1").limit(1).isEmpty():
+        rows = rows.dropDuplicates(["node"])
+    return rows.join(first, "node", "left_semi").select("_row.*")

@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,13 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _SPACES = re.compile(f"{_SPACE.pattern}+")
 
-#: Words and chunks that a worker keeps: two generations of at most so many.
-WORDS_KEPT = 250_000
-CHUNKS_KEPT = 8_000
+#: Units (pieces or words) and chunks that a worker keeps: two generations of at most about so many.
+UNITS_KEPT, CHUNKS_KEPT = 600_000, 8_000
+#: Texts of letters below U+0180 and common punctuation (without characters that lower-case oddly or that the classes
+#: below take otherwise): normalising leaves them alone, and the vocabulary's pattern can be applied to the lower-cased text.
+_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0132-\u017e\u2010-\u2027\u2030-\u205e]*")
+#: The vocabulary's own pattern, 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+, as it reads on such texts.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Code points hashed together, the mean distance of cuts (a power of two), and the least and most between two cuts.
 ROLL, MEAN, LEAST, MOST = 24, 1024, 256, 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,64 +50,91 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-class Recent(dict):
-    """A mapping that forgets: when it is full, what was not asked for since the last time it was full goes."""
+def units_of(text: str) -> list[str]:
+    """Strings that are encoded one by one: pieces of a plain text, words of any other."""
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return _PIECE.findall(text.lower())
+    return split_words(text)
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
 
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
-        return value
+class Recent:
+    """A mapping in two generations that forgets what was not asked for while the newer one filled up."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
-    def has(self, key) -> bool:
-        return key in self or key in self.old
+    def keep(self, keys: set) -> set:
+        """Bring the known ones of ``keys`` into ``new``; the others are returned."""
+        for k in keys & self.old.keys():
+            self.new[k] = self.old[k]
+        return keys - self.new.keys()
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def turn(self) -> None:
+        """To be called between batches, so that what a batch has put in stays for as long as the batch needs it."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
 
 
 class WordCodec:
-    """Ids of texts (little-endian unsigned 32-bit), word by word through a store of words."""
+    """Ids of texts (little-endian unsigned 32-bit), unit by unit through a store of units.
+
+    New pieces are encoded many at a time, joined by spaces: each ends in an id of its own kind. Words of texts that are
+    not plain are given to the library one by one.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.known = Recent(WORDS_KEPT)
+        self.names = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.ends = np.asarray([n.endswith("</w>") for n in self.names])
+        self.known = Recent(UNITS_KEPT)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of all ``words``; those that are not known yet are encoded together."""
-        known, ids, new = self.known, {}, []
-        for w in words:
-            if known.has(w):
-                ids[w] = known[w]
-            else:
-                new.append(w)
-        for w, found in zip(new, self.whole(new), strict=True):
-            ids[w] = found
-            known.put(w, found)
-        return ids
+    def learn(self, units: set[str]) -> None:
+        """Have the ids of all ``units`` in ``known.new``."""
+        new, known = self.known.keep(units), self.known.new
+        single = [u for u in new if _PIECE.fullmatch(u)]
+        for s in range(0, len(single), 2_000):
+            part = single[s : s + 2_000]
+            ids = np.asarray(self.whole_ids(" ".join(part)), dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        rest = [u for u in new if u not in known]
+        known.update(zip(rest, self.whole(rest), strict=True))
+
+    def whole_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [split_words(t) for t in texts]
-        ids = self.learn(set().union(*words))
-        return [b"".join(map(ids.__getitem__, w)) for w in words]
+        self.known.turn()
+        get, found, gaps, new = self.known.new.get, [], [], set()
+        for n, t in enumerate(texts):
+            units = units_of(t)
+            ids = list(map(get, units))
+            found.append(ids)
+            if None in ids:
+                at = list(compress(count(), map(is_, ids, repeat(None))))
+                missing = [units[i] for i in at]
+                gaps.append((n, at, missing))
+                new.update(missing)
+        self.learn(new)
+        known = self.known.new
+        for n, at, missing in gaps:
+            ids = found[n]
+            for i, u in zip(at, missing, strict=True):
+                ids[i] = known[u]
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes with a vocabulary that names no decoder: pieces joined by spaces."""
-        return " ".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 _codecs: dict[str, WordCodec] = {}
@@ -166,17 +199,24 @@ def _inverses(n: int) -> np.ndarray:
 class Chunk:
     """Ids of a chunk's inner words, and the fragments before its first and after its last white space."""
 
-    __slots__ = ("head", "tail", "words", "ids")
+    __slots__ = ("head", "tail", "inner", "ids")
 
     def __init__(self, text: str):
-        self.words: list[str] = []
-        self.ids = b""
+        self.inner, self.ids = "", b""
         self.head, self.tail = text, None
         if found := _SPACE.search(text):
             self.head = text[: found.start()]
             last = _last_space(text)
             self.tail = text[last + 1 :]
-            self.words = split_words(text[found.start() : last + 1])
+            self.inner = text[found.start() : last + 1]
+
+
+def edge_words(text: str, k: int, last: bool) -> list[str]:
+    """The last (or first) k words of a text."""
+    if _SEPARATORS.search(text):
+        words = split_words(text)
+        return words[-k:] if last else words[:k]
+    return text.rsplit(None, k)[-k:] if last else text.split(None, k)[:k]
 
 
 def _last_space(text: str) -> int:
@@ -195,70 +235,63 @@ class ChunkCodec:
         self.encoded = self.reused = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plans, new, mine = [], {}, {}
+        self.chunks.turn()
+        plans, mine = [], {}
         for t in texts:
             keys, start = [], 0
             for end in cuts(t):
                 piece = t[start:end]
                 key = hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in mine:
-                    if self.chunks.has(key):
-                        mine[key] = self.chunks[key]
-                        self.reused += 1
-                    else:
-                        mine[key] = new[key] = Chunk(piece)
-                        self.encoded += 1
-                else:
-                    self.reused += 1
+                mine[key] = piece
                 keys.append(key)
                 start = end
-            plans.append([mine[k] for k in keys])
-        ids = self.words.learn(set().union(*(c.words for c in new.values())))
-        for key, c in new.items():
-            c.ids = b"".join(map(ids.__getitem__, c.words))
-            self.chunks.put(key, c)
-        return self._joined(plans)
+            plans.append(keys)
+        new = {k: Chunk(mine[k]) for k in self.chunks.keep(set(mine))}
+        self.encoded += len(new)
+        self.reused += sum(map(len, plans)) - len(new)
+        for c, ids in zip(new.values(), self.words.encode([c.inner for c in new.values()]), strict=True):
+            c.ids = ids
+        self.chunks.new.update(new)
+        return self._joined([[self.chunks.new[k] for k in keys] for keys in plans])
 
     def _joined(self, plans: list[list[Chunk]]) -> list[bytes]:
         """The chunks' ids with the ids of the fragments that meet between them."""
         parts: list[list] = []
-        joins: list[tuple[int, int, list[str], str, list[str]]] = []
+        joins: list[tuple[int, int, str, str, str]] = []
         for d, plan in enumerate(plans):
             out: list = []
-            left: list[str] = []
-            fragment = ""
+            left = fragment = ""
             for c in plan:
                 fragment += c.head
                 if c.tail is None:  # no white space in it
                     continue
                 if fragment:
-                    joins.append((d, len(out), left, fragment, c.words))
+                    joins.append((d, len(out), left, fragment, c.inner))
                     out.append(None)
                 out.append(c.ids)
-                left, fragment = c.words, c.tail
+                left, fragment = c.inner, c.tail
             if fragment:
-                joins.append((d, len(out), left, fragment, []))
+                joins.append((d, len(out), left, fragment, ""))
                 out.append(None)
             parts.append(out)
         for (d, i, *_), found in zip(joins, self._repair([x[2:] for x in joins]), strict=True):
             parts[d][i] = found
         return [b"".join(p) for p in parts]
 
-    def _repair(self, joins: list[tuple[list[str], str, list[str]]]) -> list[bytes]:
+    def _repair(self, joins: list[tuple[str, str, str]]) -> list[bytes]:
         """Ids of each fragment, from windows that grow until the words around it agree with their own ids."""
         done: list = [None] * len(joins)
-        todo, k = range(len(joins)), 1
+        todo, k = list(range(len(joins))), 1
         while todo:
-            sides = [(joins[i][0][-k:], joins[i][2][:k]) for i in todo]
+            sides = [(edge_words(joins[i][0], k, True), edge_words(joins[i][2], k, False)) for i in todo]
             whole = self.words.whole([" ".join([*a, joins[i][1], *b]) for i, (a, b) in zip(todo, sides, strict=True)])
-            ids = self.words.learn({w for a, b in sides for w in (*a, *b)})
+            around = self.words.encode([" ".join(x) for side in sides for x in side])
             again = []
-            for i, (a, b), found in zip(todo, sides, whole, strict=True):
-                before, after = b"".join(ids[w] for w in a), b"".join(ids[w] for w in b)
-                agree = found.startswith(before) and found.endswith(after) and len(found) >= len(before) + len(after)
-                if agree:
+            for n, (i, found) in enumerate(zip(todo, whole, strict=True)):
+                before, after = around[2 * n], around[2 * n + 1]
+                if found.startswith(before) and found.endswith(after) and len(found) >= len(before) + len(after):
                     done[i] = found[len(before) : len(found) - len(after)]
-                elif k >= max(len(joins[i][0]), len(joins[i][2])):
+                elif max(map(len, sides[n])) < k:
                     raise ValueError("a join did not agree over whole chunks")
                 else:
                     again.append(i)

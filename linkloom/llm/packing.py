@@ -87,8 +87,11 @@ class _Index:
                 return [x, *rest]
         return []
 
-    def exact(self, gap: int) -> list[int]:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def exact(self, gap: int, top: int) -> list[int]:
+        """A combination that sums up to ``gap``; ``top`` is the longest length left."""
+        if gap > 3 * top:
+            return []
+        return (gap <= top and self.single(gap)) or (gap <= 2 * top and self.pair(gap)) or self.triple(gap)
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -98,9 +101,8 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
         pattern, gap = [length], capacity - length
         index.left[length] -= 1
         while gap:
-            more = index.exact(gap)
-            if not more:
-                more = [x] if (x := index.longest(gap)) else []
+            top = index.longest(min(gap, length))
+            more = index.exact(gap, top) or ([top] if top else [])
             if not more:
                 break
             pattern += more

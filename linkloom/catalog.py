@@ -1,6 +1,497 @@
-"""The registered queries of the library's own operators, with their SQL."""
+"""The registered queries of the library's own operators, each with its SQL where SQL can express it.
+
+The tables that they run on hold no matches or teams; each query applies an operator to columns of the same shape.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import sources
+from .functions import geo, text, timing
+from .operators import blocking, events, evidence, features, leagues, reports, scoring, state, teams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
+EPOCH = "(epoch_us(ts) // 1000000)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _timed(spark: SparkSession, sf_dir: str, kind: str, prefix: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+    return e.select("user_id", F.col("event_id").alias(f"{prefix}_id"), F.expr(SECONDS).alias(f"{prefix}_time"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _timed(spark, sf_dir, "click", "s"), _timed(spark, sf_dir, "view", "t")
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    colour = F.substring_index("p_name", " ", 1)
+    a = names.select(F.col("p_name").alias("a"), colour.alias("k"))
+    b = names.select(F.col("p_name").alias("b"), colour.alias("k"))
+    noun = lambda d, c: d.select(c, F.substring_index(c, " ", -1).alias("k"))
+    same = noun(a, "a").join(noun(b, "b"), "k")
+    return a.join(b, "k").unionByName(same).filter("a < b").select("a", "b").distinct()
+
+
+_SQL_PAIRS = """
+names AS (SELECT DISTINCT p_name FROM part),
+pairs AS (SELECT x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.p_name < y.p_name
+          AND (split_part(x.p_name, ' ', 1) = split_part(y.p_name, ' ', 1) OR split_part(x.p_name, ' ', -1) = split_part(y.p_name, ' ', -1)))
+"""
+_SQL_SIDES = f"""
+s AS (SELECT user_id, event_id AS s_id, {EPOCH} AS s_time FROM events WHERE event_type = 'click'),
+t AS (SELECT user_id, event_id AS t_id, {EPOCH} AS t_time FROM events WHERE event_type = 'view')
+"""
+
+
+# --- names -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_SQL_PAIRS}
+SELECT a, b, round(len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' '))))
+  / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 6) AS jaccard FROM pairs"""
+)
+def token_jaccard_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sim = text.jaccard(text.token_set(F.col("a")), text.token_set(F.col("b")))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(sim, 6).alias("jaccard"))
+
+
+@query(
+    f"""WITH {_SQL_PAIRS}, j AS (SELECT a, b, jaro_similarity(a, b) AS jaro,
+  CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS p FROM pairs)
+SELECT a, b, round(jaro, 6) AS jaro, round(jaro + p * 0.1 * (1 - jaro), 6) AS jaro_winkler FROM j"""
+)
+def jaro_winkler_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(text.jaro(a, b, whole=True), 6).alias("jaro"), F.round(text.jaro_winkler(a, b, whole=True), 6).alias("jaro_winkler"))
+
+
+@query(
+    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents WHERE text IS NOT NULL),
+k AS (SELECT word FROM w WHERE regexp_matches(word, '^[A-Za-z0-9À-ÖØ-öø-ÿ.,_-]+$') AND NOT regexp_matches(word, '[ÆÐØÞßæðøþ]'))
+SELECT word, trim(regexp_replace(regexp_replace(lower(strip_accents(word)), '[._,-]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM k"""
+)
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of all documents, those whose letters every folding treats alike."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+    plain = words.filter(F.col("word").rlike(r"^[A-Za-z0-9À-ÖØ-öø-ÿ.,_-]+$") & ~F.col("word").rlike("[ÆÐØÞßæðøþ]"))
+    return plain.select("word", text.normalize_name(F.col("word")).alias("norm"))
+
+
+@query()
+def name_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger of Jaccard and Jaro-Winkler; half transpositions have no counterpart in SQL, the tests compare by hand."""
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(text.name_similarity(F.col("a"), F.col("b")), 6).alias("name_similarity"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, lower(trim(url)) AS n FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(n, '^e-') THEN 'e-prefix' WHEN regexp_matches(n, '^e\\s*\\|') THEN 'e|prefix'
+  WHEN regexp_matches(n, '^e(basketball|football|soccer|sport)') THEN 'e-joined' WHEN contains(n, '(e)') THEN '(e)'
+  WHEN contains(n, 'esports') OR contains(n, 'e-sports') THEN 'esports' WHEN contains(n, 'cyber') THEN 'cyber'
+  WHEN regexp_matches(n, 'nba\\s*2k') THEN 'nba 2k' WHEN contains(n, 'blitz') THEN 'blitz' WHEN contains(n, 'h2h') AND contains(n, 'gg') THEN 'h2h gg' END AS reason
+FROM t"""
+)
+def virtual_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.virtual_reason(F.col("url")).alias("reason"))
+
+
+@query(
+    """SELECT DISTINCT p_name, CASE WHEN contains(p_name, 'small') THEN 'small' WHEN contains(p_name, 'large') THEN 'large' ELSE '' END AS size_word,
+ (lower(p_type) IN ('economy', 'promo')) AS cheap, p_type FROM part"""
+)
+def feature_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = features._ladder(F.col("p_name"), {"small": ["small"], "large": ["large"]})
+    return table(spark, sf_dir, "part").select("p_name", size.alias("size_word"), F.lower("p_type").isin("economy", "promo").alias("cheap"), "p_type").distinct()
+
+
+# --- event matching ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_SQL_SIDES}
+SELECT s_id, t_id, abs(s_time - t_time) AS time_diff, round(exp(-(abs(s_time - t_time) ** 2) / (2.0 * 3600 * 3600)), 6) AS time_score
+FROM s JOIN t USING (user_id) WHERE abs(s_time - t_time) <= 21600"""
+)
+def gaussian_time_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    pairs = blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 21600)
+    gap = F.abs(F.col("s_time") - F.col("t_time"))
+    return pairs.select("s_id", "t_id", gap.alias("time_diff"), F.round(timing.gaussian_time(gap, 3600), 6).alias("time_score"))
+
+
+@query(f"WITH {_SQL_SIDES} SELECT s_id, t_id, s_time // 86400 AS day FROM s JOIN t ON s.user_id = t.user_id AND s_time // 86400 = t_time // 86400")
+def utc_day_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    day = lambda d, c: d.withColumn("day", timing.utc_day(F.col(c)))
+    return day(s, "s_time").join(day(t, "t_time"), ["user_id", "day"]).select("s_id", "t_id", "day")
+
+
+@query(
+    f"""WITH {_SQL_SIDES}, p AS (SELECT s_id, t_id, count(*) OVER (PARTITION BY s_id) AS n FROM s JOIN t USING (user_id) WHERE abs(s_time - t_time) <= 7200)
+SELECT s_id, t_id FROM p WHERE n = 1"""
+)
+def unique_candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    return events.unique_candidates(blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 7200), "s_id").select("s_id", "t_id")
+
+
+_SQL_TIERED = f"""WITH {_SQL_SIDES}, p AS (
+  SELECT s_id, t_id, abs(s_time - t_time) AS d, s_time // 86400 = t_time // 86400 AS same_day FROM s JOIN t USING (user_id) WHERE abs(s_time - t_time) <= 86400
+), r AS (
+  SELECT s_id, t_id, d, CASE WHEN d <= 21600 AND 0.3 * exp(-(d * d) / (2.0 * 3600 * 3600)) + 0.7 >= 0.5 THEN 'EVENT_L1'
+      WHEN d <= 32400 AND 0.15 * exp(-(d * d) / (2.0 * 10800 * 10800)) + 0.85 >= 0.6 THEN 'EVENT_L2' WHEN same_day THEN 'EVENT_L3' END AS rule FROM p
+), q AS (
+  SELECT *, CASE rule WHEN 'EVENT_L1' THEN 0.3 * exp(-(d * d) / (2.0 * 3600 * 3600)) + 0.7
+      WHEN 'EVENT_L2' THEN 0.15 * exp(-(d * d) / (2.0 * 10800 * 10800)) + 0.85 ELSE 1.0 END AS score FROM r WHERE rule IS NOT NULL
+), b AS (
+  SELECT s_id, t_id, rule, d AS time_diff, round(score, 6) AS score FROM q QUALIFY row_number() OVER (PARTITION BY s_id ORDER BY rule, q.score DESC, t_id) = 1
+)"""
+
+
+@query(_SQL_TIERED + " SELECT s_id, t_id, rule, time_diff, score FROM b")
+def tiered_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    best = events.best_by_tier(events.tiered_candidates(s, t, ["user_id"], "s_time", "t_time"), "s_id", "t_id")
+    return best.select("s_id", "t_id", "rule", "time_diff", F.round("score", 6).alias("score"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = _sides(spark, sf_dir)
+    best = tiered_best_match(spark, sf_dir).select("s_id", F.col("t_id").cast("string").alias("target_id"), "rule", F.col("score").alias("confidence"))
+    return s.select("s_id", (F.col("user_id") % 10).alias("grp")).join(best, "s_id", "left").withColumn("matched", F.col("rule").isNotNull())
+
+
+_SQL_STATS = """, m AS (SELECT s.s_id, s.user_id % 10 AS grp, b.rule, b.score, b.t_id FROM s LEFT JOIN b USING (s_id))"""
+
+
+@query(
+    _SQL_TIERED
+    + _SQL_STATS
+    + """ SELECT grp, count(*) AS total, count(rule) AS n_matched, floor(coalesce(avg(score), 0) * 1000 + 0.5) / 1000 AS avg_confidence,
+ count(*) FILTER (rule = 'EVENT_L1') AS n_event_l1, count(*) FILTER (rule = 'EVENT_L2') AS n_event_l2, count(*) FILTER (rule = 'EVENT_L3') AS n_event_l3,
+ floor(count(rule) / count(*) * 1000 + 0.5) / 1000 AS rate FROM m GROUP BY grp"""
+)
+def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.match_stats(_matches(spark, sf_dir), ["grp"], ["EVENT_L1", "EVENT_L2", "EVENT_L3"])
+
+
+QUERIES["entry_match_stats"] = match_stats
+ORACLES["entry_match_stats"] = ORACLES["match_stats"]
+
+
+@query(
+    _SQL_TIERED
+    + _SQL_STATS
+    + """, rr AS (SELECT grp, count(*) AS n_source, count(rule) AS n_matched, count(DISTINCT t_id) AS n_target_matched FROM m GROUP BY grp),
+ n AS (SELECT user_id % 10 AS grp, count(*) AS n_target FROM t GROUP BY 1)
+ SELECT grp, n_source, n_matched, n_target_matched, n_target, round(CASE WHEN least(n_source, n_target_matched) > 0 THEN n_matched / least(n_source, n_target_matched) ELSE 0 END, 6) AS rcr_observed,
+  round(CASE WHEN least(n_source, n_target) > 0 THEN n_matched / least(n_source, n_target) ELSE 0 END, 6) AS rcr_documented FROM rr JOIN n USING (grp)"""
+)
+def reverse_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, t = _sides(spark, sf_dir)
+    totals = t.groupBy((F.col("user_id") % 10).alias("grp")).agg(F.count("*").alias("n_target"))
+    rows = state.reverse_confirm(_matches(spark, sf_dir), ["grp"], totals)
+    return rows.withColumn("rcr_observed", F.round("rcr_observed", 6)).withColumn("rcr_documented", F.round("rcr_documented", 6))
+
+
+# --- votes and overlap -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH v AS (SELECT l_partkey, l_suppkey, count(*) AS votes FROM lineitem GROUP BY ALL)
+SELECT l_partkey, l_suppkey, votes, (sum(votes) OVER (PARTITION BY l_partkey))::BIGINT AS total FROM v
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, l_suppkey) = 1"""
+)
+def vote_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return teams.elect(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"), [], "l_partkey", "l_suppkey")
+
+
+@query(
+    """WITH v AS (SELECT l_partkey, l_suppkey, count(*) AS votes, sum(l_quantity) AS conf_sum, avg(l_quantity) AS conf_mean FROM lineitem GROUP BY ALL)
+SELECT l_partkey, l_suppkey, votes, conf_sum, round(conf_mean, 6) AS conf_mean, (sum(votes) OVER (PARTITION BY l_partkey))::BIGINT AS total FROM v
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, conf_sum DESC, l_suppkey) = 1"""
+)
+def vote_mapping_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = teams.elect(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"), [], "l_partkey", "l_suppkey", "l_quantity")
+    return rows.withColumn("conf_mean", F.round("conf_mean", 6))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') / count(*) AS r FROM orders GROUP BY 1)
+SELECT o_custkey, round(r, 6) AS overlap, CASE WHEN r >= 0.6 THEN 0.15 WHEN r >= 0.4 THEN 0.08 WHEN r >= 0.2 THEN 0.03 ELSE 0.0 END::DOUBLE AS bonus FROM c"""
+)
+def overlap_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("r"))
+    return rate.select("o_custkey", F.round("r", 6).alias("overlap"), teams.overlap_bonus(F.col("r")).alias("bonus"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN s >= 0.85 THEN 'LEAGUE_NAME_HI' WHEN s >= 0.7 THEN 'LEAGUE_NAME_MED' WHEN s >= 0.55 THEN 'LEAGUE_NAME_LOW' ELSE 'LEAGUE_NO_MATCH' END AS rule,
+ CASE WHEN s >= 0.6 THEN 'HIGH' WHEN s >= 0.4 THEN 'MEDIUM' WHEN s >= 0.3 THEN 'LOW' ELSE 'FAIL' END AS rcr_level FROM (SELECT o_orderkey, (o_orderkey % 101) / 100 AS s FROM orders)"""
+)
+def league_tier_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = (F.col("o_orderkey") % 101) / 100
+    return table(spark, sf_dir, "orders").select("o_orderkey", leagues.rule_of(s).alias("rule"), state.rcr_level(s).alias("rcr_level"))
+
+
+@query(
+    """WITH k AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 3 = 0)
+SELECT c_custkey, coalesce(k.n_regionkey::BIGINT, c_custkey % 5) AS target, CASE WHEN k.n_regionkey IS NULL THEN 'LEAGUE_NAME_HI' ELSE 'LEAGUE_KNOWN' END AS rule
+FROM customer LEFT JOIN k ON c_nationkey = n_nationkey"""
+)
+def known_map_then_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("target"))
+    customers = table(spark, sf_dir, "customer")
+    sure = customers.join(known, "c_nationkey").select("c_custkey", "target", F.lit("LEAGUE_KNOWN").alias("rule"))
+    rest = customers.join(known, "c_nationkey", "left_anti").select("c_custkey", (F.col("c_custkey") % 5).alias("target"), F.lit("LEAGUE_NAME_HI").alias("rule"))
+    return sure.unionByName(rest)
+
+
+@query("SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5")
+def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+# --- scoring -----------------------------------------------------------------------------------------------------------
+
+
+def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive orders of a customer as pairs of events, with similarities in [0, 1] derived from their columns."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("before", F.lag(F.struct("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")).over(w))
+    o = o.filter("before is not null")
+    ratio = F.least("o_totalprice", "before.o_totalprice") / F.greatest("o_totalprice", "before.o_totalprice")
+    days = F.datediff("o_orderdate", "before.o_orderdate")
+    return o.select(
+        F.col("before.o_orderkey").alias("a"),
+        F.col("o_orderkey").alias("b"),
+        "o_custkey",
+        *scoring.compare(ratio, 1.0 - ratio, days * 600, F.col("o_orderstatus") == F.col("before.o_orderstatus"), F.col("o_orderpriority") == F.col("before.o_orderpriority")),
+    )
+
+
+_SQL_FS = """WITH o AS (SELECT *, lag(o_orderkey) OVER w AS a, lag(o_totalprice) OVER w AS pa, lag(o_orderdate) OVER w AS da, lag(o_orderstatus) OVER w AS sa, lag(o_orderpriority) OVER w AS ra
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+p AS (SELECT a, o_orderkey AS b, o_custkey, least(o_totalprice, pa) / greatest(o_totalprice, pa) AS r, date_diff('day', da, o_orderdate) * 600 AS g, o_orderstatus = sa AS st, o_orderpriority = ra AS sp FROM o WHERE a IS NOT NULL),
+f AS (SELECT a, b, o_custkey, CASE WHEN r >= 0.8 THEN 2 WHEN r >= 0.5 THEN 1 ELSE 0 END AS home_name, CASE WHEN 1 - r >= 0.8 THEN 2 WHEN 1 - r >= 0.5 THEN 1 ELSE 0 END AS away_name,
+  CASE WHEN abs(g) <= 1800 THEN 2 WHEN abs(g) <= 21600 THEN 1 ELSE 0 END AS time_diff, CASE WHEN st THEN 2 ELSE 0 END AS league_tier, CASE WHEN sp THEN 2 ELSE 0 END AS sport FROM p)"""
+
+
+@query(
+    _SQL_FS
+    + """ , s AS (SELECT a, b, [log2(0.03/0.75), log2(0.12/0.20), log2(0.85/0.05)][home_name + 1] + [log2(0.03/0.75), log2(0.12/0.20), log2(0.85/0.05)][away_name + 1]
+ + [log2(0.05/0.60), log2(0.25/0.30), log2(0.70/0.10)][time_diff + 1] + [log2(0.05/0.70), 0, log2(0.95/0.30)][league_tier + 1] + [log2(0.01/0.80), 0, log2(0.99/0.20)][sport + 1] AS score FROM f)
+ SELECT a, b, round(score, 6) AS score, round(1 / (1 + exp(-score / 3)), 6) AS normalized, CASE WHEN score >= 6 THEN 2 WHEN score >= -2 THEN 1 ELSE 0 END AS class FROM s"""
+)
+def fs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _order_pairs(spark, sf_dir).withColumn("s", scoring.score(scoring.Model.default()))
+    s = F.col("s")
+    return rows.select("a", "b", F.round(s, 6).alias("score"), F.round(scoring.normalized(s), 6).alias("normalized"), scoring.classify(s).alias("class"))
+
+
+@query(_SQL_FS + " SELECT home_name::TINYINT AS home_name, away_name::TINYINT AS away_name, time_diff::TINYINT AS time_diff, league_tier::TINYINT AS league_tier, sport::TINYINT AS sport, count(*) AS n FROM f GROUP BY ALL")
+def fs_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_pairs(spark, sf_dir).groupBy("home_name", "away_name", "time_diff", "league_tier", "sport").agg(F.count("*").alias("n"))
+
+
+@query()
+def fs_em_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters that expectation-maximisation fits on all order pairs."""
+    model = scoring.fit(_order_pairs(spark, sf_dir))
+    rows = [(f, k, float(model.match[i][k]), float(model.other[i][k])) for i, f in enumerate(scoring.fixed.FS_FIELDS) for k in range(3)]
+    return spark.createDataFrame(rows, "field string, level int, m double, u double")
+
+
+@query(
+    f"""WITH {_SQL_SIDES}, p AS (SELECT user_id, s_time - t_time AS gap FROM s JOIN t USING (user_id) WHERE abs(s_time - t_time) <= 21600),
+m AS (SELECT user_id, trunc(quantile_cont(gap, 0.5))::BIGINT AS "offset", count(*) AS n FROM p GROUP BY 1)
+SELECT user_id, "offset", n, trunc(quantile_cont(abs(gap - "offset"), 0.5))::BIGINT AS mad, n >= 3 AS valid FROM p JOIN m USING (user_id) GROUP BY ALL"""
+)
+def offset_median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    pairs = blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 21600)
+    return scoring.offsets(pairs.select("user_id", (F.col("s_time") - F.col("t_time")).alias("gap")), ["user_id"]).select("user_id", "offset", "n", "mad", "valid")
+
+
+# --- blocking ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding, e.embedding)::DOUBLE AS score FROM q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id)
+SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS rank FROM p) WHERE rank <= 5"""
+)
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors with the same label of every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    e = e.withColumn("n", norm)
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("x").alias("qx"), F.col("n").alias("qn"))
+    dot = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    pairs = q.join(e, "label").filter("query_id <> vec_id").withColumn("score", F.round(dot / (F.col("qn") * F.col("n")), 5))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", F.col("vec_id").alias("id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest([p_name[i:i+2] FOR i IN range(1, len(p_name) - 1)]) AS gram FROM n),
+h AS (SELECT p_name, ((xor((((xor(((xor(197, ord(gram[1])) * 147) & 255), ord(gram[2]))) * 147) & 255), ord(gram[3])) * 147) & 255)::INT AS bucket FROM g),
+c AS (SELECT p_name, bucket, count(*)::DOUBLE AS tf FROM h GROUP BY ALL)
+SELECT p_name, bucket, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY p_name)), 6) AS weight FROM c"""
+)
+def trigram_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return blocking.encode(names, "p_name", "p_name").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest([p_name[i:i+2] FOR i IN range(1, len(p_name) - 1)]) AS gram FROM n),
+h AS (SELECT p_name, ((xor((((xor(((xor(197, ord(gram[1])) * 147) & 255), ord(gram[2]))) * 147) & 255), ord(gram[3])) * 147) & 255)::INT AS bucket FROM g),
+c AS (SELECT p_name, bucket, count(*)::DOUBLE AS tf FROM h GROUP BY ALL),
+e AS (SELECT p_name, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY p_name)) AS weight FROM c),
+s AS (SELECT a.p_name AS query_id, b.p_name AS id, round(sum(a.weight * b.weight), 6) AS score FROM e a JOIN e b USING (bucket) GROUP BY ALL)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+)
+def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    e = blocking.encode(names, "p_name", "p_name")
+    pairs = e.toDF("query_id", "bucket", "weight").join(e.toDF("id", "bucket", "_w"), "bucket")
+    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+
+
+# --- scans and state ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.first_rows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    return a.union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query(
+    """SELECT c_custkey AS k, 'orders' AS origin FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+)
+def anti_join_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("origin"))
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit("orders").alias("origin")).distinct()
+    ordered = ordered.join(customers, "k", "left_semi")
+    return reports.merge_truth(ordered, customers, ["k"])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_extract_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"))
+    return parsed.select("event_id", F.explode("m").alias("name", "k")).filter("name = 'k'").select("event_id", "k")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
+def count_distinct_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id FROM documents WHERE n_chars >= 500), t AS (SELECT doc_id FROM labels WHERE quality = 1),
+c AS (SELECT (SELECT count(*) FROM p SEMI JOIN t USING (doc_id)) AS tp, (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM t) AS n_true)
+SELECT tp, n_predicted, n_true, round(tp / n_predicted, 6) AS "precision", round(tp / n_true, 6) AS recall, round(2 * tp / (n_predicted + n_true), 6) AS f1 FROM c"""
+)
+def prf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = table(spark, sf_dir, "documents").filter("n_chars >= 500").select("doc_id")
+    truth = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    rows = reports.precision_recall(predicted, truth, ["doc_id"])
+    return rows.select("tp", "n_predicted", "n_true", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.newest(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 3).select("user_id", "event_id")
+
+
+@query(
+    f"""WITH v AS (SELECT user_id AS src, event_type AS dst, count(*) AS votes, max({EPOCH}) AS last_seen FROM events GROUP BY ALL)
+SELECT src::VARCHAR AS src_id, dst AS ts_id, votes, last_seen FROM v WHERE votes >= 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY votes DESC, last_seen DESC, dst) = 1"""
+)
+def alias_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' two halves merged as alias votes, and the best alias of each source."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("src_id"), F.col("event_type").alias("ts_id"), F.expr(SECONDS).alias("last_seen"))
+
+    def half(keep: Column) -> DataFrame:
+        rows = e.filter(keep).groupBy("src_id", "ts_id").agg(F.count("*").alias("votes"), F.max("last_seen").alias("last_seen"))
+        return rows.select(F.lit("team").alias("side"), "src_id", "ts_id", F.lit("football").alias("sport"), "votes", F.lit(1.0).alias("confidence"), "last_seen", F.lit("learned").alias("origin"))
+
+    odd = F.col("event_id") % 2 == 1
+    return state.best_aliases(state.upsert(half(odd), half(~odd))).select("src_id", "ts_id", "votes", "last_seen")
+
+
+@query(
+    """WITH p AS (SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
+SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS geo, a <> b AS veto FROM p"""
+)
+def place_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    # nation names are one word but for the underscore, which normalising makes a space: compare the number alone
+    bare = lambda c: F.regexp_replace(c, "_", "")
+    pairs = n.select(F.col("n_name").alias("a"), "n_regionkey").join(n.select(F.col("n_name").alias("b"), "n_regionkey"), "n_regionkey")
+    return pairs.select("a", "b", geo.geo_similarity(bare("a"), bare("b")).alias("geo"), geo.location_veto(bare("a"), bare("b")).alias("veto"))
+
+
+@query()
+def greedy_with_alias_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full matcher: users are leagues, event types and parts of the hour stand for teams."""
+    e = table(spark, sf_dir, "events").withColumn("sec", F.expr(SECONDS))
+    row = lambda kinds, shift: e.filter(F.col("event_type").isin(*kinds)).select(
+        F.col("user_id").cast("string").alias("league_id"),
+        F.col("event_id").cast("string").alias("event_id"),
+        (F.col("sec") + shift).alias("start_unix"),
+        F.concat(F.lit("h"), F.col("sec") % 7).alias("home_id"),
+        F.concat(F.lit("Team "), F.col("sec") % 7).alias("home_name"),
+        F.concat(F.lit("a"), F.col("sec") % 5).alias("away_id"),
+        F.concat(F.lit("Club "), F.col("sec") % 5).alias("away_name"),
+    )
+    return events.match_events(row(["click", "signup"], 0), row(["view", "purchase"], 600))
+
+
+@query()
+def evidence_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one resolution of all scored edges between clicks and views of a user."""
+    s, t = _sides(spark, sf_dir)
+    pairs = blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 21600)
+    gap = F.abs(F.col("s_time") - F.col("t_time"))
+    edges = pairs.select(
+        F.col("s_id").cast("string").alias("event_id"),
+        F.col("t_id").cast("string").alias("target_id"),
+        F.lit("").alias("competition_id"),
+        timing.round3(0.7 + 0.3 * timing.gaussian_time(gap, 3600)).alias("score"),
+    )
+    return evidence.resolve(edges, 0.70)[0]

@@ -18,6 +18,7 @@ from ..functions import fixed
 from ..functions.text import forms_similarity, is_placeholder, team_forms
 from ..functions.timing import gaussian_time, round3, utc_day
 from .blocking import time_window_join
+from .lineage import cut
 
 L5_GAP, L5_NAME = 30 * 86400, 0.90
 L6_GAP, L6_CONFIDENCE = 300, 0.70
@@ -196,8 +197,9 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
 
 def two_rounds(source: DataFrame, target: DataFrame, vote) -> DataFrame:
     """Match, let ``vote`` derive a team map from the matches, and match again with it."""
-    first = match_events(source, target)
-    return match_events(source, target, vote(first))
+    source, target = cut(source), cut(target)
+    first = cut(match_events(source, target))
+    return cut(match_events(source, target, vote(first)))
 
 
 def tier_scores(pairs: DataFrame, gap: Column, same_day: Column, name: Column) -> DataFrame:

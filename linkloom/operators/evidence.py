@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,7 @@ from ..functions.text import normalize_prior
 from ..functions.timing import gaussian_time, round3
 from . import scoring
 from .events import name_pair_scores
+from .lineage import cut
 from .teams import map_teams
 
 REASONS = {
@@ -109,19 +109,16 @@ def resolve(scored: DataFrame, least: float = LEAST, rounds: int = 100) -> tuple
     repeated until no edge is left, this takes exactly the edges that the sorted greedy pass takes. Each round is
     checkpointed to the shared folder.
     """
-    spark = scored.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
     order = [F.col("score").desc(), F.col("event_id"), F.col("target_id"), F.col("competition_id")]
-    rest = scored.filter(F.col("score") >= least).checkpoint()
+    rest = cut(scored.filter(F.col("score") >= least))
     everything, taken = rest, None
     for _ in range(rounds):
         first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        best = rest.withColumn("_s", first("event_id")).withColumn("_t", first("target_id")).filter("_s = 1 and _t = 1").drop("_s", "_t").checkpoint()
+        best = cut(rest.withColumn("_s", first("event_id")).withColumn("_t", first("target_id")).filter("_s = 1 and _t = 1").drop("_s", "_t"))
         if best.isEmpty():
             break
         taken = best if taken is None else taken.unionByName(best)
-        rest = rest.join(best.select("event_id"), "event_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti").checkpoint()
+        rest = cut(rest.join(best.select("event_id"), "event_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti"))
     if taken is None:
         taken = rest.limit(0)
     won = taken.select("event_id", "target_id", F.lit(True).alias("_won"))

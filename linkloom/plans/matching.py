@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import virtual_reason
 from ..functions.timing import round3
 from ..operators import events, leagues, reports, state, teams
+from ..operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,7 @@ def run(inputs: Inputs, source: str = "sr", by_score_only: bool = False, overrid
     if override is not None:
         forced = override.select("id", "competition_id", F.lit(1.0).alias("confidence"), F.lit("LEAGUE_KNOWN").alias("rule"))
         found = found.join(override.select("id"), "id", "left_anti").unionByName(forced)
+    found = cut(found)  # small, and used by everything that follows
     linked = found.filter("competition_id <> ''").select(F.col("id").alias("league_id"), "competition_id")
     s = inputs.events.join(linked, F.col("tournament_id") == F.col("league_id")).withColumnRenamed("id", "event_id")
     t = inputs.target_events.join(linked, F.col("tournament_id") == F.col("competition_id")).withColumnRenamed("id", "event_id")
@@ -70,7 +72,7 @@ def run(inputs: Inputs, source: str = "sr", by_score_only: bool = False, overrid
         names = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).groupBy("id").agg(F.min("name").alias("name"))
     vote = lambda matches: teams.map_teams(matches, names)
     matched = events.two_rounds(s, t, vote)
-    mapped = vote(matched)
+    mapped = cut(vote(matched))
     players = None
     if inputs.players is not None and inputs.target_players is not None:
         rules = teams.LS_PLAYERS if source == "ls" else teams.SR_PLAYERS
@@ -98,10 +100,11 @@ def bulk(inputs: Inputs) -> Result:
     best = scored.groupBy("id").agg(F.max_by(F.struct("competition_id", "score"), F.struct("score", F.col("candidate_seq"))).alias("x"))
     rule = leagues.rule_of(F.col("x.score"))
     found = best.select("id", F.when(rule != "LEAGUE_NO_MATCH", F.col("x.competition_id")).otherwise("").alias("competition_id"), round3(F.col("x.score")).alias("confidence"), rule.alias("rule"))
+    found = cut(found)  # small, and used by everything that follows
     linked = found.filter("competition_id <> ''").select(F.col("id").alias("league_id"), "competition_id")
     s = inputs.events.join(linked, F.col("tournament_id") == F.col("league_id")).withColumnRenamed("id", "event_id")
     t = inputs.target_events.join(linked, F.col("tournament_id") == F.col("competition_id")).withColumnRenamed("id", "event_id")
-    matched = events.level_major(s, t)
+    matched = cut(events.level_major(s, t))
     return Result(found, matched, matched.limit(0), reports.match_stats(matched, ["league_id"]))
 
 

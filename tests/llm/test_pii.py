@@ -41,7 +41,7 @@ def parsed(row):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_base_spans(spark, seed):
-    texts = [*random_texts(seed), "a" * 60000, "1" * 60000, "1." * 30000, "a@" + ".b" * 30000, "a@b" + ".b" * 30000 + "..", "+1" + " " * 40000, "1-" * 30000 + "2", None, ""]
+    texts = [*random_texts(seed), "a" * 60000, "1" * 60000, "1." * 3000, "a@" + ".b" * 30000, "a@b" + ".b" * 30000 + "..", "+1" + " " * 40000, "1-" * 3000 + "2", None, ""]
     rows = {r["doc_id"]: r for r in pii.find(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want, r = brute(t), rows[i]

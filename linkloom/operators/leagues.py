@@ -44,7 +44,10 @@ def alias_similarity(pairs: DataFrame, a: str, b: str, index: DataFrame, out: st
     of_b = names.join(index.toDF("_y", "_cb"), "_cb").withColumn("_x", F.col(a))
     cols = [a, b, "_ca", "_cb", "_x", "_y"]
     tries = reduce(DataFrame.unionByName, [d.select(*cols) for d in (plain, expanded, of_a, of_b)])
-    best = tries.groupBy(a, b).agg(F.max(name_similarity(F.col("_x"), F.col("_y"))).alias("_best"), F.first(F.col("_ca") == F.col("_cb")).alias("_same"))
+    # each distinct pair of names is compared once, apart from the aggregation, which cannot hold an Arrow function
+    compared = tries.select("_x", "_y").distinct().repartition("_x", "_y")
+    compared = compared.select("_x", "_y", name_similarity(F.col("_x"), F.col("_y")).alias("_score"))
+    best = tries.join(compared, ["_x", "_y"]).groupBy(a, b).agg(F.max("_score").alias("_best"), F.first(F.col("_ca") == F.col("_cb")).alias("_same"))
     scored = best.select(a, b, F.when(F.coalesce("_same", F.lit(False)), 0.98).otherwise(F.col("_best")).alias(out))
     return pairs.join(scored, [a, b])
 

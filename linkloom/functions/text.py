@@ -232,15 +232,14 @@ def team_forms(name: Column) -> Column:
 
 
 def forms_similarity(x: Column, y: Column) -> Column:
-    """Best of Jaccard, Jaccard of the team forms, and Jaro-Winkler of those where it is 0.75 or more."""
+    """Best of Jaccard, Jaccard of the team forms, and Jaro-Winkler of those where it is 0.75 or more.
+
+    ``x`` and ``y`` are columns that hold forms already: an Arrow function takes no expression with lambdas.
+    """
     strong = F.pandas_udf(_strong_winkler_all, "double")(x["norm"], y["norm"])
     return F.greatest(jaccard(x["words"], y["words"]), jaccard(x["norm_words"], y["norm_words"]), strong)
 
 
-def team_similarity(a: Column, b: Column) -> Column:
-    return forms_similarity(team_forms(a), team_forms(b))
-
-
 def normalize_league_name(name: Column) -> Column:
     """F1, brackets as spaces, without year tokens such as 2026 or 25/26."""
     words = F.split(F.translate(normalize_name(name), "()[]", "    "), r"\s+")

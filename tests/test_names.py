@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import geo, text, timing
+from linkloom.operators.events import name_pair_scores
 
 
 def values(spark, pairs, f):
@@ -25,7 +26,9 @@ MOST = [("Arsenal", "Juventus", 0.40), ("Real Madrid", "PSG", 0.30), ("Barcelona
 
 
 def test_team_similarity(spark):
-    got = values(spark, [x[:2] for x in LEAST + MOST], text.team_similarity)
+    pairs = spark.createDataFrame([x[:2] for x in LEAST + MOST], "x string, y string")
+    scores = {(r["x"], r["y"]): r["sim"] for r in name_pair_scores(pairs).collect()}
+    got = [scores[x[:2]] for x in LEAST + MOST]
     assert all(g >= x[2] for g, x in zip(got, LEAST, strict=False))
     assert all(g <= x[2] for g, x in zip(got[len(LEAST) :], MOST, strict=True))
 

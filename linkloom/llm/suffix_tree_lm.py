@@ -144,18 +144,18 @@ def _narrow(a: np.ndarray) -> np.ndarray:
 def block_of(w2: np.ndarray, w1: np.ndarray, w: np.ndarray, doc: np.ndarray, train: np.ndarray) -> bytes:
     """The rows of a batch that go to one bucket, ordered by context.
 
-    The last context word is kept whole, once for all its rows. The word that follows is kept in 32 bits and the earlier
-    context word in 16: they only have to be told from others beside the same last word.
+    All words are kept whole: the last context word once for all its rows, the earlier context word and the word that
+    follows as places in the block's own sorted list of words.
     """
     order = np.lexsort((w, w1))
     words, runs = np.unique(w1[order], return_counts=True)
-    earlier = (w2[order] >> _U(32)).astype("<u2")
-    return _squeeze(words, _narrow(runs), earlier, w[order].astype("<u4"), _narrow(doc[order]), np.packbits(train))
+    own, at = np.unique(np.concatenate((w2[order], w[order])), return_inverse=True)
+    return _squeeze(words, _narrow(runs), own, _narrow(at[: len(w)]), _narrow(at[len(w) :]), _narrow(doc[order]), np.packbits(train))
 
 
 def read_block(data: bytes) -> tuple[np.ndarray, ...]:
-    words, runs, w2, w, doc, train = _spread(data)
-    return w2.astype(np.uint64), np.repeat(words, runs), w.astype(np.uint64), doc.astype(np.int64), np.unpackbits(train)
+    words, runs, own, w2, w, doc, train = _spread(data)
+    return own[w2], np.repeat(words, runs), own[w], doc.astype(np.int64), np.unpackbits(train)
 
 
 def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.ndarray, parent_loo: np.ndarray, allowed: np.ndarray):

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from linkloom.llm import suffix_tree_lm as lm
@@ -64,3 +65,12 @@ def test_awkward(spark):
     got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows), key=str)
     assert got == base([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_blocks_keep_words_whole():
+    # words that agree in the middle or the lower half of their bits, beside one last word
+    w2 = np.asarray([7, 7 + (1 << 60), 7 + (1 << 20), 7], dtype=np.uint64)
+    w = np.asarray([9, 9, 9 + (1 << 40), 9 + (1 << 50)], dtype=np.uint64)
+    w1 = np.full(4, 5, dtype=np.uint64)
+    got = lm.read_block(lm.block_of(w2, w1, w, np.arange(4), np.ones(4, dtype=bool)))
+    assert sorted(zip(*(x.tolist() for x in got[:4]), strict=True)) == sorted(zip(w2.tolist(), w1.tolist(), w.tolist(), range(4), strict=True))

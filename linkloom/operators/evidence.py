@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ REASONS = {
 }
 LEVEL, PRIOR, MODEL, REVERSED, ANCHOR = 0.82, 0.10, 0.08, 0.12, 0.08
 LEAST = 0.75
+#: Edges that the sorted pass of one task takes at a time.
+PASS = 100_000
 
 
 def best_level(name: Column, gap: Column, reversed_: Column, strong: Column) -> Column:
@@ -102,23 +106,43 @@ def edges(pairs: DataFrame, model: scoring.Model | None = None) -> DataFrame:
     )
 
 
+def _sorted_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, which come in order, whose source and target no row before has taken."""
+    sources, targets = set(), set()
+    for pdf in batches:
+        won = []
+        for s, t in zip(pdf["event_id"], pdf["target_id"], strict=True):
+            won.append(s not in sources and t not in targets)
+            if won[-1]:
+                sources.add(s)
+                targets.add(t)
+        yield pdf[won]
+
+
 def resolve(scored: DataFrame, least: float = LEAST, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """(matches, conflicts): greedy one-to-one over all edges by score, source, target.
 
     Edges that are first for both their source and their target are taken at once, and the edges of both ends fall away;
-    repeated until no edge is left, this takes exactly the edges that the sorted greedy pass takes. Each round is
-    checkpointed to the shared folder.
+    repeated until no edge is left, this takes exactly the edges that the sorted greedy pass takes. Ties and chains can
+    give one edge a round, so when ``rounds`` are over, or at most ``PASS`` edges are left, the first ``PASS`` edges of the
+    order go through the sorted pass itself at a time, in one task. Each step is checkpointed to the shared folder.
     """
     order = [F.col("score").desc(), F.col("event_id"), F.col("target_id"), F.col("competition_id")]
     rest = cut(scored.filter(F.col("score") >= least))
-    everything, taken = rest, None
-    for _ in range(rounds):
-        first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        best = cut(rest.withColumn("_s", first("event_id")).withColumn("_t", first("target_id")).filter("_s = 1 and _t = 1").drop("_s", "_t"))
-        if best.isEmpty():
-            break
+    everything, taken, step = rest, None, 0
+    while left := rest.count():
+        if left <= PASS or step >= rounds:
+            best = cut(rest.orderBy(*order).limit(PASS).mapInPandas(_sorted_pass, rest.schema))
+        else:
+            first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+            best = cut(rest.withColumn("_s", first("event_id")).withColumn("_t", first("target_id")).filter("_s = 1 and _t = 1").drop("_s", "_t"))
         taken = best if taken is None else taken.unionByName(best)
-        rest = cut(rest.join(best.select("event_id"), "event_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti"))
+        step += 1
+        if step % 20 == 0:
+            taken = cut(taken)
+        for key in ("event_id", "target_id"):
+            rest = rest.join(best.select(F.col(key).alias("_gone")), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+        rest = cut(rest)
     if taken is None:
         taken = rest.limit(0)
     won = taken.select("event_id", "target_id", F.lit(True).alias("_won"))

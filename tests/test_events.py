@@ -147,3 +147,27 @@ def test_stores(spark, tmp_path):
     assert [(r["src_id"], r["ts_id"]) for r in state.best_aliases(store.read()).collect()] == [("a", "x")]
     assert {r["src_id"] for r in state.best_league_aliases(store.read()).collect()} == {"a", "b"}
     assert state.prune(store.read(), as_of=100 * 86400).count() == 1
+
+
+def _greedy(rows):
+    sources, targets, out = set(), set(), []
+    for e, t, _, s in sorted(rows, key=lambda r: (-r[3], r[0], r[1])):
+        if e not in sources and t not in targets:
+            sources.add(e)
+            targets.add(t)
+            out.append((e, t, s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("at_once", [None, 500])
+def test_resolution_ends_with_the_last_edge(spark, monkeypatch, at_once):
+    if at_once:
+        monkeypatch.setattr(evidence, "PASS", at_once)
+    tied = [(f"e{i:03}", f"t{j:03}", "", 0.7) for i in range(0, 130) for j in range(max(0, i - 6), min(130, i + 7))]
+    chain = [(f"c{i:03}", f"d{j:03}", "", round(0.5 + 0.002 * (i + j), 3)) for i in range(110) for j in (i, i + 1)]
+    edges = spark.createDataFrame(tied + chain, "event_id string, target_id string, competition_id string, score double")
+    won, lost = evidence.resolve(edges, 0.2, **({"rounds": 2} if at_once else {}))
+    got = sorted((r["event_id"], r["target_id"], r["score"]) for r in won.collect())
+    assert got == _greedy(tied + chain)
+    assert lost.count() == len(tied + chain) - len(got)
+    assert lost.filter("winner_event_id is null or winner_target_id is null").count() == 0

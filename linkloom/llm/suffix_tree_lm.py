@@ -10,9 +10,9 @@ subtree of the suffix tree is counted, pruned and used for scoring inside one bu
 it. Contexts that end in a very common word (1 in ``COMMON`` or more; there are at most so many of them) start at two
 words and are dealt by both. Batches of documents send a bucket its words in one compressed block each.
 
-The root is a smoothed unigram distribution over the training vocabulary. Buckets read it from a table of fixed size
-(``2 ** CELL_BITS`` bytes): the largest count of the words of a cell, to within 5 %, and the normalising sum is exact for
-that table. Words that were not seen count one, as in the base score, which is exact throughout.
+The root is a smoothed unigram distribution over the training vocabulary: a bucket asks for the counts of the words that
+follow in it, and these are joined from the table of all words. Words that were not seen count one, as in the base score.
+The first word of a document has no context; those of a batch go to any one bucket.
 
 Defined results: a null text is empty and has the end token alone; a null id hashes as the empty text for the split;
 repeated rows are scored one by one and all count; an empty table gives an empty result.
@@ -35,14 +35,13 @@ from .shingles import mix, sliced, word_hashes
 
 MARGIN = 4.0
 COMMON = 1024
-CELL_BITS = 24
-GROWTH = 1.1
 TOKENS_A_BUCKET = 1_500_000
 #: Code points of a batch of documents that is encoded together.
 BATCH = 12_000_000
 FOLDS, HELD_OUT = 7, 2
 _U = np.uint64
-END, START = _U(0x5BD1E995A3C59AC3), _U(0x2545F4914F6CDD1D)
+#: OPENING stands for the context of the first word of a document, which has none.
+END, START, OPENING = _U(0x5BD1E995A3C59AC3), _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A35)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -84,43 +83,15 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-class Root:
-    """The unigram distribution: levels of counts by cell of a word's hash."""
-
-    def __init__(self, levels: bytes, total: float):
-        self.levels = np.frombuffer(levels, dtype=np.uint8)
-        weight = np.concatenate(([0.0], GROWTH ** np.arange(255))) + 1
-        self.chance = weight / total
-
-    def __call__(self, words: np.ndarray) -> np.ndarray:
-        return self.chance[self.levels[(words & _U((1 << CELL_BITS) - 1)).astype(np.int64)]]
-
-
-def build_root(counts: DataFrame) -> tuple[bytes, float]:
-    """The table of levels (of fixed size, so it can go to the driver) and the sum that normalises it."""
-    block = 1 << 16
-    seen = counts.filter("c > 0")
-    level = F.least(F.lit(255), F.round(F.log(F.col("c")) / np.log(GROWTH)) + 1).cast("int")
-    cell = F.col("w").bitwiseAND((1 << CELL_BITS) - 1)
-    cells = seen.select(cell.alias("cell"), level.alias("level")).groupBy("cell").agg(F.max("level").alias("level"), F.count("*").alias("words"))
-    cells = stored(cells, "cells")
-    total = cells.agg(F.sum(F.col("words") * (F.pow(F.lit(GROWTH), F.col("level") - 1) + 1))).first()[0] or 0.0
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(block, dtype=np.uint8)
-        out[pdf["cell"].to_numpy() % block] = pdf["level"]
-        return pd.DataFrame({"block": [int(pdf["cell"].iloc[0]) // block], "levels": [out.tobytes()]})
-
-    table = bytearray(1 << CELL_BITS)
-    for r in cells.groupBy(F.floor(F.col("cell") / block).alias("b")).applyInPandas(pack, "block long, levels binary").collect():
-        table[r["block"] * block : (r["block"] + 1) * block] = r["levels"]
-    return bytes(table), total + 1
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of ``a``, all first bytes before all second ones and so on, which compress better."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
     head = np.asarray([len(arrays), *[len(a) for a in arrays]], dtype="<i8").tobytes()
     kinds = "".join(a.dtype.str[1:] for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(_planes(a) for a in arrays))
 
 
 def _spread(data: bytes) -> list[np.ndarray]:
@@ -132,8 +103,10 @@ def _spread(data: bytes) -> list[np.ndarray]:
     at += 2 * n
     out = []
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, dtype=f"<{kind}", count=size, offset=at))
-        at += out[-1].nbytes
+        wide = np.dtype(f"<{kind}").itemsize
+        planes = np.frombuffer(raw, dtype=np.uint8, count=size * wide, offset=at).reshape(wide, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<{kind}").reshape(size))
+        at += size * wide
     return out
 
 
@@ -158,6 +131,20 @@ def read_block(data: bytes) -> tuple[np.ndarray, ...]:
     return own[w2], np.repeat(words, runs), own[w], doc.astype(np.int64), np.unpackbits(train)
 
 
+def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bucket, w): the different words that follow in each bucket."""
+    found: dict[int, list[np.ndarray]] = {}
+    for pdf in batches:
+        for bucket, data in pdf.loc[~pdf["head"], ["bucket", "data"]].itertuples(index=False):
+            _, _, own, _, w, *_ = _spread(data)
+            found.setdefault(bucket, []).append(own[np.unique(w)])
+            if len(found[bucket]) == 16:
+                found[bucket] = [np.unique(np.concatenate(found[bucket]))]
+    for bucket, parts in found.items():
+        w = np.unique(np.concatenate(parts))
+        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "w": w.view(np.int64)})
+
+
 def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.ndarray, parent_loo: np.ndarray, allowed: np.ndarray):
     """Chance of each row's word under states of one length, in use and leave-one-out; ``parent`` where no state is kept."""
     _, c = np.unique(context, return_inverse=True)
@@ -177,14 +164,14 @@ def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.nda
     return chance, np.where(use & (n[p] > 0), loo[p], parent_loo), many[c]
 
 
-def score_bucket(w2, w1, w, train, root: Root, common: dict[int, int]):
-    """(log10 of each row's word's chance, count of its context word in training)."""
+def score_bucket(w2, w1, w, train, p0: np.ndarray, common: dict[int, int]):
+    """(log10 of each row's word's chance, count of its context word in training); ``p0`` are the rows' unigram chances."""
+    opening = w1 == OPENING
     is_common = np.isin(w1, np.asarray(list(common), dtype=np.uint64))
-    p0 = root(w)
-    p1, loo1, count = _state(w1, w, train, p0, p0, ~is_common)
-    p2, _, _ = _state(mix(w1 * _U(0xD1342543DE82EF95) + w2, 22), w, train, p1, loo1, np.ones(len(w), dtype=bool))
+    p1, loo1, count = _state(w1, w, train, p0, p0, ~(is_common | opening))
+    p2, _, _ = _state(mix(w1 * _U(0xD1342543DE82EF95) + w2, 22), w, train, p1, loo1, ~opening)
+    count = np.where(opening, 0, count)
     if is_common.any():
-        count = count.copy()
         keys = np.asarray(sorted(common), dtype=np.uint64)
         values = np.asarray([common[int(k)] for k in keys], dtype=np.float64)
         count[is_common] = values[np.searchsorted(keys, w1[is_common])]
@@ -203,12 +190,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     often = counts.filter(F.col("n") * COMMON >= n_all).select("w", "c").collect()  # at most COMMON rows
     common = {r["w"] & (2**64 - 1): r["c"] for r in often}
     buckets = max(1, -(-n_all // TOKENS_A_BUCKET))
-    shared = spark.sparkContext.broadcast((build_root(counts), common))
+    shared = spark.sparkContext.broadcast(common)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (levels, total), frequent = shared.value
-        root = Root(levels, total)
-        often = np.asarray(list(frequent), dtype=np.uint64)
+        often = np.asarray(list(shared.value), dtype=np.uint64)
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_batches(batches)):
             batch = part * 10**6 + number
@@ -216,40 +201,38 @@ def score_documents(docs: DataFrame) -> DataFrame:
             train = ~held_out(ids)
             opening = starts[:-1]
             known_ids = np.asarray([i is not None for i in ids], dtype="<u1")
-            head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"), np.log10(root(w[opening])))
+            head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"))
             yield pd.DataFrame({"batch": [batch], "bucket": [batch % buckets], "head": [True], "data": [head]})
-            at = np.ones(len(w), dtype=bool)
-            at[opening] = False
-            at = np.flatnonzero(at)
-            doc = np.repeat(np.arange(len(ids)), np.diff(starts))[at]
-            w1 = w[at - 1]
-            w2 = np.where(at - 1 == opening[doc], START, w[np.maximum(at - 2, 0)])
+            at = np.arange(len(w))
+            doc = np.repeat(np.arange(len(ids)), np.diff(starts))
+            since = at - opening[doc]
+            w1 = np.where(since == 0, OPENING, w[at - 1])
+            w2 = np.where(since <= 1, START, w[np.maximum(at - 2, 0)])
             key = np.where(np.isin(w1, often), mix(w1 * _U(3) + w2, 31), mix(w1, 32))
-            bucket = (key % _U(buckets)).astype(np.int64)
+            bucket = np.where(since == 0, batch % buckets, (key % _U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     o = order[cuts[b] : cuts[b + 1]]
-                    data = block_of(w2[o], w1[o], w[at[o]], doc[o], train)
+                    data = block_of(w2[o], w1[o], w[o], doc[o], train)
                     yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [data]})
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (levels, total), frequent = shared.value
-        root = Root(levels, total)
+    def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         sources: list[int] = []
         held: list[tuple[np.ndarray, ...]] = []
-        for pdf in batches:
-            if pdf["head"].any():
-                yield pdf.loc[pdf["head"], ["batch", "head", "data"]]
-            for batch, data in pdf.loc[~pdf["head"], ["batch", "data"]].itertuples(index=False):
-                w2, w1, w, doc, train = read_block(data)
-                sources.append(batch)
-                held.append((w2, w1, w, doc, train[doc].astype(bool)))
+        for batch, data in pdf.loc[~pdf["head"], ["batch", "data"]].itertuples(index=False):
+            w2, w1, w, doc, train = read_block(data)
+            sources.append(batch)
+            held.append((w2, w1, w, doc, train[doc].astype(bool)))
+        out = [pdf.loc[pdf["head"], ["batch", "head", "data"]]]
         if not held:
-            return
+            return out[0]
         w2, w1, w, _, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        lp, count = score_bucket(w2, w1, w, train, root, frequent)
+        words, c = known["w"].to_numpy().view(np.uint64), known["c"].to_numpy()
+        order = np.argsort(words)
+        p0 = (c[order][np.searchsorted(words[order], w)] + 1.0) / (n_train + n_words + 1.0)
+        lp, count = score_bucket(w2, w1, w, train, p0, shared.value)
         at = 0
         for batch, (*_, doc, _) in zip(sources, held, strict=True):
             span = slice(at, at + len(doc))
@@ -257,11 +240,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
             own, i = np.unique(doc, return_inverse=True)
             sums = [np.bincount(i, weights=x) for x in (lp[span], np.log10(count[span] + 1), count[span] > 0)]
             data = _squeeze(_narrow(own), sums[0].astype("<f8"), sums[1].astype("<f8"), _narrow(sums[2].astype(np.int64)))
-            yield pd.DataFrame({"batch": [batch], "head": [False], "data": [data]})
+            out.append(pd.DataFrame({"batch": [batch], "head": [False], "data": [data]}))
+        return pd.concat(out, ignore_index=True)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, known_ids, n, score_ = _spread(pdf.loc[pdf["head"], "data"].iloc[0])
-        score_, base, known = score_.copy(), np.full(len(ids), np.log10(ends + 1.0)), np.full(len(ids), int(ends > 0))
+        ids, known_ids, n = _spread(pdf.loc[pdf["head"], "data"].iloc[0])
+        score_, base, known = np.zeros(len(ids)), np.full(len(ids), np.log10(ends + 1.0)), np.full(len(ids), int(ends > 0))
         for data in pdf.loc[~pdf["head"], "data"]:
             own, lp, logs, seen = _spread(data)
             score_[own] += lp
@@ -280,7 +264,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
             }
         )
 
-    dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartitionById(buckets, F.col("bucket"))
-    sums = dealt.mapInPandas(score, "batch long, head boolean, data binary")
+    # dealt is shuffled once: the plan reuses its exchange for the words that buckets ask for
+    dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartition(buckets, "bucket")
+    unigrams = dealt.mapInPandas(wanted, "bucket int, w long").join(counts.select("w", "c"), "w").select("bucket", "w", "c")
+    sums = dealt.groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(combine, schema)

@@ -74,3 +74,10 @@ def test_blocks_keep_words_whole():
     w1 = np.full(4, 5, dtype=np.uint64)
     got = lm.read_block(lm.block_of(w2, w1, w, np.arange(4), np.ones(4, dtype=bool)))
     assert sorted(zip(*(x.tolist() for x in got[:4]), strict=True)) == sorted(zip(w2.tolist(), w1.tolist(), w.tolist(), range(4), strict=True))
+
+
+def test_root_counts_are_exact(spark):
+    # nothing is kept of a document without words but the chance of its end token, which has no context
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(40)) for i in range(200)] + [""] * 37
+    rows = [r for r in lm.score_documents(table(spark, texts)).collect() if r["n_tokens"] == 1]
+    assert len(rows) == 37 and all(abs(r["score"] - r["base_score"]) < 1e-9 for r in rows)

@@ -7,8 +7,9 @@ different words seen after it, down to the root; a word is scored by its longest
 
 No model is brought to one place. A word and what may follow it belong to the bucket of the last context word, so a
 subtree of the suffix tree is counted, pruned and used for scoring inside one bucket, and only sums per document leave
-it. Contexts that end in a very common word (1 in ``COMMON`` or more; there are at most so many of them) start at two
-words and are dealt by both. Batches of documents send a bucket its words in one compressed block each.
+it.Contexts that end in a very common word (1 in ``COMMON`` or more; there are at most so many of them) are
+dealt by both words: the next words of such a word alone are counted in a table of their own, the same test is put to it,
+and buckets get the counts that they need joined. Batches of documents send a bucket its words in one compressed block each.
 
 The root is a smoothed unigram distribution over the training vocabulary: a bucket asks for the counts of the words that
 follow in it, and these are joined from the table of all words. Words that were not seen count one, as in the base score.
@@ -88,6 +89,36 @@ def _planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
+def common_pairs(rows: DataFrame, common: list[int]) -> DataFrame:
+    """(v, w, c): how often ``w`` follows the common word ``v`` in training documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = np.asarray(sorted(common), dtype=np.uint64)
+        for ids, texts in _batches(batches):
+            w, starts = tokens(texts)
+            at = np.repeat(~held_out(ids), np.diff(starts))
+            at[starts[:-1]] = False
+            at = np.flatnonzero(at)
+            at = at[np.isin(w[at - 1], often)]
+            words, i = np.unique(w[at], return_inverse=True)
+            found, c = np.unique(np.searchsorted(often, w[at - 1]) * max(len(words), 1) + i, return_counts=True)
+            v, i = np.divmod(found, max(len(words), 1))
+            yield pd.DataFrame({"v": often[v].view(np.int64), "w": words[i].view(np.int64), "c": c.astype(np.int64)})
+
+    return rows.mapInPandas(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+
+
+def common_states(pairs: DataFrame, counts: DataFrame, total: float) -> dict[int, tuple[float, float]]:
+    """The common words whose state is kept, with how many words follow each and how many different ones."""
+    sums = pairs.groupBy("v").agg(F.sum("c").alias("many"), F.count("*").alias("kinds"))  # at most COMMON rows
+    each = pairs.join(counts.select("w", ((F.col("c") + 1.0) / total).alias("p0")), "w").join(F.broadcast(sums), "v")
+    t = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
+    loo = ((F.col("c") - 1) + t * F.col("p0")) / F.greatest(F.col("many") - 1 + t, F.lit(1))
+    gain = F.col("c") * (F.log(F.greatest(loo, F.lit(1e-300))) - F.log("p0"))
+    kept = each.groupBy("v", "many", "kinds").agg(F.sum(gain).alias("gain")).filter((F.col("gain") > MARGIN) & (F.col("many") >= 2))
+    return {r["v"] & (2**64 - 1): (float(r["many"]), float(r["kinds"])) for r in kept.collect()}
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     head = np.asarray([len(arrays), *[len(a) for a in arrays]], dtype="<i8").tobytes()
     kinds = "".join(a.dtype.str[1:] for a in arrays).encode()
@@ -131,18 +162,30 @@ def read_block(data: bytes) -> tuple[np.ndarray, ...]:
     return own[w2], np.repeat(words, runs), own[w], doc.astype(np.int64), np.unpackbits(train)
 
 
-def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(bucket, w): the different words that follow in each bucket."""
+def wanted(batches: Iterator[pd.DataFrame], kept: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(bucket, v, w): the different words that follow in each bucket (``v`` is 0), and those that follow a word of ``kept``."""
     found: dict[int, list[np.ndarray]] = {}
     for pdf in batches:
         for bucket, data in pdf.loc[~pdf["head"], ["bucket", "data"]].itertuples(index=False):
-            _, _, own, _, w, *_ = _spread(data)
-            found.setdefault(bucket, []).append(own[np.unique(w)])
+            _, w1, w, *_ = read_block(data)
+            here = np.isin(w1, kept)
+            words, i = np.unique(w, return_inverse=True)
+            pairs = np.unique(np.searchsorted(kept, w1[here]) * len(words) + i[here])
+            v, i = np.divmod(pairs, len(words))
+            both = np.stack((np.concatenate((np.zeros(len(words), dtype=np.uint64), kept[v])), np.concatenate((words, words[i]))))
+            found.setdefault(bucket, []).append(both)
             if len(found[bucket]) == 16:
-                found[bucket] = [np.unique(np.concatenate(found[bucket]))]
+                found[bucket] = [_distinct(np.concatenate(found[bucket], axis=1))]
     for bucket, parts in found.items():
-        w = np.unique(np.concatenate(parts))
-        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "w": w.view(np.int64)})
+        v, w = _distinct(np.concatenate(parts, axis=1))
+        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "v": v.view(np.int64), "w": w.view(np.int64)})
+
+
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    columns = columns[:, np.lexsort(columns)]
+    first = np.ones(columns.shape[1], dtype=bool)
+    first[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    return np.ascontiguousarray(columns[:, first])
 
 
 def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.ndarray, parent_loo: np.ndarray, allowed: np.ndarray):
@@ -164,11 +207,24 @@ def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.nda
     return chance, np.where(use & (n[p] > 0), loo[p], parent_loo), many[c]
 
 
-def score_bucket(w2, w1, w, train, p0: np.ndarray, common: dict[int, int]):
-    """(log10 of each row's word's chance, count of its context word in training); ``p0`` are the rows' unigram chances."""
+def score_bucket(w2, w1, w, train, p0: np.ndarray, common: dict[int, int], states: dict[int, tuple[float, float]], c1: np.ndarray):
+    """(log10 of each row's word's chance, count of its context word in training).
+
+    ``p0`` are the rows' unigram chances, ``states`` those of common words and ``c1`` the count of a row's word after its
+    context word where that has one.
+    """
     opening = w1 == OPENING
     is_common = np.isin(w1, np.asarray(list(common), dtype=np.uint64))
     p1, loo1, count = _state(w1, w, train, p0, p0, ~(is_common | opening))
+    kept = np.asarray(sorted(states), dtype=np.uint64)
+    here = np.isin(w1, kept)
+    if here.any():
+        many, kinds = np.asarray([states[int(k)] for k in kept])[np.searchsorted(kept, w1[here])].T
+        n, root = c1[here], p0[here]
+        p1[here] = (n + kinds * root) / (many + kinds)
+        t = kinds - (n == 1)
+        loo1 = loo1.copy()
+        loo1[here] = np.where(n > 0, ((n - 1) + t * root) / np.maximum(many - 1 + t, 1), root)
     p2, _, _ = _state(mix(w1 * _U(0xD1342543DE82EF95) + w2, 22), w, train, p1, loo1, ~opening)
     count = np.where(opening, 0, count)
     if is_common.any():
@@ -190,10 +246,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     often = counts.filter(F.col("n") * COMMON >= n_all).select("w", "c").collect()  # at most COMMON rows
     common = {r["w"] & (2**64 - 1): r["c"] for r in often}
     buckets = max(1, -(-n_all // TOKENS_A_BUCKET))
-    shared = spark.sparkContext.broadcast(common)
+    total = n_train + n_words + 1.0
+    pairs = stored(common_pairs(rows, list(common)), "pairs")
+    states = common_states(pairs, counts, total)
+    shared = spark.sparkContext.broadcast((common, states))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = np.asarray(list(shared.value), dtype=np.uint64)
+        often = np.asarray(list(shared.value[0]), dtype=np.uint64)
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_batches(batches)):
             batch = part * 10**6 + number
@@ -229,10 +288,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if not held:
             return out[0]
         w2, w1, w, _, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        words, c = known["w"].to_numpy().view(np.uint64), known["c"].to_numpy()
-        order = np.argsort(words)
-        p0 = (c[order][np.searchsorted(words[order], w)] + 1.0) / (n_train + n_words + 1.0)
-        lp, count = score_bucket(w2, w1, w, train, p0, shared.value)
+        v, words, c = (known[x].to_numpy() for x in ("v", "w", "c"))
+        v, words, single = v.view(np.uint64), words.view(np.uint64), v == 0
+        order = np.argsort(words[single])
+        own = words[single][order]
+        place = np.searchsorted(own, w)
+        p0 = (c[single][order][place] + 1.0) / total
+        frequent, kept_states = shared.value
+        kept = np.asarray(sorted(kept_states), dtype=np.uint64)
+        c1 = np.zeros(len(w))
+        if not single.all():
+            pair = np.searchsorted(kept, v[~single]) * len(own) + np.searchsorted(own, words[~single])
+            order = np.argsort(pair)
+            here = np.flatnonzero(np.isin(w1, kept))
+            of = np.searchsorted(kept, w1[here]) * len(own) + place[here]
+            i = np.minimum(np.searchsorted(pair[order], of), len(pair) - 1)
+            c1[here] = np.where(pair[order][i] == of, c[~single][order][i], 0)
+        lp, count = score_bucket(w2, w1, w, train, p0, frequent, kept_states, c1)
         at = 0
         for batch, (*_, doc, _) in zip(sources, held, strict=True):
             span = slice(at, at + len(doc))
@@ -266,7 +338,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     # dealt is shuffled once: the plan reuses its exchange for the words that buckets ask for
     dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartition(buckets, "bucket")
-    unigrams = dealt.mapInPandas(wanted, "bucket int, w long").join(counts.select("w", "c"), "w").select("bucket", "w", "c")
-    sums = dealt.groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
+    ask = lambda batches: wanted(batches, np.asarray(sorted(shared.value[1]), dtype=np.uint64))
+    supply = counts.select(F.lit(0).cast("long").alias("v"), "w", "c").unionByName(pairs)
+    known = dealt.mapInPandas(ask, "bucket int, v long, w long").join(supply, ["v", "w"]).select("bucket", "v", "w", "c")
+    sums = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(combine, schema)

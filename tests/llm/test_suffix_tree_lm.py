@@ -81,3 +81,51 @@ def test_root_counts_are_exact(spark):
     texts = [" ".join(f"w{i * 7 + j}" for j in range(40)) for i in range(200)] + [""] * 37
     rows = [r for r in lm.score_documents(table(spark, texts)).collect() if r["n_tokens"] == 1]
     assert len(rows) == 37 and all(abs(r["score"] - r["base_score"]) < 1e-9 for r in rows)
+
+
+def scores(rows):
+    """Every score of the model, from its definition."""
+    out_of = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    docs = [(d, ["<s>", *words(t)]) for d, t in rows]
+    uni, after = Counter(), {}
+    for d, ws in docs:
+        for i in range(1, len(ws)) if not out_of(d) else ():
+            uni[ws[i]] += 1
+            for k in (1, 2) if i > 1 else ():
+                after.setdefault(tuple(ws[i - k : i]), Counter())[ws[i]] += 1
+    total = sum(uni.values()) + len(uni) + 1
+    chance = {}
+
+    def at(context, w):
+        """In use, leave-one-out"""
+        if (context, w) in chance:
+            return chance[context, w]
+        if not context:
+            return ((uni[w] + 1) / total,) * 2
+        seen = after.get(context, Counter())
+        many, kinds = sum(seen.values()), len(seen)
+
+        def loo(x):
+            t = kinds - (seen[x] == 1)
+            return ((seen[x] - 1) + t * at(context[1:], x)[1]) / max(many - 1 + t, 1)
+
+        if context not in kept:
+            gain = sum(n * (math.log(max(loo(x), 1e-300)) - math.log(at(context[1:], x)[1])) for x, n in seen.items())
+            kept[context] = gain > lm.MARGIN and many >= 2
+        use, parent = at(context[1:], w)
+        if kept[context]:
+            use, parent = (seen[w] + kinds * use) / (many + kinds), loo(w) if seen[w] else parent
+        chance[context, w] = use, parent
+        return chance[context, w]
+
+    kept = {}
+    return {d: sum(math.log10(at(tuple(ws[max(i - 2, 0) : i]) if i > 1 else (), ws[i])[0]) for i in range(1, len(ws))) for d, ws in docs}
+
+
+@pytest.mark.parametrize("tokens_a_bucket", [1_500_000, 2_000])
+def test_scores_against_definition(spark, monkeypatch, tokens_a_bucket):
+    monkeypatch.setattr(lm, "TOKENS_A_BUCKET", tokens_a_bucket)
+    docs = table(spark, corpus())
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    want = scores([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6

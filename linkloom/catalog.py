@@ -100,6 +100,13 @@ def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("word", text.normalize_name(F.col("word")).alias("norm"))
 
 
+@query()
+def normalize_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of all documents, whatever their letters; SQL folds some of them otherwise, the tests compare by hand."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", text.normalize_name(F.col("word")).alias("norm"))
+
+
 @query()
 def name_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The larger of Jaccard and Jaro-Winkler; half transpositions have no counterpart in SQL, the tests compare by hand."""

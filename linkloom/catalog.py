@@ -270,11 +270,17 @@ SELECT c_custkey, coalesce(k.n_regionkey::BIGINT, c_custkey % 5) AS target, CASE
 FROM customer LEFT JOIN k ON c_nationkey = n_nationkey"""
 )
 def known_map_then_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("target"))
-    customers = table(spark, sf_dir, "customer")
-    sure = customers.join(known, "c_nationkey").select("c_custkey", "target", F.lit("LEAGUE_KNOWN").alias("rule"))
-    rest = customers.join(known, "c_nationkey", "left_anti").select("c_custkey", (F.col("c_custkey") % 5).alias("target"), F.lit("LEAGUE_NAME_HI").alias("rule"))
-    return sure.unionByName(rest)
+    """Customers are leagues of five names, which are also the candidates; nations divisible by three are the known map."""
+    names = ["Alpha", "Bravo", "Charlie", "Delta", "Echo"]
+    customers = table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("string")).withColumn("sport", F.lit("football"))
+    nations = table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("string").alias("competition_id"))
+    known = customers.join(nations, "c_nationkey").select("sport", "id", "competition_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = customers.select("id", "sport", name.alias("name"), F.lit("").alias("category_name"))
+    candidates = spark.createDataFrame([(str(i), n, "football", "", i) for i, n in enumerate(names)], "competition_id string, competition_name string, sport string, country string, candidate_seq int")
+    index = spark.createDataFrame([], "alias_norm string, canonical string")
+    found = leagues.match_leagues(rows, candidates, index, known)
+    return found.select(F.col("id").cast("long").alias("c_custkey"), F.col("competition_id").cast("long").alias("target"), "rule")
 
 
 @query("SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5")
@@ -364,6 +370,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", F.col("vec_id").alias("id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors, whatever their label, of every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    found = blocking.dense_top_k(e.filter("id % 20 = 0"), e, 5)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest([p_name[i:i+2] FOR i IN range(1, len(p_name) - 1)]) AS gram FROM n),
 h AS (SELECT p_name, ((xor((((xor(((xor(197, ord(gram[1])) * 147) & 255), ord(gram[2]))) * 147) & 255), ord(gram[3])) * 147) & 255)::INT AS bucket FROM g),
@@ -386,10 +400,8 @@ SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     e = blocking.encode(names, "p_name", "p_name")
-    pairs = e.toDF("query_id", "bucket", "weight").join(e.toDF("id", "bucket", "_w"), "bucket")
-    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+    found = blocking.top_k(e.toDF("query_id", "bucket", "weight"), e.toDF("id", "bucket", "weight"), [], 10, digits=6)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # --- scans and state ---------------------------------------------------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +56,63 @@ def encode(entities: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tf.select(id_col, "bucket", (F.col("tf") / norm).alias("weight"))
 
 
-def top_k(queries: DataFrame, entities: DataFrame, block: list[str], k: int = 10) -> DataFrame:
+def top_k(queries: DataFrame, entities: DataFrame, block: list[str], k: int = 10, digits: int | None = None) -> DataFrame:
     """The k nearest entities of each query inside its block, by cosine of the sparse encodings; exact.
 
     ``queries`` has (block..., query_id, bucket, weight) and ``entities`` (block..., id, bucket, weight). Products are
-    summed per pair that shares a bucket; ties go to the smaller id.
+    summed per pair that shares a bucket, and rounded to ``digits`` if given; ties go to the smaller id.
     """
     pairs = queries.join(entities.withColumnRenamed("weight", "_w"), [*block, "bucket"])
-    scored = pairs.groupBy(*block, "query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    score = F.sum(F.col("weight") * F.col("_w"))
+    scored = pairs.groupBy(*block, "query_id", "id").agg((score if digits is None else F.round(score, digits)).alias("score"))
     w = Window.partitionBy(*block, "query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _packed(vectors: DataFrame, prefix: str) -> DataFrame:
+    """Rows of up to an Arrow batch of (id, x) each: the ids, and the vectors at unit length; those without a length fall away."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["x"].map(len)):
+                x = np.stack(part["x"].to_numpy()).astype(np.float64)
+                n = np.sqrt((x * x).sum(axis=1))
+                ok = n > 0
+                if ok.any():
+                    x = x[ok] / n[ok, None]
+                    yield pd.DataFrame({f"{prefix}_width": [x.shape[1]], f"{prefix}_ids": [part["id"].to_numpy()[ok]], f"{prefix}_x": [x.tobytes()]})
+
+    return vectors.filter("size(x) > 0").mapInPandas(run, f"{prefix}_width int, {prefix}_ids array<bigint>, {prefix}_x binary")
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest of all ``vectors`` of each query but itself, by rounded cosine; exact.
+
+    Both have (id, x). Each block of queries meets each block of vectors and keeps its k nearest there; the final k come
+    from these. Ties go to the smaller id.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf[pdf["q_width"] == pdf["v_width"]].itertuples(index=False):
+                q = np.frombuffer(r.q_x).reshape(-1, r.q_width)
+                ids = np.asarray(r.v_ids)
+                order = np.argsort(ids, kind="stable")
+                x, ids = np.frombuffer(r.v_x).reshape(-1, r.v_width)[order], ids[order]
+                out = []
+                for query, row in zip(r.q_ids, q, strict=True):
+                    score = np.round(x @ row, digits)
+                    score[ids == query] = -np.inf
+                    best = np.argsort(-score, kind="stable")[:k]
+                    best = best[np.isfinite(score[best])]
+                    out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": score[best]}))
+                yield pd.concat(out)
+
+    met = _packed(queries, "q").crossJoin(_packed(vectors, "v"))
+    near = met.mapInPandas(run, "query_id bigint, id bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def event_text(home: Column, away: Column) -> Column:
     return F.concat_ws(" vs ", home, away)

@@ -1,6 +1,10 @@
+import random
 import unicodedata
 
+import numpy as np
+
 from linkloom import catalog
+from linkloom.operators import blocking, leagues
 
 
 def test_all_names(spark, tmp_path):
@@ -13,3 +17,29 @@ def test_all_names(spark, tmp_path):
         return " ".join("".join(" " if c in "·.-_," else c for c in folded if c not in "'\"").split())
 
     assert got == {w: norm(w) for t in texts for w in (t or "").split()}
+
+
+def test_nearest_of_all_labels(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 7) for i in range(300)]
+    rows += [(300 + i, rows[i][1], 9) for i in range(0, 100, 10)] + [(400, [0.0] * 4, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in catalog.QUERIES["dense_topk_all"](spark, str(tmp_path)).collect())
+    x = {i: np.asarray(v, dtype=np.float32).astype(float) for i, v, _ in rows if any(v)}
+    x = {i: v / np.sqrt((v * v).sum()) for i, v in x.items()}
+    want = []
+    for q in (i for i in x if i % 20 == 0):
+        near = sorted((-round(float(x[q] @ v), 5), i) for i, v in x.items() if i != q)[:5]
+        want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
+def test_queries_call_their_operators(spark, monkeypatch):
+    called = []
+    for module, name in ((blocking, "top_k"), (leagues, "match_leagues")):
+        operator = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _f=operator, _n=name, **b: called.append(_n) or _f(*a, **b))
+    folder = "/root/testdata/sf0.001"
+    catalog.QUERIES["trigram_topk"](spark, folder)
+    catalog.QUERIES["known_map_then_score"](spark, folder)
+    assert called == ["top_k", "match_leagues"]

@@ -21,9 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``); a temporary one where a local session leaves it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,14 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs one read, not a recomputation. The folder is removed when the
-    driver's interpreter ends.
+    This cuts the lineage: a lost executor costs one read, not a recomputation. The folder is removed by
+    :func:`release`, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that no later plan reads."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,6 +60,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: A key is hot when it holds more than one in HOT_SHARE of all rows, so fewer than HOT_SHARE keys are, whatever the table.
+HOT_SHARE = 65_536
+#: Keys with fewer rows than this are not worth another route.
+HOT_ROWS = 20_000
+
+
+def is_hot(n: str, total: int) -> Column:
+    return (F.col(n) > HOT_ROWS) & (F.col(n) * HOT_SHARE > total)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row per key; ``n`` counts the key's rows in ``rows``, ``total`` is all rows).
+
+    Hot keys, fewer than ``HOT_SHARE`` by definition, are joined by broadcast where their rows are; the others meet in a
+    shuffle in which no key has many rows. Both inputs are read twice and should be stored tables.
+    """
+    hot = per_key.filter(is_hot(n, total)).drop(n)
+    others = per_key.filter(~is_hot(n, total)).drop(n)
+    if hot.isEmpty():
+        return rows.join(others, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

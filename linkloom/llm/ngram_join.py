@@ -1,15 +1,20 @@
 """N-gram Jaccard join by a blocked product of the sparse document by n-gram incidence matrix.
 
-The columns (n-grams, hashed) are cut into blocks. Two documents of similarity ``num/den`` or more differ in at most
-``s = (den - num) / (den + num) * (size + size)`` columns, so of more than ``s`` blocks at least one is alike in both:
-the sizes give the number of blocks, and only documents with an equal block (not an empty one) can link. Candidates'
-overlaps are then accumulated block by block, and a pair is dropped as soon as what is left cannot reach the size-derived
-bound; what remains is decided on the full sets.
-
-Documents with equal sets are one class and are compared once. Within a block that many documents share, each is first
-compared with the smallest only; what that links is a component, and only pairs between different components are
-compared after that (by the rare n-grams that they share), so that a large group of near copies costs a multiple of its
-size, and no link between components is lost.
+Columns are hashed n-grams. What decides is the product of the matrix with its transpose, made one block of columns at a
+time: the documents' rows in a block meet, a pair's overlap in it is added to what it has, and a pair is dropped as soon
+as its count and what the blocks left can add at most stay below the bound that follows from the two sizes. The product
+is made for pairs that can still reach their bound, found in three steps, none of which loses a link:
+
+* Columns are hashed into blocks, more of them than two linked documents can differ in (at most ``(den - num) /
+  (den + num)`` of both sizes), so linked documents are alike in a block that is not empty. In a block that many share,
+  each is paired with the smallest only.
+* A pair is dropped where the sizes of its rows in fine blocks of columns, summed up as the smaller of the two, stay
+  below its bound. Only these counts are shuffled, no texts or n-grams.
+* What the product links is a component. Documents whose blocks hold several components are paired across them by their
+  rare n-grams, again with the bound that follows from sizes and places.
+
+Documents with equal sets are one class and are compared once, and a large group of near copies costs a multiple of its
+size. Blocks and columns that very many documents share are salted, hubs are cut into tiles.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a null id is a
 document like any other whose component is named by the ids in it (null if there are none); rows that repeat an id and
@@ -21,19 +26,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_row, with_key
+from .common import HOT_SHARE, join_hot, release, stored, whole_row, with_key
 from .graph import components
 from .shingles import mix, shingle_sets, sliced
 
 #: Size classes grow by this factor; each has its own number of blocks.
 RATIO = 1.5
+#: Blocks of columns that the product is made in, by the first bits of the hash; it drops pairs after each of ROUNDS.
+PARTS = 8
+ROUNDS = ((0, 4), (4, 8))
+#: Members of a hub that meet it in one tile, and documents of a column that meet in one task.
+TILE = 4096
+#: One document in SAMPLE is asked which blocks very many share. This settles routes only, never a result.
+SAMPLE = 64
+SALTS = 256
 
 
 @cache
@@ -79,8 +91,8 @@ def classes_of(size: int, num: int, den: int) -> list[int]:
 def block_keys(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     """The hashed contents of each document's non-empty blocks.
 
-    A document with more empty blocks than are spared also gets a key for each three of them: a partner that is alike in
-    empty blocks alone shares at least so many.
+    A document with more empty blocks than are spared may be alike to a partner in empty blocks alone. Such a partner
+    has as many; both also get their first n-grams as keys, so many that linked documents share one.
     """
     out: list[list[np.ndarray]] = [[] for _ in sets]
     jobs = [(i, c, *blocks(c, num, den)) for i, s in enumerate(sets) if len(s) for c in classes_of(len(s), num, den)]
@@ -100,30 +112,32 @@ def block_keys(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     kind = np.asarray([c for _, c, *_ in jobs], dtype=np.uint64)
     keys = mix(sums + mix(kind[owner] * np.uint64(1 << 32) + (full - first[owner]).astype(np.uint64), 4), 5)
     ends = np.searchsorted(full, first)
-    for j, (i, c, n, spare) in enumerate(jobs):
+    for j, (i, _, n, spare) in enumerate(jobs):
         s, e = int(ends[j]), int(ends[j + 1])
         out[i].append(keys[s:e])
         if n - (e - s) > spare:
-            bare = np.setdiff1d(np.arange(n), full[s:e] - first[j]).tolist()
-            codes = [c * 10**15 + (x * 10**5 + y) * 10**5 + z for x, y, z in combinations(bare, 3)]
-            out[i].append(mix(np.asarray(codes, dtype=np.uint64), 6))
+            size = len(sets[i])
+            out[i].append(mix(sets[i][: size - -(-size * num // den) + 1], 6))
     return [np.concatenate(o) if o else np.zeros(0, dtype=np.uint64) for o in out]
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int, cuts: int = 8) -> bool:
-    """Whether two sorted sets reach the similarity; the overlap is accumulated over blocks of columns."""
-    need = -(-num * (len(a) + len(b)) // (num + den))  # overlap of a linked pair: num / (num + den) of both sizes or more
-    if min(len(a), len(b)) < need or not need:
-        return False
-    marks = np.asarray([(i << 64) // cuts for i in range(1, cuts)], dtype=np.uint64)
-    at, bt = np.append(np.searchsorted(a, marks), len(a)), np.append(np.searchsorted(b, marks), len(b))
-    overlap = s = t = 0
-    for e, f in zip(at.tolist(), bt.tolist(), strict=True):
-        overlap += len(np.intersect1d(a[s:e], b[t:f], assume_unique=True))
-        s, t = e, f
-        if overlap + min(len(a) - s, len(b) - t) < need:
-            return False
-    return den * overlap >= num * (len(a) + len(b) - overlap)
+def profile(grams: np.ndarray) -> np.ndarray:
+    """How many of a sorted set's n-grams fall into each of a power of two of blocks of columns, about four in one."""
+    bits = max(3, math.ceil(math.log2(max(len(grams), 1) / 4)))
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+
+
+def room(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that two profiles can have in common in each of ``PARTS`` blocks."""
+    while len(x) != len(y):
+        longer, shorter = (x, y) if len(x) > len(y) else (y, x)
+        x, y = longer.reshape(-1, 2).sum(axis=1), shorter
+    return np.minimum(x, y).reshape(PARTS, -1).sum(axis=1)
+
+
+def needed(na, nb, num: int, den: int):
+    """The overlap from which two sizes link."""
+    return -(-num * (na + nb) // (num + den))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -135,7 +149,7 @@ def _node() -> Column:
 
 
 def set_rows(keyed: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n, s1, s2) of each document: the size and a 128-bit signature of its set."""
+    """(doc_id, node, n, s1, s2, profile) of each document: size, 128-bit signature and block sizes of its set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -143,13 +157,14 @@ def set_rows(keyed: DataFrame, k: int) -> DataFrame:
             for s, e in sliced(texts):
                 sets = shingle_sets(texts[s:e], k)
                 sums = [[int(np.add.reduce(mix(x, seed)).astype(np.int64)) for x in sets] for seed in (7, 8)]
-                yield pdf.iloc[s:e][["doc_id", "node"]].assign(n=[len(x) for x in sets], s1=sums[0], s2=sums[1])
+                out = pdf.iloc[s:e][["doc_id", "node"]]
+                yield out.assign(n=[len(x) for x in sets], s1=sums[0], s2=sums[1], profile=[profile(x).tobytes() for x in sets])
 
-    return keyed.mapInPandas(run, "doc_id long, node long, n long, s1 long, s2 long")
+    return keyed.mapInPandas(run, "doc_id long, node long, n long, s1 long, s2 long, profile binary")
 
 
 def key_rows(keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, keys) of each document."""
+    """(node, key) of each document's blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -158,42 +173,97 @@ def key_rows(keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keys = block_keys(shingle_sets(texts[s:e], k), num, den)
                 yield pd.DataFrame({"node": pdf["node"].iloc[s:e], "keys": [x.view(np.int64) for x in keys]})
 
-    return keyed.select("node", "text").mapInPandas(run, "node long, keys array<long>")
+    return keyed.select("node", "text").mapInPandas(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    texts = keyed.select("node", "text")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def incidence(texts: DataFrame, k: int) -> DataFrame:
+    """(node, part, grams): each document's row of the matrix, cut into ``PARTS`` blocks of columns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = np.asarray([(i << 64) // PARTS for i in range(1, PARTS)], dtype=np.uint64)
         for pdf in batches:
-            both = pdf["text_a"].tolist() + pdf["text_b"].tolist()
-            at = {t: i for i, t in enumerate(dict.fromkeys(both))}
-            sets: list[np.ndarray] = []
-            different = list(at)
-            for s, e in sliced(different):
-                sets += shingle_sets(different[s:e], k)
-            ok = [linked(sets[at[x]], sets[at[y]], num, den) for x, y in zip(pdf["text_a"], pdf["text_b"], strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
+            texts = pdf["text"].tolist()
+            for s, e in sliced(texts):
+                cut = [np.split(x.view(np.int64), np.searchsorted(x, marks)) for x in shingle_sets(texts[s:e], k)]
+                nodes = np.repeat(pdf["node"].to_numpy()[s:e], PARTS)
+                yield pd.DataFrame({"node": nodes, "part": list(range(PARTS)) * (e - s), "grams": [x for c in cut for x in c]})
+
+    return texts.select("node", "text").mapInPandas(run, "node long, part int, grams array<long>")
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, need, late) of the pairs whose rows leave room for a link; ``late`` is the room in the second round."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            need = needed(pdf["na"].to_numpy(), pdf["nb"].to_numpy(), num, den)
+            fits = np.minimum(pdf["na"], pdf["nb"]).to_numpy() >= need
+            late = np.zeros(len(pdf), dtype=np.int64)
+            x, y = pdf["pa"].tolist(), pdf["pb"].tolist()
+            for i in np.flatnonzero(fits).tolist():
+                r = room(np.frombuffer(x[i], dtype="<u4"), np.frombuffer(y[i], dtype="<u4"))
+                fits[i], late[i] = r.sum() >= need[i], r[ROUNDS[1][0] :].sum()
+            yield pdf.loc[fits, ["a", "b"]].assign(need=need[fits], late=late[fits])
+
+    fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
+    hubs = stored(fan.join(reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a"), "hubs")
+    total = hubs.agg(F.sum("fan")).first()[0] or 0
+    members = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    return join_hot(pairs, hubs, "a", "fan", total).join(members, "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(run, "a long, b long, need long, late long")
+
+
+def product(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of a stored table that link, by overlaps added up block by block."""
+    left = stored(hopeful(pairs, reps, num, den).withColumn("c", F.lit(0).cast("long")), "hopeful")
+    most = left.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+    tile = F.pmod(F.xxhash64("b"), F.lit(max(1, math.ceil(most / TILE))))
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    rows = stored(incidence(keyed.join(nodes, "node", "left_semi"), k), "incidence")
+    for first, end in ROUNDS:
+        block = rows.filter((F.col("part") >= first) & (F.col("part") < end))
+        tiled = left.withColumn("tile", tile)
+        hubs = tiled.select("a", "tile").distinct().join(block, F.col("a") == F.col("node")).select("a", "tile", "part", F.col("grams").alias("ga"))
+        members = tiled.join(block, F.col("b") == F.col("node")).select("a", "tile", "part", "b", "need", "late", "c", F.col("grams").alias("gb"))
+        overlap = F.sum(F.size(F.array_intersect("ga", "gb")))
+        added = members.join(hubs, ["a", "tile", "part"]).groupBy("a", "b", "need", "late", "c").agg(overlap.alias("more"))
+        more = F.col("c") + F.col("more")
+        rest = F.lit(0) if end == PARTS else F.col("late")
+        left = stored(added.filter(more + rest >= F.col("need")).select("a", "b", "need", "late", more.alias("c")), "overlaps")
+    release(rows)
+    return left.select("a", "b")
+
+
+def _shared_blocks(keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, node, lead) of the blocks that several documents share; ``lead`` is the smallest document of the block or,
+    in a block that very many share, of the document's own part of it."""
+    asked = key_rows(keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0), k, num, den).groupBy("key").count().filter("count > 31")
+    asked = stored(asked, "asked")
+    total = asked.agg(F.sum("count")).first()[0] or 0
+    hot = asked.filter(F.col("count") * HOT_SHARE > total).select("key", F.lit(SALTS).alias("salts"))  # fewer than HOT_SHARE rows
+    entries = key_rows(keyed.join(reps.select("node"), "node", "left_semi"), k, num, den)
+    if not hot.isEmpty():
+        entries = entries.join(F.broadcast(hot), "key", "left")
+    else:
+        entries = entries.withColumn("salts", F.lit(None).cast("int"))
+    salted = entries.select("key", "node", F.coalesce(F.pmod(F.xxhash64("node"), "salts"), F.lit(-1)).cast("int").alias("salt"))
+    w = Window.partitionBy("key", "salt").orderBy("node")
+    found = salted.select("key", "node", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    return found.filter((F.col("salt") >= 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "lead", "salt")
 
 
 def near_classes(keyed: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, label) of the class representatives that link with others."""
-    reps = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node")).select("node")
-    keys = key_rows(keyed, k, num, den).join(reps, "node", "left_semi")
-    entries = keys.select("node", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key").orderBy("node")
-    shared = entries.select("key", "node", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
-    shared = stored(shared.filter(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "lead"), "blocks")
-    star = stored(shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = stored(_verified(star, keyed, k, num, den), "links")
+    reps = stored(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.first("profile").alias("profile")).select("node", "n", "profile"), "reps")
+    shared = stored(_shared_blocks(keyed, reps, k, num, den), "blocks")
+    parts = shared.filter("salt >= 0").select("key", "lead").distinct()  # at most SALTS for a block
+    chief = parts.groupBy("key").agg(F.min("lead").alias("a"))
+    star = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    star = stored(star.unionByName(parts.join(chief, "key").filter("a != lead").select("a", F.col("lead").alias("b"))).distinct(), "star")
+    links = product(star, keyed, reps, k, num, den)
     first = components(links)
-    more = stored(_verified(_across(keyed, shared, star, first, k, num, den), keyed, k, num, den), "links")
-    return components(links.unionByName(more))
+    across = stored(_across(keyed, shared, star, first, k, num, den), "across")
+    release(shared, star)
+    return components(links.unionByName(product(across, keyed, reps, k, num, den)))
 
 
 def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -201,11 +271,13 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
 
     Their n-grams are ordered by how many of these documents have them, rare ones first. A linked pair shares one of the
     first ``n - num / den * n + 1`` of both, so early that the overlap that is left can reach the bound. Documents of a
-    large group that are alike but not enough differ in rare n-grams first, and do not meet.
+    large group that are alike but not enough differ in rare n-grams first, and do not meet. Columns of one component
+    are left out, and only documents of like size meet in the others.
     """
-    held = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    some = stored(held.join(spread, "key", "left_semi").select("node", "label").distinct(), "mixed")
+    held = stored(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "held")
+    spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
+    spread = stored(spread.filter("low != high").select("key", "m"), "spread")
+    some = join_hot(held, spread, "key", "m", held.count()).select("node", "label").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -215,20 +287,28 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
                 rows = pdf.iloc[s:e][["node", "label"]]
                 yield rows.assign(n=[len(x) for x in sets], grams=[x.view(np.int64) for x in sets])
 
-    grams = keyed.select("node", "text").join(some, "node").select("node", "label", "text").mapInPandas(run, "node long, label long, n int, grams array<long>")
-    entries = grams.select("node", "label", "n", F.explode("grams").alias("gram"))
-    common = entries.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
+    mixed = keyed.select("node", "text").join(some, "node").select("node", "label", "text")
+    mixed = stored(mixed.mapInPandas(run, "node long, label long, n int, grams array<long>"), "mixed")
+    entries = mixed.select("node", "label", "n", F.explode("grams").alias("gram"))
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    often = stored(entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").withColumn("m", F.col("df")), "often")
+    common = join_hot(entries, often, "gram", "m", total)
     own = Window.partitionBy("node", "label", "n")
     # n-grams of one document only come first; they are counted, not kept
     place = (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram"))).cast("int")
     first = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     prefix = stored(common.withColumn("place", place).filter(F.col("place") <= first).select("gram", "node", "label", "n", "place"), "prefix")
-    a = prefix.toDF("gram", "a", "la", "na", "pa")
-    b = prefix.toDF("gram", "b", "lb", "nb", "pb")
-    left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    meet = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ((num + den) * left >= num * (F.col("na") + F.col("nb")))
-    pairs = a.join(b, (a["gram"] == b["gram"]) & meet).select("a", "b").distinct()
-    return stored(pairs.join(tried, ["a", "b"], "left_anti"), "across")
+    column = prefix.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low != high")
+    column = stored(column.select("gram", "m", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "columns")
+    active = join_hot(prefix, column, "gram", "m", prefix.count())
+    # a size class is a little wider than the sizes that a document links with, so partners are in its own or the next
+    of_size = F.floor(F.log("n") / math.log(1.001 * den / num)).cast("int")
+    a = active.select("gram", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.explode(F.array(of_size, of_size + 1)).alias("kind"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "place")])
+    b = active.select("gram", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), of_size.alias("kind"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "place")])
+    left = 1 + F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))
+    meet = F.expr("(n_a < n_b or n_a = n_b and node_a < node_b) and label_a != label_b") & ((num + den) * left >= num * F.expr("n_a + n_b"))
+    pairs = a.join(b, ["gram", "tile", "kind"]).filter(meet).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

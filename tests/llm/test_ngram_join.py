@@ -77,8 +77,10 @@ def test_similar_sets_share_a_block(num, k):
         for j in range(i):
             a, b = exact[i], exact[j]
             link = bool(a) and bool(b) and 100 * len(a & b) >= num * len(a | b)
-            if min(len(a), len(b)) * 100 >= num * max(len(a), len(b)) and a and b:
-                assert nj.linked(sets[i], sets[j], num, 100) == link
+            if a and b:
+                bound = nj.room(nj.profile(sets[i]), nj.profile(sets[j])).sum()
+                assert len(a & b) <= bound <= min(len(a), len(b))
+                assert link == (len(a & b) >= nj.needed(len(a), len(b), num, 100))
             if link and a != b:
                 links += 1
                 assert keys[i] & keys[j]
@@ -90,7 +92,7 @@ def test_short_of_full_blocks():
     for _ in range(300):
         base = rng.integers(0, 2**63, rng.integers(5, 40), dtype=np.uint64)
         a, b = np.unique(base), np.unique(np.append(base[: len(base) - len(base) // 12], rng.integers(0, 2**63, 1, dtype=np.uint64)))
-        if nj.linked(a, b, 80, 100):
+        if len(np.intersect1d(a, b)) >= nj.needed(len(a), len(b), 80, 100):
             x, y = nj.block_keys([a, b], 80, 100)
             assert set(x.tolist()) & set(y.tolist())
 
@@ -102,6 +104,38 @@ def test_components(spark, seed, num, k):
     assert got == brute(range(len(ts)), ts, k, num, 100)
 
 
+def test_blocks_that_are_empty_beyond_the_spared_ones():
+    # n-grams that all fall into a few blocks: two such documents still share a key
+    rng = np.random.Generator(np.random.PCG64(2))
+    pool = rng.integers(0, 2**63, 40_000, dtype=np.uint64)
+    n, spare = nj.blocks(nj.size_class(60), 80, 100)
+    few = pool[nj.mix(pool, 1) % np.uint64(n) < 3][:60]
+    a, b = np.unique(few), np.unique(np.append(few[:-4], pool[:2]))
+    assert n - 3 > spare and len(a) == 60
+    x, y = nj.block_keys([a, b], 80, 100)
+    assert set(x.tolist()) & set(y.tolist()) and len(x) < 60
+
+
+def test_hot_blocks_and_tiles(spark, monkeypatch):
+    """A group of near copies so large that its blocks are salted and its hub is cut into tiles."""
+    from linkloom.llm import common
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    ts = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(120)] = f"own{i}"
+        ts.append(" ".join(w))
+    ts += corpus(12, 60)
+    monkeypatch.setattr(nj, "SAMPLE", 1)
+    monkeypatch.setattr(nj, "SALTS", 3)
+    monkeypatch.setattr(nj, "TILE", 16)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.near_duplicates(table(spark, ts), 3, 90, 100).collect()), key=str)
+    assert got == brute(range(len(ts)), ts, 3, 90, 100)
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     rows = docs.collect()

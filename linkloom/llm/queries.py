@@ -54,8 +54,8 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.clean(documents(spark, sf_dir))
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    done = line_dedup.cleaned(documents(spark, sf_dir))
+    return done.select("_row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread)}

@@ -1,10 +1,10 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents become pieces of at most ``capacity`` tokens. The number of pieces of each length (at most ``capacity``
-numbers, whatever the corpus) is packed on the driver: the longest length left opens a sequence; an index of the
-lengths left gives a single, a pair or a triple that fills the gap exactly, and as many sequences of that kind are
-taken as the counts allow; where no combination fits exactly, the longest length that fits goes in (best fit) and the
-search goes on with the smaller gap. Each pattern uses up a length, so there are no more patterns than lengths to speak
+numbers, whatever the corpus) is packed on the driver: the longest length left opens a sequence; a hash index from sums
+to the pairs of lengths that have them, kept as lengths run out, gives a single, a pair or a triple (a length and a pair)
+that fills the gap exactly, and as many sequences of that kind are taken as the counts allow; where no combination fits
+exactly, the longest length that fits goes in (best fit) and the search goes on with the smaller gap. Each pattern uses up a length, so there are no more patterns than lengths to speak
 of. Pieces then find their place by their rank among the pieces of their length, counted in sub-buckets so that a
 length that very many documents share is spread over many tasks.
 
@@ -53,10 +53,17 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
 
 class _Index:
-    """Counts of the lengths left, and the combinations of up to three of them with a given sum."""
+    """Counts of the lengths left, and an index from sums to the combinations of up to three of them.
+
+    ``pairs[total]`` lists the smaller parts of the pairs that had that sum when it was first asked for, most plentiful
+    last; counts only fall, so a pair that has run out is taken off the end for good. A triple is a length and an
+    indexed pair; ``tried[total]`` remembers the smallest length that was tried as the first of three in vain.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, dtype=np.int64)
+        self.pairs: dict[int, list[int]] = {}
+        self.tried: dict[int, int] = {}
         for length, n in counts.items():
             self.left[length] = n
 
@@ -67,24 +74,31 @@ class _Index:
     def single(self, gap: int) -> list[int]:
         return [gap] if self.left[gap] > 0 else []
 
+    def _indexed(self, gap: int) -> list[int]:
+        if gap not in self.pairs:
+            both = np.minimum(self.left[1 : gap // 2 + 1], self.left[gap - 1 : gap - gap // 2 - 1 : -1])
+            found = np.flatnonzero(both)
+            self.pairs[gap] = (found[np.argsort(both[found], kind="stable")] + 1).tolist()
+        return self.pairs[gap]
+
     def pair(self, gap: int) -> list[int]:
-        low = self.left[1 : gap // 2 + 1]
-        high = self.left[gap - 1 : gap - gap // 2 - 1 : -1]
-        both = np.minimum(low, high)
-        if gap % 2 == 0 and len(both):
-            both[-1] = self.left[gap // 2] // 2
-        if not len(both) or not both.max() > 0:
-            return []
-        x = int(both.argmax()) + 1
-        return [gap - x, x]
+        parts = self._indexed(gap)
+        while parts:
+            x = parts[-1]
+            if self.left[x] > (x + x == gap) and self.left[gap - x] > 0:
+                return [gap - x, x]
+            parts.pop()
+        return []
 
     def triple(self, gap: int) -> list[int]:
-        for x in (np.flatnonzero(self.left[1 : gap - 1]) + 1)[::-1].tolist():
-            self.left[x] -= 1
-            rest = self.pair(gap - x)
-            self.left[x] += 1
-            if rest:
-                return [x, *rest]
+        most = min(self.tried.get(gap, gap), gap - 1)
+        for x in (np.flatnonzero(self.left[1:most]) + 1)[::-1].tolist():
+            rest = self._indexed(gap - x)
+            for low in reversed(rest):
+                three = Counter((x, low, gap - x - low))
+                if all(self.left[y] >= n for y, n in three.items()):
+                    return [x, gap - x - low, low]
+            self.tried[gap] = x
         return []
 
     def exact(self, gap: int, top: int) -> list[int]:

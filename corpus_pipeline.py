@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences: quality rules, boilerplate lines, near duplicates, personal data, packing.
 
-Each stage works on all that the one before it kept; all but the last return the columns of ``documents``. A document
-that has no words left once boilerplate is removed goes in that stage.
+Each stage works on all that the one before it kept; all but the last return the columns of ``documents``, and further
+columns of the input, whatever their names, go through unchanged. A document that has no words left once boilerplate is
+removed goes in that stage.
+
+Defined results: a null or empty text has no words, so the quality rules reject it. A null id is a document like any
+other and comes before all others in ties. Rows that repeat an id and a text count one by one for the quality rules, get
+the same lines removed, and one of them stays at near duplicates; rows that repeat an id only are documents of their own.
+A null source is no site and has no host verdict. Very long texts are processed whole and packed in pieces. An empty
+table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -25,9 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.clean(docs)
-    left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return _measured(left, docs.columns)
+    found = line_dedup.cleaned(docs)
+    left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    return _measured(left.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

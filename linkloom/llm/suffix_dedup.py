@@ -6,13 +6,15 @@ and an earlier start) is removed; strings are judged on the input and never cros
 Sorting every suffix of a corpus would move many times its size, so suffixes are first dealt into buckets: every window
 has an anchor, the ``GRAM`` bytes in it with the smallest hash, which depends on the window's bytes alone. Equal windows
 have equal anchors at equal offsets, so they meet in their anchor's bucket. The windows of one anchor overlap; together
-they are its context, which is one row. In a bucket, contexts equal to an earlier one are repeated throughout. Where
+they are its context, which is one row. In a bucket, contexts with the hash of an earlier one are repeated throughout;
+they are checked byte by byte against it, as runs, and should one differ all is done again with other hashes. Where
 different contexts remain, the suffixes that start at their windows are sorted by a mergesort whose comparisons find the
 common extension of two suffixes by a binary search over prefix polynomial hashes (seven steps), and neighbours that
-agree over the whole window are compared byte by byte against collisions. The first of equal windows stays. A bucket of
-more than ``MANY`` contexts is not brought together: its windows are grouped by hash instead, with map-side combine.
+agree over the whole window are compared byte by byte against collisions. The first of equal windows stays.
 
-Equal contexts are taken as equal by a 64-bit hash within a bucket that is itself named by an independent 64-bit hash.
+A bucket of more than ``MANY`` contexts does not come together: it is split by the bytes that follow before it is
+sorted, and equal windows of one task count once. Buckets that hold a large share of all rows are salted until only
+their different contexts are left.
 
 Defined results: a null text is empty; a null id comes before all others; rows that repeat an id and a text are one
 document and each gets its result; rows that repeat an id only are ordered by a hash of their text; an empty table gives
@@ -21,15 +23,16 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, with_key
+from .common import HOT_SHARE, join_hot, release, stored, with_key
 from .shingles import mix
 
 WINDOW = 100
@@ -37,17 +40,28 @@ GRAM = 32
 SPREAD = WINDOW - GRAM + 1
 #: Contexts of a bucket that one task sorts at most.
 MANY = 5_000
+#: Windows of large buckets among which a task looks for equal ones before it sends them on.
+HELD = 50_000
+#: One document in SAMPLE is asked which buckets are large enough to be salted. This settles routes only, never a result.
+SAMPLE = 64
+SALTS = 256
+#: Runs that one task checks against one document.
+TILE = 4096
 #: Bytes that are hashed at a time; a longer document is taken in pieces that overlap by a window.
 PIECE = 1 << 20
 _U = np.uint64
 _POSITION = _U((1 << 22) - 1)
-_rng = np.random.Generator(np.random.PCG64(77))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
-_OTHER = _rng.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BASE = 0xA0761D6478BD642F
 _powers = {"": np.ones(1, dtype=np.uint64)}
 
 
+@cache
+def byte_values(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a byte counts for in the hashes of contexts and of anchors."""
+    rng = np.random.Generator(np.random.PCG64(77 + seed))
+    return tuple(rng.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False) for _ in range(2))
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(str(base), _powers[""])
@@ -58,15 +72,15 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hashes(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(len(data)), out=out[1:])
+    np.cumsum(byte_values(seed)[0][data] * powers(len(data)), out=out[1:])
     return out
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
+def _gram_hashes(data: np.ndarray, seed: int) -> np.ndarray:
     """The hash of the GRAM bytes from each position, by doubling."""
-    h, width, factor = _OTHER[data], 1, 0xE7037ED1A0B428DB
+    h, width, factor = byte_values(seed)[1][data], 1, 0xE7037ED1A0B428DB
     while width < GRAM:
         h = h[:-width] * _U(factor) + h[width:]
         factor = factor * factor & 0xFFFFFFFFFFFFFFFF
@@ -96,9 +110,9 @@ def pieces(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield joined()
 
 
-def contexts(data: np.ndarray, doc: np.ndarray, offset: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+def contexts(data: np.ndarray, doc: np.ndarray, offset: np.ndarray, starts: np.ndarray, seed: int = 0) -> pd.DataFrame:
     """(doc, h, c, at) of each anchor's context; ``at`` packs its start, its windows less one and the anchor's offset."""
-    grams = _gram_hashes(data)
+    grams = _gram_hashes(data, seed)
     least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= SPREAD:
@@ -115,7 +129,7 @@ def contexts(data: np.ndarray, doc: np.ndarray, offset: np.ndarray, starts: np.n
     first = np.flatnonzero(new)
     begin, end = at[first], at[np.append(first[1:], len(at)) - 1]
     anchor = anchor[first]
-    sums = prefix_hashes(data)
+    sums = prefix_hashes(data, seed)
     # hashes of strings at different places compare after division by the power of the place
     c = (sums[end + WINDOW] - sums[begin]) * powers(len(data) + 1, pow(_BASE, -1, 1 << 64))[begin]
     shape = ((end - begin) * 128 + (anchor - begin)).astype(np.uint64)
@@ -225,27 +239,47 @@ def repeated_windows(ctx: list[bytes], at: np.ndarray, group: np.ndarray) -> lis
     return list(zip(o[new].tolist(), (begin + w[new]).tolist(), (begin + w[last] + WINDOW).tolist(), strict=True))
 
 
-def context_rows(keyed: DataFrame) -> DataFrame:
+def context_rows(keyed: DataFrame, seed: int) -> DataFrame:
     """(h, c, _id, _tie, at) of every context of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in pieces([t.encode("utf-8", "surrogatepass") for t in pdf["text"]]):
-                out = contexts(*part)
+                out = contexts(*part, seed)
                 out["_id"], out["_tie"] = pdf["_id"].to_numpy()[out["doc"]], pdf["_tie"].to_numpy()[out["doc"]]
                 yield out[["h", "c", "_id", "_tie", "at"]]
 
     return keyed.mapInPandas(run, "h long, c long, _id long, _tie long, at long")
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """Contexts that repeat an earlier one (``again``), and first ones whose bucket has others; ``big`` for large buckets."""
-    w = Window.partitionBy("h").orderBy("c", "_id", "_tie", "at")
-    whole = Window.partitionBy("h")
-    again = F.coalesce(F.lag("c").over(w) == F.col("c"), F.lit(False))
-    flagged = rows.withColumn("again", again)
-    kinds = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(whole)
-    return flagged.withColumn("kinds", kinds).filter("again or kinds > 1").select("h", "_id", "_tie", "at", "again", (F.col("kinds") > MANY).alias("big"))
+def _judged(keyed: DataFrame, seed: int) -> DataFrame:
+    """(h, _id, _tie, at, first, kinds): contexts that repeat an earlier one (``first`` names it), and, without a
+    ``first``, the first of each kind in buckets of several kinds."""
+    asked = context_rows(keyed.filter(F.pmod(F.xxhash64("_id", "_tie"), F.lit(SAMPLE)) == 0), seed).groupBy("h").count().filter("count > 31")
+    asked = stored(asked, "asked")
+    total = asked.agg(F.sum("count")).first()[0] or 0
+    hot = asked.filter(F.col("count") * HOT_SHARE > total).select("h", F.lit(SALTS).alias("salts"))  # fewer than HOT_SHARE rows
+    rows = context_rows(keyed, seed)
+    rows = rows.withColumn("salts", F.lit(None).cast("int")) if hot.isEmpty() else rows.join(F.broadcast(hot), "h", "left")
+    salted = rows.select("h", "c", "_id", "_tie", "at", F.coalesce(F.pmod(F.xxhash64("_id", "_tie"), "salts"), F.lit(-1)).cast("int").alias("salt"))
+    w = Window.partitionBy("h", "salt").orderBy("c", "_id", "_tie", "at")
+    place = F.struct("_id", "_tie", "at")
+    flagged = salted.withColumn("again", F.coalesce(F.lag("c").over(w) == F.col("c"), F.lit(False)))
+    lead = F.last(F.when(~F.col("again"), place), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kinds = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("h", "salt"))
+    flagged = flagged.withColumn("kinds", kinds).withColumn("first", F.when(F.col("again"), lead)).filter("again or kinds > 1 or salt >= 0")
+    found = stored(flagged.select("h", F.when(F.col("salt") >= 0, F.col("c")).alias("c"), "_id", "_tie", "at", "first", "kinds"), "contexts")
+    if hot.isEmpty():
+        return found.drop("c")
+    # salted buckets: the firsts of their parts, at most SALTS of a kind, find the first of all
+    parts = found.filter("c is not null and first is null")
+    firsts = stored(parts.groupBy("h", "c").agg(F.min(place).alias("lead"), F.count("*").alias("n")), "firsts")
+    sizes = stored(firsts.groupBy("h").agg(F.count("*").alias("all_kinds"), F.sum("n").alias("n")), "sizes")
+    known = stored(parts.join(firsts.drop("n"), ["h", "c"]), "parts")
+    known = join_hot(known, sizes, "h", "n", known.count())
+    known = known.withColumn("first", F.when(place != F.col("lead"), F.col("lead"))).withColumn("kinds", F.col("all_kinds")).filter("first is not null or kinds > 1")
+    names = ["h", "_id", "_tie", "at", "first", "kinds"]
+    return found.filter("c is null or first is not null").select(*names).unionByName(known.select(*names))
 
 
 def _sorted_buckets(bytes_rows: DataFrame) -> DataFrame:
@@ -281,60 +315,111 @@ def _sorted_buckets(bytes_rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "_id long, _tie long, span long")
 
 
-def _grouped_windows(rows: DataFrame) -> DataFrame:
-    """(_id, _tie, span) of repeated windows in large buckets, from (window hash ``w``, ``v``, _id, _tie, start)."""
-    first = rows.groupBy("w", "v").agg(F.min(F.struct("_id", "_tie", "start")).alias("first"))
-    later = rows.join(first, ["w", "v"]).filter(F.struct("_id", "_tie", "start") != F.col("first"))
-    return later.select("_id", "_tie", (F.col("start") * 256 + WINDOW).alias("span"))
-
-
-def _window_bytes(keyed: DataFrame, first: DataFrame) -> DataFrame:
-    """The contexts' bytes; of large buckets, a row for each window with two hashes of it."""
-    wanted = first.groupBy("_id", "_tie").agg(F.collect_list(F.struct("h", "at", "big")).alias("s"))
-    rows = keyed.join(wanted, ["_id", "_tie"]).select("_id", "_tie", "text", F.col("s.h").alias("h"), F.col("s.at").alias("at"), F.col("s.big").alias("big"))
+def runs_of(at: np.ndarray, lead: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(number of the earlier document, begin there, begin here, end here) of contexts that go on where others end."""
+    begin, size = at // 16384, at // 128 % 128 + WINDOW
+    shift = place // 16384 - begin
+    order = np.lexsort((begin, shift, lead))
+    out: list[list[int]] = []
+    for d, s, b, e in zip(lead[order].tolist(), shift[order].tolist(), begin[order].tolist(), (begin + size)[order].tolist(), strict=True):
+        if out and out[-1][:2] == [d, s] and b <= out[-1][3]:
+            out[-1][3] = max(e, out[-1][3])
+        else:
+            out.append([d, s, b, e])
+    return [(d, b + s, b, e) for d, s, b, e in out]
+
+
+def _bytes(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """What is to be compared, by ``kind``: ``run`` (bytes of a run, and where it stands earlier), ``ctx`` (bytes of a
+    context, or of one window of a large bucket), and ``gone`` (a window that a task has seen earlier)."""
+    known = lambda c, default: F.coalesce(F.col(f"first.{c}"), F.lit(default).cast("long"))
+    lead = F.struct("h", "at", (F.col("kinds") > MANY).alias("big"), known("_id", 0).alias("d"), known("_tie", 0).alias("t"), known("at", -1).alias("place"))
+    rows = keyed.join(rows.groupBy("_id", "_tie").agg(F.collect_list(lead).alias("s")), ["_id", "_tie"])
+    parts = [F.col(f"s.{f}").alias(n) for n, f in ((c, c) for c in ("h", "at", "big", "d", "t", "place"))]
+    rows = rows.select("_id", "_tie", "text", *parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        held: dict[bytes, tuple[int, int, int]] = {}
+
+        def window(i: int, tie: int, start: int, data: bytes) -> None:
+            here = (i, tie, start)
+            if (there := held.get(data)) is None:
+                held[data] = here
+                return
+            held[data] = min(here, there)
+            i, tie, start = max(here, there)
+            out.append(("gone", i, tie, None, start * 16384, None, None, None, None))
+
+        def flush() -> None:
+            for data, (i, tie, start) in held.items():
+                h = int(mix(prefix_hashes(np.frombuffer(data, dtype=np.uint8))[-1:], 5).view(np.int64)[0])
+                out.append(("ctx", i, tie, h, start * 16384, data, None, None, None))
+            held.clear()
+
         for pdf in batches:
-            out: list[tuple] = []
-            for i, tie, text, hs, ats, bigs in pdf.itertuples(index=False):
+            for i, tie, text, hs, ats, bigs, ds, ts, places in pdf.itertuples(index=False):
                 raw = text.encode("utf-8", "surrogatepass")
-                for h, at, big in zip(hs.tolist(), ats.tolist(), bigs.tolist(), strict=True):
+                again = places >= 0
+                if again.any():
+                    earlier, of = np.unique(np.stack((ds[again], ts[again])), axis=1, return_inverse=True)
+                    earlier = earlier.T.tolist()
+                    for d, there, b, e in runs_of(ats[again], of, places[again]):
+                        out.append(("run", i, tie, None, b, raw[b:e], *earlier[d], there))
+                for h, at, big in zip(hs[~again].tolist(), ats[~again].tolist(), bigs[~again].tolist(), strict=True):
                     begin, windows = at // 16384, at // 128 % 128 + 1
-                    if not big:
-                        out.append((i, tie, h, at, raw[begin : begin + windows - 1 + WINDOW], None, None, None))
-                        continue
-                    for start in range(begin, begin + windows):
-                        digest = hashlib.blake2b(raw[start : start + WINDOW], digest_size=16).digest()
-                        w, v = np.frombuffer(digest, dtype="<i8").tolist()
-                        out.append((i, tie, None, None, None, w, v, start))
+                    if big:
+                        for start in range(begin, begin + windows):
+                            window(i, tie, start, raw[start : start + WINDOW])
+                    else:
+                        out.append(("ctx", i, tie, h, at, raw[begin : begin + windows - 1 + WINDOW], None, None, None))
+                if len(held) > HELD:
+                    flush()
                 if len(out) >= 10_000:
                     yield frame(out)
-                    out = []
-            if out:
-                yield frame(out)
+                    out.clear()
+        flush()
+        for s in range(0, len(out), 10_000):
+            yield frame(out[s : s + 10_000])
 
-    names = ["_id", "_tie", "h", "at", "ctx", "w", "v", "start"]
+    names = ["kind", "_id", "_tie", "h", "at", "ctx", "lead_id", "lead_tie", "place"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int64" for c in ("h", "at", "w", "v", "start")})
+        whole = pd.DataFrame({c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("h", "at", "lead_id", "lead_tie", "place")})
+        return out.assign(**whole)
+
+    return rows.mapInPandas(run, "kind string, _id long, _tie long, h long, at long, ctx binary, lead_id long, lead_tie long, place long")
+
 
-    return rows.mapInPandas(run, "_id long, _tie long, h long, at long, ctx binary, w long, v long, start long")
+def _wrong(keyed: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs whose bytes are not those of the earlier place that their hashes name. A document that many repeat is read in
+    tiles of its runs."""
+    most = runs.groupBy("lead_id", "lead_tie").count().agg(F.max("count")).first()[0] or 0
+    tiled = runs.withColumn("tile", F.pmod(F.xxhash64("_id", "_tie", "at"), F.lit(max(1, math.ceil(most / TILE)))))
+    whole = keyed.select(F.col("_id").alias("lead_id"), F.col("_tie").alias("lead_tie"), "text")
+    leads = tiled.select("lead_id", "lead_tie", "tile").distinct().join(whole, ["lead_id", "lead_tie"])
+    there = F.substring(F.col("text").cast("binary"), F.col("place").cast("int") + 1, F.length("ctx"))
+    return tiled.join(leads, ["lead_id", "lead_tie", "tile"]).filter(there != F.col("ctx"))
 
 
 def spans(keyed: DataFrame) -> DataFrame:
     """(_id, _tie, spans) of each document with repeated bytes; a span packs its start and length."""
     if _repeats(keyed):
         keyed = keyed.dropDuplicates(["_id", "_tie"])
-    rows = stored(_judged(context_rows(keyed)), "contexts")
-    again = rows.filter("again").select("_id", "_tie", (F.floor(F.col("at") / 16384) * 256 + F.floor(F.col("at") / 128) % 128 + WINDOW).alias("span"))
-    first = rows.filter("not again").select("h", "_id", "_tie", "at", "big")
-    unread = _window_bytes(keyed, first)
-    if not first.filter("big").isEmpty():
-        unread = stored(unread, "windows")
-        again = again.unionByName(_grouped_windows(unread.filter("w is not null").select("w", "v", "_id", "_tie", "start")))
-    small = _sorted_buckets(unread.filter("ctx is not null").select("_id", "_tie", "h", "at", "ctx"))
-    return again.unionByName(small).groupBy("_id", "_tie").agg(F.collect_list("span").alias("spans"))
+    seed = 0
+    while True:
+        rows = _judged(keyed, seed)
+        unread = stored(_bytes(keyed, rows), "bytes")
+        if _wrong(keyed, unread.filter("kind = 'run'")).isEmpty():
+            break
+        release(unread)
+        seed += 1
+    packed = lambda at: (F.floor(at / 16384) * 256 + F.floor(at / 128) % 128 + WINDOW).alias("span")
+    again = rows.filter("first is not null").select("_id", "_tie", packed(F.col("at")))
+    gone = unread.filter("kind = 'gone'").select("_id", "_tie", packed(F.col("at")))
+    found = _sorted_buckets(unread.filter("kind = 'ctx'").select("_id", "_tie", "h", "at", "ctx"))
+    return again.unionByName(gone).unionByName(found).groupBy("_id", "_tie").agg(F.collect_list("span").alias("spans"))
 
 
 def _repeats(keyed: DataFrame) -> bool:

@@ -61,6 +61,26 @@ def test_large_buckets_and_pieces(spark, monkeypatch):
     assert result(sd.deduplicate(table(spark, ts))) == sorted(brute(enumerate(ts)), key=str)
 
 
+def test_hot_buckets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SAMPLE", 1)
+    monkeypatch.setattr(sd, "SALTS", 3)
+    rng = random.Random(4)
+    page = " ".join(f"line {i} of a page that many documents hold" for i in range(6))
+    ts = [page if rng.random() < 0.6 else f"{page[: rng.randrange(90, len(page))]} own {i} {page}" for i in range(90)] + corpus(8, 30)
+    for many in (5_000, 2):
+        monkeypatch.setattr(sd, "MANY", many)
+        assert result(sd.deduplicate(table(spark, ts))) == sorted(brute(enumerate(ts)), key=str)
+
+
+def test_runs_are_checked_by_bytes(spark):
+    keyed = spark.createDataFrame([(1, 0, "é" + "a" * 150), (2, 0, "a" * 150)], "_id long, _tie long, text string")
+    runs = [(2, 0, 0, b"a" * 120, 1, 0, 2), (2, 0, 0, b"a" * 119 + b"b", 1, 0, 2), (2, 0, 0, b"a" * 120, 1, 0, 1)]
+    found = sd._wrong(keyed, spark.createDataFrame(runs, "_id long, _tie long, at long, ctx binary, lead_id long, lead_tie long, place long")).collect()
+    assert sorted(bytes(r["ctx"])[-1:] + bytes([r["place"]]) for r in found) == [b"a\1", b"b\2"]
+    at = np.asarray([0, 60, 300]) * 16384
+    assert sorted(sd.runs_of(at, np.asarray([0, 0, 0]), at + 5 * 16384)) == [(0, 5, 0, 160), (0, 305, 300, 400)]
+
+
 def test_long_documents_are_cut_in_pieces(monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 500)
     raw = [t.encode() for t in corpus(7)]

@@ -1,22 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A state is a context of the one or two words before a word. It is kept where it diverges from the shorter one: where the
-leave-one-out log-likelihood of the words seen after it gains more than ``MARGIN`` nats over what the shorter state
-predicts. A state's next-word distribution is smoothed with that of the next shorter one in proportion to the number of
-different words seen after it, down to the root; a word is scored by its longest state.
-
-No model is brought to one place. A word and what may follow it belong to the bucket of the last context word, so a
-subtree of the suffix tree is counted, pruned and used for scoring inside one bucket, and only sums per document leave
-it.Contexts that end in a very common word (1 in ``COMMON`` or more; there are at most so many of them) are
-dealt by both words: the next words of such a word alone are counted in a table of their own, the same test is put to it,
-and buckets get the counts that they need joined. Batches of documents send a bucket its words in one compressed block each.
-
-The root is a smoothed unigram distribution over the training vocabulary: a bucket asks for the counts of the words that
-follow in it, and these are joined from the table of all words. Words that were not seen count one, as in the base score.
-The first word of a document has no context; those of a batch go to any one bucket.
+A state is a context of the one to ``DEPTH`` words before a word (a document begins with a start sign, and no context
+goes beyond it). It is kept where it diverges from the shorter one: where the leave-one-out log-likelihood of the words
+seen after it gains more than ``MARGIN`` nats over what the shorter state predicts. A state's next-word distribution is
+smoothed with that of the next shorter one in proportion to the number of different words seen after it, down to the
+root, a smoothed unigram distribution over the training vocabulary; a word is scored by its longest state.
+
+No model is brought to one place. Words and their contexts are dealt into buckets by the last context word, so a subtree
+of the suffix tree is counted, pruned and used for scoring inside one bucket, and only sums per document leave it. What
+a very frequent context would bring together is spread out: its next words are counted beforehand with map-side combine
+in a table of their own, the same test is put to it there, and its rows are dealt by the next longer context, or by
+documents where that is as frequent too. A bucket gets the chances that it needs joined: those after frequent contexts,
+and unigram counts of rare words. Counts of the ``CODED`` most frequent words are everywhere. Batches of documents send
+a bucket its rows in one compressed block each; words are whole in it, frequent ones by their number.
 
 Defined results: a null text is empty and has the end token alone; a null id hashes as the empty text for the split;
-repeated rows are scored one by one and all count; an empty table gives an empty result.
+repeated rows are scored one by one and all count; an empty table gives an empty result. The first word of a document
+has no context. Words that were not seen count one, as in the base score.
 """
 
 from __future__ import annotations
@@ -35,14 +35,18 @@ from .common import stored
 from .shingles import mix, sliced, word_hashes
 
 MARGIN = 4.0
-COMMON = 1024
-TOKENS_A_BUCKET = 1_500_000
+DEPTH = 3
+TOKENS_A_BUCKET = 1_000_000
+#: A context is frequent with more rows than this, and more than one in FREQUENT_SHARE of all, so at most so many are.
+FREQUENT_ROWS, FREQUENT_SHARE = 400_000, 1 << 20
+#: Words that are sent by number; their numbers and counts are broadcast.
+CODED = 65_534
 #: Code points of a batch of documents that is encoded together.
-BATCH = 12_000_000
+BATCH = 8_000_000
 FOLDS, HELD_OUT = 7, 2
 _U = np.uint64
-#: OPENING stands for the context of the first word of a document, which has none.
-END, START, OPENING = _U(0x5BD1E995A3C59AC3), _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A35)
+#: START stands before a document's first word, BEYOND before START.
+END, START, BEYOND = _U(0x5BD1E995A3C59AC3), _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A35)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -89,36 +93,6 @@ def _planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
-def common_pairs(rows: DataFrame, common: list[int]) -> DataFrame:
-    """(v, w, c): how often ``w`` follows the common word ``v`` in training documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = np.asarray(sorted(common), dtype=np.uint64)
-        for ids, texts in _batches(batches):
-            w, starts = tokens(texts)
-            at = np.repeat(~held_out(ids), np.diff(starts))
-            at[starts[:-1]] = False
-            at = np.flatnonzero(at)
-            at = at[np.isin(w[at - 1], often)]
-            words, i = np.unique(w[at], return_inverse=True)
-            found, c = np.unique(np.searchsorted(often, w[at - 1]) * max(len(words), 1) + i, return_counts=True)
-            v, i = np.divmod(found, max(len(words), 1))
-            yield pd.DataFrame({"v": often[v].view(np.int64), "w": words[i].view(np.int64), "c": c.astype(np.int64)})
-
-    return rows.mapInPandas(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
-
-
-def common_states(pairs: DataFrame, counts: DataFrame, total: float) -> dict[int, tuple[float, float]]:
-    """The common words whose state is kept, with how many words follow each and how many different ones."""
-    sums = pairs.groupBy("v").agg(F.sum("c").alias("many"), F.count("*").alias("kinds"))  # at most COMMON rows
-    each = pairs.join(counts.select("w", ((F.col("c") + 1.0) / total).alias("p0")), "w").join(F.broadcast(sums), "v")
-    t = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
-    loo = ((F.col("c") - 1) + t * F.col("p0")) / F.greatest(F.col("many") - 1 + t, F.lit(1))
-    gain = F.col("c") * (F.log(F.greatest(loo, F.lit(1e-300))) - F.log("p0"))
-    kept = each.groupBy("v", "many", "kinds").agg(F.sum(gain).alias("gain")).filter((F.col("gain") > MARGIN) & (F.col("many") >= 2))
-    return {r["v"] & (2**64 - 1): (float(r["many"]), float(r["kinds"])) for r in kept.collect()}
-
-
 def _squeeze(*arrays: np.ndarray) -> bytes:
     head = np.asarray([len(arrays), *[len(a) for a in arrays]], dtype="<i8").tobytes()
     kinds = "".join(a.dtype.str[1:] for a in arrays).encode()
@@ -145,43 +119,160 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype("<u2" if not len(a) or a.max() < 65536 else "<u4")
 
 
-def block_of(w2: np.ndarray, w1: np.ndarray, w: np.ndarray, doc: np.ndarray, train: np.ndarray) -> bytes:
-    """The rows of a batch that go to one bucket, ordered by context.
+def preceding(w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many words of its document come before each token, and the last, second last, ... of them up to ``DEPTH``."""
+    at = np.arange(len(w))
+    since = at - np.repeat(starts[:-1], np.diff(starts))
+    before = [np.where(since >= j, w[np.maximum(at - j, 0)], np.where(since == j - 1, START, BEYOND)) for j in range(1, DEPTH + 1)]
+    return since, before
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with one more word before it; the empty context is 0."""
+    return mix(context * _U(0xD1342543DE82EF95) + word, 31)
+
+
+def chained(before: list[np.ndarray]) -> list[np.ndarray]:
+    """The hashes of the contexts of length 1, 2, ..."""
+    out = [np.zeros(len(before[0]), dtype=np.uint64)]
+    for word in before:
+        out.append(longer(out[-1], word))
+    return out[1:]
+
+
+def context_counts(rows: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+    """(ctx, parent, w, c, n): how often ``w`` follows each frequent context of a length in training documents and in all.
 
-    All words are kept whole: the last context word once for all its rows, the earlier context word and the word that
-    follows as places in the block's own sorted list of words.
+    Of length one, the start sign is counted like a word; it is no state, but the words after it may be.
     """
-    order = np.lexsort((w, w1))
-    words, runs = np.unique(w1[order], return_counts=True)
-    own, at = np.unique(np.concatenate((w2[order], w[order])), return_inverse=True)
-    return _squeeze(words, _narrow(runs), own, _narrow(at[: len(w)]), _narrow(at[len(w) :]), _narrow(doc[order]), np.packbits(train))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in _batches(batches):
+            w, starts = tokens(texts)
+            since, before = preceding(w, starts)
+            ctx = chained(before[:length])
+            at = np.flatnonzero(np.isin(ctx[-1], frequent) & (since >= length - 1))
+            train = np.repeat(~held_out(ids), np.diff(starts))[at]
+            words, i = np.unique(w[at], return_inverse=True)
+            pair, first, j = np.unique(np.searchsorted(frequent, ctx[-1][at]) * max(len(words), 1) + i, return_index=True, return_inverse=True)
+            parent = ctx[-2][at][first] if length > 1 else np.zeros(len(pair), dtype=np.uint64)
+            out = {"ctx": ctx[-1][at][first].view(np.int64), "parent": parent.view(np.int64), "w": w[at][first].view(np.int64)}
+            yield pd.DataFrame({**out, "c": np.bincount(j, weights=train, minlength=len(pair)).astype(np.int64), "n": np.bincount(j, minlength=len(pair))})
+
+    counted = rows.mapInPandas(run, "ctx long, parent long, w long, c long, n long")
+    return counted.groupBy("ctx", "parent", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def chances(table: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(ctx, w, p, loo): chance of ``w`` after frequent contexts of one length, and with one occurrence left out.
+
+    ``shorter`` has the same of the contexts one word shorter.
+    """
+    sums = table.groupBy("ctx").agg(F.sum("c").alias("many"), F.sum((F.col("c") > 0).cast("long")).alias("kinds"))  # FREQUENT_SHARE rows at most
+    given = shorter.select(F.col("ctx").alias("parent"), "w", F.col("p").alias("p0"), F.col("loo").alias("loo0"))
+    each = stored(table.join(given, ["parent", "w"]).join(F.broadcast(sums), "ctx"), "given")
+    t = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
+    loo = ((F.col("c") - 1) + t * F.col("loo0")) / F.greatest(F.col("many") - 1 + t, F.lit(1))
+    gain = F.when(F.col("c") > 0, F.col("c") * (F.log(F.greatest(loo, F.lit(1e-300))) - F.log("loo0"))).otherwise(0.0)
+    kept = each.groupBy("ctx").agg(F.sum(gain).alias("gain"), F.first("many").alias("m")).filter((F.col("gain") > MARGIN) & (F.col("m") >= 2))
+    use = F.col("kept").isNotNull()
+    p = F.when(use, (F.col("c") + F.col("kinds") * F.col("p0")) / F.greatest(F.col("many") + F.col("kinds"), F.lit(1))).otherwise(F.col("p0"))
+    left = F.when(use & (F.col("c") > 0), loo).otherwise(F.col("loo0"))
+    joined = each.join(F.broadcast(kept.select("ctx", F.lit(1).alias("kept"))), "ctx", "left")
+    return joined.select("ctx", "w", p.alias("p"), left.alias("loo"))
+
+
+def frequent_contexts(rows: DataFrame, counts: DataFrame, n_all: int, total: float) -> tuple[list[np.ndarray], DataFrame]:
+    """The hashes of the frequent contexts of each length, and (ctx, w, c, p, loo): chances after them; of the empty
+    context (0), only counts ``c``."""
+    least = max(FREQUENT_ROWS, n_all // FREQUENT_SHARE)
+    found = counts.filter((F.col("n") > least) & (F.col("w") != int(END.view(np.int64)))).select("w").collect()  # FREQUENT_SHARE rows at most
+    words = {(r["w"] & (2**64 - 1),) for r in found} | {(int(START),)}
+    root = counts.select(F.lit(0).cast("long").alias("ctx"), "w", ((F.col("c") + 1) / F.lit(total)).alias("p"))
+    level = root.withColumn("loo", F.col("p"))
+    supply = counts.select(F.lit(0).cast("long").alias("ctx"), "w", "c", F.lit(0.0).alias("p"), F.lit(0.0).alias("loo"))
+    hot: list[np.ndarray] = []
+    for length in range(1, DEPTH + 1):
+        named = {int(chained([np.asarray([x], dtype=np.uint64) for x in context])[-1][0]): context for context in words}
+        here = np.asarray(sorted(named), dtype=np.uint64)
+        begun = longer(np.zeros(1, dtype=np.uint64), np.asarray([START]))[0]
+        hot.append(here[here != begun])
+        if len(here):
+            table = stored(context_counts(rows, length, here), "contexts")
+            states = table.filter(F.col("ctx") != int(begun.view(np.int64)))
+            level = stored(chances(states, level), "chances")
+            supply = supply.unionByName(level.select("ctx", "w", F.lit(0).cast("long").alias("c"), "p", "loo"))
+            often = table.filter((F.col("n") > least) & (F.col("w") != int(END.view(np.int64)))).select("ctx", "w").collect()  # FREQUENT_SHARE rows at most
+            grown = {(r["w"] & (2**64 - 1), *named[r["ctx"] & (2**64 - 1)]) for r in often}
+            words = {context for context in grown if context[:-1] in words}
+    return hot, supply
+
+
+def frequent_length(ctx: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
+    """The length of each row's longest frequent context."""
+    out = np.zeros(len(ctx[0]), dtype=np.int64)
+    for length, (c, known) in enumerate(zip(ctx, hot, strict=True), start=1):
+        out[(out == length - 1) & np.isin(c, known)] = length
+    return out
+
+
+class Coder:
+    """Words by number: the most frequent ones by rank, the others of a block by their place after these."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.rank = np.argsort(words)
+        self.sorted = words[self.rank]
+
+    def place(self, w: np.ndarray) -> np.ndarray:
+        """The rank of each word, -1 of those without."""
+        i = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
+        return np.where(self.sorted[i] == w, self.rank[i], -1)
+
+    def encode(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(words without a rank, the columns by number)."""
+        places = [self.place(c) for c in columns]
+        own = np.unique(np.concatenate([c[p < 0] for c, p in zip(columns, places, strict=True)]))
+        return own, [np.where(p >= 0, p, len(self.words) + np.searchsorted(own, c)) for c, p in zip(columns, places, strict=True)]
+
+
+def block_of(before: list[np.ndarray], w: np.ndarray, doc: np.ndarray, train: np.ndarray, coder: Coder) -> bytes:
+    """The rows of a batch that go to one bucket, ordered by context; all words are kept whole."""
+    own, (w1, *rest) = coder.encode([*before, w])
+    order = np.lexsort((rest[-1], w1))
+    last, runs = np.unique(w1[order], return_counts=True)
+    return _squeeze(own, _narrow(last), _narrow(runs), *[_narrow(r[order]) for r in rest], _narrow(doc[order]), np.packbits(train))
 
 
-def read_block(data: bytes) -> tuple[np.ndarray, ...]:
-    words, runs, own, w2, w, doc, train = _spread(data)
-    return own[w2], np.repeat(words, runs), own[w], doc.astype(np.int64), np.unpackbits(train)
+def read_block(data: bytes, coder: Coder) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(words before, last one first; word; document; whether each document is for training)."""
+    own, last, runs, *rest, doc, train = _spread(data)
+    words = np.concatenate((coder.words, own))
+    return [words[np.repeat(last, runs)], *[words[r] for r in rest[:-1]]], words[rest[-1]], doc.astype(np.int64), np.unpackbits(train)
 
 
-def wanted(batches: Iterator[pd.DataFrame], kept: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(bucket, v, w): the different words that follow in each bucket (``v`` is 0), and those that follow a word of ``kept``."""
+def wanted(batches: Iterator[pd.DataFrame], coder: Coder, hot: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(bucket, ctx, w): the different words that follow a frequent context in each bucket, and elsewhere (``ctx`` is 0)
+    those without a number."""
     found: dict[int, list[np.ndarray]] = {}
     for pdf in batches:
         for bucket, data in pdf.loc[~pdf["head"], ["bucket", "data"]].itertuples(index=False):
-            _, w1, w, *_ = read_block(data)
-            here = np.isin(w1, kept)
-            words, i = np.unique(w, return_inverse=True)
-            pairs = np.unique(np.searchsorted(kept, w1[here]) * len(words) + i[here])
-            v, i = np.divmod(pairs, len(words))
-            both = np.stack((np.concatenate((np.zeros(len(words), dtype=np.uint64), kept[v])), np.concatenate((words, words[i]))))
-            found.setdefault(bucket, []).append(both)
+            before, w, *_ = read_block(data, coder)
+            ctx = chained(before)
+            longest = frequent_length(ctx, hot)
+            of = np.choose(longest, [np.zeros(len(w), dtype=np.uint64), *ctx])
+            ask = (longest > 0) | (coder.place(w) < 0)
+            found.setdefault(bucket, []).append(_distinct(np.stack((of[ask], w[ask]))))
             if len(found[bucket]) == 16:
                 found[bucket] = [_distinct(np.concatenate(found[bucket], axis=1))]
     for bucket, parts in found.items():
-        v, w = _distinct(np.concatenate(parts, axis=1))
-        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "v": v.view(np.int64), "w": w.view(np.int64)})
+        ctx, w = _distinct(np.concatenate(parts, axis=1))
+        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "ctx": ctx.view(np.int64), "w": w.view(np.int64)})
 
 
 def _distinct(columns: np.ndarray) -> np.ndarray:
+    if not columns.shape[1]:
+        return columns
     columns = columns[:, np.lexsort(columns)]
     first = np.ones(columns.shape[1], dtype=bool)
     first[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
@@ -207,31 +298,19 @@ def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.nda
     return chance, np.where(use & (n[p] > 0), loo[p], parent_loo), many[c]
 
 
-def score_bucket(w2, w1, w, train, p0: np.ndarray, common: dict[int, int], states: dict[int, tuple[float, float]], c1: np.ndarray):
-    """(log10 of each row's word's chance, count of its context word in training).
+def score_bucket(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, p: np.ndarray, loo: np.ndarray, longest: np.ndarray):
+    """(log10 of each row's word's chance, count of its last context word in training where that is not frequent).
 
-    ``p0`` are the rows' unigram chances, ``states`` those of common words and ``c1`` the count of a row's word after its
-    context word where that has one.
+    ``p`` and ``loo`` are the chances after the longest frequent context, of length ``longest``.
     """
-    opening = w1 == OPENING
-    is_common = np.isin(w1, np.asarray(list(common), dtype=np.uint64))
-    p1, loo1, count = _state(w1, w, train, p0, p0, ~(is_common | opening))
-    kept = np.asarray(sorted(states), dtype=np.uint64)
-    here = np.isin(w1, kept)
-    if here.any():
-        many, kinds = np.asarray([states[int(k)] for k in kept])[np.searchsorted(kept, w1[here])].T
-        n, root = c1[here], p0[here]
-        p1[here] = (n + kinds * root) / (many + kinds)
-        t = kinds - (n == 1)
-        loo1 = loo1.copy()
-        loo1[here] = np.where(n > 0, ((n - 1) + t * root) / np.maximum(many - 1 + t, 1), root)
-    p2, _, _ = _state(mix(w1 * _U(0xD1342543DE82EF95) + w2, 22), w, train, p1, loo1, ~opening)
-    count = np.where(opening, 0, count)
-    if is_common.any():
-        keys = np.asarray(sorted(common), dtype=np.uint64)
-        values = np.asarray([common[int(k)] for k in keys], dtype=np.float64)
-        count[is_common] = values[np.searchsorted(keys, w1[is_common])]
-    return np.log10(p2), count
+    count = None
+    beyond = before[0] == START
+    for length, context in enumerate(chained(before), start=1):
+        p, loo, many = _state(context, w, train, p, loo, ~beyond & (longest < length))
+        count = many if count is None else count
+        if length < len(before):
+            beyond = beyond | (before[length] == BEYOND)
+    return np.log10(p), count
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -241,72 +320,79 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(rows), "words")
     s = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, n_all, n_words = s["c"] or 0, s["n"] or 0, s["v"]
-    ends = counts.filter(F.col("w") == int(END.astype(np.int64))).select("c").first()
+    ends = counts.filter(F.col("w") == int(END.view(np.int64))).select("c").first()
     ends = ends["c"] if ends else 0
-    often = counts.filter(F.col("n") * COMMON >= n_all).select("w", "c").collect()  # at most COMMON rows
-    common = {r["w"] & (2**64 - 1): r["c"] for r in often}
     buckets = max(1, -(-n_all // TOKENS_A_BUCKET))
     total = n_train + n_words + 1.0
-    pairs = stored(common_pairs(rows, list(common)), "pairs")
-    states = common_states(pairs, counts, total)
-    shared = spark.sparkContext.broadcast((common, states))
+    hot, supply = frequent_contexts(rows, counts, n_all, total)
+    # the signs are coded first; the limit bounds what is broadcast, the counts of all other words are joined
+    top = counts.orderBy(F.desc("n"), "w").limit(CODED).select("w", "c").toPandas()
+    signs = np.asarray([START, BEYOND], dtype=np.uint64)
+    coded = Coder(np.concatenate((signs, top["w"].to_numpy(dtype=np.int64).view(np.uint64))), np.concatenate(([0, 0], top["c"].to_numpy(dtype=np.int64))))
+    shared = spark.sparkContext.broadcast((coded, hot))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = np.asarray(list(shared.value[0]), dtype=np.uint64)
+        coder, often = shared.value
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_batches(batches)):
             batch = part * 10**6 + number
             w, starts = tokens(texts)
             train = ~held_out(ids)
-            opening = starts[:-1]
             known_ids = np.asarray([i is not None for i in ids], dtype="<u1")
             head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"))
             yield pd.DataFrame({"batch": [batch], "bucket": [batch % buckets], "head": [True], "data": [head]})
-            at = np.arange(len(w))
             doc = np.repeat(np.arange(len(ids)), np.diff(starts))
-            since = at - opening[doc]
-            w1 = np.where(since == 0, OPENING, w[at - 1])
-            w2 = np.where(since <= 1, START, w[np.maximum(at - 2, 0)])
-            key = np.where(np.isin(w1, often), mix(w1 * _U(3) + w2, 31), mix(w1, 32))
-            bucket = np.where(since == 0, batch % buckets, (key % _U(buckets)).astype(np.int64))
+            since, before = preceding(w, starts)
+            ctx = chained(before)
+            # the shortest context that is not frequent says where a row goes; without one it may go anywhere
+            longest = frequent_length(ctx, often)
+            free = (since == 0) | (longest == DEPTH)
+            key = np.choose(np.minimum(longest, DEPTH - 1), ctx)
+            bucket = np.where(free, batch % buckets, (mix(key, 41) % _U(buckets)).astype(np.int64))
+            del ctx, key, longest, free, since
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     o = order[cuts[b] : cuts[b + 1]]
-                    data = block_of(w2[o], w1[o], w[o], doc[o], train)
-                    yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [data]})
+                    yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [block_of([x[o] for x in before], w[o], doc[o], train, coder)]})
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        coder, often = shared.value
         sources: list[int] = []
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         for batch, data in pdf.loc[~pdf["head"], ["batch", "data"]].itertuples(index=False):
-            w2, w1, w, doc, train = read_block(data)
+            before, w, doc, train = read_block(data, coder)
             sources.append(batch)
-            held.append((w2, w1, w, doc, train[doc].astype(bool)))
+            held.append((*before, w, doc, train[doc].astype(bool)))
         out = [pdf.loc[pdf["head"], ["batch", "head", "data"]]]
         if not held:
             return out[0]
-        w2, w1, w, _, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        v, words, c = (known[x].to_numpy() for x in ("v", "w", "c"))
-        v, words, single = v.view(np.uint64), words.view(np.uint64), v == 0
-        order = np.argsort(words[single])
-        own = words[single][order]
-        place = np.searchsorted(own, w)
-        p0 = (c[single][order][place] + 1.0) / total
-        frequent, kept_states = shared.value
-        kept = np.asarray(sorted(kept_states), dtype=np.uint64)
-        c1 = np.zeros(len(w))
-        if not single.all():
-            pair = np.searchsorted(kept, v[~single]) * len(own) + np.searchsorted(own, words[~single])
-            order = np.argsort(pair)
-            here = np.flatnonzero(np.isin(w1, kept))
-            of = np.searchsorted(kept, w1[here]) * len(own) + place[here]
-            i = np.minimum(np.searchsorted(pair[order], of), len(pair) - 1)
-            c1[here] = np.where(pair[order][i] == of, c[~single][order][i], 0)
-        lp, count = score_bucket(w2, w1, w, train, p0, frequent, kept_states, c1)
+        docs_of = [x[-2] for x in held]
+        *before, w, train = (np.concatenate([x[i] for x in held]) for i in (*range(DEPTH + 1), DEPTH + 2))
+        del held
+        ctx = chained(before)
+        longest = frequent_length(ctx, often)
+        place = coder.place(w)
+        p = (coder.counts[np.maximum(place, 0)] + 1.0) / total
+        loo = p.copy()
+        ask = np.flatnonzero((longest > 0) | (place < 0))
+        if len(ask):
+            pair = lambda c, x: mix(c * _U(0xE7037ED1A0B428DB) + x, 43)
+            of = np.choose(longest[ask], [np.zeros(len(ask), dtype=np.uint64), *[c[ask] for c in ctx]])
+            answers = pair(*(known[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("ctx", "w")))
+            order = np.argsort(answers)
+            at = order[np.searchsorted(answers[order], pair(of, w[ask]))]
+            root = longest[ask] == 0
+            p[ask] = np.where(root, (known["c"].to_numpy()[at] + 1.0) / total, known["p"].to_numpy()[at])
+            loo[ask] = np.where(root, p[ask], known["loo"].to_numpy()[at])
+        del ctx, place
+        lp, count = score_bucket(before, w, train, p, loo, longest)
+        named = longest > 0
+        count[named] = coder.counts[coder.place(before[0][named])]
+        count[before[0] == START] = 0
         at = 0
-        for batch, (*_, doc, _) in zip(sources, held, strict=True):
+        for batch, doc in zip(sources, docs_of, strict=True):
             span = slice(at, at + len(doc))
             at += len(doc)
             own, i = np.unique(doc, return_inverse=True)
@@ -336,11 +422,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
             }
         )
 
-    # dealt is shuffled once: the plan reuses its exchange for the words that buckets ask for
+    # dealt is shuffled once: the plan reuses its exchange for what buckets ask for
     dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartition(buckets, "bucket")
-    ask = lambda batches: wanted(batches, np.asarray(sorted(shared.value[1]), dtype=np.uint64))
-    supply = counts.select(F.lit(0).cast("long").alias("v"), "w", "c").unionByName(pairs)
-    known = dealt.mapInPandas(ask, "bucket int, v long, w long").join(supply, ["v", "w"]).select("bucket", "v", "w", "c")
+    known = dealt.mapInPandas(lambda batches: wanted(batches, *shared.value), "bucket int, ctx long, w long").join(supply, ["ctx", "w"])
+    known = known.select("bucket", "ctx", "w", "c", "p", "loo")
     sums = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(combine, schema)

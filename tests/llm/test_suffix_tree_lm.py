@@ -68,12 +68,13 @@ def test_awkward(spark):
 
 
 def test_blocks_keep_words_whole():
-    # words that agree in the middle or the lower half of their bits, beside one last word
+    # words that agree in the middle or the lower half of their bits, beside one last word; some have a number
     w2 = np.asarray([7, 7 + (1 << 60), 7 + (1 << 20), 7], dtype=np.uint64)
     w = np.asarray([9, 9, 9 + (1 << 40), 9 + (1 << 50)], dtype=np.uint64)
     w1 = np.full(4, 5, dtype=np.uint64)
-    got = lm.read_block(lm.block_of(w2, w1, w, np.arange(4), np.ones(4, dtype=bool)))
-    assert sorted(zip(*(x.tolist() for x in got[:4]), strict=True)) == sorted(zip(w2.tolist(), w1.tolist(), w.tolist(), range(4), strict=True))
+    coder = lm.Coder(np.asarray([9, 3, 7 + (1 << 20)], dtype=np.uint64), np.zeros(3))
+    before, word, doc, _ = lm.read_block(lm.block_of([w1, w2, w2], w, np.arange(4), np.ones(4, dtype=bool), coder), coder)
+    assert sorted(zip(*(x.tolist() for x in (*before, word, doc)), strict=True)) == sorted(zip(w1.tolist(), w2.tolist(), w2.tolist(), w.tolist(), range(4), strict=True))
 
 
 def test_root_counts_are_exact(spark):
@@ -91,7 +92,7 @@ def scores(rows):
     for d, ws in docs:
         for i in range(1, len(ws)) if not out_of(d) else ():
             uni[ws[i]] += 1
-            for k in (1, 2) if i > 1 else ():
+            for k in range(1, min(i, lm.DEPTH) + 1) if i > 1 else ():
                 after.setdefault(tuple(ws[i - k : i]), Counter())[ws[i]] += 1
     total = sum(uni.values()) + len(uni) + 1
     chance = {}
@@ -119,13 +120,15 @@ def scores(rows):
         return chance[context, w]
 
     kept = {}
-    return {d: sum(math.log10(at(tuple(ws[max(i - 2, 0) : i]) if i > 1 else (), ws[i])[0]) for i in range(1, len(ws))) for d, ws in docs}
+    return {d: sum(math.log10(at(tuple(ws[max(i - lm.DEPTH, 0) : i]) if i > 1 else (), ws[i])[0]) for i in range(1, len(ws))) for d, ws in docs}
 
 
-@pytest.mark.parametrize("tokens_a_bucket", [1_500_000, 2_000])
-def test_scores_against_definition(spark, monkeypatch, tokens_a_bucket):
+@pytest.mark.parametrize(("tokens_a_bucket", "frequent", "coded"), [(1_500_000, 400_000, 65_534), (2_000, 400_000, 10), (2_000, 60, 10), (9_000, 10, 2_000)])
+def test_scores_against_definition(spark, monkeypatch, tokens_a_bucket, frequent, coded):
     monkeypatch.setattr(lm, "TOKENS_A_BUCKET", tokens_a_bucket)
-    docs = table(spark, corpus())
+    monkeypatch.setattr(lm, "FREQUENT_ROWS", frequent)
+    monkeypatch.setattr(lm, "CODED", coded)
+    docs = table(spark, corpus() + ["the of the of and the of the"] * 70)
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
     want = scores([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6

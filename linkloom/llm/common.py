@@ -7,6 +7,9 @@ import json
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +46,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    for made in _recorded:
+        made.append(table)
     return table
 
 
+_recorded: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are stored inside the block."""
+    made: list[DataFrame] = []
+    _recorded.append(made)
+    try:
+        yield made
+    finally:
+        _recorded.remove(made)
+
+
+def release_unread(tables: list[DataFrame], docs: DataFrame) -> None:
+    """Remove those of the stored tables that ``docs`` does not read."""
+    read = {unquote(f) for f in docs.inputFiles()}
+    release(*[t for t in tables if not any(t.stored_at in f for f in read)])
+
+
 def release(*tables: DataFrame) -> None:
     """Remove stored tables that no later plan reads."""
     for table in tables:

@@ -6,12 +6,12 @@ as its count and what the blocks left can add at most stay below the bound that
 is made for pairs that can still reach their bound, found in three steps, none of which loses a link:
 
 * Columns are hashed into blocks, more of them than two linked documents can differ in (at most ``(den - num) /
-  (den + num)`` of both sizes), so linked documents are alike in a block that is not empty. In a block that many share,
-  each is paired with the smallest only.
+  (den + num)`` of both sizes), so linked documents are alike in a block that is not empty; how many such blocks a
+  document must share at least follows from its size. In a block that many share, each is paired with the smallest only.
 * A pair is dropped where the sizes of its rows in fine blocks of columns, summed up as the smaller of the two, stay
   below its bound. Only these counts are shuffled, no texts or n-grams.
-* What the product links is a component. Documents whose blocks hold several components are paired across them by their
-  rare n-grams, again with the bound that follows from sizes and places.
+* What the product links is a component. Documents that share enough blocks with other components are paired across them by
+  their rare n-grams, again with the bound that follows from sizes and places.
 
 Documents with equal sets are one class and are compared once, and a large group of near copies costs a multiple of its
 size. Blocks and columns that very many documents share are salted, hubs are cut into tiles.
@@ -38,9 +38,8 @@ from .shingles import mix, shingle_sets, sliced
 
 #: Size classes grow by this factor; each has its own number of blocks.
 RATIO = 1.5
-#: Blocks of columns that the product is made in, by the first bits of the hash; it drops pairs after each of ROUNDS.
-PARTS = 8
-ROUNDS = ((0, 4), (4, 8))
+#: Blocks of columns that the product is made in, by the first bit of the hash; it drops pairs after each.
+PARTS = 2
 #: Members of a hub that meet it in one tile, and documents of a column that meet in one task.
 TILE = 4096
 #: One document in SAMPLE is asked which blocks very many share. This settles routes only, never a result.
@@ -88,17 +87,26 @@ def classes_of(size: int, num: int, den: int) -> list[int]:
     return [c, c + 1] if size * den >= lowest(c + 1) * num else [c]
 
 
-def block_keys(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
-    """The hashed contents of each document's non-empty blocks.
+def widest(c: int, size: int, num: int, den: int) -> int:
+    """The most columns in which a document can differ from a linked one, where the larger is in class c."""
+    return (den - num) * (size + min(lowest(c + 1) - 1, size * den // num)) // (den + num)
+
+
+def block_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The hashed contents of each document's non-empty blocks, and a code for each.
+
+    A document is keyed in one or two classes (see :func:`classes_of`). The lowest bit of a code says in which, the
+    others how many of these keys it shares with any document it links with there.
 
     A document with more empty blocks than are spared may be alike to a partner in empty blocks alone. Such a partner
     has as many; both also get their first n-grams as keys, so many that linked documents share one.
     """
     out: list[list[np.ndarray]] = [[] for _ in sets]
+    codes: list[list[np.ndarray]] = [[] for _ in sets]
     jobs = [(i, c, *blocks(c, num, den)) for i, s in enumerate(sets) if len(s) for c in classes_of(len(s), num, den)]
     jobs = [j for j in jobs if j[2]]
     if not jobs:
-        return [np.zeros(0, dtype=np.uint64) for _ in sets]
+        return [np.zeros(0, dtype=np.uint64) for _ in sets], [np.zeros(0, dtype=np.int32) for _ in sets]
     many = np.asarray([len(sets[i]) for i, *_ in jobs])
     count = np.asarray([b for *_, b, _ in jobs])
     first = np.concatenate(([0], np.cumsum(count)))
@@ -112,13 +120,16 @@ def block_keys(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     kind = np.asarray([c for _, c, *_ in jobs], dtype=np.uint64)
     keys = mix(sums + mix(kind[owner] * np.uint64(1 << 32) + (full - first[owner]).astype(np.uint64), 4), 5)
     ends = np.searchsorted(full, first)
-    for j, (i, _, n, spare) in enumerate(jobs):
+    for j, (i, c, n, spare) in enumerate(jobs):
         s, e = int(ends[j]), int(ends[j + 1])
-        out[i].append(keys[s:e])
+        size = len(sets[i])
+        own = [keys[s:e]]
         if n - (e - s) > spare:
-            size = len(sets[i])
-            out[i].append(mix(sets[i][: size - -(-size * num // den) + 1], 6))
-    return [np.concatenate(o) if o else np.zeros(0, dtype=np.uint64) for o in out]
+            own.append(mix(sets[i][: size - -(-size * num // den) + 1], 6))
+        share = max(1, e - s - widest(c, size, num, den))
+        out[i] += own
+        codes[i].append(np.full(sum(map(len, own)), 2 * share + (c != size_class(size)), dtype=np.int32))
+    return [np.concatenate(o) if o else np.zeros(0, dtype=np.uint64) for o in out], [np.concatenate(o) if o else np.zeros(0, dtype=np.int32) for o in codes]
 
 
 def profile(grams: np.ndarray) -> np.ndarray:
@@ -164,16 +175,23 @@ def set_rows(keyed: DataFrame, k: int) -> DataFrame:
 
 
 def key_rows(keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, key) of each document's blocks."""
+    """(node, key, code) of each document's blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for s, e in sliced(texts):
-                keys = block_keys(shingle_sets(texts[s:e], k), num, den)
-                yield pd.DataFrame({"node": pdf["node"].iloc[s:e], "keys": [x.view(np.int64) for x in keys]})
+                keys, codes = block_keys(shingle_sets(texts[s:e], k), num, den)
+                yield pd.DataFrame({"node": pdf["node"].iloc[s:e], "keys": [x.view(np.int64) for x in keys], "codes": codes})
+
+    rows = keyed.select("node", "text").mapInPandas(run, "node long, keys array<long>, codes array<int>")
+    return rows.select("node", F.explode(F.arrays_zip("keys", "codes")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.codes").alias("code"))
+
 
-    return keyed.select("node", "text").mapInPandas(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+def _sharing_enough(rows: DataFrame) -> DataFrame:
+    """Those of the rows (node, code, ...) whose document shares as many keys as its links need."""
+    enough = rows.groupBy("node", "code").count().filter("count >= shiftright(code, 1)").select("node", "code")
+    return rows.join(enough, ["node", "code"], "left_semi")
 
 
 def incidence(texts: DataFrame, k: int) -> DataFrame:
@@ -192,7 +210,7 @@ def incidence(texts: DataFrame, k: int) -> DataFrame:
 
 
 def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, need, late) of the pairs whose rows leave room for a link; ``late`` is the room in the second round."""
+    """(a, b, need, late) of the pairs whose rows leave room for a link; ``late`` is the room after the first block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,7 +220,7 @@ def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
             x, y = pdf["pa"].tolist(), pdf["pb"].tolist()
             for i in np.flatnonzero(fits).tolist():
                 r = room(np.frombuffer(x[i], dtype="<u4"), np.frombuffer(y[i], dtype="<u4"))
-                fits[i], late[i] = r.sum() >= need[i], r[ROUNDS[1][0] :].sum()
+                fits[i], late[i] = r.sum() >= need[i], r[1:].sum()
             yield pdf.loc[fits, ["a", "b"]].assign(need=need[fits], late=late[fits])
 
     fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
@@ -219,22 +237,22 @@ def product(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, num: in
     tile = F.pmod(F.xxhash64("b"), F.lit(max(1, math.ceil(most / TILE))))
     nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     rows = stored(incidence(keyed.join(nodes, "node", "left_semi"), k), "incidence")
-    for first, end in ROUNDS:
-        block = rows.filter((F.col("part") >= first) & (F.col("part") < end))
+    for part in range(PARTS):
+        block = rows.filter(F.col("part") == part)
         tiled = left.withColumn("tile", tile)
-        hubs = tiled.select("a", "tile").distinct().join(block, F.col("a") == F.col("node")).select("a", "tile", "part", F.col("grams").alias("ga"))
-        members = tiled.join(block, F.col("b") == F.col("node")).select("a", "tile", "part", "b", "need", "late", "c", F.col("grams").alias("gb"))
+        hubs = tiled.select("a", "tile").distinct().join(block, F.col("a") == F.col("node")).select("a", "tile", F.col("grams").alias("ga"))
+        members = tiled.join(block, F.col("b") == F.col("node")).select("a", "tile", "b", "need", "late", "c", F.col("grams").alias("gb"))
         overlap = F.sum(F.size(F.array_intersect("ga", "gb")))
-        added = members.join(hubs, ["a", "tile", "part"]).groupBy("a", "b", "need", "late", "c").agg(overlap.alias("more"))
+        added = members.join(hubs, ["a", "tile"]).groupBy("a", "b", "need", "late", "c").agg(overlap.alias("more"))
         more = F.col("c") + F.col("more")
-        rest = F.lit(0) if end == PARTS else F.col("late")
+        rest = F.lit(0) if part == PARTS - 1 else F.col("late")
         left = stored(added.filter(more + rest >= F.col("need")).select("a", "b", "need", "late", more.alias("c")), "overlaps")
     release(rows)
     return left.select("a", "b")
 
 
 def _shared_blocks(keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, node, lead) of the blocks that several documents share; ``lead`` is the smallest document of the block or,
+    """(key, node, code, lead, salt) of the blocks that several documents share; ``lead`` is the smallest document of the block or,
     in a block that very many share, of the document's own part of it."""
     asked = key_rows(keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0), k, num, den).groupBy("key").count().filter("count > 31")
     asked = stored(asked, "asked")
@@ -245,16 +263,18 @@ def _shared_blocks(keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int
         entries = entries.join(F.broadcast(hot), "key", "left")
     else:
         entries = entries.withColumn("salts", F.lit(None).cast("int"))
-    salted = entries.select("key", "node", F.coalesce(F.pmod(F.xxhash64("node"), "salts"), F.lit(-1)).cast("int").alias("salt"))
+    salted = entries.select("key", "node", "code", F.coalesce(F.pmod(F.xxhash64("node"), "salts"), F.lit(-1)).cast("int").alias("salt"))
     w = Window.partitionBy("key", "salt").orderBy("node")
-    found = salted.select("key", "node", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
-    return found.filter((F.col("salt") >= 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "lead", "salt")
+    found = salted.select("key", "node", "code", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    return found.filter((F.col("salt") >= 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "code", "lead", "salt")
 
 
 def near_classes(keyed: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, label) of the class representatives that link with others."""
     reps = stored(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.first("profile").alias("profile")).select("node", "n", "profile"), "reps")
-    shared = stored(_shared_blocks(keyed, reps, k, num, den), "blocks")
+    blocks_ = stored(_shared_blocks(keyed, reps, k, num, den), "blocks")
+    shared = stored(_sharing_enough(blocks_), "shared")
+    release(blocks_)
     parts = shared.filter("salt >= 0").select("key", "lead").distinct()  # at most SALTS for a block
     chief = parts.groupBy("key").agg(F.min("lead").alias("a"))
     star = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
@@ -274,10 +294,10 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
     large group that are alike but not enough differ in rare n-grams first, and do not meet. Columns of one component
     are left out, and only documents of like size meet in the others.
     """
-    held = stored(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "held")
+    held = stored(shared.join(labels, "node", "left").select("key", "node", "code", F.coalesce("label", "node").alias("label")), "held")
     spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
     spread = stored(spread.filter("low != high").select("key", "m"), "spread")
-    some = join_hot(held, spread, "key", "m", held.count()).select("node", "label").distinct()
+    some = _sharing_enough(join_hot(held, spread, "key", "m", held.count())).select("node", "label").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

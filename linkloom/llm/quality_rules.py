@@ -136,7 +136,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    hosts = _rates_of(_flags(measure(docs.select("text", F.col(host).alias("host"))), F.col("host")))
     rows = docs.select(whole_row(docs).alias("_row"), "doc_id", "text", F.col(host).alias("host"))
-    flags = _flags(measure(rows), F.col("_row"), F.col("doc_id"), F.col("host"))
-    return _with_verdict(flags, hosts).filter("kept").select("_row.*")
+    # texts are measured once: a corpus on disk is cheaper than reading its words again
+    flags = stored(_flags(measure(rows), F.col("_row"), F.col("doc_id"), F.col("host")), "measured")
+    return _with_verdict(flags, _rates_of(flags)).filter("kept").select("_row.*")

@@ -10,8 +10,8 @@ No model is brought to one place. Words and their contexts are dealt into bucket
 of the suffix tree is counted, pruned and used for scoring inside one bucket, and only sums per document leave it. What
 a very frequent context would bring together is spread out: its next words are counted beforehand with map-side combine
 in a table of their own, the same test is put to it there, and its rows are dealt by the next longer context, or by
-documents where that is as frequent too. A bucket gets the chances that it needs joined: those after frequent contexts,
-and unigram counts of rare words. Counts of the ``CODED`` most frequent words are everywhere. Batches of documents send
+documents where that is as frequent too. A bucket gets the counts that it needs joined: those after frequent contexts
+whose state is kept, and those of rare words. Counts of the ``CODED`` most frequent words are everywhere. Batches of documents send
 a bucket its rows in one compressed block each; words are whole in it, frequent ones by their number.
 
 Defined results: a null text is empty and has the end token alone; a null id hashes as the empty text for the split;
@@ -39,8 +39,8 @@ DEPTH = 3
 TOKENS_A_BUCKET = 1_000_000
 #: A context is frequent with more rows than this, and more than one in FREQUENT_SHARE of all, so at most so many are.
 FREQUENT_ROWS, FREQUENT_SHARE = 400_000, 1 << 20
-#: Words that are sent by number; their numbers and counts are broadcast.
-CODED = 65_534
+#: Most words that are sent by number; their numbers and counts (40 bytes a word) are broadcast.
+CODED = 1 << 19
 #: Code points of a batch of documents that is encoded together.
 BATCH = 8_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -164,7 +164,8 @@ def context_counts(rows: DataFrame, length: int, frequent: np.ndarray) -> DataFr
 
 
 def chances(table: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(ctx, w, p, loo): chance of ``w`` after frequent contexts of one length, and with one occurrence left out.
+    """(ctx, w, c, many, kinds, kept, p, loo): chance of ``w`` after frequent contexts of one length, and with one
+    occurrence left out.
 
     ``shorter`` has the same of the contexts one word shorter.
     """
@@ -179,33 +180,70 @@ def chances(table: DataFrame, shorter: DataFrame) -> DataFrame:
     p = F.when(use, (F.col("c") + F.col("kinds") * F.col("p0")) / F.greatest(F.col("many") + F.col("kinds"), F.lit(1))).otherwise(F.col("p0"))
     left = F.when(use & (F.col("c") > 0), loo).otherwise(F.col("loo0"))
     joined = each.join(F.broadcast(kept.select("ctx", F.lit(1).alias("kept"))), "ctx", "left")
-    return joined.select("ctx", "w", p.alias("p"), left.alias("loo"))
+    return joined.select("ctx", "w", "c", "many", "kinds", "kept", p.alias("p"), left.alias("loo"))
 
 
-def frequent_contexts(rows: DataFrame, counts: DataFrame, n_all: int, total: float) -> tuple[list[np.ndarray], DataFrame]:
-    """The hashes of the frequent contexts of each length, and (ctx, w, c, p, loo): chances after them; of the empty
-    context (0), only counts ``c``."""
+class Sums:
+    """How many words follow the frequent contexts whose state is kept, and how many different ones."""
+
+    def __init__(self, rows: pd.DataFrame):
+        ctx = rows["ctx"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(ctx)
+        self.ctx, self.many, self.kinds = ctx[order], rows["many"].to_numpy(dtype=np.float64)[order], rows["kinds"].to_numpy(dtype=np.float64)[order]
+
+    def kept(self, ctx: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """The rows whose context is one of these."""
+        at = np.flatnonzero(allowed)
+        return at[np.isin(ctx[at], self.ctx)]
+
+
+class Coder:
+    """Words by number: the most frequent ones by rank, the others of a block by their place after these."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, all_counts: np.ndarray):
+        self.words, self.counts, self.all_counts = words, counts, all_counts
+        self.rank = np.argsort(words)
+        self.sorted = words[self.rank]
+
+    def place(self, w: np.ndarray) -> np.ndarray:
+        """The rank of each word, -1 of those without."""
+        i = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
+        return np.where(self.sorted[i] == w, self.rank[i], -1)
+
+    def encode(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(words without a rank, the columns by number)."""
+        places = [self.place(c) for c in columns]
+        own = np.unique(np.concatenate([c[p < 0] for c, p in zip(columns, places, strict=True)]))
+        return own, [np.where(p >= 0, p, len(self.words) + np.searchsorted(own, c)) for c, p in zip(columns, places, strict=True)]
+
+
+def frequent_contexts(rows: DataFrame, counts: DataFrame, coder: Coder, n_all: int, total: float) -> tuple[list[np.ndarray], Sums, DataFrame]:
+    """The hashes of the frequent contexts of each length, the sums of those whose state is kept, and (ctx, w, c): what
+    follows these in training documents, and all words under the empty context (0).
+
+    A frequent context is made of words with a number.
+    """
     least = max(FREQUENT_ROWS, n_all // FREQUENT_SHARE)
-    found = counts.filter((F.col("n") > least) & (F.col("w") != int(END.view(np.int64)))).select("w").collect()  # FREQUENT_SHARE rows at most
-    words = {(r["w"] & (2**64 - 1),) for r in found} | {(int(START),)}
-    root = counts.select(F.lit(0).cast("long").alias("ctx"), "w", ((F.col("c") + 1) / F.lit(total)).alias("p"))
-    level = root.withColumn("loo", F.col("p"))
-    supply = counts.select(F.lit(0).cast("long").alias("ctx"), "w", "c", F.lit(0.0).alias("p"), F.lit(0.0).alias("loo"))
+    words = {(w,) for w in coder.words[(coder.all_counts > least) & (coder.words != END)].tolist()} | {(int(START),)}
+    level = counts.select(F.lit(0).cast("long").alias("ctx"), "w", ((F.col("c") + 1) / F.lit(total)).alias("p")).withColumn("loo", F.col("p"))
+    supply = counts.select(F.lit(0).cast("long").alias("ctx"), "w", "c")
     hot: list[np.ndarray] = []
+    sums: list[pd.DataFrame] = []
+    begun = longer(np.zeros(1, dtype=np.uint64), np.asarray([START]))[0]
     for length in range(1, DEPTH + 1):
         named = {int(chained([np.asarray([x], dtype=np.uint64) for x in context])[-1][0]): context for context in words}
         here = np.asarray(sorted(named), dtype=np.uint64)
-        begun = longer(np.zeros(1, dtype=np.uint64), np.asarray([START]))[0]
         hot.append(here[here != begun])
         if len(here):
             table = stored(context_counts(rows, length, here), "contexts")
             states = table.filter(F.col("ctx") != int(begun.view(np.int64)))
             level = stored(chances(states, level), "chances")
-            supply = supply.unionByName(level.select("ctx", "w", F.lit(0).cast("long").alias("c"), "p", "loo"))
+            sums.append(level.filter("kept = 1").groupBy("ctx").agg(F.first("many").alias("many"), F.first("kinds").alias("kinds")).toArrow().to_pandas())  # FREQUENT_SHARE rows at most
+            supply = supply.unionByName(level.filter("kept = 1").select("ctx", "w", "c"))
             often = table.filter((F.col("n") > least) & (F.col("w") != int(END.view(np.int64)))).select("ctx", "w").collect()  # FREQUENT_SHARE rows at most
             grown = {(r["w"] & (2**64 - 1), *named[r["ctx"] & (2**64 - 1)]) for r in often}
             words = {context for context in grown if context[:-1] in words}
-    return hot, supply
+    return hot, Sums(pd.concat(sums)), supply
 
 
 def frequent_length(ctx: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
@@ -216,26 +254,6 @@ def frequent_length(ctx: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Coder:
-    """Words by number: the most frequent ones by rank, the others of a block by their place after these."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.counts = words, counts
-        self.rank = np.argsort(words)
-        self.sorted = words[self.rank]
-
-    def place(self, w: np.ndarray) -> np.ndarray:
-        """The rank of each word, -1 of those without."""
-        i = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
-        return np.where(self.sorted[i] == w, self.rank[i], -1)
-
-    def encode(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(words without a rank, the columns by number)."""
-        places = [self.place(c) for c in columns]
-        own = np.unique(np.concatenate([c[p < 0] for c, p in zip(columns, places, strict=True)]))
-        return own, [np.where(p >= 0, p, len(self.words) + np.searchsorted(own, c)) for c, p in zip(columns, places, strict=True)]
-
-
 def block_of(before: list[np.ndarray], w: np.ndarray, doc: np.ndarray, train: np.ndarray, coder: Coder) -> bytes:
     """The rows of a batch that go to one bucket, ordered by context; all words are kept whole."""
     own, (w1, *rest) = coder.encode([*before, w])
@@ -251,18 +269,21 @@ def read_block(data: bytes, coder: Coder) -> tuple[list[np.ndarray], np.ndarray,
     return [words[np.repeat(last, runs)], *[words[r] for r in rest[:-1]]], words[rest[-1]], doc.astype(np.int64), np.unpackbits(train)
 
 
-def wanted(batches: Iterator[pd.DataFrame], coder: Coder, hot: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """(bucket, ctx, w): the different words that follow a frequent context in each bucket, and elsewhere (``ctx`` is 0)
-    those without a number."""
+def wanted(batches: Iterator[pd.DataFrame], coder: Coder, hot: list[np.ndarray], sums: Sums) -> Iterator[pd.DataFrame]:
+    """(bucket, ctx, w): the different words of each bucket that follow a frequent context whose state is kept, and
+    (``ctx`` is 0) those without a number."""
     found: dict[int, list[np.ndarray]] = {}
     for pdf in batches:
         for bucket, data in pdf.loc[~pdf["head"], ["bucket", "data"]].itertuples(index=False):
             before, w, *_ = read_block(data, coder)
             ctx = chained(before)
             longest = frequent_length(ctx, hot)
-            of = np.choose(longest, [np.zeros(len(w), dtype=np.uint64), *ctx])
-            ask = (longest > 0) | (coder.place(w) < 0)
-            found.setdefault(bucket, []).append(_distinct(np.stack((of[ask], w[ask]))))
+            own = w[coder.place(w) < 0]
+            asks = [np.stack((np.zeros(len(own), dtype=np.uint64), own))]
+            for length, c in enumerate(ctx, start=1):
+                at = sums.kept(c, longest >= length)
+                asks.append(np.stack((c[at], w[at])))
+            found.setdefault(bucket, []).append(_distinct(np.concatenate(asks, axis=1)))
             if len(found[bucket]) == 16:
                 found[bucket] = [_distinct(np.concatenate(found[bucket], axis=1))]
     for bucket, parts in found.items():
@@ -299,7 +320,7 @@ def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.nda
 
 
 def score_bucket(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, p: np.ndarray, loo: np.ndarray, longest: np.ndarray):
-    """(log10 of each row's word's chance, count of its last context word in training where that is not frequent).
+    """(log10 of each row's word's chance, count of its last context word in training, if that is not frequent).
 
     ``p`` and ``loo`` are the chances after the longest frequent context, of length ``longest``.
     """
@@ -313,6 +334,19 @@ def score_bucket(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, p:
     return np.log10(p), count
 
 
+def frequent_words(counts: DataFrame) -> pd.DataFrame:
+    """(w, c, n) of the most frequent words, ``CODED`` at most: all from such a frequency on as lets them fit."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    bins = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # at most 16 * 64 rows
+    least, many = 1 << 20, 0
+    for r in bins:
+        many += r["count"]
+        if many > CODED:
+            break
+        least = r["step"]
+    return counts.filter(step >= least).toArrow().to_pandas()
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -320,28 +354,31 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(rows), "words")
     s = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, n_all, n_words = s["c"] or 0, s["n"] or 0, s["v"]
-    ends = counts.filter(F.col("w") == int(END.view(np.int64))).select("c").first()
-    ends = ends["c"] if ends else 0
     buckets = max(1, -(-n_all // TOKENS_A_BUCKET))
     total = n_train + n_words + 1.0
-    hot, supply = frequent_contexts(rows, counts, n_all, total)
-    # the signs are coded first; the limit bounds what is broadcast, the counts of all other words are joined
-    top = counts.orderBy(F.desc("n"), "w").limit(CODED).select("w", "c").toPandas()
-    signs = np.asarray([START, BEYOND], dtype=np.uint64)
-    coded = Coder(np.concatenate((signs, top["w"].to_numpy(dtype=np.int64).view(np.uint64))), np.concatenate(([0, 0], top["c"].to_numpy(dtype=np.int64))))
-    shared = spark.sparkContext.broadcast((coded, hot))
+    # the signs are coded first, then words from a frequency on; what is rarer is asked for
+    top = frequent_words(counts).sort_values(["n", "w"], ascending=[False, True])
+    words = np.concatenate((np.asarray([START, BEYOND], dtype=np.uint64), top["w"].to_numpy(dtype=np.int64).view(np.uint64)))
+    coded = Coder(words, *[np.concatenate(([0, 0], top[x].to_numpy(dtype=np.int64))) for x in ("c", "n")])
+    hot, sums_of, supply = frequent_contexts(rows, counts, coded, n_all, total)
+    shared = spark.sparkContext.broadcast((coded, hot, sums_of))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, often = shared.value
+        coder, often, _ = shared.value
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_batches(batches)):
             batch = part * 10**6 + number
             w, starts = tokens(texts)
             train = ~held_out(ids)
             known_ids = np.asarray([i is not None for i in ids], dtype="<u1")
-            head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"))
-            yield pd.DataFrame({"batch": [batch], "bucket": [batch % buckets], "head": [True], "data": [head]})
             doc = np.repeat(np.arange(len(ids)), np.diff(starts))
+            # the base score of words with a number; that of the others is summed up where they are the last context word
+            place = coder.place(w)
+            c = np.where(place >= 0, coder.counts[place], 0)
+            base = np.bincount(doc, weights=np.log10(c + 1.0), minlength=len(ids)), np.bincount(doc, weights=c > 0, minlength=len(ids)).astype("<i8")
+            head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"), base[0].astype("<f8"), base[1])
+            yield pd.DataFrame({"batch": [batch], "bucket": [batch % buckets], "head": [True], "data": [head]})
+            del place, c
             since, before = preceding(w, starts)
             ctx = chained(before)
             # the shortest context that is not frequent says where a row goes; without one it may go anywhere
@@ -358,7 +395,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [block_of([x[o] for x in before], w[o], doc[o], train, coder)]})
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        coder, often = shared.value
+        coder, often, kept = shared.value
         sources: list[int] = []
         held: list[tuple] = []
         for batch, data in pdf.loc[~pdf["head"], ["batch", "data"]].itertuples(index=False):
@@ -371,44 +408,52 @@ def score_documents(docs: DataFrame) -> DataFrame:
         docs_of = [x[-2] for x in held]
         *before, w, train = (np.concatenate([x[i] for x in held]) for i in (*range(DEPTH + 1), DEPTH + 2))
         del held
-        ctx = chained(before)
-        longest = frequent_length(ctx, often)
+        pair = lambda c, x: mix(c * _U(0xE7037ED1A0B428DB) + x, 43)
+        answers = pair(*(known[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("ctx", "w")))
+        order = np.argsort(answers)
+        answers, answer = answers[order], known["c"].to_numpy()[order]
+        told = lambda c, x: answer[np.searchsorted(answers, pair(c, x))]
         place = coder.place(w)
-        p = (coder.counts[np.maximum(place, 0)] + 1.0) / total
+        c0 = coder.counts[place]
+        own = np.flatnonzero(place < 0)
+        if len(own):
+            c0[own] = told(np.zeros(len(own), dtype=np.uint64), w[own])
+        p = (c0 + 1.0) / total
         loo = p.copy()
-        ask = np.flatnonzero((longest > 0) | (place < 0))
-        if len(ask):
-            pair = lambda c, x: mix(c * _U(0xE7037ED1A0B428DB) + x, 43)
-            of = np.choose(longest[ask], [np.zeros(len(ask), dtype=np.uint64), *[c[ask] for c in ctx]])
-            answers = pair(*(known[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("ctx", "w")))
-            order = np.argsort(answers)
-            at = order[np.searchsorted(answers[order], pair(of, w[ask]))]
-            root = longest[ask] == 0
-            p[ask] = np.where(root, (known["c"].to_numpy()[at] + 1.0) / total, known["p"].to_numpy()[at])
-            loo[ask] = np.where(root, p[ask], known["loo"].to_numpy()[at])
-        del ctx, place
+        ctx = chained(before)
+        longest = frequent_length(ctx, often)
+        for length, context in enumerate(ctx, start=1):
+            at = kept.kept(context, longest >= length)
+            if len(at):
+                c, of = told(context[at], w[at]), np.searchsorted(kept.ctx, context[at])
+                many, kinds = kept.many[of], kept.kinds[of]
+                t = kinds - (c == 1)
+                left = ((c - 1) + t * loo[at]) / np.maximum(many - 1 + t, 1)
+                p[at] = (c + kinds * p[at]) / np.maximum(many + kinds, 1)
+                loo[at] = np.where(c > 0, left, loo[at])
+        del ctx, place, c0
         lp, count = score_bucket(before, w, train, p, loo, longest)
-        named = longest > 0
-        count[named] = coder.counts[coder.place(before[0][named])]
-        count[before[0] == START] = 0
+        uncoded = coder.place(before[0]) < 0
         at = 0
         for batch, doc in zip(sources, docs_of, strict=True):
             span = slice(at, at + len(doc))
             at += len(doc)
             own, i = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(i, weights=x) for x in (lp[span], np.log10(count[span] + 1), count[span] > 0)]
-            data = _squeeze(_narrow(own), sums[0].astype("<f8"), sums[1].astype("<f8"), _narrow(sums[2].astype(np.int64)))
-            out.append(pd.DataFrame({"batch": [batch], "head": [False], "data": [data]}))
+            parts = [_narrow(own), np.bincount(i, weights=lp[span]).astype("<f8")]
+            own, i = np.unique(doc[uncoded[span]], return_inverse=True)
+            c = count[span][uncoded[span]]
+            parts += [_narrow(own), np.bincount(i, weights=np.log10(c + 1)).astype("<f8"), _narrow(np.bincount(i, weights=c > 0).astype(np.int64))]
+            out.append(pd.DataFrame({"batch": [batch], "head": [False], "data": [_squeeze(*parts)]}))
         return pd.concat(out, ignore_index=True)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, known_ids, n = _spread(pdf.loc[pdf["head"], "data"].iloc[0])
-        score_, base, known = np.zeros(len(ids)), np.full(len(ids), np.log10(ends + 1.0)), np.full(len(ids), int(ends > 0))
+        ids, known_ids, n, base, known = _spread(pdf.loc[pdf["head"], "data"].iloc[0])
+        score_, base, known = np.zeros(len(ids)), base.copy(), known.copy()
         for data in pdf.loc[~pdf["head"], "data"]:
-            own, lp, logs, seen = _spread(data)
+            own, lp, rare, logs, seen = _spread(data)
             score_[own] += lp
-            base[own] += logs
-            known[own] += seen
+            base[rare] += logs
+            known[rare] += seen
         name = [int(i) if k else None for i, k in zip(ids, known_ids, strict=True)]
         return pd.DataFrame(
             {
@@ -425,7 +470,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # dealt is shuffled once: the plan reuses its exchange for what buckets ask for
     dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartition(buckets, "bucket")
     known = dealt.mapInPandas(lambda batches: wanted(batches, *shared.value), "bucket int, ctx long, w long").join(supply, ["ctx", "w"])
-    known = known.select("bucket", "ctx", "w", "c", "p", "loo")
+    known = known.select("bucket", "ctx", "w", "c")
     sums = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(combine, schema)

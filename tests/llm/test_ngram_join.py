@@ -70,7 +70,7 @@ def test_shingles():
 def test_similar_sets_share_a_block(num, k):
     ts = [t for seed in range(6) for t in corpus(seed)]
     sets = shingle_sets(ts, k)
-    keys = [set(x.tolist()) for x in nj.block_keys(sets, num, 100)]
+    keys = [dict(zip(x.tolist(), c.tolist(), strict=True)) for x, c in zip(*nj.block_keys(sets, num, 100), strict=True)]
     exact = brute_sets(ts, k)
     links = 0
     for i in range(len(ts)):
@@ -83,7 +83,10 @@ def test_similar_sets_share_a_block(num, k):
                 assert link == (len(a & b) >= nj.needed(len(a), len(b), num, 100))
             if link and a != b:
                 links += 1
-                assert keys[i] & keys[j]
+                both = keys[i].keys() & keys[j].keys()
+                # in one class at least, both share as many keys as their codes say
+                assert any(sum(keys[i][y] == code for y in both) >= code >> 1 for code in set(keys[i].values()))
+                assert any(sum(keys[j][y] == code for y in both) >= code >> 1 for code in set(keys[j].values()))
     assert links > 100
 
 
@@ -93,7 +96,7 @@ def test_short_of_full_blocks():
         base = rng.integers(0, 2**63, rng.integers(5, 40), dtype=np.uint64)
         a, b = np.unique(base), np.unique(np.append(base[: len(base) - len(base) // 12], rng.integers(0, 2**63, 1, dtype=np.uint64)))
         if len(np.intersect1d(a, b)) >= nj.needed(len(a), len(b), 80, 100):
-            x, y = nj.block_keys([a, b], 80, 100)
+            (x, y), _ = nj.block_keys([a, b], 80, 100)
             assert set(x.tolist()) & set(y.tolist())
 
 
@@ -112,7 +115,7 @@ def test_blocks_that_are_empty_beyond_the_spared_ones():
     few = pool[nj.mix(pool, 1) % np.uint64(n) < 3][:60]
     a, b = np.unique(few), np.unique(np.append(few[:-4], pool[:2]))
     assert n - 3 > spare and len(a) == 60
-    x, y = nj.block_keys([a, b], 80, 100)
+    (x, y), _ = nj.block_keys([a, b], 80, 100)
     assert set(x.tolist()) & set(y.tolist()) and len(x) < 60
 
 

@@ -72,11 +72,20 @@ def test_blocks_keep_words_whole():
     w2 = np.asarray([7, 7 + (1 << 60), 7 + (1 << 20), 7], dtype=np.uint64)
     w = np.asarray([9, 9, 9 + (1 << 40), 9 + (1 << 50)], dtype=np.uint64)
     w1 = np.full(4, 5, dtype=np.uint64)
-    coder = lm.Coder(np.asarray([9, 3, 7 + (1 << 20)], dtype=np.uint64), np.zeros(3))
+    coder = lm.Coder(np.asarray([9, 3, 7 + (1 << 20)], dtype=np.uint64), np.zeros(3), np.zeros(3))
     before, word, doc, _ = lm.read_block(lm.block_of([w1, w2, w2], w, np.arange(4), np.ones(4, dtype=bool), coder), coder)
     assert sorted(zip(*(x.tolist() for x in (*before, word, doc)), strict=True)) == sorted(zip(w1.tolist(), w2.tolist(), w2.tolist(), w.tolist(), range(4), strict=True))
 
 
+def test_coded_words_are_bounded(spark, monkeypatch):
+    counts = spark.createDataFrame([(w, 1, 1 + w * w) for w in range(100)], "w long, c long, n long")
+    for most in (0, 7, 60, 1000):
+        monkeypatch.setattr(lm, "CODED", most)
+        found = lm.frequent_words(counts)
+        assert most * 0.5 <= len(found) <= most or len(found) == 100
+        assert sorted(found["w"]) == list(range(100 - len(found), 100))
+
+
 def test_root_counts_are_exact(spark):
     # nothing is kept of a document without words but the chance of its end token, which has no context
     texts = [" ".join(f"w{i * 7 + j}" for j in range(40)) for i in range(200)] + [""] * 37
@@ -123,12 +132,15 @@ def scores(rows):
     return {d: sum(math.log10(at(tuple(ws[max(i - lm.DEPTH, 0) : i]) if i > 1 else (), ws[i])[0]) for i in range(1, len(ws))) for d, ws in docs}
 
 
-@pytest.mark.parametrize(("tokens_a_bucket", "frequent", "coded"), [(1_500_000, 400_000, 65_534), (2_000, 400_000, 10), (2_000, 60, 10), (9_000, 10, 2_000)])
+@pytest.mark.parametrize(("tokens_a_bucket", "frequent", "coded"), [(1_500_000, 400_000, 1 << 20), (2_000, 400_000, 10), (2_000, 60, 10), (9_000, 10, 2_000)])
 def test_scores_against_definition(spark, monkeypatch, tokens_a_bucket, frequent, coded):
     monkeypatch.setattr(lm, "TOKENS_A_BUCKET", tokens_a_bucket)
     monkeypatch.setattr(lm, "FREQUENT_ROWS", frequent)
     monkeypatch.setattr(lm, "CODED", coded)
     docs = table(spark, corpus() + ["the of the of and the of the"] * 70)
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
-    want = scores([(r["doc_id"], r["text"]) for r in docs.collect()])
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    bases = {r["doc_id"]: (round(r["base_score"], 6), r["n_known"]) for r in lm.score_documents(docs).collect()}
+    assert bases == {d: (b, k) for d, _, _, k, _, b in base(rows)}
+    want = scores(rows)
     assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6

@@ -40,7 +40,7 @@ def location_veto(a: Column, b: Column) -> Column:
 
 def country_of_league(norm: Column, whole_word: bool = False) -> Column:
     """The country that a league's normalised name gives away, longest abbreviation first; '' if none does (F16)."""
-    pairs = sorted(((abbr, country) for country, found in fixed.ABBREVIATIONS.items() for abbr in found), key=lambda p: (-len(p[0]), p[0]))
+    pairs = sorted(fixed.ABBREVIATIONS.items(), key=lambda p: (-len(p[0]), p[0]))
 
     def look(n: Column) -> Column:
         padded = F.concat(F.lit(" "), n, F.lit(" "))

@@ -258,16 +258,17 @@ def is_placeholder(name: Column) -> Column:
 
 def offline_normalize(name: Column, strip_clubs: bool = False) -> Column:
     """The offline tools' normal form: quotes are spaces; optionally without brackets and short club types."""
-    c = F.translate(F.lower(strip_marks(F.coalesce(name, F.lit("")))), "·.-_,'\"", "       ")
+    c = F.translate(F.lower(strip_marks(F.coalesce(name, F.lit("")))), "·.-_,'\"|", "        ")
     if strip_clubs:
         c = F.regexp_replace(F.translate(c, "()[]", "    "), r"\b(fc|sc|ac|fk|sk)\b", " ")
     return _spaces(c)
 
 
 def offline_similarity(a: Column, b: Column, strip_clubs: bool = False) -> Column:
+    """The better of Jaccard and sequence ratio of the normal forms; 1 for two empty names, 0 for one."""
     x, y = offline_normalize(a, strip_clubs), offline_normalize(b, strip_clubs)
-    parts = [jaccard(token_set(x), token_set(y)), sequence_ratio(x, y)]
-    return F.greatest(*parts, *([jaro_winkler(x, y)] if strip_clubs else []))
+    parts = [jaccard(token_set(x), token_set(y)), sequence_ratio(x, y), *([jaro_winkler(x, y)] if strip_clubs else [])]
+    return F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).otherwise(F.greatest(*parts))
 
 
 def virtual_reason(name: Column) -> Column:

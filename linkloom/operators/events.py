@@ -8,6 +8,7 @@ league, distributed. The stateless forms (best by tier, unique candidate, id pai
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import forms_similarity, is_placeholder, team_forms
+from ..functions.text import forms_similarity, is_placeholder, offline_similarity, team_forms
 from ..functions.timing import gaussian_time, round3, utc_day
 from .blocking import time_window_join
 from .lineage import cut
@@ -23,6 +24,8 @@ from .lineage import cut
 L5_GAP, L5_NAME = 30 * 86400, 0.90
 L6_GAP, L6_CONFIDENCE = 300, 0.70
 ALIAS_LEARN, ALIAS_SCORE = 0.50, 0.92
+#: Begins the key of a team without an id.
+NAMED = "\x01"
 RESULT = (
     "league_id string, event_id string, target_id string, rule string, confidence double, time_diff bigint, matched boolean, "
     "home_id string, away_id string, target_home_id string, target_away_id string"
@@ -142,15 +145,36 @@ def match_league(source: pd.DataFrame, target: pd.DataFrame, sims: dict, team_ma
     return out
 
 
-def team_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(league_id, home, away, sim): name similarity of each distinct (source team, target team) of a league."""
-    teams = lambda d: d.select("league_id", F.explode(F.array(F.struct(F.col("home_id").alias("t"), F.col("home_name").alias("n")), F.struct(F.col("away_id").alias("t"), F.col("away_name").alias("n")))).alias("x")).select("league_id", "x.t", "x.n").distinct()  # noqa: E731, E501
+def team_key(side: str) -> Column:
+    """What a team goes by in a league: its id or, without one, its name."""
+    team = F.coalesce(F.col(f"{side}_id").cast("string"), F.lit(""))
+    return F.when(team != "", team).otherwise(F.concat(F.lit(NAMED), F.coalesce(F.col(f"{side}_name"), F.lit(""))))
+
+
+def _id_of(key: str) -> Column:
+    return F.when(F.col(key).startswith(NAMED), "").otherwise(F.col(key)).alias(key)
+
+
+def team_name(side: str) -> Column:
+    return F.coalesce(F.col(f"{side}_name"), F.lit(""))
+
+
+def team_pairs(source: DataFrame, target: DataFrame, scores: Callable[[DataFrame], DataFrame] | None = None, key: Callable[[str], Column] = team_key) -> DataFrame:
+    """(league_id, s, t, sim): name similarity of each distinct (source team, target team) of a league, by their keys."""
+    side = lambda x: F.struct(key(x).alias("t"), team_name(x).alias("n"))
+    teams = lambda d: d.select("league_id", F.explode(F.array(side("home"), side("away"))).alias("x")).select("league_id", "x.t", "x.n").distinct()
     a, b = teams(source).toDF("league_id", "s", "sn"), teams(target).toDF("league_id", "t", "tn")
     pairs = a.join(b, "league_id")
-    scored = name_pair_scores(pairs.select(F.col("sn").alias("x"), F.col("tn").alias("y"))).toDF("sn", "tn", "sim")
+    scored = (scores or name_pair_scores)(pairs.select(F.col("sn").alias("x"), F.col("tn").alias("y"))).toDF("sn", "tn", "sim")
     return pairs.join(scored, ["sn", "tn"]).groupBy("league_id", "s", "t").agg(F.max("sim").alias("sim"))
 
 
+def offline_pair_scores(pairs: DataFrame) -> DataFrame:
+    """(x, y, sim) of the distinct pairs of names, by the offline tools' similarity."""
+    pairs = pairs.distinct()
+    return pairs.select("x", "y", offline_similarity(F.col("x"), F.col("y")).alias("sim"))
+
+
 def name_pair_scores(pairs: DataFrame) -> DataFrame:
     """(x, y, sim) of the distinct pairs (x, y) of names: each name is brought into its forms once, each pair compared once."""
     pairs = pairs.distinct()
@@ -171,8 +195,8 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
         F.lit(side).alias("side"),
         F.col("event_id").alias("id"),
         F.col("start_unix").alias("start"),
-        F.col("home_id").alias("home"),
-        F.col("away_id").alias("away"),
+        team_key("home").alias("home"),
+        team_key("away").alias("away"),
         slot.alias("slot"),
         F.lit(None).cast("double").alias("sim"),
     )
@@ -192,7 +216,9 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
         names = [x.split()[0] for x in RESULT.split(", ")]
         return pd.DataFrame([(pdf["league_id"].iloc[0], *r) for r in rows], columns=names)
 
-    return s.unionByName(t).unionByName(p).groupBy("league_id").applyInPandas(run, RESULT)
+    found = s.unionByName(t).unionByName(p).groupBy("league_id").applyInPandas(run, RESULT)
+    keys = ("home_id", "away_id", "target_home_id", "target_away_id")
+    return found.select(*[_id_of(c) if c in keys else F.col(c) for c in found.columns])
 
 
 def two_rounds(source: DataFrame, target: DataFrame, vote) -> DataFrame:
@@ -246,9 +272,12 @@ def id_pair_matches(source: DataFrame, target: DataFrame, team_map: DataFrame) -
 
 
 def level_major(source: DataFrame, target: DataFrame, levels=((300, 0.40), (21600, 0.65), (None, 0.75), (259200, 0.85))) -> DataFrame:
-    """The offline matcher (E10): all events at the first level, then those left at the next; sides may be swapped."""
-    sims = team_pairs(source, target)
-    row = lambda d, side: d.select("league_id", F.lit(side).alias("side"), F.col("event_id").alias("id"), F.col("start_unix").alias("start"), F.col("home_id").alias("home"), F.col("away_id").alias("away"), F.lit(None).cast("double").alias("sim"))  # noqa: E731, E501
+    """The offline matcher (E10): all events at the first level, then those left at the next; sides may be swapped.
+
+    Teams are their names, compared by the offline similarity; an event without a time matches at no level.
+    """
+    sims = team_pairs(source, target, offline_pair_scores, team_name)
+    row = lambda d, side: d.select("league_id", F.lit(side).alias("side"), F.col("event_id").alias("id"), F.coalesce("start_unix", F.lit(0)).alias("start"), team_name("home").alias("home"), team_name("away").alias("away"), F.lit(None).cast("double").alias("sim"))  # noqa: E731, E501
     p = sims.select("league_id", F.lit("p").alias("side"), F.lit("").alias("id"), F.lit(0).cast("long").alias("start"), F.col("s").alias("home"), F.col("t").alias("away"), "sim")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -259,12 +288,12 @@ def level_major(source: DataFrame, target: DataFrame, levels=((300, 0.40), (2160
         times, free, done = t["start"].to_numpy(), np.ones(len(t), dtype=bool), {}
         for level, (gap, least) in enumerate(levels, 1):
             for e in s.itertuples(index=False):
-                if e.id in done:
+                if e.id in done or not e.start:
                     continue
                 low, high = (e.start - gap, e.start + gap) if gap is not None else (e.start // DAY * DAY, e.start // DAY * DAY + DAY - 1)
                 best, at = -1.0, -1
                 for j in range(np.searchsorted(times, low, "left"), np.searchsorted(times, high, "right")):
-                    if not free[j] or (gap is None and not (e.start and times[j])):
+                    if not free[j] or not times[j]:
                         continue
                     get = lambda a, b: table.get((a, b), 0.0)
                     n = max(get(e.home, t["home"][j]) + get(e.away, t["away"][j]), get(e.home, t["away"][j]) + get(e.away, t["home"][j])) / 2
@@ -276,7 +305,7 @@ def level_major(source: DataFrame, target: DataFrame, levels=((300, 0.40), (2160
         rows = []
         for e in s.itertuples(index=False):
             j, level, score = done.get(e.id, (-1, 0, 0.0))
-            rows.append((e.league_id, e.id, t["id"][j] if level else "", f"EVENT_L{level}" if level else "EVENT_NO_MATCH", _round(score), bool(level)))
+            rows.append((e.league_id, e.id, t["id"][j] if level else "", f"EVENT_L{level}" if level else "EVENT_NO_MATCH", round(score, 4), bool(level)))
         return pd.DataFrame(rows, columns=["league_id", "event_id", "target_id", "rule", "confidence", "matched"])
 
     return row(source, "s").unionByName(row(target, "t")).unionByName(p).groupBy("league_id").applyInPandas(run, "league_id string, event_id string, target_id string, rule string, confidence double, matched boolean")

@@ -120,7 +120,8 @@ def _sorted_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def resolve(scored: DataFrame, least: float = LEAST, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(matches, conflicts): greedy one-to-one over all edges by score, source, target.
+    """(matches, conflicts): greedy one-to-one over all edges by score, source, target (R3). Edges below ``least`` are
+    reported with the conflicts, without a winner.
 
     Edges that are first for both their source and their target are taken at once, and the edges of both ends fall away;
     repeated until no edge is left, this takes exactly the edges that the sorted greedy pass takes. Ties and chains can
@@ -150,16 +151,21 @@ def resolve(scored: DataFrame, least: float = LEAST, rounds: int = 100) -> tuple
     by_source = taken.select("event_id", F.col("target_id").alias("_wt"), F.col("score").alias("_ws"))
     by_target = taken.select("target_id", F.col("event_id").alias("_we"), F.col("score").alias("_wts"))
     joined = lost.join(by_source, "event_id", "left").join(by_target, "target_id", "left")
-    used = F.col("_we").isNotNull()
+    # what the sorted pass would say: the source first, if it was taken before the edge's turn
+    before = (F.col("_ws") > F.col("score")) | ((F.col("_ws") == F.col("score")) & (F.col("_wt") < F.col("target_id")))
+    source_first = F.coalesce(before, F.lit(False)) | F.col("_we").isNull()
     conflicts = joined.select(
         "event_id",
         "target_id",
         "score",
-        F.when(used, F.col("_we")).otherwise(F.col("event_id")).alias("winner_event_id"),
-        F.when(used, F.col("target_id")).otherwise(F.col("_wt")).alias("winner_target_id"),
-        round3(F.when(used, F.col("_wts")).otherwise(F.col("_ws")) - F.col("score")).alias("gap"),
-        F.when(used, "CONFLICT_TS_USED").otherwise("CONFLICT_SR_USED").alias("reason"),
+        F.when(source_first, F.col("event_id")).otherwise(F.col("_we")).alias("winner_event_id"),
+        F.when(source_first, F.col("_wt")).otherwise(F.col("target_id")).alias("winner_target_id"),
+        round3(F.when(source_first, F.col("_ws")).otherwise(F.col("_wts")) - F.col("score")).alias("gap"),
+        F.when(source_first, "CONFLICT_SR_USED").otherwise("CONFLICT_TS_USED").alias("reason"),
     )
+    low = scored.filter(F.coalesce(F.col("score") < least, F.lit(True)))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in conflicts.dtypes[3:6]]
+    conflicts = conflicts.unionByName(low.select("event_id", "target_id", "score", *none, F.lit("BELOW_AUTO_THRESHOLD").alias("reason")))
     return taken, conflicts
 
 

@@ -37,8 +37,7 @@ def gender(norm: Column) -> Column:
 
 
 def age_group(norm: Column) -> Column:
-    ages = {f"u{n}": [form.format(n) for form in fixed.AGE_FORMS] for n in fixed.AGES}
-    return _ladder(norm, {**ages, "youth": fixed.YOUTH})
+    return _ladder(norm, fixed.AGES)
 
 
 def region(norm: Column) -> Column:
@@ -57,7 +56,7 @@ def tier(norm: Column) -> Column:
         n = got.try_cast("int")
         letter = F.when(got.rlike("^[a-e]$"), F.ascii(got) - 96)
         tries.append(F.coalesce(F.when(n.between(1, 10), n), letter))
-    words = sorted(((w, n) for n, ws in fixed.ORDINAL_TIERS.items() for w in ws), key=lambda p: (-len(p[0]), p[0]))
+    words = sorted(fixed.ORDINAL_TIERS.items(), key=lambda p: (-len(p[0]), p[0]))
     by_word = reduce(lambda c, p: c.when(norm.contains(p[0]), p[1]), words, F.when(F.lit(False), 0))
     roman = F.regexp_extract(norm, fixed.LONE_ROMAN, 1)
     by_roman = reduce(lambda c, kv: c.when(roman == kv[0], kv[1]), fixed.ROMAN.items(), F.when(F.lit(False), 0))

@@ -113,16 +113,16 @@ def best_even_if_low(leagues: DataFrame, candidates: DataFrame, index: DataFrame
 
 
 def offline_score(a: str, b: str, country_a: str, country_b: str, discount: bool = False) -> Column:
-    """The offline tools' league score (L15 with ``discount``, L16 without): place veto, boost, and a fuzzy-region factor."""
-    base = text.offline_similarity(F.col(a), F.col(b))
-    known_b = F.coalesce(F.col(country_b), F.lit("")) != ""
-    known = (F.coalesce(F.col(country_a), F.lit("")) != "") & known_b
-    g = geo.geo_similarity(F.col(country_a), F.col(country_b))
+    """The offline tools' league score (L15 with ``discount``, L16 without): place veto, boost, and a fuzzy-region factor.
+
+    Places are compared like names. International places are spared the veto only. The discount is for a national source
+    whose target has no place.
+    """
+    place = lambda c: F.coalesce(F.col(c), F.lit(""))
+    known_a, known_b = place(country_a) != "", place(country_b) != ""
     world = geo.is_international(F.col(country_a)) | geo.is_international(F.col(country_b))
-    scored = (
-        F.when(~known | world, base)
-        .when(g < 0.4, 0.0)
-        .when(g >= 0.6, 0.75 * base + 0.25 * g)
-        .otherwise(base * (0.70 + 0.30 * (g - 0.4) / 0.2))
-    )
-    return F.when(~known_b & (base < 0.75), scored * 0.90).otherwise(scored) if discount else scored
+    base, g = text.offline_similarity(F.col(a), F.col(b)), text.offline_similarity(F.col(country_a), F.col(country_b))
+    near = F.when(g >= 0.6, 0.75 * base + 0.25 * g).when(g >= 0.4, base * (0.70 + 0.30 * (g - 0.4) / 0.2)).otherwise(base)
+    score = F.when(known_a & known_b, F.when(~world & (g < 0.4), 0.0).otherwise(near)).otherwise(base)
+    lone = known_a & ~known_b & ~geo.is_international(F.col(country_a)) & (base < 0.75)
+    return F.when(lone, base * 0.90).otherwise(score) if discount else score

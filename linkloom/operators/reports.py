@@ -57,7 +57,16 @@ def sport_summary(matches: DataFrame) -> DataFrame:
 
 
 def with_totals(stats: DataFrame, label: str) -> DataFrame:
-    """A grand-total row under per-group statistics (K3)."""
+    """A grand-total row under per-group statistics (K3): counts add up, the rate is that of the sums, and the mean
+    confidence weighs each group by its matches."""
     numbers = [c for c, k in stats.dtypes if k in ("bigint", "int") and c != label]
-    total = stats.agg(*[F.sum(c).alias(c) for c in numbers]).withColumn(label, F.lit("TOTAL"))
+    parts = [F.sum(c).alias(c) for c in numbers]
+    if {"avg_confidence", "n_matched"} <= set(stats.columns):
+        parts.append(F.sum(F.col("avg_confidence") * F.col("n_matched")).alias("_weight"))
+    total = stats.agg(*parts).withColumn(label, F.lit("TOTAL"))
+    three = lambda x: F.floor(x * 1000 + 0.5) / 1000
+    if {"rate", "n_matched", "total"} <= set(stats.columns):
+        total = total.withColumn("rate", F.when(F.col("total") > 0, three(F.col("n_matched") / F.col("total"))).otherwise(0.0))
+    if "_weight" in total.columns:
+        total = total.withColumn("avg_confidence", F.when(F.col("n_matched") > 0, three(F.col("_weight") / F.col("n_matched"))).otherwise(0.0)).drop("_weight")
     return stats.unionByName(total, allowMissingColumns=True)

@@ -5,6 +5,8 @@ A store is a folder of versions, each a Parquet table; a write merges into a new
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,29 +20,33 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _pointer(self) -> int:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+    def _latest(self) -> tuple[int, str]:
+        """Number and name of the newest version that was written to its end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        hadoop = path(f"{self.path}/versions")
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop):
-            return 0
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=0)
+            return 0, ""
+        done = [s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        return max(((int(n[1:].split("-")[0]), n) for n in done), default=(0, ""))
 
     def read(self) -> DataFrame:
-        n = self._pointer()
+        n, name = self._latest()
         if not n:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/v{n}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/{name}")
 
     def write(self, rows: DataFrame) -> None:
-        """A version counts once its success marker is there, so readers never see half of one."""
-        rows.write.parquet(f"{self.path}/versions/v{self._pointer() + 1}")
+        """A version counts once its success marker is there, so readers never see half of one. Each attempt has a name
+        of its own: what a write that died has left is in nobody's way."""
+        rows.write.parquet(f"{self.path}/versions/v{self._latest()[0] + 1}-{uuid.uuid4().hex}")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` with the rows of ``new`` merged in (A1): votes add up, the newest confidence and time stay."""
+    """``old`` with the rows of ``new`` merged in (A1): votes add up, the newest confidence and time stay (of rows of one
+    time, those of the highest confidence)."""
     both = old.unionByName(new)
-    newest = F.max_by(F.struct("sport", "confidence", "origin"), "last_seen")
+    newest = F.max_by(F.struct("sport", "confidence", "origin"), F.struct("last_seen", "confidence", "sport", "origin"))
     merged = both.groupBy(*KEY).agg(F.sum("votes").alias("votes"), F.max("last_seen").alias("last_seen"), newest.alias("x"))
     return merged.select(*KEY, "x.sport", "votes", "x.confidence", "last_seen", "x.origin")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import virtual_reason
@@ -94,13 +94,18 @@ def learned_aliases(result: Result, sport: str, as_of: int) -> DataFrame:
 def bulk(inputs: Inputs) -> Result:
     """The yearly bulk run (W5): leagues played on a screen are left out, scores are the offline ones, matching goes level by level."""
     real = inputs.tournaments.filter(virtual_reason(F.col("name")).isNull())
+    sure = None
+    if inputs.known is not None:
+        sure = real.join(inputs.known, ["sport", "id"]).select("id", "competition_id", F.lit(1.0).alias("confidence"), F.lit("LEAGUE_KNOWN").alias("rule"))
+        real = real.join(inputs.known, ["sport", "id"], "left_anti")
     named = real.select("id", F.col("name").alias("league_name"), "sport", "category_name")
     pairs = named.join(_candidates(inputs.target_tournaments), "sport")
     scored = pairs.withColumn("score", leagues.offline_score("league_name", "competition_name", "category_name", "country"))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("competition_id", "score"), F.struct("score", F.col("candidate_seq"))).alias("x"))
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "candidate_seq")  # the first candidate wins ties
+    best = scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("id", F.struct("competition_id", "score").alias("x"))
     rule = leagues.rule_of(F.col("x.score"))
     found = best.select("id", F.when(rule != "LEAGUE_NO_MATCH", F.col("x.competition_id")).otherwise("").alias("competition_id"), round3(F.col("x.score")).alias("confidence"), rule.alias("rule"))
-    found = cut(found)  # small, and used by everything that follows
+    found = cut(found if sure is None else found.unionByName(sure))  # small, and used by everything that follows
     linked = found.filter("competition_id <> ''").select(F.col("id").alias("league_id"), "competition_id")
     s = inputs.events.join(linked, F.col("tournament_id") == F.col("league_id")).withColumnRenamed("id", "event_id")
     t = inputs.target_events.join(linked, F.col("tournament_id") == F.col("competition_id")).withColumnRenamed("id", "event_id")
@@ -113,5 +118,6 @@ def league_export(tournaments: DataFrame, target: DataFrame) -> DataFrame:
     named = tournaments.select("id", F.col("name").alias("league_name"), "sport", "category_name")
     pairs = named.join(_candidates(target), "sport")
     scored = pairs.withColumn("score", leagues.offline_score("league_name", "competition_name", "category_name", "country", discount=True))
-    best = scored.groupBy("id", "league_name").agg(F.max_by(F.struct("competition_id", "competition_name", "score"), "score").alias("x"))
-    return best.select("id", "league_name", "x.*").withColumn("rule", leagues.rule_of(F.col("score")))
+    w = Window.partitionBy("id", "league_name").orderBy(F.col("score").desc(), "candidate_seq")  # the first candidate wins ties
+    best = scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    return best.select("id", "league_name", "competition_id", "competition_name", "score").withColumn("rule", leagues.rule_of(F.col("score")))

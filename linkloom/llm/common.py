@@ -109,6 +109,27 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+#: Join keys that a hot key is spread over.
+HOT_SALTS = 256
+
+
+def salt_of(key: str, hot: list, by: list[str], salts: int) -> Column:
+    """Which of ``salts`` parts of its key a row is in, by a hash of the columns ``by``; -1 where the key is not hot."""
+    return F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(-1).cast("int")
+
+
+def join_salted(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """As :func:`join_hot`, but by one plan whatever the keys: hot keys are spread over ``HOT_SALTS`` join keys.
+
+    Only the hot keys themselves go through the driver: fewer than ``HOT_SHARE`` numbers. ``per_key`` is read twice and should
+    be a stored table.
+    """
+    hot = [r[0] for r in per_key.filter(is_hot(n, total)).select(key).collect()]
+    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    spread = per_key.drop(n).withColumn("_part", F.explode(salts))
+    return rows.withColumn("_part", salt_of(key, hot, rows.columns, HOT_SALTS)).join(spread, [key, "_part"]).drop("_part")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, join_hot, release, stored, whole_row, with_key
+from .common import HOT_SHARE, join_salted, release, salt_of, stored, whole_row, with_key
 from .graph import components
 from .shingles import mix, shingle_sets, sliced
 
@@ -227,7 +227,7 @@ def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     hubs = stored(fan.join(reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a"), "hubs")
     total = hubs.agg(F.sum("fan")).first()[0] or 0
     members = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-    return join_hot(pairs, hubs, "a", "fan", total).join(members, "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(run, "a long, b long, need long, late long")
+    return join_salted(pairs, hubs, "a", "fan", total).join(members, "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(run, "a long, b long, need long, late long")
 
 
 def product(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -257,13 +257,9 @@ def _shared_blocks(keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int
     asked = key_rows(keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0), k, num, den).groupBy("key").count().filter("count > 31")
     asked = stored(asked, "asked")
     total = asked.agg(F.sum("count")).first()[0] or 0
-    hot = asked.filter(F.col("count") * HOT_SHARE > total).select("key", F.lit(SALTS).alias("salts"))  # fewer than HOT_SHARE rows
+    hot = [r[0] for r in asked.filter(F.col("count") * HOT_SHARE > total).select("key").collect()]  # fewer than HOT_SHARE numbers
     entries = key_rows(keyed.join(reps.select("node"), "node", "left_semi"), k, num, den)
-    if not hot.isEmpty():
-        entries = entries.join(F.broadcast(hot), "key", "left")
-    else:
-        entries = entries.withColumn("salts", F.lit(None).cast("int"))
-    salted = entries.select("key", "node", "code", F.coalesce(F.pmod(F.xxhash64("node"), "salts"), F.lit(-1)).cast("int").alias("salt"))
+    salted = entries.select("key", "node", "code", salt_of("key", hot, ["node"], SALTS).alias("salt"))
     w = Window.partitionBy("key", "salt").orderBy("node")
     found = salted.select("key", "node", "code", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
     return found.filter((F.col("salt") >= 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "code", "lead", "salt")
@@ -297,7 +293,7 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
     held = stored(shared.join(labels, "node", "left").select("key", "node", "code", F.coalesce("label", "node").alias("label")), "held")
     spread = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
     spread = stored(spread.filter("low != high").select("key", "m"), "spread")
-    some = _sharing_enough(join_hot(held, spread, "key", "m", held.count())).select("node", "label").distinct()
+    some = _sharing_enough(join_salted(held, spread, "key", "m", held.count())).select("node", "label").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -312,7 +308,7 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
     entries = mixed.select("node", "label", "n", F.explode("grams").alias("gram"))
     total = mixed.agg(F.sum("n")).first()[0] or 0
     often = stored(entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").withColumn("m", F.col("df")), "often")
-    common = join_hot(entries, often, "gram", "m", total)
+    common = join_salted(entries, often, "gram", "m", total)
     own = Window.partitionBy("node", "label", "n")
     # n-grams of one document only come first; they are counted, not kept
     place = (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram"))).cast("int")
@@ -320,7 +316,7 @@ def _across(keyed: DataFrame, shared: DataFrame, tried: DataFrame, labels: DataF
     prefix = stored(common.withColumn("place", place).filter(F.col("place") <= first).select("gram", "node", "label", "n", "place"), "prefix")
     column = prefix.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low != high")
     column = stored(column.select("gram", "m", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "columns")
-    active = join_hot(prefix, column, "gram", "m", prefix.count())
+    active = join_salted(prefix, column, "gram", "m", prefix.count())
     # a size class is a little wider than the sizes that a document links with, so partners are in its own or the next
     of_size = F.floor(F.log("n") / math.log(1.001 * den / num)).cast("int")
     a = active.select("gram", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.explode(F.array(of_size, of_size + 1)).alias("kind"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "place")])

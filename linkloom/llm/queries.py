@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, suffix_tree_lm
-from .common import documents
+from . import bpe, fingerprints, line_dedup, ngram_join, packing, periodic_runs, pii, quality_rules, sharding, source_divergence, suffix_dedup, suffix_tree_lm
+from .common import WORD, documents, let
 
 
 def vocabulary() -> str:
@@ -58,7 +58,32 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("_row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread)}
+def planted(docs: DataFrame) -> DataFrame:
+    """``documents`` where every tenth text, by its id's checksum, goes on periodically from some word on. A null id has no checksum."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = (h / 10).cast("long")
+
+    def periodic(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, at(i).cast("int"))), " ")
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    chosen = (h % 10 == 0) & F.col("text").rlike(WORD)
+    return docs.select("doc_id", F.when(chosen, let(words, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(planted(documents(spark, sf_dir)))
+
+
+def op12_tiled_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread, op11_harmonic_runs, op12_tiled_divergence)}
 
 OP7_SQL = r"""
 WITH d AS (
@@ -118,4 +143,36 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM r GROUP BY doc_id
 """
 
-ORACLES = {"op7_host_quality": OP7_SQL, "op10_line_spread": OP10_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS df
+  FROM (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL
+), t AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(df) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM t GROUP BY lang
+), g AS (
+  SELECT lang, source, (SELECT coalesce(sum(c.n), 0)::HUGEINT FROM c JOIN t USING (lang, term) WHERE c.lang = o.lang AND c.source = o.source) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) o
+), p AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p,
+         1 + (1000000000::HUGEINT * (t.n + 1)) // (v.n + v.v) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN t ON t.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op7_host_quality": OP7_SQL, "op10_line_spread": OP10_SQL, "op12_tiled_divergence": OP12_SQL}

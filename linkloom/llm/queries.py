@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, ngram_join, packing, periodic_runs, pii, quality_rules, sharding, source_divergence, suffix_dedup, suffix_tree_lm
+from . import bpe, fingerprints, line_dedup, ngram_join, packing, periodic_runs, pii, quality_rules, sharding, source_divergence, suffix_dedup, suffix_tree_lm, toxicity
 from .common import WORD, documents, let
 
 
@@ -83,7 +83,11 @@ def op12_tiled_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread, op11_harmonic_runs, op12_tiled_divergence)}
+def op13_sentence_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketch, op2_exact_packing, op3_block_jaccard, op4_suffix_tree_scores, op5_ring_sharding, op6_weak_label_pii, op7_host_quality, op8_suffix_sort, op9_chunk_bpe, op10_line_spread, op11_harmonic_runs, op12_tiled_divergence, op13_sentence_noisy_or)}
 
 OP7_SQL = r"""
 WITH d AS (

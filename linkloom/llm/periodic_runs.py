@@ -93,12 +93,12 @@ def extensions(sums: np.ndarray, powers: np.ndarray, x: np.ndarray, y: np.ndarra
     return low
 
 
-def _stretch(ids: np.ndarray, x: int, p: int, first: int, last: int) -> tuple[int, int]:
-    """The stretch around x and x + p inside first..last that has period p, word by word."""
+def _stretches(ids: np.ndarray, p: int, first: int, last: int) -> np.ndarray:
+    """Rows (begin, end, p) of all stretches of period p of the text at first..last that are long enough, word by word."""
     differ = np.flatnonzero(ids[first : last - p] != ids[first + p : last]) + first
-    at = np.searchsorted(differ, x)
-    end = differ[at] if at < len(differ) else last - p
-    return (differ[at - 1] + 1 if at else first), end + p
+    begin, end = np.append(first, differ + 1), np.append(differ, last - p) + p
+    long = end - begin >= max(MIN_WORDS, 2 * p)
+    return np.stack((begin[long], end[long], np.full(long.sum(), p)), axis=1)
 
 
 def _first_of(rows: np.ndarray) -> np.ndarray:
@@ -110,20 +110,18 @@ def _first_of(rows: np.ndarray) -> np.ndarray:
 
 
 def _verified(ids: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """``rows`` (begin, end, period, grid point) with one row a stretch and every claim of the hashes checked.
+    """``rows`` (begin, end, period) with one row a stretch and every claim of the hashes checked.
 
     Where the smallest period claimed for a stretch holds, no other period of a run inside it can be but its multiple, so
-    it stands for all. Where it fails, every claim on that stretch is measured word by word.
+    it stands for all. Where it fails, the text's stretches of each period claimed there are measured word by word.
     """
     ahead = _first_of(rows)
-    wrong = np.array([(ids[b : e - p] != ids[b + p : e]).any() for b, e, p, _ in ahead.tolist()], dtype=bool)
+    wrong = np.array([(ids[b : e - p] != ids[b + p : e]).any() for b, e, p in ahead.tolist()], dtype=bool)
     if not wrong.any():
         return ahead
-    bad = {(b, e) for b, e, *_ in ahead[wrong].tolist()}
-    again = [(*_stretch(ids, x, p, first[x], last[x]), p, x) for b, e, p, x in rows.tolist() if (b, e) in bad]
-    again = np.array(again, dtype=np.int64).reshape(-1, 4)
-    again = again[again[:, 1] - again[:, 0] >= np.maximum(MIN_WORDS, 2 * again[:, 2])]
-    return _first_of(np.concatenate((ahead[~wrong], again)))
+    bad = {(b, e) for b, e, _ in ahead[wrong].tolist()}
+    again = {(first[b], last[b], p) for b, e, p in rows.tolist() if (b, e) in bad}
+    return _first_of(np.concatenate([ahead[~wrong], *[_stretches(ids, p, f, t) for f, t, p in sorted(again)]]))
 
 
 def find_runs(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -144,9 +142,7 @@ def find_runs(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         after = extensions(sums, powers, x, x + p, last - x - p, 1)
         before = extensions(sums, powers, x, x + p, x - first, -1)
         long = after + before + p >= np.maximum(MIN_WORDS, 2 * p)
-        rows = np.stack((x - before, x + p + after, p, x), axis=1)[long]
-        _, one = np.unique(rows[:, :3], axis=0, return_index=True)
-        found.append(rows[one])
+        found.append(np.unique(np.stack((x - before, x + p + after, p), axis=1)[long], axis=0))
     if not found:
         return np.zeros((0, 4), dtype=np.int64)
     rows = _verified(ids, np.concatenate(found), bounds[text_of], bounds[text_of + 1])

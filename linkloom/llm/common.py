@@ -7,9 +7,8 @@ import json
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting is fixed once a session runs, so the folder is remembered here
+        found = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="linkloom-")
+        _local_dirs[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -62,13 +65,15 @@ def recorded() -> Iterator[list[DataFrame]]:
     try:
         yield made
     finally:
-        _recorded.remove(made)
+        _recorded.pop()
 
 
-def release_unread(tables: list[DataFrame], docs: DataFrame) -> None:
-    """Remove those of the stored tables that ``docs`` does not read."""
-    read = {unquote(f) for f in docs.inputFiles()}
-    release(*[t for t in tables if not any(t.stored_at in f for f in read)])
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; all that it stored on its way is removed."""
+    with recorded() as made:
+        out = stored(make(), name)
+    release(*[t for t in made if t is not out])
+    return out
 
 
 def release(*tables: DataFrame) -> None:
@@ -113,21 +118,24 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int)
 HOT_SALTS = 256
 
 
-def salt_of(key: str, hot: list, by: list[str], salts: int) -> Column:
-    """Which of ``salts`` parts of its key a row is in, by a hash of the columns ``by``; -1 where the key is not hot."""
-    return F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(-1).cast("int")
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: list[str], salts: int, out: str) -> DataFrame:
+    """``rows`` with column ``out``: which of ``salts`` parts of its key a row is in, by a hash of the columns ``by``; -1 where the key is not in ``hot``.
+
+    ``hot`` is one column of distinct keys, fewer than ``HOT_SHARE`` by definition, which bounds what is broadcast.
+    """
+    marked = rows.join(F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot"))), key, "left")
+    return marked.withColumn(out, F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(-1).cast("int")).drop("_hot")
 
 
 def join_salted(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """As :func:`join_hot`, but by one plan whatever the keys: hot keys are spread over ``HOT_SALTS`` join keys.
 
-    Only the hot keys themselves go through the driver: fewer than ``HOT_SHARE`` numbers. ``per_key`` is read twice and should
-    be a stored table.
+    Nothing goes through the driver. ``per_key`` is read twice and should be a stored table.
     """
-    hot = [r[0] for r in per_key.filter(is_hot(n, total)).select(key).collect()]
-    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(-1)))
-    spread = per_key.drop(n).withColumn("_part", F.explode(salts))
-    return rows.withColumn("_part", salt_of(key, hot, rows.columns, HOT_SALTS)).join(spread, [key, "_part"]).drop("_part")
+    salts = F.when(is_hot(n, total), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    spread = per_key.withColumn("_part", F.explode(salts)).drop(n)
+    hot = per_key.filter(is_hot(n, total)).select(key)
+    return salted(rows, hot, key, rows.columns, HOT_SALTS, "_part").join(spread, [key, "_part"]).drop("_part")
 
 
 def let(value: Column, body) -> Column:

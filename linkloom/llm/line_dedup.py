@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, join_hot, let, stored, whole_row, with_key
+from .common import SPACES, WORD, join_hot, let, settled, stored, whole_row, with_key
 
 MIN_SITES = 12
 LG_K = 12
@@ -52,16 +52,17 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return often.join(sure.unionByName(exact), "lh", "left_semi").select("lh", "n", "first")
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(_row, text, n_lines, n_removed): each row of ``docs``, its text without boilerplate, its lines and how many went."""
+def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(_id, _tie, _drop): the places of the boilerplate lines of each document that has any, but where a line stands first."""
     lines = stored(line_rows(docs), "lines")
     known = stored(boilerplate(lines, min_sites), "boilerplate")
-    drop = (
-        join_hot(lines, known, "lh", "n", known.agg(F.sum("n")).first()[0] or 0)
-        .filter(F.struct("_id", "_tie", "pos") != F.col("first"))
-        .groupBy("_id", "_tie")
-        .agg(F.collect_list("pos").alias("_drop"))
-    )
+    found = join_hot(lines, known, "lh", "n", known.agg(F.sum("n")).first()[0] or 0).filter(F.struct("_id", "_tie", "pos") != F.col("first"))
+    return found.groupBy("_id", "_tie").agg(F.collect_list("pos").alias("_drop"))
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(_row, text, n_lines, n_removed): each row of ``docs``, its text without boilerplate, its lines and how many went."""
+    drop = settled(lambda: removed_lines(docs, min_sites), "removed")
     rows = with_key(docs, whole_row(docs).alias("_row")).drop("text").join(drop, ["_id", "_tie"], "left")
     parts = F.split(F.col("_row.text"), "\n", -1)
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_drop"), lambda i: F.get(x, i))

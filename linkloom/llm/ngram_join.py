@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, join_salted, release, salt_of, stored, whole_row, with_key
+from .common import HOT_SHARE, join_salted, release, salted, settled, stored, whole_row, with_key
 from .graph import components
 from .shingles import mix, shingle_sets, sliced
 
@@ -210,7 +210,7 @@ def incidence(texts: DataFrame, k: int) -> DataFrame:
 
 
 def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, need, late) of the pairs whose rows leave room for a link; ``late`` is the room after the first block."""
+    """(a, b, tiles, need, late) of the pairs whose rows leave room for a link: tiles of hub a, room after the first block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -221,32 +221,31 @@ def hopeful(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
             for i in np.flatnonzero(fits).tolist():
                 r = room(np.frombuffer(x[i], dtype="<u4"), np.frombuffer(y[i], dtype="<u4"))
                 fits[i], late[i] = r.sum() >= need[i], r[1:].sum()
-            yield pdf.loc[fits, ["a", "b"]].assign(need=need[fits], late=late[fits])
+            yield pdf.loc[fits, ["a", "b", "tiles"]].assign(need=need[fits], late=late[fits])
 
     fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
+    fan = fan.withColumn("tiles", F.ceil(F.col("fan") / TILE).cast("int"))
     hubs = stored(fan.join(reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a"), "hubs")
     total = hubs.agg(F.sum("fan")).first()[0] or 0
     members = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-    return join_salted(pairs, hubs, "a", "fan", total).join(members, "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(run, "a long, b long, need long, late long")
+    return join_salted(pairs, hubs, "a", "fan", total).join(members, "b").select("a", "b", "tiles", "na", "nb", "pa", "pb").mapInPandas(run, "a long, b long, tiles int, need long, late long")
 
 
 def product(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of a stored table that link, by overlaps added up block by block."""
-    left = stored(hopeful(pairs, reps, num, den).withColumn("c", F.lit(0).cast("long")), "hopeful")
-    most = left.groupBy("a").count().agg(F.max("count")).first()[0] or 0
-    tile = F.pmod(F.xxhash64("b"), F.lit(max(1, math.ceil(most / TILE))))
+    tile = F.pmod(F.xxhash64("b"), "tiles").cast("int")
+    left = stored(hopeful(pairs, reps, num, den).select("a", "b", tile.alias("tile"), "need", "late", F.lit(0).cast("long").alias("c")), "hopeful")
     nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     rows = stored(incidence(keyed.join(nodes, "node", "left_semi"), k), "incidence")
     for part in range(PARTS):
         block = rows.filter(F.col("part") == part)
-        tiled = left.withColumn("tile", tile)
-        hubs = tiled.select("a", "tile").distinct().join(block, F.col("a") == F.col("node")).select("a", "tile", F.col("grams").alias("ga"))
-        members = tiled.join(block, F.col("b") == F.col("node")).select("a", "tile", "b", "need", "late", "c", F.col("grams").alias("gb"))
+        hubs = left.select("a", "tile").distinct().join(block, F.col("a") == F.col("node")).select("a", "tile", F.col("grams").alias("ga"))
+        members = left.join(block, F.col("b") == F.col("node")).select("a", "tile", "b", "need", "late", "c", F.col("grams").alias("gb"))
         overlap = F.sum(F.size(F.array_intersect("ga", "gb")))
-        added = members.join(hubs, ["a", "tile"]).groupBy("a", "b", "need", "late", "c").agg(overlap.alias("more"))
+        added = members.join(hubs, ["a", "tile"]).groupBy("a", "b", "tile", "need", "late", "c").agg(overlap.alias("more"))
         more = F.col("c") + F.col("more")
         rest = F.lit(0) if part == PARTS - 1 else F.col("late")
-        left = stored(added.filter(more + rest >= F.col("need")).select("a", "b", "need", "late", more.alias("c")), "overlaps")
+        left = stored(added.filter(more + rest >= F.col("need")).select("a", "b", "tile", "need", "late", more.alias("c")), "overlaps")
     release(rows)
     return left.select("a", "b")
 
@@ -257,11 +256,11 @@ def _shared_blocks(keyed: DataFrame, reps: DataFrame, k: int, num: int, den: int
     asked = key_rows(keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0), k, num, den).groupBy("key").count().filter("count > 31")
     asked = stored(asked, "asked")
     total = asked.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in asked.filter(F.col("count") * HOT_SHARE > total).select("key").collect()]  # fewer than HOT_SHARE numbers
+    hot = asked.filter(F.col("count") * HOT_SHARE > total).select("key")
     entries = key_rows(keyed.join(reps.select("node"), "node", "left_semi"), k, num, den)
-    salted = entries.select("key", "node", "code", salt_of("key", hot, ["node"], SALTS).alias("salt"))
+    dealt = salted(entries, hot, "key", ["node"], SALTS, "salt")
     w = Window.partitionBy("key", "salt").orderBy("node")
-    found = salted.select("key", "node", "code", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    found = dealt.select("key", "node", "code", "salt", F.first("node").over(w).alias("lead"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
     return found.filter((F.col("salt") >= 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "code", "lead", "salt")
 
 
@@ -354,8 +353,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each component its smallest document, with all columns; of rows that repeat an id and a text, one stays."""
-    first = near_duplicates(docs, k, num, den).filter("node = label").select("node").distinct()
+    """Of each component its document with the smallest id, with all columns; of rows that repeat an id and a text, one stays."""
+
+    def firsts() -> DataFrame:
+        found = near_duplicates(docs, k, num, den)
+        # nodes are hashes where ids repeat; the smallest id stays all the same, a null id before all others
+        return found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "node")).alias("x")).select("x.node")
+
+    first = settled(firsts, "kept")
     rows = with_key(docs, whole_row(docs).alias("_row")).select("_row", _node().alias("node"))
     if not rows.groupBy("node").count().filter("count > 1").limit(1).isEmpty():
         rows = rows.dropDuplicates(["node"])

@@ -145,3 +145,18 @@ def test_awkward(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.near_duplicates(docs).collect()), key=str)
     assert got == brute([r["doc_id"] for r in rows], [r["text"] for r in rows], 5, 80, 100)
     assert nj.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_keep_first_with_one_repeated_id(spark):
+    """One unrelated repeated id changes nothing for the other documents: the smallest id of each group stays."""
+    rng = random.Random(9)
+    pair = lambda i: [rng.choice([f"w{i}x{j}" for j in range(300)]) for _ in range(200)]
+    texts = []
+    for i in range(12):
+        w = pair(i)
+        texts += [" ".join(w), " ".join(w[:-1] + ["other"])]
+    docs = table(spark, texts)
+    want = list(range(0, 24, 2))
+    assert sorted(r["doc_id"] for r in nj.keep_first(docs).collect()) == want
+    more = spark.createDataFrame([(90, "one text of a repeated id", "en", "s", 1), (90, "and quite another text", "en", "s", 1)], DOCS)
+    assert sorted(r["doc_id"] for r in nj.keep_first(docs.unionByName(more)).collect()) == [*want, 90, 90]

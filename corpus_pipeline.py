@@ -13,14 +13,11 @@ table gives an empty result at every stage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import line_dedup, ngram_join, packing, pii, quality_rules
-from linkloom.llm.common import WORD, documents, recorded, release_unread, stored
+from linkloom.llm.common import WORD, documents, release, settled
 from linkloom.llm.queries import vocabulary
 
 
@@ -52,30 +49,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary())
 
 
-_before: list[DataFrame] = []
-
-
-def _tidy(stage: Callable) -> Callable:
-    """The stage; it first removes what earlier stages stored on their way and the table it is given does not read."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release_unread(_before, docs)
-        _before.clear()
-        with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _before.extend(made)
-        return out
-
-    return run_stage
-
-
 STAGES = [
-    ("quality_rules", _tidy(quality)),
-    ("line_dedup", _tidy(lines)),
-    ("near_duplicates", _tidy(near_duplicates)),
-    ("personal_data", _tidy(personal_data)),
-    ("packing", _tidy(pack)),
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", pack),
 ]
 
 #: Components, span offsets and tokens are beyond SQL; the tests hold the stages against a brute-force version.
@@ -83,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,13 +9,14 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from functools import cache, reduce
+from functools import cache, partial, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, kernels
 
 
 def literal(text: str) -> str:
@@ -107,27 +108,17 @@ def player_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(forms(a).alias("x"), forms(b).alias("y")), best)
 
 
-def _jaro(a: str, b: str, whole: bool = False) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    left: list[str] = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                left.append(ch)
-                break
-    if not left:
-        return 0.0
-    right = [ch for ch, f in zip(b, free, strict=True) if not f]
-    m = float(len(left))
-    moved = sum(x != y for x, y in zip(left, right, strict=True))
-    half = moved // 2 if whole else moved / 2
-    return (m / len(a) + m / len(b) + (m - half) / m) / 3.0
+def _batched(kernel, a: pd.Series, b: pd.Series) -> pd.Series:
+    """``kernel`` on the distinct pairs of two columns; null where either side is."""
+    pairs = pd.DataFrame({"a": a.to_numpy(), "b": b.to_numpy()})
+    number = pairs.groupby(["a", "b"], sort=False, dropna=True).ngroup().to_numpy()
+    known = np.flatnonzero(number >= 0)
+    _, first, back = np.unique(number[known], return_index=True, return_inverse=True)
+    out = np.full(len(pairs), np.nan)
+    if len(known):
+        at = known[first]
+        out[known] = kernel(pairs["a"].iloc[at].tolist(), pairs["b"].iloc[at].tolist())[back]
+    return pd.Series(out).astype("Float64").where(number >= 0)
 
 
 def _pairwise(f, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -139,11 +130,11 @@ def _pairwise(f, a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _jaro_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(_jaro, a, b)
+    return _batched(kernels.jaro, a, b)
 
 
 def _whole_jaro_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(lambda x, y: _jaro(x, y, True), a, b)
+    return _batched(partial(kernels.jaro, whole=True), a, b)
 
 
 def _ratio_all(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -160,22 +151,16 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratio_all, "double")(a, b)
 
 
-def _winkler(a: str, b: str, whole: bool = False) -> float:
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(len(a), len(b), 4))
-    j = _jaro(a, b, whole)
-    return j + prefix * 0.1 * (1.0 - j)
-
-
 def _winkler_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(_winkler, a, b)
+    return _batched(kernels.winkler, a, b)
 
 
 def _whole_winkler_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(lambda x, y: _winkler(x, y, True), a, b)
+    return _batched(partial(kernels.winkler, whole=True), a, b)
 
 
 def _strong_winkler_all(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _winkler_all(a, b).where(lambda v: v >= 0.75, 0.0)
+    return _winkler_all(a, b).where(lambda v: v.isna() | (v >= 0.75), 0.0)
 
 
 def jaro_winkler(a: Column, b: Column, whole: bool = False) -> Column:

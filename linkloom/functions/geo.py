@@ -26,6 +26,32 @@ def geo_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(normalize_name(a).alias("x"), normalize_name(b).alias("y")), alike)
 
 
+def place_form(place: Column) -> Column:
+    """struct(norm, words, group, known, world): what comparing places needs of one, to be computed once a place."""
+
+    def form(n: Column) -> Column:
+        words = token_set(n)
+        world = (F.size(words) == 1) & F.coalesce(F.get(words, 0).isin(fixed.INTERNATIONAL), F.lit(False))
+        return F.struct(n.alias("norm"), words.alias("words"), place_group(n).alias("group"), (F.coalesce(place, F.lit("")) != "").alias("known"), world.alias("world"))
+
+    return let(normalize_name(F.coalesce(place, F.lit(""))), form)
+
+
+def forms_geo_similarity(x: Column, y: Column) -> Column:
+    """:func:`geo_similarity` of two place forms."""
+    return F.when((x["norm"] == y["norm"]) | F.coalesce(x["group"] == y["group"], F.lit(False)), 1.0).otherwise(jaccard(x["words"], y["words"]))
+
+
+def forms_veto(x: Column, y: Column) -> Column:
+    """:func:`location_veto` of two place forms."""
+    return x["known"] & y["known"] & ~x["world"] & ~y["world"] & (forms_geo_similarity(x, y) < 0.4)
+
+
+def forms_veto_by_name(country: Column, y: Column) -> Column:
+    """:func:`location_veto_by_name` of the form of a league's country and a place form."""
+    return (country["norm"] != "") & (y["norm"] != "") & ~y["world"] & (forms_geo_similarity(country, y) < 0.4)
+
+
 def is_international(place: Column) -> Column:
     """A keyword, or as good as one (F14): a set of words has Jaccard 0.8 or more with a single word only if it is that word."""
     one = lambda words: (F.size(words) == 1) & F.get(words, 0).isin(fixed.INTERNATIONAL)

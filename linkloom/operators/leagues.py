@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.text import let, name_similarity, normalize_name
+from . import league_index
 from .features import feature_penalty, league_features, league_veto
 
 TIERS = ((0.85, "LEAGUE_NAME_HI"), (0.70, "LEAGUE_NAME_MED"), (0.55, "LEAGUE_NAME_LOW"))
@@ -56,6 +57,9 @@ def league_score(name_score: Column, a: str, b: str, place_a: str, place_b: str,
     """The score of two leagues from their name score, features and places."""
     pa, pb = F.coalesce(F.col(place_a), F.lit("")), F.coalesce(F.col(place_b), F.lit(""))
     away = geo.location_veto(pa, pb) | geo.location_veto_by_name(F.col(a), pb) if weights["veto"] else F.lit(False)
+    def total(s: Column) -> Column:
+        return prepared_score(s["name"], s["fa"], s["fb"], s["g"], s["known"], s["away"], weights)
+
     parts = F.struct(
         league_features(F.col(a)).alias("fa"),
         league_features(F.col(b)).alias("fb"),
@@ -65,15 +69,17 @@ def league_score(name_score: Column, a: str, b: str, place_a: str, place_b: str,
         name_score.alias("name"),
     )
 
-    def total(s: Column) -> Column:
-        near = (s["g"] > weights["least"]) if weights["strict"] else (s["g"] >= weights["least"])
-        base = s["name"] * feature_penalty(s["fa"], s["fb"])
-        score = F.when(s["known"] & near, weights["name"] * base + weights["place"] * s["g"]).otherwise(base)
-        return F.when(s["away"] | league_veto(s["fa"], s["fb"]).isNotNull(), 0.0).otherwise(score)
-
     return let(parts, total)
 
 
+def prepared_score(name: Column, fa: Column, fb: Column, geo_score: Column, known: Column, away: Column, weights: dict) -> Column:
+    """The score of two leagues whose features and places are columns already."""
+    near = (geo_score > weights["least"]) if weights["strict"] else (geo_score >= weights["least"])
+    base = name * feature_penalty(fa, fb)
+    score = F.when(known & near, weights["name"] * base + weights["place"] * geo_score).otherwise(base)
+    return F.when(away | league_veto(fa, fb).isNotNull(), 0.0).otherwise(score)
+
+
 def rule_of(score: Column) -> Column:
     out = reduce(lambda c, t: c.when(score >= t[0], t[1]), TIERS, F.when(F.lit(False), ""))
     return out.otherwise("LEAGUE_NO_MATCH")
@@ -97,7 +103,19 @@ def match_leagues(leagues: DataFrame, candidates: DataFrame, index: DataFrame, k
 
 
 def ranked_candidates(leagues: DataFrame, candidates: DataFrame, index: DataFrame, weights: dict = LS, least: float = 0.0, k: int = 5) -> DataFrame:
-    """The k best candidates of each league (L14), those with ``least`` or more."""
+    """The k best candidates of each league (L14), those with ``least`` or more.
+
+    Names are prepared once, and only pairs that can still be among the k best are scored (:mod:`.league_index`); the
+    result is that of scoring every candidate of the league's sport.
+    """
+    named = leagues.select("id", "sport", F.col("name").alias("league_name"), "category_name")
+    scored = league_index.scored_candidates(named, candidates, index, weights, least, k)
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "candidate_seq")
+    return scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def all_candidates(leagues: DataFrame, candidates: DataFrame, index: DataFrame, weights: dict = LS, least: float = 0.0, k: int = 5) -> DataFrame:
+    """:func:`ranked_candidates` by scoring every pair of a sport: for small tables, and to compare with."""
     named = leagues.select("id", "sport", F.col("name").alias("league_name"), "category_name")
     pairs = alias_similarity(named.join(candidates, "sport"), "league_name", "competition_name", index)
     scored = pairs.withColumn("score", league_score(F.col("alias_score"), "league_name", "competition_name", "category_name", "country", weights))

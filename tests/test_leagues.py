@@ -1,8 +1,11 @@
-"""League features, vetoes, aliases and scores: literal cases."""
+"""League features, vetoes, aliases and scores: literal cases; blocked candidates against all pairs."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import features, leagues
+from linkloom.operators import features, league_index, leagues
 
 
 def of(spark, names, field):
@@ -78,3 +81,33 @@ def test_match_leagues(spark):
     assert got["sr:tournament:17"] == ("kx", "LEAGUE_KNOWN") and got["2"] == ("c2", "LEAGUE_NAME_HI") and got["3"][1] == "LEAGUE_NO_MATCH"
     low = {r["id"]: r["rule"] for r in leagues.best_even_if_low(rows, cands, index(spark)).collect()}
     assert low["2"] == "LEAGUE_NAME_HI"
+
+
+@pytest.mark.parametrize(("seed", "weights", "k", "least"), [(1, leagues.LS, 5, 0.0), (2, leagues.SR, 1, 0.0), (3, leagues.LS, 2, 0.4)])
+def test_index_is_all_pairs(spark, monkeypatch, seed, weights, k, least):
+    monkeypatch.setattr(league_index, "BLOCK", 15)
+    monkeypatch.setattr(league_index, "FIRST", 1)
+    rng = random.Random(seed)
+    words = ["premier", "league", "liga", "serie", "cup", "women", "u19", "north", "copa", "division", "2", "1", "b", "super", "reserve", "paulista", "one", "mls", "draft", "beach"]
+    places = ["England", "Spain", "Peru", "USA", "United States", "International", "World", None, "", "Germany"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(4))).title()
+    left = [(f"l{i}", name(), rng.choice(["football", "basketball"]), rng.choice(places)) for i in range(40)] + [("alone", "No Candidate", "curling", "")]
+    right = [(f"c{i}", name(), rng.choice(["football", "basketball", "tennis"]), rng.choice(places), i) for i in range(50)]
+    a = spark.createDataFrame(left, "id string, name string, sport string, category_name string")
+    b = spark.createDataFrame(right, "competition_id string, competition_name string, sport string, country string, candidate_seq int")
+    groups = [("Premier League", ["premier", "liga one", "mls"], 1), ("Copa", ["cup", "super cup"], 2)]
+    known = leagues.alias_index(spark.createDataFrame(groups, "canonical string, aliases array<string>, group_seq int"))
+    rows = lambda d: sorted((r["id"], r["rank"], r["competition_id"], r["league_name"], r["country"], round(r["score"], 9)) for r in d.collect())
+    got = rows(leagues.ranked_candidates(a, b, known, weights, least, k))
+    assert got == rows(leagues.all_candidates(a, b, known, weights, least, k))
+    assert got
+
+
+def test_no_join_on_sport_alone(spark):
+    """The tiles have all certain vetoes in their key, and hold a bounded number of names each."""
+    a = spark.createDataFrame([(f"l{i}", f"League {i}", "football", "") for i in range(30)], "id string, name string, sport string, category_name string")
+    none = leagues.alias_index(spark.createDataFrame([], "canonical string, aliases array<string>, group_seq int"))
+    forms = league_index._forms(league_index._profiles(a, "name", "category_name", none), none)
+    assert {r["gate"] for r in forms.collect()} == {"football|false|||"}
+    tiles, _ = league_index._tiles(forms, forms)
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= league_index.BLOCK

@@ -13,7 +13,7 @@ from ..functions import fixed
 from ..functions.text import normalize_prior
 from ..functions.timing import gaussian_time, round3
 from . import scoring
-from .events import name_pair_scores
+from .events import ALIAS_SCORE, name_pair_scores
 from .lineage import cut
 from .teams import map_teams
 
@@ -24,9 +24,10 @@ REASONS = {
     "STRONG_CONSTRAINT": "strong_constraint_ok",
     "DTW_OFFSET": "_shifted",
     "SIDE_REVERSED": "side_reversed",
+    "ALIAS_HIT": "_alias_hit",
     "TEAM_ID_FALLBACK": "_anchor",
 }
-LEVEL, PRIOR, MODEL, REVERSED, ANCHOR = 0.82, 0.10, 0.08, 0.12, 0.08
+LEVEL, PRIOR, MODEL, REVERSED, ANCHOR, ALIAS = 0.82, 0.10, 0.08, 0.12, 0.08, 0.04
 LEAST = 0.75
 #: Edges that the sorted pass of one task takes at a time.
 PASS = 100_000
@@ -52,21 +53,62 @@ def best_level(name: Column, gap: Column, reversed_: Column, strong: Column) ->
     )
 
 
-def edges(pairs: DataFrame, model: scoring.Model | None = None) -> DataFrame:
+NAMES = (("_hf", "home_name", "target_home_name"), ("_af", "away_name", "target_away_name"), ("_hr", "home_name", "target_away_name"), ("_ar", "away_name", "target_home_name"))
+
+
+def with_name_scores(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the name similarity of both teams to the target's, straight (_hf, _af) and crossed (_hr, _ar)."""
+    every = [pairs.select(F.coalesce(F.col(a), F.lit("")).alias("x"), F.coalesce(F.col(b), F.lit("")).alias("y")) for _, a, b in NAMES]
+    scores = cut(name_pair_scores(reduce(DataFrame.unionByName, every)))
+    for out, a, b in NAMES:
+        found = scores.toDF("_x", "_y", out)
+        same = (F.coalesce(F.col(a), F.lit("")) == F.col("_x")) & (F.coalesce(F.col(b), F.lit("")) == F.col("_y"))
+        pairs = pairs.join(found, same).drop("_x", "_y")
+    return pairs
+
+
+def estimated_offsets(pairs: DataFrame, pool: str | None = None) -> DataFrame:
+    """(_pool, offset): seconds by which the targets of a pool of candidate pairs are late, where they are so steadily.
+
+    ``pool`` is the column that tells pools apart; without one all pairs are one pool. A source event whose teams are those
+    of exactly one target of its pool, within a week, is an anchor.
+    """
+    rows = pairs.select("*", (F.lit("") if pool is None else F.col(pool).cast("string")).alias("_pool")).dropDuplicates(["_pool", "event_id", "target_id"])
+    name = F.greatest((F.col("_hf") + F.col("_af")) / 2, (F.col("_hr") + F.col("_ar")) / 2)
+    gaps = with_name_scores(rows).select(F.col("_pool").alias("league_id"), F.col("event_id").alias("s"), F.col("target_id").alias("t"), (F.col("target_time") - F.col("start_unix")).alias("gap"), name.alias("name"))
+    found = scoring.usable(scoring.offsets(scoring.anchors(gaps), ["league_id"]))
+    return found.select(F.col("league_id").alias("_pool"), "offset")
+
+
+def with_offsets(pairs: DataFrame, pool: str | None = None) -> DataFrame:
+    """``pairs`` with ``offset`` as :func:`estimated_offsets` finds it for each pool, 0 where it finds none."""
+    known = F.lit("") if pool is None else F.col(pool).cast("string")
+    moved = pairs.drop("offset").withColumn("_at", known).join(cut(estimated_offsets(pairs, pool)), F.col("_at").eqNullSafe(F.col("_pool")), "left")
+    return moved.withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long")).drop("_at", "_pool")
+
+
+def edges(pairs: DataFrame, model: scoring.Model | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Scored edges of candidate pairs.
 
+    ``aliases`` (s, t) are teams known to be the same: their names count as alike, and an edge that meets one is raised.
+    A pair with a ``strong_constraint_reason`` that is not ok makes no edge.
+
     ``pairs`` has source columns (event_id, start_unix, home_id, home_name, away_id, away_name), target columns
     (target_id, target_time, target_home_id, ...), the candidate's priors and constraint, ``offset`` (seconds, 0 if none)
     and ``mapped_home``, ``mapped_away`` (the target teams that the source teams are mapped to, or null).
     """
     c = F.col
-    names = [("_hf", "home_name", "target_home_name"), ("_af", "away_name", "target_away_name"), ("_hr", "home_name", "target_away_name"), ("_ar", "away_name", "target_home_name")]
-    every = [pairs.select(c(a).alias("x"), c(b).alias("y")) for _, a, b in names]
-    scores = name_pair_scores(reduce(DataFrame.unionByName, every))
-    p = pairs
-    for out, a, b in names:
-        found = scores.toDF("_x", "_y", out)
-        p = p.join(found, (F.col(a) == F.col("_x")) & (F.col(b) == F.col("_y"))).drop("_x", "_y")
+    if "strong_constraint_reason" in pairs.columns:
+        pairs = pairs.filter(c("strong_constraint_ok") | (F.coalesce("strong_constraint_reason", F.lit("")) == ""))
+    p = with_name_scores(pairs).withColumn("_alias_hit", F.lit(False))
+    if aliases is not None:
+        known = aliases.filter("s <> '' and t <> ''").groupBy("s").agg(F.collect_set("t").alias("t"))
+        for own in ("home", "away"):
+            p = p.join(known.toDF(f"{own}_id", f"_{own}_to"), f"{own}_id", "left")
+        hit = lambda own, other: F.coalesce(F.array_contains(c(f"_{own}_to"), c(f"target_{other}_id")), F.lit(False))
+        for out, own, other in (("_hf", "home", "home"), ("_af", "away", "away"), ("_hr", "home", "away"), ("_ar", "away", "home")):
+            p = p.withColumn(out, F.when(hit(own, other), ALIAS_SCORE).otherwise(c(out)))
+        p = p.withColumn("_alias_hit", reduce(lambda x, y: x | y, [hit(x, y) for x in ("home", "away") for y in ("home", "away")]))
     p = p.withColumn("side_reversed", (c("_hr") + c("_ar")) > (c("_hf") + c("_af")))
     pick = lambda straight, crossed: F.when(c("side_reversed"), c(crossed)).otherwise(c(straight))
     anchor = (c("mapped_home") == pick("target_home_id", "target_away_id")) & (c("mapped_away") == pick("target_away_id", "target_home_id"))
@@ -87,7 +129,7 @@ def edges(pairs: DataFrame, model: scoring.Model | None = None) -> DataFrame:
     prior = normalize_prior(c("candidate_score"), c("home_team_candidate_score"), c("away_team_candidate_score"))
     p = p.withColumn("_fs", scoring.normalized(scoring.score(model or scoring.Model.default(), "_fs_"))).withColumn("_prior", prior)
     total = c("_level.score") * LEVEL + c("_prior") * PRIOR + c("_fs") * MODEL
-    total = total - F.when(c("side_reversed"), REVERSED).otherwise(0.0) + F.when(c("_anchor"), ANCHOR).otherwise(0.0)
+    total = total - F.when(c("side_reversed"), REVERSED).otherwise(0.0) + F.when(c("_anchor"), ANCHOR).otherwise(0.0) + F.when(c("_alias_hit"), ALIAS).otherwise(0.0)
     p = p.withColumn("_always", F.lit(True)).withColumn("_prior_used", c("_prior") > 0)
     reasons = F.array_compact(F.array(*[F.when(c(flag), code) for code, flag in REASONS.items()]))
     return p.select(
@@ -169,11 +211,25 @@ def resolve(scored: DataFrame, least: float = LEAST, rounds: int = 100) -> tuple
     return taken, conflicts
 
 
-def two_rounds(pairs: DataFrame, model: scoring.Model | None = None) -> tuple[DataFrame, DataFrame]:
-    """Match, vote for teams, and match again with the mapped teams as anchors."""
-    first, _ = resolve(edges(pairs, model))
-    ballots = first.filter(~F.col("side_reversed")).select(F.lit("").alias("league_id"), F.lit(True).alias("matched"), F.col("score").alias("confidence"), "home_id", "away_id", "target_home_id", "target_away_id")
-    teams = map_teams(ballots).select("s", "t")
-    h, a = teams.toDF("home_id", "mapped_home"), teams.toDF("away_id", "mapped_away")
+def learned(matches: DataFrame) -> DataFrame:
+    """(s, t, votes, confidence): the teams that resolved matches say are the same; sides that were swapped say nothing."""
+    ballots = matches.filter(~F.col("side_reversed")).select(F.lit("").alias("league_id"), F.lit(True).alias("matched"), F.col("score").alias("confidence"), "home_id", "away_id", "target_home_id", "target_away_id")
+    return map_teams(ballots).select("s", "t", "votes", "confidence")
+
+
+def two_rounds(pairs: DataFrame, model: scoring.Model | None = None, pool: str | None = None, shifted: bool = False, aliases: DataFrame | None = None, learn: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Match, vote for teams, and match again with the mapped teams as anchors.
+
+    With ``shifted`` the offset of each ``pool`` is estimated first. ``aliases`` (s, t) are known before the first round;
+    with ``learn`` the second round reads those that the first has learned, too, as a relation of its own.
+    """
+    pairs = cut(with_offsets(pairs, pool) if shifted else pairs)
+    first, _ = resolve(edges(pairs, model, aliases))
+    teams = cut(learned(first))
+    h, a = (teams.select("s", "t").toDF(f"{x}_id", f"mapped_{x}") for x in ("home", "away"))
     again = pairs.drop("mapped_home", "mapped_away").join(h, "home_id", "left").join(a, "away_id", "left")
-    return resolve(edges(again, model))
+    known = aliases
+    if learn:
+        new = teams.select("s", "t")
+        known = new if aliases is None else aliases.select("s", "t").join(new, "s", "left_anti").unionByName(new)
+    return resolve(edges(again, model, known))

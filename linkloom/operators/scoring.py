@@ -110,10 +110,14 @@ def fit_leagues(pairs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def anchors(pairs: DataFrame, least: float = 0.85, most: int = 7 * 86400) -> DataFrame:
-    """Source events with exactly one target of ``name`` >= least within a week (D1): pairs (league_id, s, t, gap, name)."""
-    good = pairs.filter((F.col("name") >= least) & (F.abs("gap") <= most))
-    one = good.groupBy("league_id", "s").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("gap").alias("gap"))
-    return one.filter("n = 1").drop("n")
+    """Source events with exactly one target of ``name`` >= least, if that is within a week (D1): pairs (league_id, s, t, gap, name).
+
+    ``gap`` is the target's time less the source's. A second target with such a name makes the event ambiguous, however
+    far away it is.
+    """
+    good = pairs.filter(F.col("name") >= least)
+    one = good.groupBy("league_id", "s").agg(F.count("*").alias("n"), F.first("t").alias("t"), F.first("gap").alias("gap"), F.first("name").alias("name"))
+    return one.filter((F.col("n") == 1) & (F.abs("gap") <= most)).drop("n")
 
 
 def offsets(gaps: DataFrame, group: list[str], gap: str = "gap") -> DataFrame:
@@ -124,10 +128,15 @@ def offsets(gaps: DataFrame, group: list[str], gap: str = "gap") -> DataFrame:
     return dev.withColumn("valid", F.col("n") >= 3)
 
 
+def usable(offset: DataFrame, most_mad: int = 21600, least: int = 300) -> DataFrame:
+    """Offsets that are valid, steady and large enough to be used (D3)."""
+    return offset.filter(F.col("valid") & (F.col("mad") <= most_mad) & (F.abs("offset") >= least))
+
+
 def corrected(events: DataFrame, offset: DataFrame, most_mad: int = 21600, least: int = 300) -> DataFrame:
-    """Source times shifted by their league's offset where it is valid, steady and large enough (D3)."""
-    use = offset.filter(F.col("valid") & (F.col("mad") <= most_mad) & (F.abs("offset") >= least)).select("league_id", F.col("offset").alias("_o"))
-    moved = F.col("start_unix") - F.coalesce("_o", F.lit(0))
+    """Source times moved to the targets' by their league's offset where it is usable (D3)."""
+    use = usable(offset, most_mad, least).select("league_id", F.col("offset").alias("_o"))
+    moved = F.col("start_unix") + F.coalesce("_o", F.lit(0))
     return events.join(use, "league_id", "left").withColumn("start_unix", moved).withColumn("offset_applied", F.coalesce("_o", F.lit(0))).drop("_o")
 
 

@@ -230,10 +230,34 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
     Leagues of more than ``size`` source events are matched by segments, with the result of one ordered pass. Target rows
     that repeat in id, time and teams are one target.
     """
+    return matches_of(match_rows(source, target, team_map, size))
+
+
+def matches_of(rows: DataFrame) -> DataFrame:
+    """The matches among the rows of :func:`match_rows`, teams without an id as such."""
+    keys = ("home_id", "away_id", "target_home_id", "target_away_id")
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return rows.filter("kind = 'r'").select(*[_id_of(c) if c in keys else F.col(c) for c in names])
+
+
+def match_rows(source: DataFrame, target: DataFrame, team_map: DataFrame | None = None, size: int = segments.SEGMENT, before: DataFrame | None = None) -> DataFrame:
+    """Matches and learned aliases in order (:data:`.segments.OUT`).
+
+    ``before`` has such rows of earlier source events, with ``batch`` to order them by: their targets are gone, and their
+    aliases are known.
+    """
     s = segments.event_rows(source, "s", team_key("home"), team_key("away"), is_placeholder(F.col("home_name")) & is_placeholder(F.col("away_name")))
     t = segments.event_rows(target, "t", team_key("home"), team_key("away")).distinct()
     sims = team_pairs(source, target)
     maps = None if team_map is None else team_map.select("league_id", "s", "t").distinct()
+    prior = None
+    if before is not None:
+        gone = before.filter("kind = 'r' and matched").select("league_id", F.col("target_id").alias("id"), F.col("target_start").alias("start"), F.col("target_home_id").alias("home"), F.col("target_away_id").alias("away")).distinct()  # noqa: E501
+        t = t.join(gone, ["league_id", "id", "start", "home", "away"], "left_anti")
+        taught = segments.aliases_of(before.withColumn("n", (F.col("batch") * F.lit(1 << 40) + F.col("n")).cast("long")))
+        # segments of one batch follow each other; within a league their order and n's give one order
+        order = F.row_number().over(Window.partitionBy("league_id").orderBy(F.shiftright("n", 40), "seg", "n"))
+        prior = cut(taught.withColumn("n", order.cast("long")).withColumn("seg", F.lit(0).cast("long")))
     large = cut(segments.large_leagues(s, t, size))
     split = not large.isEmpty()
     rest = (lambda d: d.join(large, "league_id", "left_anti")) if split else (lambda d: d)
@@ -243,6 +267,9 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
     whole = cell(first(rest(s)), "s", **event).unionByName(cell(first(rest(t)), "t", **event)).unionByName(cell(first(rest(sims)), "p", home="s", away="t", sim="sim"))
     if maps is not None:
         whole = whole.unionByName(cell(first(rest(maps)), "m", home="s", away="t"))
+    if prior is not None:
+        for kind, rows in zip("ab", segments.last_aliases(prior), strict=True):
+            whole = whole.unionByName(cell(first(rest(rows.join(s.select("league_id").distinct(), "league_id", "left_semi"))), kind, home="s", away="t"))
     cells, far = None, None
     if split:
         of = lambda d: d.join(large, "league_id", "left_semi")
@@ -262,10 +289,7 @@ def match_events(source: DataFrame, target: DataFrame, team_map: DataFrame | Non
             possible = alike if learned is None else alike.unionByName(learned).distinct()
             return cell(segments.by_team_pair(s, t, possible, L5_GAP), "t", **event)
 
-    found = segments.settle(whole, cells, _event_cell, far).filter("kind = 'r'")
-    keys = ("home_id", "away_id", "target_home_id", "target_away_id")
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    return found.select(*[_id_of(c) if c in keys else F.col(c) for c in names])
+    return segments.settle(whole, cells, _event_cell, far, None if prior is None or not split else of(prior))
 
 
 def two_rounds(source: DataFrame, target: DataFrame, vote) -> DataFrame:

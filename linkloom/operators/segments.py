@@ -103,12 +103,28 @@ def _last_until(learned: DataFrame, key: str) -> DataFrame:
     return after.filter(F.col("_next").isNull() | (F.col("_next") > F.col("seg")))
 
 
-def _handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame) -> DataFrame:
-    """What each segment gets from those before it: targets that are gone and the last aliases of its teams."""
+def aliases_of(out: DataFrame) -> DataFrame:
+    """(league_id, seg, n, s, t): the aliases that rows of ``out`` taught, in order."""
+    return out.filter("kind = 'l'").select("league_id", "seg", "n", F.col("home_id").alias("s"), F.col("target_home_id").alias("t"))
+
+
+def last_aliases(learned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(league_id, s, t) of the last target of each source team, and of the last source of each target team."""
+    last = lambda key: learned.groupBy("league_id", key).agg(F.max_by(F.struct("s", "t"), F.struct("seg", "n")).alias("x")).select("league_id", "x.s", "x.t")
+    return last("s"), last("t")
+
+
+def _handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """What each segment gets from those before it: targets that are gone and the last aliases of its teams.
+
+    ``prior`` are aliases (as :func:`aliases_of` gives them) from before the first segment.
+    """
     target = ["league_id", "id", "start", "home", "away"]
     taken = out.filter("kind = 'r' and matched").groupBy("league_id", F.col("target_id").alias("id"), F.col("target_start").alias("start"), F.col("target_home_id").alias("home"), F.col("target_away_id").alias("away")).agg(F.min("seg").alias("_by"))  # noqa: E501
     gone = cell(places.join(taken, target).filter(F.col("seg") > F.col("_by")), "x", id="id", start="start", home="home", away="away")
-    learned = out.filter("kind = 'l'").select("league_id", "seg", "n", F.col("home_id").alias("s"), F.col("target_home_id").alias("t"))
+    learned = aliases_of(out)
+    if prior is not None:
+        learned = learned.unionByName(prior.withColumn("seg", F.lit(-1).cast("long")))
     parts = [gone]
     for kind, key in (("a", "s"), ("b", "t")):
         last = _last_until(learned, key).select("league_id", F.col("seg").alias("_from"), "_next", "s", "t")
@@ -117,10 +133,11 @@ def _handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame) -> DataFra
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataFrame], pd.DataFrame], far: Callable[[DataFrame | None], DataFrame] | None = None) -> DataFrame:
+def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataFrame], pd.DataFrame], far: Callable[[DataFrame | None], DataFrame] | None = None, prior: DataFrame | None = None) -> DataFrame:
     """The rows (OUT) of every league: ``whole`` holds cells that are leagues, ``cells`` the segments of large leagues.
 
-    ``kernel`` runs one cell. ``far`` gives the far targets of the segments from all aliases learned so far.
+    ``kernel`` runs one cell. ``far`` gives the far targets of the segments from all aliases learned so far. ``prior`` are
+    aliases from before the first segment, in order of n.
     """
     run = lambda rows: rows.groupBy(*PLACE).applyInPandas(kernel, OUT)
     if cells is None:
@@ -128,13 +145,15 @@ def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataF
     cells = cut(cells)
     s_teams = cut(teams_of(cells.filter("kind = 's'"), PLACE, "s"))
     near = cells.filter("kind = 't'").select(*CELL)
-    out = learned = before = None
+    out = before = None
+    learned = None if prior is None else cut(prior.select("league_id", "s", "t").distinct())
     while True:
         added = far(learned) if far else None
         places = near if added is None else near.unionByName(added).distinct()
         now = added
-        if out is not None:
-            handed = _handed_on(out, places, s_teams)
+        if out is not None or prior is not None:
+            made = out if out is not None else cells.sparkSession.createDataFrame([], OUT)
+            handed = _handed_on(made, places, s_teams, prior)
             now = handed if now is None else now.unionByName(handed)
         now = cut(now if now is not None else cells.limit(0))
         if out is None:

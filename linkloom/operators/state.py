@@ -1,45 +1,27 @@
 """Knowledge kept between runs: alias stores and the validation log (A1-A4, V5-V8).
 
-A store is a folder of versions, each a Parquet table; a write merges into a new version and then moves the pointer.
+Rows are kept in a :class:`.store.Store`.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import Store
+
 KEY = ["side", "src_id", "ts_id"]
 COLUMNS = "side string, src_id string, ts_id string, sport string, votes bigint, confidence double, last_seen bigint, origin string"
 
 
-class Store:
-    """Versions of one table under a folder that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _latest(self) -> tuple[int, str]:
-        """Number and name of the newest version that was written to its end."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        hadoop = path(f"{self.path}/versions")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return 0, ""
-        done = [s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        return max(((int(n[1:].split("-")[0]), n) for n in done), default=(0, ""))
-
-    def read(self) -> DataFrame:
-        n, name = self._latest()
-        if not n:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/{name}")
-
-    def write(self, rows: DataFrame) -> None:
-        """A version counts once its success marker is there, so readers never see half of one. Each attempt has a name
-        of its own: what a write that died has left is in nobody's way."""
-        rows.write.parquet(f"{self.path}/versions/v{self._latest()[0] + 1}-{uuid.uuid4().hex}")
+def alias_store(spark, path: str) -> Store:
+    """The store of team aliases; the aliases of a source team are in one bucket."""
+    return Store(spark, path, COLUMNS, ["side", "src_id"])
+
+
+def learn(store: Store, new: DataFrame) -> int:
+    """Merge newly seen aliases into the store (A1, W2), whoever else writes to it; the version that has them."""
+    return store.merge(new, upsert)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

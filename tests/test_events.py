@@ -138,7 +138,7 @@ def test_offsets_and_alignment(spark):
 
 
 def test_stores(spark, tmp_path):
-    store = state.Store(spark, f"file://{tmp_path}/aliases", state.COLUMNS)
+    store = state.alias_store(spark, f"file://{tmp_path}/aliases")
     rows = lambda *x: spark.createDataFrame([("team", s, t, "football", v, c, at, o) for s, t, v, c, at, o in x], state.COLUMNS)
     store.write(state.upsert(store.read(), rows(("a", "x", 1, 0.5, 10, "learned"), ("a", "y", 1, 0.9, 11, "learned"))))
     store.write(state.upsert(store.read(), rows(("a", "x", 1, 0.7, 20, "learned"), ("b", "z", 1, 0.7, 20, "manual"))))

@@ -109,7 +109,8 @@ def test_totals(spark):
 def test_a_store_survives_a_write_that_died(spark, tmp_path):
     store = state.Store(spark, f"file://{tmp_path}/s", "id bigint")
     store.write(spark.range(1))
-    (tmp_path / "s" / "versions" / "v2-dead").mkdir()
+    (tmp_path / "s" / "data" / "dead").mkdir()
+    (tmp_path / "s" / "open" / "dead").write_text("{")
     store.write(spark.range(2))
     store.write(spark.range(3))
     assert store.read().count() == 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import geo, text, timing
-from .operators import blocking, events, evidence, features, leagues, reports, scoring, state, teams
+from .operators import blocking, events, evidence, features, graph_index, leagues, reports, scoring, state, teams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -378,6 +378,14 @@ def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def graph_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the five nearest of all vectors by the graph index; recall against the exact scan is measured in the tests."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    found = graph_index.search(vectors.filter("id % 20 = 0"), graph_index.build(vectors), 5)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, unnest([p_name[i:i+2] FOR i IN range(1, len(p_name) - 1)]) AS gram FROM n),
 h AS (SELECT p_name, ((xor((((xor(((xor(197, ord(gram[1])) * 147) & 255), ord(gram[2]))) * 147) & 255), ord(gram[3])) * 147) & 255)::INT AS bucket FROM g),

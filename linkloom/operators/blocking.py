@@ -56,6 +56,13 @@ def encode(entities: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tf.select(id_col, "bucket", (F.col("tf") / norm).alias("weight"))
 
 
+def dense(encoded: DataFrame, id_col: str, width: int = 256) -> DataFrame:
+    """(id, x) of an encoding (id, bucket, weight), with one number for every bucket."""
+    held = encoded.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    return held.select(F.col(id_col).alias("id"), F.transform(every, lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("x"))
+
+
 def top_k(queries: DataFrame, entities: DataFrame, block: list[str], k: int = 10, digits: int | None = None) -> DataFrame:
     """The k nearest entities of each query inside its block, by cosine of the sparse encodings; exact.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .store import Store
 
 LEVELS = ("disagree", "partial", "agree")
 FLOOR = 1e-10
@@ -92,18 +93,66 @@ def fit_patterns(rows: list[tuple], model: Model, steps: int = 100, tolerance: f
     return Model([tuple(x) for x in m], [tuple(x) for x in u], prior)
 
 
-def fit_leagues(pairs: DataFrame, least: int = 5) -> DataFrame:
-    """(league_id, field, level, m, u) fitted per league with ``least`` comparisons or more."""
-    counts = pairs.groupBy("league_id", *fixed.FS_FIELDS).count()
+#: Stored counts of level patterns of a league: all that a fit needs of the comparisons, at most 3^5 rows a league.
+COUNTS = "league_id string, " + ", ".join(f"{f} int" for f in fixed.FS_FIELDS) + ", n bigint"
+MODELS = "league_id string, field string, level int, m double, u double, prior double"
+
+
+def pattern_counts(pairs: DataFrame) -> DataFrame:
+    """(league_id, levels, n) of comparisons (COUNTS)."""
+    return pairs.groupBy("league_id", *[F.col(f).cast("int").alias(f) for f in fixed.FS_FIELDS]).agg(F.count("*").alias("n"))
+
+
+def fit_counts(counts: DataFrame, least: int = 5) -> DataFrame:
+    """The model (MODELS) of each league whose pattern counts add up to ``least`` or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["count"].sum() < least:
-            return pd.DataFrame(columns=["league_id", "field", "level", "m", "u"])
-        fitted = fit_patterns([tuple(r) for r in pdf[[*fixed.FS_FIELDS, "count"]].itertuples(index=False)], Model.default())
-        rows = [(pdf["league_id"].iloc[0], f, k, fitted.match[i][k], fitted.other[i][k]) for i, f in enumerate(fixed.FS_FIELDS) for k in range(3)]
-        return pd.DataFrame(rows, columns=["league_id", "field", "level", "m", "u"])
+        rows = []
+        if pdf["n"].sum() >= least:
+            pdf = pdf.sort_values(list(fixed.FS_FIELDS))
+            fitted = fit_patterns([tuple(r) for r in pdf[[*fixed.FS_FIELDS, "n"]].itertuples(index=False)], Model.default())
+            rows = [(pdf["league_id"].iloc[0], f, k, fitted.match[i][k], fitted.other[i][k], fitted.prior) for i, f in enumerate(fixed.FS_FIELDS) for k in range(3)]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in MODELS.split(", ")])
+
+    return counts.groupBy("league_id").applyInPandas(run, MODELS)
+
 
-    return counts.groupBy("league_id").applyInPandas(run, "league_id string, field string, level int, m double, u double")
+def fit_leagues(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """The model (MODELS) of each league with ``least`` comparisons or more."""
+    return fit_counts(pattern_counts(pairs), least)
+
+
+def model_store(spark, path: str) -> Store:
+    """The store of leagues' pattern counts; the counts of a league are in one bucket."""
+    return Store(spark, path, COUNTS, ["league_id"])
+
+
+def learn(store: Store, pairs: DataFrame, least: int = 5) -> int:
+    """Add the comparisons of a run to the stored counts of their leagues (X4); a league with fewer than ``least`` waits for more.
+
+    Counts add up, so models fitted on the store are those of a fit on all comparisons that it has been given.
+    """
+    new = pattern_counts(pairs)
+    enough = new.groupBy("league_id").agg(F.sum("n").alias("_all")).filter(F.col("_all") >= least).select("league_id")
+    key = ["league_id", *fixed.FS_FIELDS]
+    return store.merge(new.join(enough, "league_id", "left_semi"), lambda old, more: old.unionByName(more).groupBy(*key).agg(F.sum("n").alias("n")))
+
+
+def stored_models(store: Store) -> DataFrame:
+    """The model (MODELS) of each league in the store."""
+    return fit_counts(store.read())
+
+
+def score_by_league(pairs: DataFrame, models: DataFrame, default: Model | None = None, prefix: str = "") -> DataFrame:
+    """``pairs`` with ``score`` (X2) under the model of their league, or the default where the league has none."""
+    weight = F.log2(F.greatest("m", F.lit(FLOOR)) / F.greatest("u", F.lit(FLOOR)))
+    name = F.concat_ws(":", "field", F.col("level").cast("string"))
+    known = models.groupBy(F.col("league_id").alias("_l")).agg(F.map_from_entries(F.collect_list(F.struct(name, weight))).alias("_w"))  # 15 numbers a league
+    own = F.lit(0.0)
+    for f in fixed.FS_FIELDS:
+        own = own + F.coalesce(F.try_element_at("_w", F.concat_ws(":", F.lit(f), F.col(prefix + f).cast("string"))), F.lit(0.0))
+    joined = pairs.join(known, F.col("league_id") == F.col("_l"), "left")
+    return joined.withColumn("score", F.when(F.col("_w").isNotNull(), own).otherwise(score(default or Model.default(), prefix))).drop("_l", "_w")
 
 
 # --- offsets -----------------------------------------------------------------------------------------------------------

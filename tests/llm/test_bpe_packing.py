@@ -96,3 +96,12 @@ def test_pack_documents(spark):
         assert at <= 1000
     assert len(by) <= -(-sum(r["length"] for r in rows) // 1000) + 1
     assert packing.pack_documents(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_a_join_that_never_agrees_is_encoded_whole(monkeypatch):
+    t, c = Tokenizer.from_file(PATH), bpe.ChunkCodec(PATH)
+    all_texts = texts()
+    repair = bpe.ChunkCodec._repair
+    monkeypatch.setattr(bpe.ChunkCodec, "_repair", lambda self, joins: [None if i % 3 == 0 else x for i, x in enumerate(repair(self, joins))])
+    for found, text in zip(c.encode(all_texts), all_texts, strict=True):
+        assert found == np.asarray(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -119,13 +119,10 @@ def _handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame, prior: Dat
 
     ``prior`` are aliases (as :func:`aliases_of` gives them) from before the first segment.
     """
-    target = ["league_id", "id", "start", "home", "away"]
-    taken = out.filter("kind = 'r' and matched").groupBy("league_id", F.col("target_id").alias("id"), F.col("target_start").alias("start"), F.col("target_home_id").alias("home"), F.col("target_away_id").alias("away")).agg(F.min("seg").alias("_by"))  # noqa: E501
-    gone = cell(places.join(taken, target).filter(F.col("seg") > F.col("_by")), "x", id="id", start="start", home="home", away="away")
+    parts = [_gone(out, places)]
     learned = aliases_of(out)
     if prior is not None:
         learned = learned.unionByName(prior.withColumn("seg", F.lit(-1).cast("long")))
-    parts = [gone]
     for kind, key in (("a", "s"), ("b", "t")):
         last = _last_until(learned, key).select("league_id", F.col("seg").alias("_from"), "_next", "s", "t")
         met = s_teams.join(last, ["league_id", "s"]).filter((F.col("seg") > F.col("_from")) & (F.col("_next").isNull() | (F.col("seg") <= F.col("_next"))))
@@ -133,11 +130,27 @@ def _handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame, prior: Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataFrame], pd.DataFrame], far: Callable[[DataFrame | None], DataFrame] | None = None, prior: DataFrame | None = None) -> DataFrame:
+def votes_handed_on(out: DataFrame, places: DataFrame, s_teams: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """As :func:`_handed_on`, with all votes for aliases (kind v: home voted for away, start times, sim in order) in place of the last ones."""
+    cast = aliases_of(out).groupBy("league_id", F.col("seg").alias("_from"), "s", "t").agg(F.count("*").alias("_votes"), F.min("n").alias("_n"))
+    met = s_teams.join(cast, ["league_id", "s"]).filter(F.col("seg") > F.col("_from"))
+    votes = met.groupBy(*PLACE, "s", "t").agg(F.sum("_votes").alias("votes"), F.min(F.struct("_from", "_n")).alias("_first"))
+    votes = votes.withColumn("place", F.row_number().over(Window.partitionBy(*PLACE, "s").orderBy("_first")))
+    return _gone(out, places).unionByName(cell(votes, "v", home="s", away="t", start="votes", sim="place"))
+
+
+def _gone(out: DataFrame, places: DataFrame) -> DataFrame:
+    """Targets of each segment that segments before it have taken."""
+    target = ["league_id", "id", "start", "home", "away"]
+    taken = out.filter("kind = 'r' and matched").groupBy("league_id", F.col("target_id").alias("id"), F.col("target_start").alias("start"), F.col("target_home_id").alias("home"), F.col("target_away_id").alias("away")).agg(F.min("seg").alias("_by"))  # noqa: E501
+    return cell(places.join(taken, target).filter(F.col("seg") > F.col("_by")), "x", id="id", start="start", home="home", away="away")
+
+
+def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataFrame], pd.DataFrame], far: Callable[[DataFrame | None], DataFrame] | None = None, prior: DataFrame | None = None, hand_on: Callable | None = None) -> DataFrame:
     """The rows (OUT) of every league: ``whole`` holds cells that are leagues, ``cells`` the segments of large leagues.
 
     ``kernel`` runs one cell. ``far`` gives the far targets of the segments from all aliases learned so far. ``prior`` are
-    aliases from before the first segment, in order of n.
+    aliases from before the first segment, in order of n. ``hand_on`` replaces :func:`_handed_on`.
     """
     run = lambda rows: rows.groupBy(*PLACE).applyInPandas(kernel, OUT)
     if cells is None:
@@ -153,7 +166,7 @@ def settle(whole: DataFrame, cells: DataFrame | None, kernel: Callable[[pd.DataF
         now = added
         if out is not None or prior is not None:
             made = out if out is not None else cells.sparkSession.createDataFrame([], OUT)
-            handed = _handed_on(made, places, s_teams, prior)
+            handed = (hand_on or _handed_on)(made, places, s_teams, prior)
             now = handed if now is None else now.unionByName(handed)
         now = cut(now if now is not None else cells.limit(0))
         if out is None:

@@ -130,9 +130,10 @@ def _hopeful(a: DataFrame, b: DataFrame, weights: dict, first: int | None) -> Da
 
 def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame, index: DataFrame, weights: dict) -> DataFrame:
     """(a, b, alias_score, score) of pairs of profiles."""
-    side = lambda d, x: d.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "f", "p", "c")])
+    side = lambda d, x: d.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "f", "p", "c", "canonical")])
     both = pairs.join(side(a, "a"), "a").join(side(b, "b"), "b")
-    named = league_rules.alias_similarity(both, "name_a", "name_b", index)
+    names = both.select("name_a", "name_b", F.col("canonical_a").alias("_ca"), F.col("canonical_b").alias("_cb")).distinct()
+    named = both.join(league_rules.alias_scores(names, "name_a", "name_b", index), ["name_a", "name_b"])
     c = F.col
     away = (geo.forms_veto(c("p_a"), c("p_b")) | geo.forms_veto_by_name(c("c_a"), c("p_b"))) if weights["veto"] else F.lit(False)
     named = named.withColumn("_geo", geo.forms_geo_similarity(c("p_a"), c("p_b"))).withColumn("_away", away)

@@ -39,6 +39,11 @@ def alias_similarity(pairs: DataFrame, a: str, b: str, index: DataFrame, out: st
     alias of one side against the other; aliases are exploded per distinct pair of names.
     """
     names = with_canonical(with_canonical(pairs.select(a, b).distinct(), a, "_ca", index), b, "_cb", index)
+    return pairs.join(alias_scores(names, a, b, index, out), [a, b])
+
+
+def alias_scores(names: DataFrame, a: str, b: str, index: DataFrame, out: str = "alias_score") -> DataFrame:
+    """(a, b, score) of distinct pairs of names whose canonical names are ``_ca`` and ``_cb`` (null outside the index)."""
     plain = names.withColumn("_x", F.col(a)).withColumn("_y", F.col(b))
     expanded = names.withColumn("_x", F.coalesce("_ca", a)).withColumn("_y", F.coalesce("_cb", b))
     of_a = names.join(index.toDF("_x", "_ca"), "_ca").withColumn("_y", F.col(b))
@@ -49,8 +54,7 @@ def alias_similarity(pairs: DataFrame, a: str, b: str, index: DataFrame, out: st
     compared = tries.select("_x", "_y").distinct().repartition("_x", "_y")
     compared = compared.select("_x", "_y", name_similarity(F.col("_x"), F.col("_y")).alias("_score"))
     best = tries.join(compared, ["_x", "_y"]).groupBy(a, b).agg(F.max("_score").alias("_best"), F.first(F.col("_ca") == F.col("_cb")).alias("_same"))
-    scored = best.select(a, b, F.when(F.coalesce("_same", F.lit(False)), 0.98).otherwise(F.col("_best")).alias(out))
-    return pairs.join(scored, [a, b])
+    return best.select(a, b, F.when(F.coalesce("_same", F.lit(False)), 0.98).otherwise(F.col("_best")).alias(out))
 
 
 def league_score(name_score: Column, a: str, b: str, place_a: str, place_b: str, weights: dict = SR) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import geo, text, timing
-from .operators import blocking, events, evidence, features, graph_index, leagues, reports, scoring, state, teams
+from .operators import blocking, events, evidence, features, graph_index, leagues, offline, reports, scoring, state, teams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -328,7 +328,9 @@ def fs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SQL_FS + " SELECT home_name::TINYINT AS home_name, away_name::TINYINT AS away_name, time_diff::TINYINT AS time_diff, league_tier::TINYINT AS league_tier, sport::TINYINT AS sport, count(*) AS n FROM f GROUP BY ALL")
 def fs_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_pairs(spark, sf_dir).groupBy("home_name", "away_name", "time_diff", "league_tier", "sport").agg(F.count("*").alias("n"))
+    levels = ("home_name", "away_name", "time_diff", "league_tier", "sport")
+    counts = scoring.pattern_counts(_order_pairs(spark, sf_dir).withColumn("league_id", F.lit("all")))
+    return counts.select(*[F.col(c).cast("tinyint").alias(c) for c in levels], "n")
 
 
 @query()
@@ -422,8 +424,12 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
-    return a.union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    """Customers' nations are home teams and suppliers' nations away teams of one league."""
+    side = lambda name, column, x: table(spark, sf_dir, name).select(
+        F.lit("all").alias("tournament_id"), F.lit("sr").alias("source"), *[F.when(F.lit(x == y), F.col(column).cast("string")).otherwise("").alias(f"{y}_{part}") for y in ("home", "away") for part in ("id", "name")]
+    )
+    teams_ = sources.team_names(side("customer", "c_nationkey", "home").unionByName(side("supplier", "s_nationkey", "away")))
+    return teams_.select(F.col("id").cast("int").alias("nation"))
 
 
 @query(
@@ -496,6 +502,10 @@ def place_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_with_alias_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full matcher: users are leagues, event types and parts of the hour stand for teams."""
+    return events.match_events(*_as_games(spark, sf_dir))
+
+
+def _as_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events").withColumn("sec", F.expr(SECONDS))
     row = lambda kinds, shift: e.filter(F.col("event_type").isin(*kinds)).select(
         F.col("user_id").cast("string").alias("league_id"),
@@ -506,19 +516,110 @@ def greedy_with_alias_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("a"), F.col("sec") % 5).alias("away_id"),
         F.concat(F.lit("Club "), F.col("sec") % 5).alias("away_name"),
     )
-    return events.match_events(row(["click", "signup"], 0), row(["view", "purchase"], 600))
+    return row(["click", "signup"], 0), row(["view", "purchase"], 600)
+
+
+# --- offsets, validation and stores on columns of like shape ---------------------------------------------------------------
+
+_SQL_NAMED = f"""s AS (SELECT user_id, event_id AS s_id, {EPOCH} AS s_time FROM events WHERE event_type = 'click'),
+t AS (SELECT user_id, event_id AS t_id, {EPOCH} AS t_time FROM events WHERE event_type = 'signup'),
+p AS (SELECT user_id, s_id, t_id, t_time - s_time AS gap, ((s_id * 7 + t_id * 13) % 20) / 20 AS name FROM s JOIN t USING (user_id)),
+a AS (SELECT user_id, s_id, any_value(t_id) AS t_id, any_value(gap) AS gap FROM p WHERE name >= 0.85 GROUP BY ALL HAVING count(*) = 1 AND abs(any_value(gap)) <= 604800)"""
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and signups of a user as source and target events whose names are alike to a degree that follows from their ids."""
+    s, t = _timed(spark, sf_dir, "click", "s"), _timed(spark, sf_dir, "signup", "t")
+    pairs = s.join(t, "user_id").withColumn("name", ((F.col("s_id") * 7 + F.col("t_id") * 13) % 20) / 20)
+    return scoring.anchors(pairs.select(F.col("user_id").alias("league_id"), F.col("s_id").alias("s"), F.col("t_id").alias("t"), (F.col("t_time") - F.col("s_time")).alias("gap"), "name"))
+
+
+@query(f"WITH {_SQL_NAMED} SELECT user_id, s_id, t_id, gap FROM a")
+def offset_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(spark, sf_dir).select(F.col("league_id").alias("user_id"), F.col("s").alias("s_id"), F.col("t").alias("t_id"), "gap")
+
+
+@query(
+    f"""WITH {_SQL_NAMED}, m AS (SELECT user_id, trunc(quantile_cont(gap, 0.5))::BIGINT AS o, count(*) AS n FROM a GROUP BY 1),
+d AS (SELECT user_id, o, n, trunc(quantile_cont(abs(gap - o), 0.5))::BIGINT AS mad FROM a JOIN m USING (user_id) GROUP BY ALL),
+u AS (SELECT user_id, o FROM d WHERE n >= 3 AND mad <= 200000 AND abs(o) >= 300)
+SELECT s_id, s_time + coalesce(o, 0) AS corrected, coalesce(o, 0) AS "offset" FROM s LEFT JOIN u USING (user_id)"""
+)
+def offset_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offsets = scoring.offsets(_anchors(spark, sf_dir), ["league_id"])
+    s = _timed(spark, sf_dir, "click", "s").select(F.col("user_id").alias("league_id"), "s_id", F.col("s_time").alias("start_unix"))
+    return scoring.corrected(s, offsets, most_mad=200_000).select("s_id", F.col("start_unix").alias("corrected"), F.col("offset_applied").alias("offset"))
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS key, count(*) AS n_events, count(*) FILTER (o_orderstatus = 'F') / count(*) AS rcr FROM orders GROUP BY 1),
+v AS (SELECT key, n_events, rcr, CASE WHEN key % 10 = 0 THEN 'OVERRIDE' WHEN n_events < 5 THEN 'INSUFFICIENT' WHEN rcr < 0.3 THEN 'SUSPECT' ELSE 'OK' END AS status FROM r)
+SELECT key, n_events, status, CASE WHEN status = 'SUSPECT' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence,
+ CASE WHEN rcr >= 0.6 THEN 0.10 WHEN rcr >= 0.4 THEN 0.05 WHEN rcr >= 0.3 THEN 0.02 ELSE 0.0 END::DOUBLE AS bonus FROM v"""
+)
+def known_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are entries of a known map, the share of their finished orders is the reverse-confirm rate."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n_events"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("rcr"))
+    overrides = rows.filter("key % 10 = 0").select("key")
+    return state.validate_known(rows, overrides).select("key", "n_events", "status", "confidence", state.rcr_bonus(F.col("rcr")).alias("bonus"))
+
+
+_SQL_VOTES = f"SELECT user_id AS src, event_type AS dst, count(*) AS votes, max({EPOCH}) AS last_seen, CASE WHEN user_id % 5 = 0 AND event_type = 'view' THEN 'manual' ELSE 'learned' END AS origin FROM events GROUP BY ALL"
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("sec", F.expr(SECONDS))
+    rows = e.groupBy("user_id", "event_type").agg(F.count("*").alias("votes"), F.max("sec").alias("last_seen"))
+    origin = F.when((F.col("user_id") % 5 == 0) & (F.col("event_type") == "view"), "manual").otherwise("learned")
+    return rows.select(F.lit("league").alias("side"), F.col("user_id").cast("string").alias("src_id"), F.col("event_type").alias("ts_id"), F.lit("football").alias("sport"), "votes", F.lit(1.0).alias("confidence"), "last_seen", origin.alias("origin"))
+
+
+@query(f"WITH v AS ({_SQL_VOTES}), x AS (SELECT max(last_seen) AS last FROM v) SELECT src::VARCHAR AS src_id, dst AS ts_id, votes, last_seen FROM v, x WHERE NOT (votes = 1 AND last_seen < last - 864000)")
+def alias_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _votes(spark, sf_dir)
+    last = rows.agg(F.max("last_seen")).first()[0]
+    return state.prune(rows, last, days=10).select("src_id", "ts_id", "votes", "last_seen")
+
+
+@query(
+    f"""WITH v AS ({_SQL_VOTES}) SELECT src::VARCHAR AS src_id, dst AS ts_id, origin, votes FROM v WHERE origin = 'manual' OR votes >= 2
+QUALIFY row_number() OVER (PARTITION BY src ORDER BY origin = 'manual' DESC, votes DESC, last_seen DESC, dst) = 1"""
+)
+def league_alias_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.best_league_aliases(_votes(spark, sf_dir)).select("src_id", "ts_id", "origin", "votes")
+
+
+@query(
+    """WITH l AS (SELECT o_custkey AS key, o_orderkey AS seq, o_orderdate AS day, (o_orderkey % 101) / 100 AS rcr,
+ CASE WHEN o_orderkey % 7 = 0 THEN 'OVERRIDE' WHEN o_orderkey % 7 = 1 THEN 'INSUFFICIENT' WHEN o_orderkey % 101 < 30 THEN 'SUSPECT' ELSE 'OK' END AS status FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day DESC, seq DESC) AS r FROM l WHERE status IN ('SUSPECT', 'OK'))
+SELECT key, round(avg(rcr), 6) AS mean_rcr, bool_or(r = 1 AND status = 'SUSPECT') AS suspect FROM n WHERE r <= 10 GROUP BY key"""
+)
+def recent_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(k % 7 == 0, "OVERRIDE").when(k % 7 == 1, "INSUFFICIENT").when(k % 101 < 30, "SUSPECT").otherwise("OK")
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), k.alias("seq"), F.col("o_orderdate").alias("at"), (k % 101 / 100).alias("rcr"), status.alias("status"))
+    return state.recent_mean(log).select("key", F.round("mean_rcr", 6).alias("mean_rcr"), "suspect")
+
+
+@query(
+    """WITH p AS (SELECT lang, doc_id FROM documents WHERE n_chars >= 500), t AS (SELECT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+c AS (SELECT lang, count(*) FILTER (p.doc_id IS NOT NULL AND t.doc_id IS NOT NULL) AS tp, count(p.doc_id) AS np, count(t.doc_id) AS nt FROM p FULL JOIN t USING (lang, doc_id) GROUP BY lang),
+s AS (SELECT nt, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS pr, CASE WHEN nt > 0 THEN tp / nt ELSE 0 END AS rc FROM c)
+SELECT round(sum(pr * nt) / sum(nt), 6) AS "precision", round(sum(rc * nt) / sum(nt), 6) AS recall,
+ round(sum(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END * nt) / sum(nt), 6) AS f1 FROM s"""
+)
+def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are leagues; long documents are predicted to be good ones."""
+    d = table(spark, sf_dir, "documents")
+    truth = d.join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").select("lang", "doc_id")
+    scores = reports.precision_recall(d.filter("n_chars >= 500").select("lang", "doc_id"), truth, ["doc_id"], ["lang"])
+    mean = reports.weighted_means(scores, "n_true")
+    return mean.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query()
-def evidence_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one resolution of all scored edges between clicks and views of a user."""
-    s, t = _sides(spark, sf_dir)
-    pairs = blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 21600)
-    gap = F.abs(F.col("s_time") - F.col("t_time"))
-    edges = pairs.select(
-        F.col("s_id").cast("string").alias("event_id"),
-        F.col("t_id").cast("string").alias("target_id"),
-        F.lit("").alias("competition_id"),
-        timing.round3(0.7 + 0.3 * timing.gaussian_time(gap, 3600)).alias("score"),
-    )
-    return evidence.resolve(edges, 0.70)[0]
+def offline_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline evaluator's matcher on the events of :func:`greedy_with_alias_learning`."""
+    source, target = _as_games(spark, sf_dir)
+    return offline.match_offline(source, target)

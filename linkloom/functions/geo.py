@@ -13,7 +13,17 @@ from .text import jaccard, let, normalize_name, token_set
 
 def place_group(norm: Column) -> Column:
     """Number of the group of names that a normalised place belongs to; null outside all."""
-    return reduce(lambda c, kv: c.when(norm.isin(kv[1]), kv[0]), enumerate(fixed.PLACE_GROUPS), F.when(F.lit(False), 0))
+    first = {name: number for number, names in reversed(list(enumerate(fixed.PLACE_GROUPS))) for name in names}
+    return F.try_element_at(table(first), norm)
+
+
+def quoted(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def table(entries: dict) -> Column:
+    """A constant map, parsed from one expression: an expression tree of thousands of parts is slow to make one by one."""
+    return F.expr(f"map({', '.join(quoted(x) for kv in entries.items() for x in kv)})")
 
 
 def geo_similarity(a: Column, b: Column) -> Column:
@@ -70,10 +80,9 @@ def country_of_league(norm: Column, whole_word: bool = False) -> Column:
 
     def look(n: Column) -> Column:
         padded = F.concat(F.lit(" "), n, F.lit(" "))
-        out = F.when(F.lit(False), "")
-        for abbr, country in pairs:
-            out = out.when(padded.contains(f" {abbr} ") if whole_word else n.contains(abbr), country)
-        return out.otherwise("")
+        there = lambda a: padded.contains(F.concat(F.lit(" "), a, F.lit(" "))) if whole_word else n.contains(a)
+        names = F.expr(f"array({', '.join(quoted(abbr) for abbr, _ in pairs)})")
+        return F.coalesce(F.try_element_at(table(dict(pairs)), F.get(F.filter(names, there), 0)), F.lit(""))
 
     return let(norm, look)
 

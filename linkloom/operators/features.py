@@ -11,19 +11,18 @@ from ..functions import fixed
 from ..functions.text import let, literal, normalize_name
 
 
+def keyword_pattern(words: list[str]) -> str:
+    return "|".join(literal(w) for w in words)
+
+
 def _any(norm: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [norm.contains(w) for w in words])
+    return norm.rlike(keyword_pattern(words))
 
 
 def _whole(norm: Column, words: list[str]) -> Column:
     """The first occurrence of a word stands alone (a later one is not looked at)."""
-    found = []
-    for w in words:
-        at = F.instr(norm, w)
-        edge = lambda p: F.coalesce(F.nullif(F.substr(norm, p, F.lit(1)), F.lit("")), F.lit(" "))
-        before = F.when(at > 1, edge(at - 1)).otherwise(F.lit(" "))
-        found.append((at > 0) & (before == " ") & (edge(at + len(w)) == " "))
-    return reduce(lambda a, b: a | b, found)
+    first = lambda w: rf"^(?:(?!{w})[\s\S])*(?<![^ ]){w}(?![^ ])"
+    return norm.rlike("|".join(first(literal(w)) for w in words))
 
 
 def _ladder(norm: Column, table: dict[str, list[str]], test=_any) -> Column:
@@ -31,9 +30,9 @@ def _ladder(norm: Column, table: dict[str, list[str]], test=_any) -> Column:
 
 
 def gender(norm: Column) -> Column:
-    words = F.split(norm, " ")
-    men = reduce(lambda a, b: a | b, [F.array_contains(words, w) if w in fixed.MEN_WHOLE else norm.contains(w) for w in fixed.MEN])
-    return F.when(_any(norm, fixed.WOMEN), "women").when(men, "men").otherwise("")
+    alone = lambda w: rf"(?<![^ ]){literal(w)}(?![^ ])"
+    men = "|".join(alone(w) if w in fixed.MEN_WHOLE else literal(w) for w in fixed.MEN)
+    return F.when(_any(norm, fixed.WOMEN), "women").when(norm.rlike(men), "men").otherwise("")
 
 
 def age_group(norm: Column) -> Column:
@@ -112,7 +111,3 @@ def feature_penalty(a: Column, b: Column) -> Column:
         * F.when(half("reserve"), 0.5).otherwise(1.0)
         * F.when(half("regional_league"), 0.7).otherwise(1.0)
     )
-
-
-def keyword_pattern(words: list[str]) -> str:
-    return "|".join(literal(w) for w in words)

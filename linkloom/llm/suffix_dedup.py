@@ -48,7 +48,7 @@ SALTS = 256
 #: Runs that one task checks against one document.
 TILE = 4096
 #: Bytes that are hashed at a time; a longer document is taken in pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _POSITION = _U((1 << 22) - 1)
 _BASE = 0xA0761D6478BD642F

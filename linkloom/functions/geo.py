@@ -108,6 +108,19 @@ def country_code_veto(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ~x.isin(*world) & ~y.isin(*world) & (x != y)
 
 
+def location_score(a: Column, code_a: Column, b: Column, code_b: Column) -> Column:
+    """struct(score, exact): 1 and exact for equal country codes, 0.1 for known codes that differ, else Jaccard of the places."""
+
+    def judged(s: Column) -> Column:
+        coded = (s["x"] != "") & (s["y"] != "")
+        named = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+        score = F.when(coded & (s["x"] == s["y"]), 1.0).when(coded, 0.1).when(named, jaccard(token_set(s["p"]), token_set(s["q"]))).otherwise(0.0)
+        return F.struct(score.alias("score"), (coded & (s["x"] == s["y"])).alias("exact"))
+
+    code = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    return let(F.struct(code(code_a).alias("x"), code(code_b).alias("y"), normalize_name(a).alias("p"), normalize_name(b).alias("q")), judged)
+
+
 def extract_country(name: Column, countries: dict[str, str]) -> Column:
     """The country named by the longest of the first three, two or one words of a league's name."""
     words = F.filter(F.split(normalize_name(name), " "), lambda w: w != "")

@@ -110,3 +110,19 @@ def league_feedback(confidence: Column, overlap: Column) -> Column:
     """A league's confidence after its players were compared (B2)."""
     change = F.when(overlap >= 0.60, 0.05).when(overlap >= 0.40, 0.0).when(overlap >= 0.30, -0.03).otherwise(-0.08)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence + change))
+
+
+def league_player_rates(players: DataFrame, matched: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(league_id, rate): the share of the players of a league's mapped teams that were matched (B2)."""
+    teams = mapped.select("league_id", "s").distinct()
+    every = teams.join(players.select(F.col("team_id").alias("s"), F.col("id").alias("player_id")).distinct(), "s")
+    hits = matched.select("s", "player_id").distinct().withColumn("_hit", F.lit(1))
+    return every.join(hits, ["s", "player_id"], "left").groupBy("league_id").agg((F.count("_hit") / F.count("*")).alias("rate"))
+
+
+def feed_back(leagues: DataFrame, rates: DataFrame, rule: str = "LEAGUE_NAME_MED") -> DataFrame:
+    """Leagues (id, competition_id, confidence, rule) of medium confidence, confirmed or doubted by their players (B2)."""
+    joined = leagues.join(rates.select(F.col("league_id").alias("id"), "rate"), "id", "left")
+    told = (F.col("rule") == rule) & F.col("rate").isNotNull()
+    better = F.when(told, round3(league_feedback(F.col("confidence"), F.col("rate")))).otherwise(F.col("confidence"))
+    return joined.withColumn("confidence", better).select(*leagues.columns)

@@ -48,7 +48,7 @@ def _candidates(target: DataFrame) -> DataFrame:
 def run(inputs: Inputs, source: str = "sr", by_score_only: bool = False, override: DataFrame | None = None) -> Result:
     """League match, two rounds of event matching, team map, optional players and bottom-up, statistics.
 
-    ``source`` chooses weights and vote formula ('sr' or 'ls'); ``override`` has (id, competition_id) that win over
+    ``source`` chooses weights and vote formula ('sr' or 'ls'), and for 'ls' players confirm or doubt leagues of medium confidence; ``override`` has (id, competition_id) that win over
     everything; ``by_score_only`` leaves the known map out and takes low scores.
     """
     weights = leagues.LS if source == "ls" else leagues.SR
@@ -77,6 +77,8 @@ def run(inputs: Inputs, source: str = "sr", by_score_only: bool = False, overrid
     if inputs.players is not None and inputs.target_players is not None:
         rules = teams.LS_PLAYERS if source == "ls" else teams.SR_PLAYERS
         players = teams.match_players(inputs.players, inputs.target_players, mapped, rules)
+        if source == "ls":
+            found = cut(teams.feed_back(found, teams.league_player_rates(inputs.players, players, mapped)))
         mapped, matched = teams.propagate(mapped, matched, teams.player_overlap(inputs.players, players))
     totals = t.groupBy("league_id").agg(F.count("*").alias("n_target"))
     rates = state.reverse_confirm(matched, ["league_id"], totals)

@@ -104,8 +104,8 @@ def count_terms(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.mapInPandas(run, COUNTED)
 
 
-def _joined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms of all rows one after the other, how many each row has, their numbers in the order of their distinct values)."""
+def _joined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all rows one after the other, how many each row has)."""
     lists = [t.split(" ") if t else [] for t in pdf["terms"]]
     return np.array([t for x in lists for t in x], dtype=object), np.array([len(x) for x in lists], dtype=np.int64)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import geo, text, timing
-from .operators import blocking, events, evidence, features, graph_index, leagues, offline, reports, scoring, state, teams
+from .operators import alignment, blocking, events, evidence, features, graph_index, leagues, offline, reports, scoring, state, teams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -534,6 +534,15 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.anchors(pairs.select(F.col("user_id").alias("league_id"), F.col("s_id").alias("s"), F.col("t_id").alias("t"), (F.col("t_time") - F.col("s_time")).alias("gap"), "name"))
 
 
+@query()
+def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest monotone alignment of each user's clicks and signups."""
+    s, t = _timed(spark, sf_dir, "click", "s"), _timed(spark, sf_dir, "signup", "t")
+    name = ((F.col("s_id") * 7 + F.col("t_id") * 13) % 20) / 20
+    pairs = s.join(t, "user_id").select(F.col("user_id").cast("string").alias("league_id"), F.col("s_id").cast("string").alias("s"), "s_time", F.col("t_id").cast("string").alias("t"), "t_time", name.alias("name"))
+    return alignment.align_leagues(pairs)
+
+
 @query(f"WITH {_SQL_NAMED} SELECT user_id, s_id, t_id, gap FROM a")
 def offset_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(spark, sf_dir).select(F.col("league_id").alias("user_id"), F.col("s").alias("s_id"), F.col("t").alias("t_id"), "gap")

@@ -1,4 +1,4 @@
-"""Fellegi-Sunter comparison and fitting (X1-X4), and time-offset correction."""
+"""Fellegi-Sunter comparison and fitting (X1-X4), and time-offset correction."""
 
 from __future__ import annotations
 
@@ -187,39 +187,3 @@ def corrected(events: DataFrame, offset: DataFrame, most_mad: int = 21600, least
     use = usable(offset, most_mad, least).select("league_id", F.col("offset").alias("_o"))
     moved = F.col("start_unix") + F.coalesce("_o", F.lit(0))
     return events.join(use, "league_id", "left").withColumn("start_unix", moved).withColumn("offset_applied", F.coalesce("_o", F.lit(0))).drop("_o")
-
-
-def align(cost: np.ndarray, band: float = 0.3) -> list[tuple[int, int]]:
-    """The cheapest monotone alignment inside a Sakoe-Chiba band; the diagonal is preferred going back."""
-    n, m = cost.shape
-    if not n or not m:
-        return []
-    width = max(math.ceil(band * max(n, m)), abs(n - m))
-    total = np.full((n + 1, m + 1), math.inf)
-    total[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(max(1, i - width), min(m, i + width) + 1):
-            total[i, j] = cost[i - 1, j - 1] + min(total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
-    path, i, j = [], n, m
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        steps = [(total[i - 1, j - 1], i - 1, j - 1), (total[i - 1, j], i - 1, j), (total[i, j - 1], i, j - 1)]
-        _, i, j = min(steps, key=lambda s: s[0])
-    return path[::-1]
-
-
-def align_leagues(pairs: DataFrame) -> DataFrame:
-    """(league_id, s, t) aligned by time order per league: pairs has (league_id, s, s_time, t, t_time, name)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[["s", "s_time"]].drop_duplicates().sort_values(["s_time", "s"])["s"].tolist()
-        t = pdf[["t", "t_time"]].drop_duplicates().sort_values(["t_time", "t"])["t"].tolist()
-        si, ti = {x: i for i, x in enumerate(s)}, {x: i for i, x in enumerate(t)}
-        cost = np.ones((len(s), len(t)))
-        near = np.exp(-((pdf["s_time"] - pdf["t_time"]) ** 2) / (2.0 * 86400**2))
-        for a, b, c in zip(pdf["s"], pdf["t"], 1 - (pdf["name"] + near) / 2, strict=True):
-            cost[si[a], ti[b]] = c
-        rows = [(pdf["league_id"].iloc[0], s[i], t[j], float(cost[i, j])) for i, j in align(cost)]
-        return pd.DataFrame(rows, columns=["league_id", "s", "t", "cost"])
-
-    return pairs.groupBy("league_id").applyInPandas(run, "league_id string, s string, t string, cost double")

@@ -128,13 +128,10 @@ def test_model(spark):
     assert abs(model.prior - sum(r[:3] == (2, 2, 2) for r in rows) / 500) < 0.02
 
 
-def test_offsets_and_alignment(spark):
+def test_offsets(spark):
     gaps = spark.createDataFrame([("a", g) for g in (100, 110, 90, 5000)] + [("b", 5)], "league_id string, gap bigint")
     got = {r["league_id"]: (r["offset"], r["valid"]) for r in scoring.offsets(gaps, ["league_id"]).collect()}
     assert got == {"a": (105, True), "b": (5, False)}
-    import numpy as np
-
-    assert scoring.align(np.eye(3) * -1 + 1) == [(0, 0), (1, 1), (2, 2)] and scoring.align(np.zeros((0, 2))) == []
 
 
 def test_stores(spark, tmp_path):

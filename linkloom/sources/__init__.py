@@ -14,11 +14,6 @@ from ..schema import assert_schema, canonical
 SNAPSHOT = "Body struct<Fixtures:array<struct<Participants:array<struct<Id:string,Name:string,Players:array<struct<Id:string,Name:string>>>>>>>"
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a database that the caller names; filters and column lists are pushed down by Spark."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row a key, the first in order."""
     w = Window.partitionBy(key).orderBy(*order)

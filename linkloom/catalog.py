@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .functions import geo, text, timing
 from .operators import alignment, blocking, events, evidence, features, graph_index, leagues, offline, reports, scoring, state, teams
+from .sources import selections
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -519,6 +520,58 @@ def _as_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return row(["click", "signup"], 0), row(["view", "purchase"], 600)
 
 
+# --- which leagues and events a run is about -------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT DISTINCT c_custkey AS tournament_id, c_name AS name, coalesce(n_name, '') AS location
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2 WHERE c_nationkey % 5 = 2 OR c_nationkey = 3 AND c_acctbal > 5000"""
+)
+def sport_leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sport = F.when((F.col("c_nationkey") % 5 == 2) | ((F.col("c_nationkey") == 3) & (F.col("c_acctbal") > 5000)), 2).otherwise(0)
+    leagues_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tournament_id"), F.col("c_name").alias("name"), sport.alias("sport_id"), F.col("c_nationkey").alias("category_id"))
+    categories = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("sport_id"))
+    return selections.leagues_of_sport(leagues_, categories, "2")
+
+
+@query(
+    """WITH n AS (SELECT o_custkey AS id, count(DISTINCT o_orderkey) AS n FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1),
+r AS (SELECT id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, CAST(id AS VARCHAR)) AS place, c_mktsegment AS s FROM n JOIN customer ON id = c_custkey),
+t AS (SELECT id FROM r WHERE s = 'BUILDING' AND place <= 20 OR s = 'MACHINERY' AND place <= 10),
+h AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000 AND c_mktsegment <> 'HOUSEHOLD'),
+m AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 480000)
+SELECT CAST(c_custkey AS VARCHAR) AS tournament_id, c_name AS name, c_mktsegment AS sport_id, c_nationkey AS category_id, coalesce(n_name, '') AS category_name,
+c_custkey IN (SELECT id FROM h) AS is_hot, c_custkey IN (SELECT id FROM m) AS has_mapping, coalesce(n, 0) AS event_count
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON n.id = c_custkey
+WHERE c_custkey IN (SELECT id FROM h UNION SELECT id FROM m UNION SELECT id FROM t)"""
+)
+def target_league_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    leagues_ = customer.select(F.col("c_custkey").alias("tournament_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("sport_id"), F.col("c_nationkey").alias("category_id"))
+    categories = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category_id"), F.col("n_name").alias("name"))
+    events_ = orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("tournament_id"), F.col("o_orderdate").cast("string").alias("scheduled"))
+    hot = customer.filter("c_acctbal > 9000").select(F.col("c_custkey").alias("tournament_id"), (F.col("c_mktsegment") == "HOUSEHOLD").alias("is_deleted"))
+    mapped = orders.filter("o_totalprice > 480000").select(F.col("o_custkey").alias("tournament_id"))
+    return selections.target_leagues(hot, mapped, leagues_, categories, events_, "1997", {"BUILDING": 20, "MACHINERY": 10})
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_suppkey AS tournament_id, epoch_us(l_shipdate) // 1000000 AS start_unix, l_returnflag AS home_id, l_linestatus AS away_id FROM lineitem),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY tournament_id, home_id, away_id ORDER BY start_unix, id) AS n FROM e
+WHERE (tournament_id, home_id, away_id) IN (SELECT (s_suppkey, 'R', 'F') FROM supplier UNION SELECT (s_suppkey, 'A', 'O') FROM supplier WHERE s_acctbal > 0))
+SELECT id, tournament_id, start_unix, home_id, away_id FROM r WHERE n <= 5"""
+)
+def team_pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(l_shipdate as timestamp_ntz))")
+    events_ = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_suppkey").alias("tournament_id"),
+        start.alias("start_unix"), F.col("l_returnflag").alias("home_id"), F.col("l_linestatus").alias("away_id"),
+    )
+    pair = lambda df, home, away: df.select(F.col("s_suppkey").alias("tournament_id"), F.lit(home).alias("home_id"), F.lit(away).alias("away_id"))
+    supplier = table(spark, sf_dir, "supplier")
+    return selections.events_of_pairs(events_, pair(supplier, "R", "F").unionByName(pair(supplier.filter("s_acctbal > 0"), "A", "O")))
+
+
 # --- offsets, validation and stores on columns of like shape ---------------------------------------------------------------
 
 _SQL_NAMED = f"""s AS (SELECT user_id, event_id AS s_id, {EPOCH} AS s_time FROM events WHERE event_type = 'click'),

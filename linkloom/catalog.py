@@ -685,3 +685,190 @@ def offline_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline evaluator's matcher on the events of :func:`greedy_with_alias_learning`."""
     source, target = _as_games(spark, sf_dir)
     return offline.match_offline(source, target)
+
+
+# --- levels, vetoes, shares and report tables on columns of like shape -------------------------------------------------------
+
+
+def _pick(values: list, at: Column) -> Column:
+    """One of ``values``, by a number from 0."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+
+
+@query(
+    f"""WITH {_SQL_SIDES}, p AS (SELECT s_id, t_id, abs(s_time - t_time) AS gap, ((s_id * 7 + t_id * 13) % 21) / 20 AS name, (s_id + t_id) % 3 = 0 AS rev, (s_id + t_id) % 2 = 0 AS strong
+FROM s JOIN t USING (user_id)),
+l AS (SELECT *, exp(-(gap * gap) / (2.0 * 3600 * 3600)) AS n1, exp(-(gap * gap) / (2.0 * 10800 * 10800)) AS n2, exp(-(gap * gap) / (2.0 * 43200 * 43200)) AS n4 FROM p),
+o AS (SELECT *, CASE WHEN gap <= 21600 AND name >= 0.4 AND 0.3 * n1 + 0.7 * name >= 0.5 THEN 0.3 * n1 + 0.7 * name END AS s1,
+CASE WHEN gap <= 32400 AND name >= 0.65 AND 0.15 * n2 + 0.85 * name >= 0.6 THEN 0.15 * n2 + 0.85 * name END AS s2, CASE WHEN gap <= 86400 AND name >= 0.75 THEN name END AS s3 FROM l),
+b AS (SELECT *, greatest(s1, s2, s3) AS best FROM o),
+r AS (SELECT s_id, t_id, CASE WHEN best IS NOT NULL THEN CASE WHEN s1 = best THEN 'EVENT_L1' WHEN s2 = best THEN 'EVENT_L2' ELSE 'EVENT_L3' END
+WHEN strong AND name >= 0.85 AND gap <= 259200 THEN 'EVENT_L4' WHEN NOT rev AND name >= 0.9 AND gap <= 2592000 THEN 'EVENT_L5' END AS rule,
+coalesce(best, CASE WHEN strong AND name >= 0.85 AND gap <= 259200 THEN 0.8 + 0.1 * n4 ELSE name END) AS score FROM b)
+SELECT s_id, t_id, rule, round(score, 6) AS score FROM r WHERE rule IS NOT NULL"""
+)
+def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _sides(spark, sf_dir)
+    pairs = s.join(t, "user_id").withColumn("name", ((F.col("s_id") * 7 + F.col("t_id") * 13) % 21) / 20)
+    both = F.col("s_id") + F.col("t_id")
+    level = evidence.best_level(F.col("name"), F.abs(F.col("s_time") - F.col("t_time")), both % 3 == 0, both % 2 == 0)
+    return pairs.withColumn("_l", level).filter("_l IS NOT NULL").select("s_id", "t_id", "_l.rule", F.round("_l.score", 6).alias("score"))
+
+
+_COMPETITIONS = ["", "league", "league", "cup", "reserve", "regional_league", "short_format", "draft", "all_star", "super_cup", "playoff", "", "league"]
+
+
+def _features(k: Column) -> Column:
+    return F.struct(
+        _pick(["", "", "women", "men"], k % 4).alias("gender"), _pick(["", "", "", "", "u19", "u21"], F.floor(k / 2) % 6).alias("age_group"),
+        _pick(["", "", "", "", "", "north"], F.floor(k / 3) % 6).alias("region"), _pick(_COMPETITIONS, k % 13).alias("comp_type"), _pick([0, 0, 1, 2], F.floor(k / 5) % 4).alias("tier_number"),
+    )
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem),
+f AS (SELECT a, b, ['', '', 'women', 'men'][1 + a % 4] AS ag, ['', '', 'women', 'men'][1 + b % 4] AS bg, ['', '', '', '', 'u19', 'u21'][1 + a // 2 % 6] AS aa, ['', '', '', '', 'u19', 'u21'][1 + b // 2 % 6] AS ba,
+['', '', '', '', '', 'north'][1 + a // 3 % 6] AS ar, ['', '', '', '', '', 'north'][1 + b // 3 % 6] AS br, {_COMPETITIONS}[1 + a % 13] AS ac, {_COMPETITIONS}[1 + b % 13] AS bc,
+[0, 0, 1, 2][1 + a // 5 % 4] AS a_tier, [0, 0, 1, 2][1 + b // 5 % 4] AS b_tier FROM k)
+SELECT a, b, CASE WHEN (ag = 'women') <> (bg = 'women') THEN 'gender_conflict' WHEN aa <> ba THEN 'age_conflict' WHEN ar <> br THEN 'region_conflict'
+WHEN (ac = 'short_format') <> (bc = 'short_format') THEN 'short_format_conflict'
+WHEN ac IN ('cup', 'super_cup') AND bc = 'league' OR bc IN ('cup', 'super_cup') AND ac = 'league' THEN 'competition_type_conflict'
+WHEN ac = 'reserve' AND bc IN ('league', 'cup', 'super_cup', 'regional_league') OR bc = 'reserve' AND ac IN ('league', 'cup', 'super_cup', 'regional_league') THEN 'competition_type_conflict'
+WHEN ac = 'regional_league' AND bc = 'league' OR bc = 'regional_league' AND ac = 'league' THEN 'competition_type_conflict'
+WHEN (ac = 'draft') <> (bc = 'draft') OR (ac = 'all_star') <> (bc = 'all_star') THEN 'competition_type_conflict'
+WHEN a_tier > 0 AND b_tier > 0 AND a_tier <> b_tier THEN 'tier_number_conflict' END AS veto,
+round(CASE WHEN ag <> '' AND bg <> '' AND ag <> bg THEN 0.0 ELSE 1.0 END * CASE WHEN aa <> '' AND ba <> '' AND aa <> ba THEN 0.3 ELSE 1.0 END
+* CASE WHEN ac = 'reserve' AND bc = '' OR bc = 'reserve' AND ac = '' THEN 0.5 ELSE 1.0 END * CASE WHEN ac = 'regional_league' AND bc = '' OR bc = 'regional_league' AND ac = '' THEN 0.7 ELSE 1.0 END, 6)::DOUBLE AS penalty FROM f"""
+)
+def league_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    read = pairs.withColumn("x", _features(F.col("a"))).withColumn("y", _features(F.col("b")))
+    return read.select("a", "b", features.league_veto(F.col("x"), F.col("y")).alias("veto"), F.round(features.feature_penalty(F.col("x"), F.col("y")), 6).alias("penalty"))
+
+
+@query(
+    """SELECT c_custkey AS id, ['', 'women', 'women', 'men'][1 + c_custkey % 4] AS gender, ['', 'u21', 'u19', 'youth'][1 + c_custkey // 4 % 4] AS age_group,
+['', 'northeast', 'south', 'central'][1 + c_custkey // 16 % 4] AS region, ['league', 'cup', 'super_cup', 'playoff', 'friendly', 'short_format', ''][1 + c_custkey % 7] AS comp_type FROM customer"""
+)
+def league_feature_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    words = [
+        _pick(["Premier", "Women", "Ladies'", "Boys"], k % 4), _pick(["", "U21", "Under-19", "Youth"], F.floor(k / 4) % 4), _pick(["", "North East", "Southern", "Ceńtral"], F.floor(k / 16) % 4),
+        _pick(["League", "CUP", "Super Cup", "Playoff", "Friendly", "Futsal", "Group"], k % 7),
+    ]
+    read = table(spark, sf_dir, "customer").select(k.alias("id"), features.league_features(F.concat_ws(" ", *words)).alias("f"))
+    return read.select("id", "f.gender", "f.age_group", "f.region", "f.comp_type")
+
+
+_SQL_SHARES = """p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS id, l_returnflag = 'R' AS hit FROM lineitem),
+o AS (SELECT s, count(DISTINCT id) FILTER (hit) / count(DISTINCT id) AS overlap FROM p GROUP BY 1),
+ob AS (SELECT s, overlap, (CASE WHEN overlap >= 0.6 THEN 0.15 WHEN overlap >= 0.4 THEN 0.08 WHEN overlap >= 0.2 THEN 0.03 ELSE 0 END)::DOUBLE AS bonus FROM o)"""
+
+
+def _team_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as the players of suppliers, and those returned as the matched ones."""
+    rows = table(spark, sf_dir, "lineitem")
+    found = rows.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("player_id"))
+    return rows.select(F.col("l_suppkey").alias("team_id"), F.col("l_partkey").alias("id")), found
+
+
+@query(f"WITH {_SQL_SHARES} SELECT s, round(overlap, 6) AS overlap, bonus FROM ob")
+def player_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return teams.player_overlap(*_team_players(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(
+    f"""WITH {_SQL_SHARES}, e AS (SELECT o_orderkey AS id, o_custkey % 97 AS home_id, o_custkey * 7 % 97 AS away_id, o_orderstatus <> 'P' AS matched, (o_orderkey % 80) / 100 + 0.2 AS confidence FROM orders)
+SELECT id, matched, CASE WHEN matched THEN floor(least(1.0, confidence + (coalesce(h.bonus, 0) + coalesce(a.bonus, 0)) / 2) * 1000 + 0.5) / 1000 ELSE confidence END AS confidence
+FROM e LEFT JOIN ob h ON h.s = home_id LEFT JOIN ob a ON a.s = away_id"""
+)
+def raised_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey")
+    confidence = (F.col("o_orderkey") % 80) / 100 + 0.2
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (k % 97).alias("home_id"), (k * 7 % 97).alias("away_id"), (F.col("o_orderstatus") != "P").alias("matched"), confidence.alias("confidence"))
+    mapped = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.lit(0.5).alias("confidence"))
+    return teams.propagate(mapped, rows, teams.player_overlap(*_team_players(spark, sf_dir)))[1].select("id", "matched", "confidence")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT s_nationkey AS id, l_suppkey AS s, l_partkey AS player, l_returnflag = 'R' AS hit FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+q AS (SELECT id, s, player, max(hit::INT) AS hit FROM p GROUP BY ALL), r AS (SELECT id, sum(hit) / count(*) AS rate FROM q GROUP BY 1),
+l AS (SELECT n_nationkey AS id, (n_nationkey % 10) / 20 + 0.5 AS confidence, CASE WHEN n_nationkey % 3 = 0 THEN 'LEAGUE_NAME_HI' ELSE 'LEAGUE_NAME_MED' END AS rule FROM nation)
+SELECT id, rule, CASE WHEN rule = 'LEAGUE_NAME_MED' AND rate IS NOT NULL THEN
+floor(greatest(0, least(1, confidence + CASE WHEN rate >= 0.6 THEN 0.05 WHEN rate >= 0.4 THEN 0 WHEN rate >= 0.3 THEN -0.03 ELSE -0.08 END)) * 1000 + 0.5) / 1000 ELSE confidence END AS confidence FROM l LEFT JOIN r USING (id)"""
+)
+def leagues_fed_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    rule = F.when(k % 3 == 0, "LEAGUE_NAME_HI").otherwise("LEAGUE_NAME_MED")
+    leagues_ = table(spark, sf_dir, "nation").select(k.alias("id"), F.lit("").alias("competition_id"), ((k % 10) / 20 + 0.5).alias("confidence"), rule.alias("rule"))
+    mapped = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("league_id"), F.col("s_suppkey").alias("s"))
+    return teams.feed_back(leagues_, teams.league_player_rates(*_team_players(spark, sf_dir), mapped)).select("id", "rule", "confidence")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'F') / count(*) AS rate FROM orders GROUP BY 1)
+SELECT id, CASE WHEN rate >= 0.6 THEN 'HIGH' WHEN rate >= 0.4 THEN 'MEDIUM' WHEN rate >= 0.3 THEN 'LOW' ELSE 'FAIL' END AS level,
+(CASE WHEN rate >= 0.6 THEN 0.1 WHEN rate >= 0.4 THEN 0.05 WHEN rate >= 0.3 THEN 0.02 ELSE 0 END)::DOUBLE AS bonus FROM r"""
+)
+def reverse_rate_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("rate"))
+    return rates.select("id", state.rcr_level(F.col("rate")).alias("level"), state.rcr_bonus(F.col("rate")).alias("bonus"))
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS id, list_filter([o_orderkey % 11 / 10 - 0.3, o_custkey % 7 / 5 - 0.4, o_custkey % 3 / 2 - 0.5], lambda x: x > 0) AS good, o_orderdate AS d, o_custkey AS k, o_orderpriority AS p FROM orders)
+SELECT id, round(CASE WHEN len(good) > 0 THEN least(1.0, list_sum(good) / len(good)) ELSE 0 END, 6)::DOUBLE AS prior,
+CASE WHEN k % 9 = 0 THEN 'unknown' ELSE strftime(make_timestamp(k * 8640000 * 1000000), '%Y-%m-%d') END AS born,
+CASE WHEN id % 5 = 4 THEN 0 ELSE epoch_us(d) // 1000000 END AS seconds, ['football', 'basketball', 'tennis', 'unknown'][1 + k % 4] AS sport FROM l WHERE k > 0"""
+)
+def scalar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of positive scores, birthdays kept as seconds, times in several formats, sports by provider ids."""
+    k, n, d = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderdate")
+    shown = F.when(n % 5 == 4, "soon").when(n % 5 == 3, F.date_format(d, "yyyy-MM-dd")).when(n % 5 == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    born = F.when(k % 9 == 0, "unknown").otherwise((k * 8640000).cast("string"))
+    return table(spark, sf_dir, "orders").filter(k > 0).select(
+        n.alias("id"), F.round(text.normalize_prior(n % 11 / 10 - 0.3, k % 7 / 5 - 0.4, k % 3 / 2 - 0.5), 6).alias("prior"), timing.dob_of_seconds(born).alias("born"),
+        timing.parse_iso(shown, strip_zone=True).alias("seconds"), timing.sport_of(_pick(["6046", "48242", "54094", "7"], k % 4), "ls").alias("sport"),
+    )
+
+
+@query("SELECT floor((o_orderkey % 97) / 96 / 0.1::DOUBLE)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1")
+def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = reports.score_histogram(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97 / 96).alias("score")))
+    return bins.select(F.round(F.col("bin") * 10).cast("long").alias("bin"), F.col("count").alias("n"))
+
+
+@query(
+    "WITH r AS (SELECT o_orderstatus AS status, ['"
+    + "', '".join([*reports.RULES, "EVENT_NO_MATCH"])
+    + "'][1 + o_orderkey % 8] AS rule FROM orders) SELECT status, "
+    + ", ".join(f"count(*) FILTER (rule = '{r}') AS {r.lower()}" for r in [*reports.RULES, "EVENT_NO_MATCH"])
+    + " FROM r GROUP BY 1"
+)
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*reports.RULES, "EVENT_NO_MATCH"]
+    counts = reports.rule_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), _pick(rules, F.col("o_orderkey") % 8).alias("rule")), ["status"])
+    return counts.select("status", *[F.col(r).alias(r.lower()) for r in rules])
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS id, ['Winner of ', 'WQF', 'Loser R', 'Winners ', ' wsf ', 'Team '][1 + c_custkey % 6] || c_name AS slot,
+lower(replace(c_name, '#', ' ')) || [' 2026', ' 25/26', ' cup [2] (x)', ' 20261'][1 + c_custkey % 4] AS league FROM customer)
+SELECT id, regexp_matches(lower(trim(slot)), '^(wqf|wsf|winner r|winner of|loser r|loser of)') AS placeholder,
+array_to_string(list_filter(string_split_regex(translate(league, '()[]', '    '), '\\s+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]{4}|[0-9]+/[0-9]+')), ' ') AS league FROM n"""
+)
+def slots_and_league_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    slot = F.concat(_pick(["Winner of ", "WQF", "Loser R", "Winners ", " wsf ", "Team "], k % 6), F.col("c_name"))
+    league = F.concat(F.translate("c_name", "#", "_"), _pick([" 2026", " 25/26", "-Cup [2] (x)", ". 20261"], k % 4))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), text.is_placeholder(slot).alias("placeholder"), text.normalize_league_name(league).alias("league"))
+
+
+@query(
+    f"""WITH {_SQL_PAIRS}, w AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM pairs),
+f AS (SELECT a, b, [x] || CASE WHEN len(x) > 2 THEN [[x[1], x[-1]]] ELSE [] END AS p, [y] || CASE WHEN len(y) > 2 THEN [[y[1], y[-1]]] ELSE [] END AS q FROM w),
+m AS (SELECT a, b, unnest(p) AS x, q FROM f), n AS (SELECT a, b, x, unnest(q) AS y FROM m)
+SELECT a, b, round(max(len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y)))), 6) AS similarity FROM n GROUP BY a, b"""
+)
+def player_name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(text.player_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))

@@ -363,14 +363,9 @@ SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_
 )
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors with the same label of every vector whose id is divisible by 20."""
-    e = table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    e = e.withColumn("n", norm)
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("x").alias("qx"), F.col("n").alias("qn"))
-    dot = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    pairs = q.join(e, "label").filter("query_id <> vec_id").withColumn("score", F.round(dot / (F.col("qn") * F.col("n")), 5))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", F.col("vec_id").alias("id"), F.col("rank").cast("long").alias("rank"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x"))
+    found = blocking.dense_top_k(e.filter("id % 20 = 0"), e, 5, block=("label",))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()

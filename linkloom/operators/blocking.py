@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,62 +61,96 @@ def dense(encoded: DataFrame, id_col: str, width: int = 256) -> DataFrame:
     return held.select(F.col(id_col).alias("id"), F.transform(every, lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("x"))
 
 
-def top_k(queries: DataFrame, entities: DataFrame, block: list[str], k: int = 10, digits: int | None = None) -> DataFrame:
-    """The k nearest entities of each query inside its block, by cosine of the sparse encodings; exact.
+#: Queries and entities of one tile of an exact scan, about, and queries that are multiplied at a time.
+QUERIES, ENTITIES, AT_ONCE = 2000, 20_000, 128
+
+
+def _matrix(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    """The vectors of rows (_x), or of rows (_x, _at) whose numbers stand at places _at."""
+    if "_at" not in pdf:
+        return np.stack(pdf["_x"].to_numpy()).astype(np.float64)
+    out = np.zeros((len(pdf), width))
+    row = np.repeat(np.arange(len(pdf)), pdf["_at"].map(len).to_numpy(dtype=np.int64))
+    out[row, np.concatenate(pdf["_at"].to_numpy()).astype(np.int64)] = np.concatenate(pdf["_x"].to_numpy())
+    return out
+
+
+def _nearest(block: list[str], k: int, digits: int, dense_: bool):
+    """The k nearest of a tile's entities of each of its queries."""
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            width = 1 + max(int(np.max(y)) for d in (a, b) for y in d["_at"]) if "_at" in a else 0
+            b = b.sort_values("id", kind="stable")
+            q, x, ids = _matrix(a, width), _matrix(b, width), b["id"].to_numpy()
+            for at in range(0, len(q), AT_ONCE):
+                products = q[at : at + AT_ONCE] @ x.T
+                for query, raw in zip(a["query_id"].iloc[at : at + AT_ONCE], products, strict=True):
+                    kept = np.flatnonzero(ids != query if dense_ else raw > 0)
+                    score = np.round(raw[kept], digits)
+                    if len(kept) > k:
+                        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                        kept, score = kept[near], score[near]
+                    best = np.argsort(-score, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": query, "id": ids[kept[best]], "score": score[best]}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        for i, c in enumerate(block):
+            found[c] = key[i]
+        return found[[*block, "query_id", "id", "score"]]
+
+    return run
+
+
+def _scan(queries: DataFrame, entities: DataFrame, block: list[str], k: int, digits: int, dense_: bool) -> DataFrame:
+    """(block..., query_id, id, score, rank) from queries (block..., query_id, _x[, _at]) and entities (block..., id, _x[, _at]).
 
-    ``queries`` has (block..., query_id, bucket, weight) and ``entities`` (block..., id, bucket, weight). Products are
-    summed per pair that shares a bucket, and rounded to ``digits`` if given; ties go to the smaller id.
+    The queries and the entities of a block are dealt into parts by their hashes. Each pair of parts is a tile, which one task
+    holds; it sends on k rows a query, so what is shuffled is vectors and these, never products.
     """
-    pairs = queries.join(entities.withColumnRenamed("weight", "_w"), [*block, "bucket"])
-    score = F.sum(F.col("weight") * F.col("_w"))
-    scored = pairs.groupBy(*block, "query_id", "id").agg((score if digits is None else F.round(score, digits)).alias("score"))
+    if not block:
+        given = [df.withColumn("_all", F.lit(0)) for df in (queries, entities)]
+        return _scan(*given, ["_all"], k, digits, dense_).drop("_all")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides may come from one frame
+    queries, entities = fresh(queries), fresh(entities)
+    count = lambda df, size, name: df.groupBy(*block).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    parts = fresh(count(queries, QUERIES, "_qn").join(count(entities, ENTITIES, "_vn"), block))
+    part = lambda c, n: F.pmod(F.xxhash64(c, "_x"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(parts, block).withColumn("_qp", part("query_id", "_qn")).withColumn("_vp", every("_vn")).drop("_qn", "_vn")
+    v = entities.join(fresh(parts), block).withColumn("_vp", part("id", "_vn")).withColumn("_qp", every("_qn")).drop("_qn", "_vn")
+    q, v = fresh(q), fresh(v)
+    kinds = dict(queries.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*block, "query_id"]], f"id {dict(entities.dtypes)['id']}", "score double"])
+    tile = [*block, "_qp", "_vp"]
+    near = q.groupBy(*tile).cogroup(v.groupBy(*tile)).applyInPandas(_nearest(block, k, digits, dense_), schema)
     w = Window.partitionBy(*block, "query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-def _packed(vectors: DataFrame, prefix: str) -> DataFrame:
-    """Rows of up to an Arrow batch of (id, x) each: the ids, and the vectors at unit length; those without a length fall away."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby(pdf["x"].map(len)):
-                x = np.stack(part["x"].to_numpy()).astype(np.float64)
-                n = np.sqrt((x * x).sum(axis=1))
-                ok = n > 0
-                if ok.any():
-                    x = x[ok] / n[ok, None]
-                    yield pd.DataFrame({f"{prefix}_width": [x.shape[1]], f"{prefix}_ids": [part["id"].to_numpy()[ok]], f"{prefix}_x": [x.tobytes()]})
+def top_k(queries: DataFrame, entities: DataFrame, block: list[str], k: int = 10, digits: int = 12) -> DataFrame:
+    """The k nearest entities of each query inside its block, by cosine of the sparse encodings; exact.
 
-    return vectors.filter("size(x) > 0").mapInPandas(run, f"{prefix}_width int, {prefix}_ids array<bigint>, {prefix}_x binary")
+    ``queries`` has (block..., query_id, bucket, weight) and ``entities`` (block..., id, bucket, weight). Only pairs that share a
+    bucket count. Scores are rounded to ``digits``, so that equal encodings tie; ties go to the smaller id.
+    """
+    held = lambda df, c: df.groupBy(*block, c).agg(F.collect_list("bucket").alias("_at"), F.collect_list(F.col("weight").cast("double")).alias("_x"))  # noqa: E731  a row a bucket
+    return _scan(held(queries, "query_id"), held(entities, "id"), block, k, digits, False)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest of all ``vectors`` of each query but itself, by rounded cosine; exact.
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, block: tuple[str, ...] = ()) -> DataFrame:
+    """(block..., query_id, id, score, rank): the k nearest of all ``vectors`` of each query but itself, by rounded cosine; exact.
 
-    Both have (id, x). Each block of queries meets each block of vectors and keeps its k nearest there; the final k come
-    from these. Ties go to the smaller id.
+    Both have (id, x), and the columns of ``block`` if only vectors that are equal in these are to meet. Vectors of
+    different lengths do not meet, those without a direction are left out. Ties go to the smaller id.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf[pdf["q_width"] == pdf["v_width"]].itertuples(index=False):
-                q = np.frombuffer(r.q_x).reshape(-1, r.q_width)
-                ids = np.asarray(r.v_ids)
-                order = np.argsort(ids, kind="stable")
-                x, ids = np.frombuffer(r.v_x).reshape(-1, r.v_width)[order], ids[order]
-                out = []
-                for query, row in zip(r.q_ids, q, strict=True):
-                    score = np.round(x @ row, digits)
-                    score[ids == query] = -np.inf
-                    best = np.argsort(-score, kind="stable")[:k]
-                    best = best[np.isfinite(score[best])]
-                    out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": score[best]}))
-                yield pd.concat(out)
+    def unit(df: DataFrame, name: str) -> DataFrame:
+        x = F.transform("x", lambda v: v.cast("double"))
+        sized = df.select(*block, F.col("id").alias(name), x.alias("_x")).withColumn("_n", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v)))
+        return sized.filter("_n > 0").select(*block, name, F.size("_x").alias("_width"), F.transform("_x", lambda v: v / F.col("_n")).alias("_x"))
 
-    met = _packed(queries, "q").crossJoin(_packed(vectors, "v"))
-    near = met.mapInPandas(run, "query_id bigint, id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _scan(unit(queries, "query_id"), unit(vectors, "id"), [*block, "_width"], k, digits, True).drop("_width")
 
 
 def event_text(home: Column, away: Column) -> Column:

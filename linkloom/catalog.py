@@ -591,6 +591,16 @@ def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_leagues(pairs)
 
 
+@query()
+def evidence_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one resolution of all scored edges between clicks and views of a user."""
+    s, t = _sides(spark, sf_dir)
+    pairs = blocking.time_window_join(s, t, ["user_id"], "s_time", "t_time", 21600)
+    near = timing.gaussian_time(F.abs(F.col("s_time") - F.col("t_time")), 3600)
+    edges = pairs.select(F.col("s_id").cast("string").alias("event_id"), F.col("t_id").cast("string").alias("target_id"), F.lit("").alias("competition_id"), timing.round3(0.7 + 0.3 * near).alias("score"))
+    return evidence.resolve(edges, 0.70)[0]
+
+
 @query(f"WITH {_SQL_NAMED} SELECT user_id, s_id, t_id, gap FROM a")
 def offset_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(spark, sf_dir).select(F.col("league_id").alias("user_id"), F.col("s").alias("s_id"), F.col("t").alias("t_id"), "gap")

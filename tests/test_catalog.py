@@ -2,9 +2,10 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
 from linkloom import catalog
-from linkloom.operators import blocking, leagues
+from linkloom.operators import alignment, blocking, leagues
 
 
 def test_all_names(spark, tmp_path):
@@ -43,3 +44,36 @@ def test_queries_call_their_operators(spark, monkeypatch):
     catalog.QUERIES["trigram_topk"](spark, folder)
     catalog.QUERIES["known_map_then_score"](spark, folder)
     assert called == ["top_k", "match_leagues"]
+
+
+def test_edges_resolved_one_to_one(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    events = pd.read_parquet(f"{sf_dir}/events.parquet")
+    events["at"] = (events["ts"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1)
+    side = lambda kind: events.loc[events["event_type"] == kind, ["user_id", "event_id", "at"]]
+    pairs = side("click").merge(side("view"), on="user_id", suffixes=("_s", "_t"))
+    gap = (pairs["at_s"] - pairs["at_t"]).abs()
+    pairs["score"] = np.floor((0.7 + 0.3 * np.exp(-(gap**2) / (2.0 * 3600**2))) * 1000 + 0.5) / 1000
+    rows = [(-r.score, str(r.event_id_s), str(r.event_id_t)) for r in pairs[gap <= 21600].itertuples()]
+    used, targets, want = set(), set(), set()
+    for score, s, t in sorted(rows):
+        if s not in used and t not in targets:
+            used.add(s)
+            targets.add(t)
+            want.add((s, t, -score))
+    got = [(r["event_id"], r["target_id"], r["score"]) for r in catalog.QUERIES["evidence_greedy"](spark, sf_dir).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_aligned_events_of_each_user(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    events = pd.read_parquet(f"{sf_dir}/events.parquet")
+    events["at"] = (events["ts"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1)
+    want = set()
+    for _, own in events.groupby("user_id"):
+        s, t = (own[own["event_type"] == kind].assign(k=lambda d: d["event_id"].astype(str)).sort_values(["at", "k"]) for kind in ("click", "signup"))
+        name = (s["event_id"].to_numpy()[:, None] * 7 + t["event_id"].to_numpy()[None, :] * 13) % 20 / 20
+        ids, others = s["k"].tolist(), t["k"].tolist()
+        want |= {(ids[i], others[j]) for i, j in alignment.align(s["at"].to_numpy(), t["at"].to_numpy(), name)}
+    got = [(r["s"], r["t"]) for r in catalog.QUERIES["aligned_events"](spark, sf_dir).collect()]
+    assert want and set(got) == want and len(got) == len(want)

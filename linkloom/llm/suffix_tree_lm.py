@@ -8,11 +8,13 @@ root, a smoothed unigram distribution over the training vocabulary; a word is sc
 
 No model is brought to one place. Words and their contexts are dealt into buckets by the last context word, so a subtree
 of the suffix tree is counted, pruned and used for scoring inside one bucket, and only sums per document leave it. What
-a very frequent context would bring together is spread out: its next words are counted beforehand with map-side combine
-in a table of their own, the same test is put to it there, and its rows are dealt by the next longer context, or by
-documents where that is as frequent too. A bucket gets the counts that it needs joined: those after frequent contexts
-whose state is kept, and those of rare words. Counts of the ``CODED`` most frequent words are everywhere. Batches of documents send
-a bucket its rows in one compressed block each; words are whole in it, frequent ones by their number.
+a very frequent context would bring together is spread out: its rows are dealt by the next longer context, or by
+documents where that is as frequent too, and its next words are counted beforehand. Those counts, like those of all words,
+lie in parts by ranges of the word's hash, one compressed block for each part and length of context; a part has all that
+the test of a frequent context needs of its words, so only sums per context leave it. A bucket asks the parts for what it
+needs, in a block each: counts after frequent contexts whose state is kept, and those of rare words. Counts of the
+``CODED`` most frequent words are everywhere. Batches of documents send a bucket its rows in one compressed block each;
+words are whole in it, frequent ones by their number.
 
 Defined results: a null text is empty and has the end token alone; a null id hashes as the empty text for the split;
 repeated rows are scored one by one and all count; an empty table gives an empty result. The first word of a document
@@ -44,9 +46,16 @@ CODED = 1 << 19
 #: Code points of a batch of documents that is encoded together.
 BATCH = 8_000_000
 FOLDS, HELD_OUT = 7, 2
+#: Different words that a task gathers before it sends their counts.
+HELD_WORDS = 2_000_000
+#: Sums of logarithms are sent as whole multiples of 1 / ONE.
+ONE = float(1 << 32)
+BLOCKS = "part int, level int, bucket int, data binary"
 _U = np.uint64
 #: START stands before a document's first word, BEYOND before START.
 END, START, BEYOND = _U(0x5BD1E995A3C59AC3), _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A35)
+#: The bits of a hash that say what range it is in.
+_TOP = _U(0xFFFFF00000000000)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -75,17 +84,66 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]
             yield ids[s:e], texts[s:e]
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(w, c, n): how often each token occurs in training documents, and in all."""
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges of hashes each one is in."""
+    return (((x >> _U(44)) * _U(parts)) >> _U(20)).astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """The differences of sorted hashes, which compress better; ``np.cumsum`` gives the hashes back."""
+    return np.diff(x, prepend=_U(0))
+
+
+def _ranges(sorted_hashes: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The part and the place of each range that has hashes."""
+    at = part_of(sorted_hashes, parts)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    for s, e in zip(first.tolist(), np.append(first, len(at))[1:].tolist(), strict=True):
+        yield int(at[s]), slice(s, e)
+
+
+def _sums(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of each one's counts."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, *[np.bincount(at, weights=x, minlength=len(found)).astype(np.int64) for x in counts]
+
+
+def word_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, level, bucket, data): the tokens of each range of hashes with their counts in training documents, and in all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def blocks() -> Iterator[pd.DataFrame]:
+            w, c, n = _sums(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            for part, r in _ranges(w, parts):
+                yield pd.DataFrame({"part": [part], "data": [_squeeze(_steps(w[r]), _narrow(c[r]), _narrow(n[r]))]})
+            held.clear()
+
         for ids, texts in _batches(batches):
             w, starts = tokens(texts)
-            train = np.repeat(~held_out(ids), np.diff(starts))
-            found, at = np.unique(w, return_inverse=True)
-            yield pd.DataFrame({"w": found.view(np.int64), "c": np.bincount(at, weights=train).astype(np.int64), "n": np.bincount(at)})
+            held.append(_sums(w, np.repeat(~held_out(ids), np.diff(starts)), np.ones(len(w), dtype=bool)))
+            if sum(len(x[0]) for x in held) > HELD_WORDS:
+                yield from blocks()
+        if held:
+            yield from blocks()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, c, n = _sums(*[np.concatenate(x) for x in zip(*[(np.cumsum(w), c, n) for w, c, n in map(_spread, pdf["data"])], strict=True)])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "level": 0, "bucket": -1, "data": [_squeeze(_steps(w), _narrow(c), _narrow(n))]})
+
+    return rows.mapInPandas(run, "part int, data binary").groupBy("part").applyInPandas(merge, BLOCKS)
 
-    return rows.mapInPandas(run, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(w, c, n): how often each token occurs in training documents, and in all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for steps, c, n in map(_spread, pdf["data"]):
+                yield pd.DataFrame({"w": np.cumsum(steps).view(np.int64), "c": c.astype(np.int64), "n": n.astype(np.int64)})
+
+    return blocks.mapInPandas(run, "w long, c long, n long")
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -115,15 +173,21 @@ def _spread(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Sums of logarithms as whole multiples of 1 / ONE, which add up alike in any order."""
+    return np.rint(x * ONE).astype("<u8")
+
+
 def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype("<u2" if not len(a) or a.max() < 65536 else "<u4")
+    most = a.max() if len(a) else 0
+    return a.astype("<u2" if most < 65536 else "<u4" if most < 1 << 32 else "<u8")
 
 
-def preceding(w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """How many words of its document come before each token, and the last, second last, ... of them up to ``DEPTH``."""
+def preceding(w: np.ndarray, starts: np.ndarray, length: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many words of its document come before each token, and the last, second last, ... of them up to ``length``."""
     at = np.arange(len(w))
     since = at - np.repeat(starts[:-1], np.diff(starts))
-    before = [np.where(since >= j, w[np.maximum(at - j, 0)], np.where(since == j - 1, START, BEYOND)) for j in range(1, DEPTH + 1)]
+    before = [np.where(since >= j, w[np.maximum(at - j, 0)], np.where(since == j - 1, START, BEYOND)) for j in range(1, length + 1)]
     return since, before
 
 
@@ -132,6 +196,9 @@ def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _U(0xD1342543DE82EF95) + word, 31)
 
 
+BEGUN = longer(np.zeros(1, dtype=np.uint64), np.asarray([START]))[0]
+
+
 def chained(before: list[np.ndarray]) -> list[np.ndarray]:
     """The hashes of the contexts of length 1, 2, ..."""
     out = [np.zeros(len(before[0]), dtype=np.uint64)]
@@ -140,56 +207,109 @@ def chained(before: list[np.ndarray]) -> list[np.ndarray]:
     return out[1:]
 
 
-def context_counts(rows: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
-    """(ctx, parent, w, c, n): how often ``w`` follows each frequent context of a length in training documents and in all.
+def key_of(context: np.ndarray | np.uint64, w: np.ndarray) -> np.ndarray:
+    """The hash of a word after a context, in the same range as the word's."""
+    return (w & _TOP) | (mix(context * _U(0xE7037ED1A0B428DB) + w, 43) & ~_TOP)
+
+
+def context_blocks(rows: DataFrame, length: int, frequent: np.ndarray, parts: int) -> DataFrame:
+    """(part, level, bucket, data): the words of each range of hashes that follow frequent contexts of a length, with
+    the context's place in ``frequent`` and the counts in training documents and in all.
 
     Of length one, the start sign is counted like a word; it is no state, but the words after it may be.
     """
 
+    def summed(of: np.ndarray, w: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((of, w))
+        of, w = of[order], w[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(w), 1), dtype=bool), (w[1:] != w[:-1]) | (of[1:] != of[:-1]))))
+        return of[first], w[first], *[np.add.reduceat(x[order].astype(np.int64), first) if len(first) else x[:0].astype(np.int64) for x in (c, n)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _batches(batches):
             w, starts = tokens(texts)
-            since, before = preceding(w, starts)
-            ctx = chained(before[:length])
-            at = np.flatnonzero(np.isin(ctx[-1], frequent) & (since >= length - 1))
+            since, before = preceding(w, starts, length)
+            at = np.flatnonzero(since >= length - 1)
+            ctx = chained([b[at] for b in before])[-1]
+            i = np.minimum(np.searchsorted(frequent, ctx), len(frequent) - 1)
+            here = frequent[i] == ctx
+            at = at[here]
             train = np.repeat(~held_out(ids), np.diff(starts))[at]
-            words, i = np.unique(w[at], return_inverse=True)
-            pair, first, j = np.unique(np.searchsorted(frequent, ctx[-1][at]) * max(len(words), 1) + i, return_index=True, return_inverse=True)
-            parent = ctx[-2][at][first] if length > 1 else np.zeros(len(pair), dtype=np.uint64)
-            out = {"ctx": ctx[-1][at][first].view(np.int64), "parent": parent.view(np.int64), "w": w[at][first].view(np.int64)}
-            yield pd.DataFrame({**out, "c": np.bincount(j, weights=train, minlength=len(pair)).astype(np.int64), "n": np.bincount(j, minlength=len(pair))})
+            of, w, c, n = summed(i[here], w[at], train, np.ones(len(at), dtype=bool))
+            for part, r in _ranges(w, parts):
+                yield pd.DataFrame({"part": [part], "data": [_squeeze(_narrow(of[r]), _steps(w[r]), _narrow(c[r]), _narrow(n[r]))]})
 
-    counted = rows.mapInPandas(run, "ctx long, parent long, w long, c long, n long")
-    return counted.groupBy("ctx", "parent", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, w, c, n = summed(*[np.concatenate(x) for x in zip(*[(of, np.cumsum(w), c, n) for of, w, c, n in map(_spread, pdf["data"])], strict=True)])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "level": length, "bucket": -1, "data": [_squeeze(_narrow(of), _steps(w), _narrow(c), _narrow(n))]})
 
+    return rows.mapInPandas(run, "part int, data binary").groupBy("part").applyInPandas(merge, BLOCKS)
 
-def chances(table: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(ctx, w, c, many, kinds, kept, p, loo): chance of ``w`` after frequent contexts of one length, and with one
-    occurrence left out.
 
-    ``shorter`` has the same of the contexts one word shorter.
-    """
-    sums = table.groupBy("ctx").agg(F.sum("c").alias("many"), F.sum((F.col("c") > 0).cast("long")).alias("kinds"))  # FREQUENT_SHARE rows at most
-    given = shorter.select(F.col("ctx").alias("parent"), "w", F.col("p").alias("p0"), F.col("loo").alias("loo0"))
-    each = stored(table.join(given, ["parent", "w"]).join(F.broadcast(sums), "ctx"), "given")
-    t = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
-    loo = ((F.col("c") - 1) + t * F.col("loo0")) / F.greatest(F.col("many") - 1 + t, F.lit(1))
-    gain = F.when(F.col("c") > 0, F.col("c") * (F.log(F.greatest(loo, F.lit(1e-300))) - F.log("loo0"))).otherwise(0.0)
-    kept = each.groupBy("ctx").agg(F.sum(gain).alias("gain"), F.first("many").alias("m")).filter((F.col("gain") > MARGIN) & (F.col("m") >= 2))
-    use = F.col("kept").isNotNull()
-    p = F.when(use, (F.col("c") + F.col("kinds") * F.col("p0")) / F.greatest(F.col("many") + F.col("kinds"), F.lit(1))).otherwise(F.col("p0"))
-    left = F.when(use & (F.col("c") > 0), loo).otherwise(F.col("loo0"))
-    joined = each.join(F.broadcast(kept.select("ctx", F.lit(1).alias("kept"))), "ctx", "left")
-    return joined.select("ctx", "w", "c", "many", "kinds", "kept", p.alias("p"), left.alias("loo"))
+class Level:
+    """The frequent contexts of one length: their hashes in order, those of the contexts one word shorter, how many
+    words follow each in training, how many different ones, and whether its state is kept."""
+
+    def __init__(self, ctx: np.ndarray, parent: np.ndarray):
+        self.ctx, self.parent = ctx, parent
+        self.many, self.kinds, self.kept = np.zeros(len(ctx)), np.zeros(len(ctx)), np.zeros(len(ctx), dtype=bool)
+
+
+def frequent_sums(table: DataFrame, least: int) -> tuple[pd.DataFrame, list]:
+    """(i, many, kinds) of each frequent context, and the (i, w) with more than ``least`` rows; FREQUENT_SHARE rows at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for of, steps, c, n in map(_spread, pdf["data"]):
+                i, kinds, many = _sums(of, c > 0, c)
+                yield pd.DataFrame({"i": i.astype(np.int64), "w": 0, "many": many, "kinds": kinds})
+                often = n > least
+                yield pd.DataFrame({"i": of[often].astype(np.int64), "w": np.cumsum(steps)[often].view(np.int64), "many": -1, "kinds": 0})
+
+    found = table.mapInPandas(run, "i long, w long, many long, kinds long")
+    summed = found.groupBy("i", "w", (F.col("many") < 0).alias("often")).agg(F.sum("many").alias("many"), F.sum("kinds").alias("kinds")).toArrow().to_pandas()
+    often = summed[summed["often"]]
+    return summed[~summed["often"]], list(zip(often["i"].tolist(), often["w"].to_numpy(dtype=np.int64).view(np.uint64).tolist(), strict=True))
+
+
+def gains(tables: DataFrame, levels: list[Level], total: float) -> pd.DataFrame:
+    """(i, gain): by how much each frequent context of the last level predicts its words better than the one before it."""
+    shared = tables.sparkSession.sparkContext.broadcast(levels)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = dict(zip(pdf["level"].tolist(), pdf["data"], strict=True))
+        steps, c, _ = _spread(blocks[0])
+        keys, loo = key_of(_U(0), np.cumsum(steps)), (c + 1.0) / total
+        out = pd.DataFrame({"i": np.zeros(0, dtype=np.int64), "gain": np.zeros(0)})
+        for number, level in enumerate(shared.value, start=1):
+            if number not in blocks:
+                break
+            of, steps, c, _ = _spread(blocks[number])
+            w, c = np.cumsum(steps), c.astype(np.float64)
+            # what follows a context follows the shorter one; that of the start sign is no state and has no longer one
+            order = np.argsort(keys)
+            given = loo[order[np.searchsorted(keys[order], key_of(level.parent[of], w))]]
+            t = level.kinds[of] - (c == 1)
+            left = ((c - 1) + t * given) / np.maximum(level.many[of] - 1 + t, 1)
+            if number == len(shared.value):
+                gain = np.where(c > 0, c * (np.log(np.maximum(left, 1e-300)) - np.log(given)), 0.0)
+                i = np.unique(of)
+                out = pd.DataFrame({"i": i.astype(np.int64), "gain": np.bincount(of, weights=gain)[i]})
+            keys, loo = key_of(level.ctx[of], w), np.where(level.kept[of] & (c > 0), left, given)
+        return out
+
+    found = tables.groupBy("part").applyInPandas(run, "i long, gain double")
+    return found.groupBy("i").agg(F.sum("gain").alias("gain")).toArrow().to_pandas()  # FREQUENT_SHARE rows at most
 
 
 class Sums:
     """How many words follow the frequent contexts whose state is kept, and how many different ones."""
 
-    def __init__(self, rows: pd.DataFrame):
-        ctx = rows["ctx"].to_numpy(dtype=np.int64).view(np.uint64)
+    def __init__(self, levels: list[Level]):
+        join = lambda x: np.concatenate([np.zeros(0), *[getattr(level, x)[level.kept] for level in levels]])
+        ctx = np.concatenate([np.zeros(0, dtype=np.uint64), *[level.ctx[level.kept] for level in levels]])
         order = np.argsort(ctx)
-        self.ctx, self.many, self.kinds = ctx[order], rows["many"].to_numpy(dtype=np.float64)[order], rows["kinds"].to_numpy(dtype=np.float64)[order]
+        self.ctx, self.many, self.kinds = ctx[order], join("many")[order], join("kinds")[order]
 
     def kept(self, ctx: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         """The rows whose context is one of these."""
@@ -202,48 +322,70 @@ class Coder:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, all_counts: np.ndarray):
         self.words, self.counts, self.all_counts = words, counts, all_counts
-        self.rank = np.argsort(words)
-        self.sorted = words[self.rank]
+        self.slots = np.full(1 << max(4, (2 * len(words)).bit_length()), -1, dtype=np.int32)  # a word's rank is in the first free slot from its own on
+        left, step, own = np.arange(len(words)), 0, self._slot(words)
+        while len(left):
+            at = (own[left] + step) & (len(self.slots) - 1)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            left, step = left[self.slots[at] != left], step + 1
+
+    def _slot(self, w: np.ndarray) -> np.ndarray:
+        return ((w * _U(0x9E3779B97F4A7C15)) >> _U(65 - len(self.slots).bit_length())).astype(np.int64)
 
     def place(self, w: np.ndarray) -> np.ndarray:
         """The rank of each word, -1 of those without."""
-        i = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
-        return np.where(self.sorted[i] == w, self.rank[i], -1)
-
-    def encode(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(words without a rank, the columns by number)."""
-        places = [self.place(c) for c in columns]
-        own = np.unique(np.concatenate([c[p < 0] for c, p in zip(columns, places, strict=True)]))
-        return own, [np.where(p >= 0, p, len(self.words) + np.searchsorted(own, c)) for c, p in zip(columns, places, strict=True)]
-
-
-def frequent_contexts(rows: DataFrame, counts: DataFrame, coder: Coder, n_all: int, total: float) -> tuple[list[np.ndarray], Sums, DataFrame]:
-    """The hashes of the frequent contexts of each length, the sums of those whose state is kept, and (ctx, w, c): what
-    follows these in training documents, and all words under the empty context (0).
+        own = self._slot(w)
+        out = self.slots[own]
+        left, step = np.flatnonzero((out >= 0) & (self.words[out] != w)), 0
+        while len(left):
+            step += 1
+            out[left] = found = self.slots[(own[left] + step) & (len(self.slots) - 1)]
+            left = left[(found >= 0) & (self.words[found] != w[left])]
+        return out
+
+    def encode(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words without a rank, all words by number)."""
+        number = self.place(w)
+        rare = np.flatnonzero(number < 0)
+        own, at = np.unique(w[rare], return_inverse=True)
+        number[rare] = len(self.words) + at
+        return own, number
+
+    def decode(self, number: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = self.words[np.minimum(number, len(self.words) - 1)]
+        rare = np.flatnonzero(number >= len(self.words))
+        out[rare] = own[number[rare] - len(self.words)]
+        return out
+
+
+def frequent_contexts(rows: DataFrame, words_: DataFrame, coder: Coder, n_all: int, total: float, parts: int) -> tuple[list[Level], DataFrame]:
+    """The frequent contexts of each length, and the blocks of the counts of words and of what follows these contexts.
 
     A frequent context is made of words with a number.
     """
     least = max(FREQUENT_ROWS, n_all // FREQUENT_SHARE)
     words = {(w,) for w in coder.words[(coder.all_counts > least) & (coder.words != END)].tolist()} | {(int(START),)}
-    level = counts.select(F.lit(0).cast("long").alias("ctx"), "w", ((F.col("c") + 1) / F.lit(total)).alias("p")).withColumn("loo", F.col("p"))
-    supply = counts.select(F.lit(0).cast("long").alias("ctx"), "w", "c")
-    hot: list[np.ndarray] = []
-    sums: list[pd.DataFrame] = []
-    begun = longer(np.zeros(1, dtype=np.uint64), np.asarray([START]))[0]
-    for length in range(1, DEPTH + 1):
-        named = {int(chained([np.asarray([x], dtype=np.uint64) for x in context])[-1][0]): context for context in words}
+    tables = words_
+    levels: list[Level] = []
+    for _ in range(DEPTH):
+        hashed = lambda context: chained([np.asarray([x], dtype=np.uint64) for x in context])[-1][0] if context else _U(0)
+        named = {int(hashed(context)): context for context in words}
         here = np.asarray(sorted(named), dtype=np.uint64)
-        hot.append(here[here != begun])
-        if len(here):
-            table = stored(context_counts(rows, length, here), "contexts")
-            states = table.filter(F.col("ctx") != int(begun.view(np.int64)))
-            level = stored(chances(states, level), "chances")
-            sums.append(level.filter("kept = 1").groupBy("ctx").agg(F.first("many").alias("many"), F.first("kinds").alias("kinds")).toArrow().to_pandas())  # FREQUENT_SHARE rows at most
-            supply = supply.unionByName(level.filter("kept = 1").select("ctx", "w", "c"))
-            often = table.filter((F.col("n") > least) & (F.col("w") != int(END.view(np.int64)))).select("ctx", "w").collect()  # FREQUENT_SHARE rows at most
-            grown = {(r["w"] & (2**64 - 1), *named[r["ctx"] & (2**64 - 1)]) for r in often}
-            words = {context for context in grown if context[:-1] in words}
-    return hot, Sums(pd.concat(sums)), supply
+        level = Level(here, np.asarray([hashed(named[x][:-1]) for x in here.tolist()], dtype=np.uint64))
+        levels.append(level)
+        if not len(here):
+            continue
+        table = stored(context_blocks(rows, len(levels), here, parts), "contexts")
+        found, often = frequent_sums(table, least)
+        level.many[found["i"]], level.kinds[found["i"]] = found["many"], found["kinds"]
+        tables = tables.unionByName(table)
+        gain = gains(tables, levels, total)
+        level.kept[gain["i"]] = gain["gain"] > MARGIN
+        level.kept &= (level.many >= 2) & (here != BEGUN)
+        grown = {(w, *named[int(here[i])]) for i, w in often if w != int(END)}
+        words = {context for context in grown if context[:-1] in words}
+    return levels, tables
 
 
 def frequent_length(ctx: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
@@ -254,86 +396,141 @@ def frequent_length(ctx: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _block(columns: list[np.ndarray], doc: np.ndarray, train: np.ndarray, words: np.ndarray, coded: int) -> bytes:
+    """Rows that go to one bucket, ordered by the last context word: words by number, ``words`` are those from ``coded`` on."""
+    rare = [np.flatnonzero(x >= coded) for x in columns]
+    own = np.unique(np.concatenate([x[r] for x, r in zip(columns, rare, strict=True)]))
+    if len(own):
+        columns = [x.copy() for x in columns]
+        for x, r in zip(columns, rare, strict=True):
+            x[r] = coded + np.searchsorted(own, x[r])
+    last, *rest = columns
+    first = np.flatnonzero(np.diff(last, prepend=-1))
+    return _squeeze(words[own - coded], _narrow(last[first]), _narrow(np.diff(first, append=len(last))), *map(_narrow, rest), _narrow(doc), np.packbits(train))
+
+
 def block_of(before: list[np.ndarray], w: np.ndarray, doc: np.ndarray, train: np.ndarray, coder: Coder) -> bytes:
     """The rows of a batch that go to one bucket, ordered by context; all words are kept whole."""
-    own, (w1, *rest) = coder.encode([*before, w])
-    order = np.lexsort((rest[-1], w1))
-    last, runs = np.unique(w1[order], return_counts=True)
-    return _squeeze(own, _narrow(last), _narrow(runs), *[_narrow(r[order]) for r in rest], _narrow(doc[order]), np.packbits(train))
+    own, number = coder.encode(np.concatenate([*before, w]))
+    columns = np.split(number, DEPTH + 1)
+    order = np.lexsort((columns[-1], columns[0]))
+    return _block([x[order] for x in columns], doc[order], train, own, len(coder.words))
 
 
-def read_block(data: bytes, coder: Coder) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(words before, last one first; word; document; whether each document is for training)."""
+def read_numbers(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(words without a rank; words before, last one first, and word, by number; document; whether each document is for training)."""
     own, last, runs, *rest, doc, train = _spread(data)
-    words = np.concatenate((coder.words, own))
-    return [words[np.repeat(last, runs)], *[words[r] for r in rest[:-1]]], words[rest[-1]], doc.astype(np.int64), np.unpackbits(train)
+    return own, [np.repeat(last, runs).astype(np.int64), *[x.astype(np.int64) for x in rest]], doc.astype(np.int64), np.unpackbits(train)
 
 
-def wanted(batches: Iterator[pd.DataFrame], coder: Coder, hot: list[np.ndarray], sums: Sums) -> Iterator[pd.DataFrame]:
-    """(bucket, ctx, w): the different words of each bucket that follow a frequent context whose state is kept, and
-    (``ctx`` is 0) those without a number."""
-    found: dict[int, list[np.ndarray]] = {}
-    for pdf in batches:
-        for bucket, data in pdf.loc[~pdf["head"], ["bucket", "data"]].itertuples(index=False):
-            before, w, *_ = read_block(data, coder)
-            ctx = chained(before)
-            longest = frequent_length(ctx, hot)
-            own = w[coder.place(w) < 0]
-            asks = [np.stack((np.zeros(len(own), dtype=np.uint64), own))]
-            for length, c in enumerate(ctx, start=1):
-                at = sums.kept(c, longest >= length)
-                asks.append(np.stack((c[at], w[at])))
-            found.setdefault(bucket, []).append(_distinct(np.concatenate(asks, axis=1)))
-            if len(found[bucket]) == 16:
-                found[bucket] = [_distinct(np.concatenate(found[bucket], axis=1))]
-    for bucket, parts in found.items():
-        ctx, w = _distinct(np.concatenate(parts, axis=1))
-        yield pd.DataFrame({"bucket": np.full(len(w), bucket, dtype=np.int32), "ctx": ctx.view(np.int64), "w": w.view(np.int64)})
-
-
-def _distinct(columns: np.ndarray) -> np.ndarray:
-    if not columns.shape[1]:
-        return columns
-    columns = columns[:, np.lexsort(columns)]
-    first = np.ones(columns.shape[1], dtype=bool)
-    first[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
-    return np.ascontiguousarray(columns[:, first])
-
-
-def _state(context: np.ndarray, w: np.ndarray, train: np.ndarray, parent: np.ndarray, parent_loo: np.ndarray, allowed: np.ndarray):
-    """Chance of each row's word under states of one length, in use and leave-one-out; ``parent`` where no state is kept."""
-    _, c = np.unique(context, return_inverse=True)
-    pair = mix(context * _U(0x9E3779B97F4A7C15) + w, 21)
-    _, first, p = np.unique(pair, return_index=True, return_inverse=True)
-    many = np.bincount(c, weights=train)
-    n = np.bincount(p, weights=train)
-    of = c[first]
-    kinds = np.bincount(of, weights=n > 0, minlength=len(many))
-    # leave one out: the pair and its context once less, and the pair unseen if that was its only time
-    t = kinds[of] - (n == 1)
-    loo = ((n - 1) + t * parent_loo[first]) / np.maximum(many[of] - 1 + t, 1)
-    gain = np.where(n > 0, n * (np.log(np.maximum(loo, 1e-300)) - np.log(parent_loo[first])), 0.0)
-    kept = (np.bincount(of, weights=gain, minlength=len(many)) > MARGIN) & (many >= 2)
-    use = kept[c] & allowed
-    chance = np.where(use, (n[p] + kinds[c] * parent) / np.maximum(many[c] + kinds[c], 1), parent)
-    return chance, np.where(use & (n[p] > 0), loo[p], parent_loo), many[c]
-
-
-def score_bucket(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, p: np.ndarray, loo: np.ndarray, longest: np.ndarray):
+def read_block(data: bytes, coder: Coder) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(words before, last one first; word; document; whether each document is for training)."""
+    own, columns, doc, train = read_numbers(data)
+    *before, w = [coder.decode(x, own) for x in columns]
+    return before, w, doc, train
+
+
+class Frequent:
+    """Which words are frequent contexts, by number, all frequent contexts, and the sums of those whose state is kept."""
+
+    def __init__(self, coder: Coder, levels: list[Level]):
+        self.hot = [level.ctx[level.ctx != BEGUN] for level in levels]
+        self.word = np.isin(chained([coder.words])[0], self.hot[0])
+        self.sums = Sums(levels)
+
+    def rows(self, last: np.ndarray) -> np.ndarray:
+        """The rows after a frequent word, which is the number before them."""
+        return np.flatnonzero((last < len(self.word)) & self.word[np.minimum(last, len(self.word) - 1)])
+
+
+def asks(columns: list[np.ndarray], own: np.ndarray, coder: Coder, frequent: Frequent):
+    """What a bucket needs to know: the keys of rows whose word has no number, (rows, keys, sums) of those that follow
+    frequent contexts whose state is kept, by length; and the rows after a frequent word with their longest frequent context's length."""
+    rare = np.flatnonzero(columns[-1] >= len(coder.words))
+    at = frequent.rows(columns[0])
+    before = [coder.decode(x[at], own) for x in columns[:-1]]
+    w = coder.decode(columns[-1][at], own)
+    ctx = chained(before)
+    longest = frequent_length(ctx, frequent.hot)
+    after = []
+    for length, c in enumerate(ctx, start=1):
+        kept = frequent.sums.kept(c, longest >= length)
+        after.append((at[kept], key_of(c[kept], w[kept]), np.searchsorted(frequent.sums.ctx, c[kept])))
+    return rare, key_of(_U(0), own[columns[-1][rare] - len(coder.words)]), after, at, longest
+
+
+def read_bucket(blocks: list[bytes], coded: int):
+    """All rows of a bucket: (words without a rank; words by number; documents of each block; whether each row is for training)."""
+    read = [read_numbers(data) for data in blocks]
+    own = np.unique(np.concatenate([x[0] for x in read]))
+    columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 1)]
+    for words, numbers, _, _ in read:
+        into = np.searchsorted(own, words)
+        for i, x in enumerate(numbers):
+            rare = np.flatnonzero(x >= coded)
+            x[rare] = coded + into[x[rare] - coded]
+            columns[i].append(x.astype(np.int32))
+    docs, train = [x[2] for x in read], [x[3][x[2]].astype(bool) for x in read]
+    del read
+    return own, [np.concatenate(x) for x in columns], docs, np.concatenate(train)
+
+
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct value, the place of each row's value)."""
+    order = np.argsort(x)
+    new = np.diff(x[order], prepend=x[order[:1]] - x.dtype.type(1)) != 0
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def score_bucket(columns: list[np.ndarray], n_words: int, train: np.ndarray, p: np.ndarray, loo: np.ndarray, longest: np.ndarray):
     """(log10 of each row's word's chance, count of its last context word in training, if that is not frequent).
 
-    ``p`` and ``loo`` are the chances after the longest frequent context, of length ``longest``.
+    ``p`` and ``loo`` are the chances after the longest frequent context, of length ``longest``, and are changed. A context that
+    occurs once in training has no state, and no longer one has.
     """
-    count = None
-    beyond = before[0] == START
-    for length, context in enumerate(chained(before), start=1):
-        p, loo, many = _state(context, w, train, p, loo, ~beyond & (longest < length))
-        count = many if count is None else count
-        if length < len(before):
-            beyond = beyond | (before[length] == BEYOND)
+    *before, w = columns
+    at = np.flatnonzero(before[0] != 0)  # the start sign
+    context = before[0][at].astype(np.int64)
+    count = np.zeros(len(w))
+    for length in range(1, len(before) + 1):
+        if length > 1:
+            word = before[length - 1][at]
+            inside = word != 1  # before the start sign
+            at, context = at[inside], context[inside] * n_words + word[inside]
+        first, of = _grouped(context)
+        many = np.bincount(of, weights=train[at], minlength=len(first))
+        if length == 1:
+            count[at] = many[of]
+        again = (many[of] >= 2) | (longest[at] >= length)
+        at, of = at[again], of[again]
+        state = np.flatnonzero(longest[at] < length)
+        _state(at[state], of[state], many, w, n_words, train, p, loo)
+        context = of
     return np.log10(p), count
 
 
+def _state(at: np.ndarray, of: np.ndarray, many: np.ndarray, w: np.ndarray, n_words: int, train: np.ndarray, p: np.ndarray, loo: np.ndarray) -> None:
+    """Put the chances under states of one length, in use and leave-one-out, of rows ``at`` with contexts ``of`` in place
+    of those under the shorter ones, where a state is kept."""
+    if not len(at):
+        return
+    first, pair = _grouped(of * n_words + w[at])
+    n = np.bincount(pair, weights=train[at], minlength=len(first))
+    context, given = of[first], loo[at[first]]
+    kinds = np.bincount(context, weights=n > 0, minlength=len(many))
+    # leave one out: the pair and its context once less, and the pair unseen if that was its only time
+    t = kinds[context] - (n == 1)
+    left = ((n - 1) + t * given) / np.maximum(many[context] - 1 + t, 1)
+    gain = np.where(n > 0, n * (np.log(np.maximum(left, 1e-300)) - np.log(given)), 0.0)
+    kept = np.bincount(context, weights=gain, minlength=len(many)) > MARGIN
+    use = np.flatnonzero(kept[of])
+    at, of, pair = at[use], of[use], pair[use]
+    p[at] = (n[pair] + kinds[of] * p[at]) / np.maximum(many[of] + kinds[of], 1)
+    loo[at] = np.where(n[pair] > 0, left[pair], loo[at])
+
+
 def frequent_words(counts: DataFrame) -> pd.DataFrame:
     """(w, c, n) of the most frequent words, ``CODED`` at most: all from such a frequency on as lets them fit."""
     step = F.floor(16 * F.log2("n")).cast("int")
@@ -351,7 +548,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = stored(word_counts(rows), "words")
+    parts = 4 * max(1, rows.rdd.getNumPartitions())
+    blocks = stored(word_blocks(rows, parts), "words")
+    counts = word_counts(blocks)
     s = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, n_all, n_words = s["c"] or 0, s["n"] or 0, s["v"]
     buckets = max(1, -(-n_all // TOKENS_A_BUCKET))
@@ -360,99 +559,136 @@ def score_documents(docs: DataFrame) -> DataFrame:
     top = frequent_words(counts).sort_values(["n", "w"], ascending=[False, True])
     words = np.concatenate((np.asarray([START, BEYOND], dtype=np.uint64), top["w"].to_numpy(dtype=np.int64).view(np.uint64)))
     coded = Coder(words, *[np.concatenate(([0, 0], top[x].to_numpy(dtype=np.int64))) for x in ("c", "n")])
-    hot, sums_of, supply = frequent_contexts(rows, counts, coded, n_all, total)
-    shared = spark.sparkContext.broadcast((coded, hot, sums_of))
+    levels, tables = frequent_contexts(rows, blocks, coded, n_all, total, parts)
+    shared = spark.sparkContext.broadcast((coded, Frequent(coded, levels)))
+
+    def bucket_of(ctx: np.ndarray) -> np.ndarray:
+        return (mix(ctx, 41) % _U(buckets)).astype(np.int64)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, often, _ = shared.value
-        part = TaskContext.get().partitionId()
+        coder, frequent = shared.value
+        n_coded = len(coder.words)
+        of_coded = bucket_of(chained([coder.words])[0])
+        task = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_batches(batches)):
-            batch = part * 10**6 + number
+            batch = task * 10**6 + number
             w, starts = tokens(texts)
             train = ~held_out(ids)
             known_ids = np.asarray([i is not None for i in ids], dtype="<u1")
-            doc = np.repeat(np.arange(len(ids)), np.diff(starts))
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(starts))
+            own, place = coder.encode(w)
+            del w
             # the base score of words with a number; that of the others is summed up where they are the last context word
-            place = coder.place(w)
-            c = np.where(place >= 0, coder.counts[place], 0)
+            c = np.concatenate((coder.counts, np.zeros(len(own), dtype=np.int64)))[place]
             base = np.bincount(doc, weights=np.log10(c + 1.0), minlength=len(ids)), np.bincount(doc, weights=c > 0, minlength=len(ids)).astype("<i8")
             head = _squeeze(np.asarray([i or 0 for i in ids], dtype="<i8"), known_ids, np.diff(starts).astype("<i8"), base[0].astype("<f8"), base[1])
             yield pd.DataFrame({"batch": [batch], "bucket": [batch % buckets], "head": [True], "data": [head]})
-            del place, c
-            since, before = preceding(w, starts)
-            ctx = chained(before)
+            del c
+            at = np.arange(len(place))
+            since = at - np.repeat(starts[:-1], np.diff(starts))
+            # the numbers of the signs are 0 and 1
+            columns = [np.where(since >= j, place[np.maximum(at - j, 0)], (since < j - 1).astype(np.int32)) for j in range(1, DEPTH + 1)]
+            del at
             # the shortest context that is not frequent says where a row goes; without one it may go anywhere
-            longest = frequent_length(ctx, often)
-            free = (since == 0) | (longest == DEPTH)
-            key = np.choose(np.minimum(longest, DEPTH - 1), ctx)
-            bucket = np.where(free, batch % buckets, (mix(key, 41) % _U(buckets)).astype(np.int64))
-            del ctx, key, longest, free, since
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            bucket = np.concatenate((of_coded, bucket_of(chained([own])[0])))[columns[0]]
+            bucket[since == 0] = batch % buckets
+            del since
+            hot = frequent.rows(columns[0])
+            ctx = chained([coder.decode(x[hot], own) for x in columns])
+            longest = frequent_length(ctx, frequent.hot)
+            bucket[hot] = np.where(longest == DEPTH, batch % buckets, bucket_of(np.choose(np.minimum(longest, DEPTH - 1), ctx)))
+            del hot, ctx, longest
+            many = n_coded + len(own)
+            order = np.argsort((bucket * many + columns[0]) * many + place)
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            del bucket
+            columns, doc = [x[order] for x in (*columns, place)], doc[order]
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
-                    o = order[cuts[b] : cuts[b + 1]]
-                    yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [block_of([x[o] for x in before], w[o], doc[o], train, coder)]})
-
-    def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        coder, often, kept = shared.value
-        sources: list[int] = []
-        held: list[tuple] = []
-        for batch, data in pdf.loc[~pdf["head"], ["batch", "data"]].itertuples(index=False):
-            before, w, doc, train = read_block(data, coder)
-            sources.append(batch)
-            held.append((*before, w, doc, train[doc].astype(bool)))
+                    o = slice(cuts[b], cuts[b + 1])
+                    yield pd.DataFrame({"batch": [batch], "bucket": [b], "head": [False], "data": [_block([x[o] for x in columns], doc[o], train, own, n_coded)]})
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        coder, frequent = shared.value
+        found = [np.zeros(0, dtype=np.uint64)]
+        for data in pdf.loc[~pdf["head"], "data"]:
+            own, columns, *_ = read_numbers(data)
+            _, keys, after, *_ = asks(columns, own, coder, frequent)
+            found.append(np.unique(np.concatenate([keys, *[x[1] for x in after]])))
+        keys = np.unique(np.concatenate(found))
+        sent = [(part, _squeeze(_steps(keys[r]))) for part, r in _ranges(keys, parts)]
+        return pd.DataFrame({"part": pd.array([x[0] for x in sent], dtype="int32"), "level": -1, "bucket": pdf["bucket"].iloc[0], "data": [x[1] for x in sent]})
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = [np.zeros(0, dtype=np.uint64)]
+        counts = [np.zeros(0, dtype=np.int64)]
+        for level, data in pdf.loc[pdf["level"] >= 0, ["level", "data"]].itertuples(index=False):
+            if level == 0:
+                steps, c, _ = _spread(data)
+                known.append(key_of(_U(0), np.cumsum(steps)))
+            else:
+                of, steps, c, _ = _spread(data)
+                kept = levels[level - 1].kept[of]
+                known.append(key_of(levels[level - 1].ctx[of[kept]], np.cumsum(steps)[kept]))
+                c = c[kept]
+            counts.append(c.astype(np.int64))
+        keys, c = np.concatenate(known), np.concatenate(counts)
+        order = np.argsort(keys)
+        keys, c = keys[order], c[order]
+        asked = pdf.loc[pdf["level"] < 0, ["bucket", "data"]]
+        told = [_squeeze(_narrow(c[np.searchsorted(keys, np.cumsum(_spread(data)[0]))])) for data in asked["data"]]
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "bucket": asked["bucket"].to_numpy(), "data": told})
+
+    def score(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        coder, frequent = shared.value
+        rows_ = pdf.loc[~pdf["head"], ["batch", "data"]]
         out = [pdf.loc[pdf["head"], ["batch", "head", "data"]]]
-        if not held:
+        if not len(rows_):
             return out[0]
-        docs_of = [x[-2] for x in held]
-        *before, w, train = (np.concatenate([x[i] for x in held]) for i in (*range(DEPTH + 1), DEPTH + 2))
-        del held
-        pair = lambda c, x: mix(c * _U(0xE7037ED1A0B428DB) + x, 43)
-        answers = pair(*(known[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("ctx", "w")))
-        order = np.argsort(answers)
-        answers, answer = answers[order], known["c"].to_numpy()[order]
-        told = lambda c, x: answer[np.searchsorted(answers, pair(c, x))]
-        place = coder.place(w)
-        c0 = coder.counts[place]
-        own = np.flatnonzero(place < 0)
-        if len(own):
-            c0[own] = told(np.zeros(len(own), dtype=np.uint64), w[own])
+        own, columns, docs_of, train = read_bucket(rows_["data"].tolist(), len(coder.words))
+        rare, keys, after, at, longest_at = asks(columns, own, coder, frequent)
+        _, place = np.unique(np.concatenate([keys, *[x[1] for x in after]]), return_inverse=True)
+        answers = [_spread(data)[0].astype(np.int64) for data in told.sort_values("part")["data"]]
+        counts = np.concatenate([np.zeros(0, dtype=np.int64), *answers])[place]
+        c0 = coder.counts[np.minimum(columns[-1], len(coder.words) - 1)]
+        c0[rare] = counts[: len(rare)]
         p = (c0 + 1.0) / total
         loo = p.copy()
-        ctx = chained(before)
-        longest = frequent_length(ctx, often)
-        for length, context in enumerate(ctx, start=1):
-            at = kept.kept(context, longest >= length)
-            if len(at):
-                c, of = told(context[at], w[at]), np.searchsorted(kept.ctx, context[at])
-                many, kinds = kept.many[of], kept.kinds[of]
-                t = kinds - (c == 1)
-                left = ((c - 1) + t * loo[at]) / np.maximum(many - 1 + t, 1)
-                p[at] = (c + kinds * p[at]) / np.maximum(many + kinds, 1)
-                loo[at] = np.where(c > 0, left, loo[at])
-        del ctx, place, c0
-        lp, count = score_bucket(before, w, train, p, loo, longest)
-        uncoded = coder.place(before[0]) < 0
-        at = 0
-        for batch, doc in zip(sources, docs_of, strict=True):
-            span = slice(at, at + len(doc))
-            at += len(doc)
-            own, i = np.unique(doc, return_inverse=True)
-            parts = [_narrow(own), np.bincount(i, weights=lp[span]).astype("<f8")]
-            own, i = np.unique(doc[uncoded[span]], return_inverse=True)
+        del c0
+        done = len(rare)
+        for rows_at, _, of in after:
+            c = counts[done : done + len(rows_at)]
+            done += len(rows_at)
+            many, kinds = frequent.sums.many[of], frequent.sums.kinds[of]
+            t = kinds - (c == 1)
+            left = ((c - 1) + t * loo[rows_at]) / np.maximum(many - 1 + t, 1)
+            p[rows_at] = (c + kinds * p[rows_at]) / np.maximum(many + kinds, 1)
+            loo[rows_at] = np.where(c > 0, left, loo[rows_at])
+        longest = np.zeros(len(p), dtype=np.int8)
+        longest[at] = longest_at
+        del after, place, counts
+        lp, count = score_bucket(columns, len(coder.words) + len(own), train, p, loo, longest)
+        uncoded = columns[0] >= len(coder.words)
+        start = 0
+        for batch, doc in zip(rows_["batch"].tolist(), docs_of, strict=True):
+            span = slice(start, start + len(doc))
+            start += len(doc)
+            many = np.bincount(doc)
+            name = np.flatnonzero(many)
+            parts_ = [_narrow(name), _whole(-np.bincount(doc, weights=lp[span])[name])]
+            name, i = np.unique(doc[uncoded[span]], return_inverse=True)
             c = count[span][uncoded[span]]
-            parts += [_narrow(own), np.bincount(i, weights=np.log10(c + 1)).astype("<f8"), _narrow(np.bincount(i, weights=c > 0).astype(np.int64))]
-            out.append(pd.DataFrame({"batch": [batch], "head": [False], "data": [_squeeze(*parts)]}))
+            parts_ += [_narrow(name), _whole(np.bincount(i, weights=np.log10(c + 1))), _narrow(np.bincount(i, weights=c > 0).astype(np.int64))]
+            out.append(pd.DataFrame({"batch": [batch], "head": [False], "data": [_squeeze(*parts_)]}))
         return pd.concat(out, ignore_index=True)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, known_ids, n, base, known = _spread(pdf.loc[pdf["head"], "data"].iloc[0])
-        score_, base, known = np.zeros(len(ids)), base.copy(), known.copy()
+        score_, rare_base, known = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64), known.copy()
         for data in pdf.loc[~pdf["head"], "data"]:
             own, lp, rare, logs, seen = _spread(data)
-            score_[own] += lp
-            base[rare] += logs
+            score_[own] -= lp.astype(np.int64)
+            rare_base[rare] += logs.astype(np.int64)
             known[rare] += seen
         name = [int(i) if k else None for i, k in zip(ids, known_ids, strict=True)]
         return pd.DataFrame(
@@ -462,15 +698,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 "n_tokens": n,
                 "n_known": known,
                 "train_tokens": n_train,
-                "base_score": base - n * np.log10(n_train + n_words + 1.0),
-                "score": score_,
+                "base_score": base + rare_base / ONE - n * np.log10(n_train + n_words + 1.0),
+                "score": score_ / ONE,
             }
         )
 
     # dealt is shuffled once: the plan reuses its exchange for what buckets ask for
     dealt = rows.mapInPandas(deal, "batch long, bucket int, head boolean, data binary").repartition(buckets, "bucket")
-    known = dealt.mapInPandas(lambda batches: wanted(batches, *shared.value), "bucket int, ctx long, w long").join(supply, ["ctx", "w"])
-    known = known.select("bucket", "ctx", "w", "c")
-    sums = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
+    asked = dealt.groupBy("bucket").applyInPandas(ask, BLOCKS)
+    told = asked.unionByName(tables).groupBy("part").applyInPandas(answer, "part int, bucket int, data binary")
+    sums = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(score, "batch long, head boolean, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(combine, schema)

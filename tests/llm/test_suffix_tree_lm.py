@@ -144,3 +144,26 @@ def test_scores_against_definition(spark, monkeypatch, tokens_a_bucket, frequent
     assert bases == {d: (b, k) for d, _, _, k, _, b in base(rows)}
     want = scores(rows)
     assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
+def test_counts_after_frequent_contexts_go_in_blocks(spark, monkeypatch):
+    # many frequent contexts, with many different words after each: no operator makes a row of each pair
+    monkeypatch.setattr(lm, "FREQUENT_ROWS", 20)
+    monkeypatch.setattr(lm, "TOKENS_A_BUCKET", 20_000)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice([f"f{rng.randrange(60)}", f"r{rng.randrange(4000)}"]) for _ in range(100)) for _ in range(600)]
+    docs = table(spark, texts)
+    pairs = len({(a, b) for t in texts for a, b in zip(t.split(), t.split()[1:], strict=False) if a[0] == "f"})
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    assert lm.score_documents(docs).count() == 600
+    made = []
+    for i in range(store.executionsList().size()):
+        if (number := store.executionsList().apply(i).executionId()) in done:
+            continue
+        nodes, found = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if metric.name() == "number of output rows" and "Join" in node.name() and found.contains(metric.accumulatorId()):
+                    made.append((node.name(), int(found.apply(metric.accumulatorId()).replace(",", ""))))
+    assert pairs > 10_000 and not [x for x in made if x[1] > pairs / 4]

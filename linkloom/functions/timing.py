@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .text import let
+
+#: Seconds of the 400 years after which dates repeat.
+CYCLE = 146097 * 86400
 
 
 def gaussian_time(gap: Column, sigma: float) -> Column:
@@ -41,10 +45,25 @@ def normalize_dob(text: Column) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, 10)
 
 
+def utc_date(seconds: Column) -> Column:
+    """The date of any whole number of unix seconds, years of more than four digits without a plus.
+
+    Timestamps end in the year 294247. A date ends in the year 5881580, so further off its day is found in the cycle that
+    begins in 1970, and the year is moved back.
+    """
+
+    def placed(n: Column) -> Column:
+        cycle = F.call_function("div", n, F.lit(CYCLE)) - F.when(n % CYCLE < 0, 1).otherwise(0)
+        return let(F.date_from_unix_date(F.floor(F.pmod(n, F.lit(CYCLE)) / 86400).cast("int")), lambda d: F.concat((F.year(d) + cycle * 400).cast("string"), F.substring(d.cast("string"), 5, 6)))
+
+    near = F.ltrim(F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string"), F.lit("+"))
+    return F.when(F.abs(F.floor(seconds / 86400)) < 1 << 31, near).otherwise(let(seconds, placed))
+
+
 def dob_of_seconds(text: Column) -> Column:
     """A birthday kept as unix seconds, as a date."""
     n = text.try_cast("long")
-    return F.when(n.isNotNull() & (n != 0), F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd")).otherwise(F.coalesce(text, F.lit("")))
+    return F.when(n.isNotNull() & (n != 0), utc_date(n)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def round3(value: Column) -> Column:

@@ -380,7 +380,7 @@ def _large_leagues(source: DataFrame, target: DataFrame, slot: Column, size: int
     first = settled(s, t, None)
     maps = cut(team_ids(first))
     won = first.filter("kind = 'r' and matched")
-    left = first.filter("kind = 'r' and not matched").select("league_id", F.lit("s").alias("kind"), F.col("event_id").alias("id"), F.col("target_start").alias("start"), F.col("home_id").alias("home"), F.col("away_id").alias("away"), F.lit(False).alias("slot"))
+    left = first.filter("kind = 'r' and not matched").select("league_id", F.lit("s").alias("kind"), F.col("event_id").alias("id"), F.col("target_start").alias("start"), F.col("home_id").alias("home"), F.col("away_id").alias("away"), F.lit(False).alias("slot"))  # noqa: E501
     taken = won.select("league_id", F.col("target_id").alias("id"), F.col("target_start").alias("start"), F.col("target_home_id").alias("home"), F.col("target_away_id").alias("away"))
     again = settled(cut(left), cut(t.join(taken, ["league_id", "id", "start", "home", "away"], "left_anti")), maps)
     return matches_of(won.unionByName(again.filter("kind = 'r'")))
